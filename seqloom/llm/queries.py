@@ -2,25 +2,59 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe import digests
 from .minhash_dedup import near_duplicates
+from .scratch import Scratch
+from .token_counts import token_counts
+from .token_files import read_token_files, with_starts, write_token_files
+from .url_filter import NEED_SOFT, SOFT_TERMS, STRICT_TERMS, judge_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cache = Scratch(spark, "token-counts").new("cache")
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), cache)
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "token-files")
+    path = scratch.new("files")
+    write_token_files(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    rows = read_token_files(spark, path).select(
+        "doc_id", "partition", "number", "start_in_file", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+    return with_starts(scratch.keep(rows, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+#: (verdict, host/path)
+URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 OP3_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
   FROM documents),
 s AS (
-  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
                       WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
   FROM w),
 e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
@@ -38,10 +72,38 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id, s.doc_i
 FROM s JOIN comp c ON c.id = s.doc_id
 """
 
+def _op9_sql() -> str:
+    has = lambda t: f"CAST(regexp_matches(u, '(^|[^a-z0-9]){t}($|[^a-z0-9])') AS INT)"
+    strict, soft = (" + ".join(map(has, terms)) for terms in (STRICT_TERMS, SOFT_TERMS))
+    rules = ", ".join(f"('{verdict}', '{h}', '/{p}', '{h}/{p}')" for verdict, (h, _, p) in ((v, r.partition("/")) for v, r in URL_RULES))
+    return rf"""
+WITH p AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest,
+         translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS u
+  FROM pages),
+h AS (
+  SELECT page_id, u, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM p),
+rules(verdict, h, p, rule) AS (VALUES {rules}),
+best AS (
+  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM h JOIN rules r ON (h.host = r.h OR suffix(h.host, '.' || r.h)) AND prefix(h.path, r.p) GROUP BY page_id)
+SELECT h.page_id, h.host, h.path, b.rule,
+       coalesce(b.verdict, CASE WHEN {strict} > 0 OR {soft} >= {NEED_SOFT} THEN 'block' ELSE 'allow' END) AS verdict
+FROM h LEFT JOIN best b USING (page_id)
+"""
+
+
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_token_files": op4_token_files,
+    "op5_byte_bpe": op5_byte_bpe,
+    "op9_url_filter": op9_url_filter,
 }
 
 ORACLES = {
     "op3_minhash_near_dedup": OP3_SQL,
+    "op9_url_filter": _op9_sql(),
 }
