@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import digests
+from .language_id import language_id
 from .minhash_dedup import near_duplicates
 from .scratch import Scratch
 from .token_counts import token_counts
 from .token_files import read_token_files, with_starts, write_token_files
+from .warc import plan_records, read_archive, write_archive
 from .url_filter import NEED_SOFT, SOFT_TERMS, STRICT_TERMS, judge_urls
 
 
@@ -23,6 +25,24 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), cache)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "warc")
+    path = scratch.new("archive")
+    write_archive(plan_records(_table(spark, sf_dir, "pages"), scratch), path)
+    return read_archive(spark, path, scratch).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+  FROM pages)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest,
+       CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
+FROM p
+"""
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
 
@@ -41,6 +61,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
 #: (verdict, host/path)
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
@@ -97,13 +121,16 @@ FROM h LEFT JOIN best b USING (page_id)
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_warc": op2_warc,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_token_files": op4_token_files,
     "op5_byte_bpe": op5_byte_bpe,
+    "op8_language_id": op8_language_id,
     "op9_url_filter": op9_url_filter,
 }
 
 ORACLES = {
+    "op2_warc": OP2_SQL,
     "op3_minhash_near_dedup": OP3_SQL,
     "op9_url_filter": _op9_sql(),
 }
