@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import digests
+from .embedding_dedup import near_duplicate_vectors
 from .language_id import language_id
 from .minhash_dedup import near_duplicates
 from .scratch import Scratch
@@ -73,6 +74,27 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+OP10_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS norm FROM v),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+reach(id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT r.id, l.b FROM reach r JOIN link l ON l.a = r.other),
+comp AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id),
+degree AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT t.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, c.component_id, t.vec_id = c.component_id AS kept
+FROM embeddings t JOIN comp c ON c.id = t.vec_id LEFT JOIN degree d ON d.a = t.vec_id
+"""
+
+
 OP3_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
@@ -127,10 +149,12 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op8_language_id": op8_language_id,
     "op9_url_filter": op9_url_filter,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
 ORACLES = {
     "op2_warc": OP2_SQL,
     "op3_minhash_near_dedup": OP3_SQL,
     "op9_url_filter": _op9_sql(),
+    "op10_embedding_near_dedup": OP10_SQL,
 }
