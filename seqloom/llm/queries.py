@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import digests
+from .decontaminate import contaminated
 from .embedding_dedup import near_duplicate_vectors
 from .language_id import language_id
+from .line_dedup import remove_repeated_lines
 from .minhash_dedup import near_duplicates
 from .scratch import Scratch
 from .token_counts import token_counts
@@ -62,6 +64,34 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP6_SQL = r"""
+WITH w AS (
+  SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+  UNION ALL
+  SELECT 'i', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') FROM benchmark),
+g AS (SELECT kind, id, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS g FROM w WHERE len(w) >= 5),
+n AS (SELECT id, count(*) AS n FROM g WHERE kind = 'i' GROUP BY id),
+long_items AS (
+  SELECT d.id AS doc_id, i.id AS item_id, any_value(n.n) AS n_item, count(*) AS n_common
+  FROM g d JOIN g i ON d.g = i.g AND d.kind = 'd' AND i.kind = 'i' JOIN n ON n.id = i.id GROUP BY 1, 2),
+short_items AS (
+  SELECT d.id, i.id, 1, 1 FROM w d JOIN w i ON d.kind = 'd' AND i.kind = 'i' AND len(i.w) BETWEEN 1 AND 4
+   AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(i.w, ' ') || ' '))
+SELECT doc_id, item_id, CAST(n_item AS BIGINT) AS n_item, CAST(n_common AS BIGINT) AS n_common FROM long_items WHERE 100 * n_common >= 80 * n_item
+UNION ALL SELECT * FROM short_items
+"""
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = remove_repeated_lines(_table(spark, sf_dir, "documents"))
+    size, digest = F.coalesce(F.octet_length("text"), F.lit(0)), F.sha2("text", 256)
+    return cleaned.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", size.cast("long").alias("n_bytes_kept"), digest.alias("kept_sha256"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents"))
 
@@ -147,6 +177,8 @@ QUERIES = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_token_files": op4_token_files,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_decontamination": op6_decontamination,
+    "op7_line_dedup": op7_line_dedup,
     "op8_language_id": op8_language_id,
     "op9_url_filter": op9_url_filter,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
@@ -155,6 +187,7 @@ QUERIES = {
 ORACLES = {
     "op2_warc": OP2_SQL,
     "op3_minhash_near_dedup": OP3_SQL,
+    "op6_decontamination": OP6_SQL,
     "op9_url_filter": _op9_sql(),
     "op10_embedding_near_dedup": OP10_SQL,
 }
