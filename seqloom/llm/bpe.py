@@ -290,8 +290,8 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataF
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, decoded binary")
 
 
-def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encoding and decoding in one pass over the texts.
+def digests(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids): encoding and decoding in one pass over the texts.
 
     Every row gives a row.  Null or empty text has no ids: 0 tokens and the digests of the empty string.  Text that
     the pattern does not match anywhere is not encoded, as in the library.
@@ -301,13 +301,21 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(ranks_path, pattern)[0]
         for batch in batches:
-            n, a, b = [], [], []
+            lo = 0
             for texts in text_groups(batch.column(1)):
+                n, a, b, all_ids = [], [], [], []
                 for ids in encode_texts(ranks_path, pattern, texts):
                     n.append(len(ids))
                     a.append(hashlib.sha256(" ".join(map(bpe.decimal.__getitem__, ids)).encode()).hexdigest())
                     b.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    if with_ids:
+                        all_ids.append(np.array(ids, np.int32))
+                columns = [batch.column(0).slice(lo, len(texts)), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate([*all_ids, np.zeros(0, np.int32)]))))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+                lo += len(texts)
 
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return docs.mapInArrow(run, schema + ", ids array<int>" * with_ids)
