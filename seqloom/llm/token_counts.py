@@ -60,8 +60,10 @@ def load_counter(path: str):
 
 def _counted(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = load_counter(path)
+        count, seen = load_counter(path), set()
         for batch in batches:
+            keep = [not (c in seen or seen.add(c)) for c in batch.column(0).to_pylist()]
+            batch = batch if all(keep) else batch.filter(pa.array(keep))
             texts, sizes, out, lo, held = batch.column(1), pc.binary_length(batch.column(1)).to_pylist(), [], 0, 0
             for i, size in enumerate(sizes):
                 held += size
@@ -96,9 +98,10 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_dir: str, limit: in
     # one row per content is kept in each task before the shuffle, and one per content after it
     content = docs.select(digest.alias("content"), "doc_id")
     missing = content.groupBy("content").agg(F.min("doc_id").alias("doc_id")).join(known().select("content"), "content", "left_anti")
-    # null ids cannot be joined, and repeated ids bring several texts: the digest decides
+    # null ids cannot be joined, and repeated ids bring several texts: the digest decides.  Equal rows that are left
+    # meet in one task, which encodes the first of them
     texts = docs.withColumn("content", digest).join(missing.select("content", F.col("doc_id").alias("first")), "content")
-    texts = texts.where(F.col("first").eqNullSafe(F.col("doc_id"))).select("content", "text").dropDuplicates(["content"])
+    texts = texts.where(F.col("first").eqNullSafe(F.col("doc_id"))).select("content", "text")
     fresh = texts.mapInArrow(_counted(tokenizer_path), "content binary, n_bytes long, n_tokens long")
     fresh.select(F.lit(version).alias("tokenizer"), "content", "n_bytes", "n_tokens").write.mode("append").parquet(cache_dir)
 
