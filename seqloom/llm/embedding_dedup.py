@@ -57,10 +57,11 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.mapInArrow(run, "id long, raw binary")
 
 
-def choose_pivots(classes: DataFrame, n: int, max_pivots: int, apart: float = 0.7) -> dict[int, np.ndarray]:
-    """Unit pivots for each length of vector: of a bounded sample by hash, those at cosines below ``apart``.
+def choose_pivots(classes: DataFrame, n: int, max_pivots: int, apart: tuple[float, ...] = (0.7, 0.8, 0.9, 0.95)) -> dict[int, np.ndarray]:
+    """Unit pivots for each length of vector: of a bounded sample by hash, those that are not close to one another.
 
-    Pivots from one dense group would be the nearest of all its members in an order that is mere noise.
+    Pivots from one dense group would be the nearest of all its members in an order that is mere noise.  Where the
+    vectors all lie close together, the cosines allowed between pivots rise in steps until there are enough.
     """
     out = {}
     for (size,) in classes.select(F.octet_length("raw")).distinct().collect():
@@ -69,10 +70,11 @@ def choose_pivots(classes: DataFrame, n: int, max_pivots: int, apart: float = 0.
         drawn = _unit([bytes(r.raw) for r in rows])
         taken = np.zeros((m, drawn.shape[1]))
         k = 0
-        for x in drawn:
-            if k < m and (k == 0 or (taken[:k] @ x).max() < apart):
-                taken[k] = x
-                k += 1
+        for most in apart:
+            for x in drawn:
+                if k < m and (k == 0 or (taken[:k] @ x).max() < most):
+                    taken[k] = x
+                    k += 1
         out[size] = taken[:k]
     return out
 
@@ -87,8 +89,9 @@ def _index(pivots: dict[int, np.ndarray], nearest: int):
                 for lo in range(0, len(rows), 4096):
                     part = rows[lo : lo + 4096]
                     like = _unit([raw[i] for i in part]) @ pivots[size].T
+                    more = [-1] if like.shape[1] < 2 else []  # all vectors of this length are alike: one list
                     for i, o in zip(part, np.argsort(-like, axis=1, kind="stable")[:, :nearest].tolist(), strict=True):
-                        order[i] = o
+                        order[i] = o + more
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(order, pa.list_(pa.int32()))], ["raw", "pivots"])
 
     return run

@@ -146,6 +146,6 @@ def near_duplicates(
     # a doc_id that has several texts ties their classes
     ties = member.where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(edges.unionAll(ties), scratch)
-    out = member.withColumn("at", F.coalesce("rep", "doc_id")).join(found.withColumnRenamed("id", "at"), "at", "left")
+    out = member.withColumn("at", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))).join(found.withColumnRenamed("id", "at"), "at", "left")
     component = F.coalesce("component_id", "at")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

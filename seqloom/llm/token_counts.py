@@ -100,7 +100,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_dir: str, limit: in
     missing = content.groupBy("content").agg(F.min("doc_id").alias("doc_id")).join(known().select("content"), "content", "left_anti")
     # null ids cannot be joined, and repeated ids bring several texts: the digest decides.  Equal rows that are left
     # meet in one task, which encodes the first of them
-    texts = docs.withColumn("content", digest).join(missing.select("content", F.col("doc_id").alias("first")), "content")
+    texts = docs.withColumn("content", digest).join(missing.select("content", F.col("doc_id").alias("first")).hint("merge"), "content")
     texts = texts.where(F.col("first").eqNullSafe(F.col("doc_id"))).select("content", "text")
     fresh = texts.mapInArrow(_counted(tokenizer_path), "content binary, n_bytes long, n_tokens long")
     fresh.select(F.lit(version).alias("tokenizer"), "content", "n_bytes", "n_tokens").write.mode("append").parquet(cache_dir)
