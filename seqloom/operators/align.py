@@ -7,8 +7,10 @@ Entering a skip costs ``open``, each skipped character ``extend``, and leaving i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +66,56 @@ def mangled(cost: Cost, pair_scripts: dict[tuple[str, str], str], open_script: s
     return Cost(cost.match, cost.mismatch, mangle(int(cost.open), open_script), mangle(int(cost.extend), extend_script), mangle(int(cost.close), close_script), pairs)
 
 
+def change_costs(cost: Cost, text: str) -> Cost:
+    """Lines ``~ x y script`` for a pair of characters and ``Go script``, ``Gx script``, ``Gc script`` for the gap costs.
+
+    A script is as in ``mangle``; what is named twice is an error.
+    """
+    pairs: dict[tuple[str, str], str] = {}
+    gaps: dict[str, str] = {}
+    for line in filter(None, map(str.strip, text.splitlines())):
+        kind, *rest = line.split()
+        if kind == "~" and len(rest) >= 2:
+            where, key, script = pairs, (rest[0], rest[1]), rest[2:]
+        elif kind in ("Go", "Gx", "Gc"):
+            where, key, script = gaps, kind, rest
+        else:
+            raise ValueError(f"Malformed cost change: {line}")
+        if key in where:
+            raise ValueError(f"Changed twice: {line}")
+        where[key] = " ".join(script)
+    return mangled(cost, pairs, gaps.get("Go", ""), gaps.get("Gx", ""), gaps.get("Gc", ""))
+
+
+@dataclass(frozen=True)
+class Region:
+    """A cost for a rectangle of (a, b) positions; ends are exclusive, -1 is open."""
+
+    cost: Cost
+    start_a: int = -1
+    end_a: int = -1
+    start_b: int = -1
+    end_b: int = -1
+
+    @property
+    def closed(self) -> bool:
+        return min(self.start_a, self.end_a, self.start_b, self.end_b) >= 0
+
+    def window(self, n: int, m: int) -> tuple[slice, slice]:
+        of = lambda lo, hi, size: slice(max(lo, 0), size if hi < 0 else min(hi, size))
+        return of(self.start_a, self.end_a, n), of(self.start_b, self.end_b, m)
+
+
+@dataclass
+class Costs:
+    """The costs of every cell: aligning a[i] to b[j], and of a gap's parts at cell (i, j) of the tables."""
+
+    sub: np.ndarray
+    open: np.ndarray
+    extend: np.ndarray
+    close: np.ndarray
+
+
 def _substitution(a: str, b: str, cost: Cost) -> np.ndarray:
     ca, cb = np.frombuffer(a.encode("utf-32-le"), np.uint32), np.frombuffer(b.encode("utf-32-le"), np.uint32)
     s = np.where(ca[:, None] == cb[None, :], float(cost.match), float(cost.mismatch))
@@ -72,79 +124,102 @@ def _substitution(a: str, b: str, cost: Cost) -> np.ndarray:
     return s
 
 
-def tables(a: str, b: str, cost: Cost, ends: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best scores of prefixes by state: aligned, skipping a, skipping b.  Filled along diagonals, so in few numpy calls."""
+def spread(a: str, b: str, cost: Cost, regions: Sequence[Region] = ()) -> Costs:
+    """``cost`` everywhere but in the regions: closed ones go over open ones, later ones over earlier ones."""
     n, m = len(a), len(b)
-    s = _substitution(a, b, cost)
+    sub = _substitution(a, b, cost)
+    gaps = [np.full((n + 1, m + 1), float(v)) for v in (cost.open, cost.extend, cost.close)]
+    for r in sorted(regions, key=lambda r: r.closed):
+        rows, cols = r.window(n, m)
+        sub[rows, cols] = _substitution(a[rows], b[cols], r.cost)
+        # the step to cell (i, j) of the tables consumes the characters before it
+        i, j = slice(rows.start + (rows.start > 0), rows.stop + 1), slice(cols.start + (cols.start > 0), cols.stop + 1)
+        for table, v in zip(gaps, (r.cost.open, r.cost.extend, r.cost.close), strict=True):
+            table[i, j] = v
+    return Costs(sub, *gaps)
+
+
+def tables(c: Costs, ends: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best scores of prefixes by state: aligned, skipping a, skipping b.  Filled along diagonals, so in few numpy calls."""
+    n, m = c.sub.shape
     M, X, Y = (np.full((n + 1, m + 1), _LOW) for _ in range(3))
-    free = ends != GLOBAL
     M[0, 0] = 0
-    i, j = np.arange(1, n + 1), np.arange(1, m + 1)
-    if free:
+    if ends != GLOBAL:
         M[:, 0] = M[0, :] = 0
     else:
-        X[1:, 0], Y[0, 1:] = cost.open + cost.extend * i, cost.open + cost.extend * j
+        X[1:, 0] = np.cumsum(c.extend[1:, 0]) + (c.open[1, 0] if n else 0)
+        Y[0, 1:] = np.cumsum(c.extend[0, 1:]) + (c.open[0, 1] if m else 0)
     for d in range(2, n + m + 1):
         i = np.arange(max(1, d - m), min(n, d - 1) + 1)
         j = d - i
-        before = lambda t, x, y: t[x, y]
-        best = np.maximum(before(M, i - 1, j - 1), np.maximum(before(X, i - 1, j - 1), before(Y, i - 1, j - 1)) + cost.close)
+        p, q = i - 1, j - 1
+        best = np.maximum(M[p, q], np.maximum(X[p, q], Y[p, q]) + c.close[p, q])
         if ends == LOCAL:
             best = np.maximum(best, 0)
-        M[i, j] = best + s[i - 1, j - 1]
-        enter = lambda x, y, other: np.maximum(M[x, y], other[x, y] + cost.close) + cost.open
-        X[i, j] = np.maximum(X[i - 1, j], enter(i - 1, j, Y)) + cost.extend
-        Y[i, j] = np.maximum(Y[i, j - 1], enter(i, j - 1, X)) + cost.extend
+        M[i, j] = best + c.sub[p, q]
+        X[i, j] = np.maximum(X[p, j], np.maximum(M[p, j], Y[p, j] + c.close[p, j]) + c.open[i, j]) + c.extend[i, j]
+        Y[i, j] = np.maximum(Y[i, q], np.maximum(M[i, q], X[i, q] + c.close[i, q]) + c.open[i, j]) + c.extend[i, j]
     return M, X, Y
 
 
-def best_cell(M: np.ndarray, X: np.ndarray, Y: np.ndarray, cost: Cost, ends: int) -> tuple[float, int, int]:
-    """(score, i, j) at which the best alignment ends; the smallest cell of equals."""
-    done = np.maximum(M, np.maximum(X, Y) + cost.close)
-    n, m = done.shape[0] - 1, done.shape[1] - 1
+def endings(t: tuple[np.ndarray, np.ndarray, np.ndarray], c: Costs, ends: int) -> list[tuple[float, int, int, str]]:
+    """(score, i, j, state) of all ways to end."""
+    M, X, Y = t
+    n, m = c.sub.shape
     if ends == GLOBAL:
-        return float(done[n, m]), n, m
-    if ends == LOCAL:
-        done = np.maximum(M, 0)
-        at = int(done.argmax())
-        return float(done.flat[at]), at // (m + 1), at % (m + 1)
-    last = [(float(done[n, j]), n, j) for j in range(m + 1)] + [(float(done[i, m]), i, m) for i in range(n)]
-    return max(last, key=lambda x: (x[0], -x[1], -x[2]))
-
-
-def trace(a: str, b: str, cost: Cost, ends: int, M: np.ndarray, X: np.ndarray, Y: np.ndarray, i: int, j: int, most: int = 1) -> Iterator[list[tuple[int, int]]]:
-    """Up to ``most`` best paths that end at (i, j), as (a index or -1, b index or -1), the first tried being a skip of a."""
-    eq = lambda u, v: abs(u - v) < 1e-6
-    done = {"M": M[i, j], "X": X[i, j] + cost.close, "Y": Y[i, j] + cost.close}
-    if ends == LOCAL:
-        done = {"M": max(M[i, j], 0)}
-    best = max(done.values())
-    stack = [(i, j, k, []) for k in ("Y", "M", "X") if k in done and eq(done[k], best)]
-    found = 0
-    while stack and found < most:
-        x, y, state, path = stack.pop()
-        start = x == y == 0 or (ends != GLOBAL and state == "M" and (x == 0 or y == 0)) or (ends == LOCAL and state == "M" and (M[x, y] <= 0 or eq(M[x, y], 0)) and not path)
-        if start and state == "M":
-            found += 1
-            yield path[::-1]
+        return [(float(M[n, m]), n, m, "M"), (float(X[n, m] + c.close[n, m]), n, m, "X"), (float(Y[n, m] + c.close[n, m]), n, m, "Y")]
+    if ends == SEMI:
+        cells = [(n, j) for j in range(m + 1)] + [(i, m) for i in range(n)]
+    else:
+        cells = [(0, 0), *zip(*(x.tolist() for x in np.nonzero(M > 0)), strict=True)]
+    return [(float(M[i, j]), i, j, "M") for i, j in cells]
+
+
+def paths(t: tuple[np.ndarray, np.ndarray, np.ndarray], c: Costs, ends: int, least: float, scores: int = 1, most: int = 1) -> Iterator[tuple[float, list[tuple[int, int]]]]:
+    """(score, path) of alignments of at least ``least``, the best first: ``scores`` different ones, ``most`` paths of each.
+
+    A path is a list of (a index or -1, b index or -1).  The tables bound what any unfinished path can still reach, so
+    the search takes the most promising one first and never extends one that falls short.
+    """
+    table = dict(zip("MXY", t, strict=True))
+    order = count()
+    heap = [(-s, next(order), i, j, k, s - float(table[k][i, j]), None) for s, i, j, k in endings(t, c, ends) if s >= least - 1e-6 and s > _LOW / 2]
+    heapq.heapify(heap)
+    found: dict[float, int] = {}
+    while heap:
+        total, _, x, y, state, after, tail = heapq.heappop(heap)
+        score = round(-total, 6) + 0.0
+        if (score not in found and len(found) == scores) or found.get(score, 0) >= most:
+            if len(found) == scores and all(v >= most for v in found.values()):
+                return
+            continue
+        if state == "M" and (x == y == 0 or (ends != GLOBAL and (x == 0 or y == 0)) or x < 0):
+            found[score] = found.get(score, 0) + 1
+            path = []
+            while tail is not None:
+                step, tail = tail
+                path.append(step)
+            yield score, path
             continue
         if state == "M":
-            want = M[x, y] - cost.of(a[x - 1], b[y - 1])
-            step = [*path, (x - 1, y - 1)]
-            if ends == LOCAL and eq(want, 0):
-                found += 1
-                yield step[::-1]
-                continue
-            options = [("Y", Y[x - 1, y - 1] + cost.close), ("M", M[x - 1, y - 1]), ("X", X[x - 1, y - 1] + cost.close)]
-            stack += [(x - 1, y - 1, k, step) for k, v in options if eq(v, want)]
-        elif state == "X":
-            want, step = X[x, y] - cost.extend, [*path, (x - 1, -1)]
-            options = [("Y", Y[x - 1, y] + cost.close + cost.open), ("M", M[x - 1, y] + cost.open), ("X", X[x - 1, y])]
-            stack += [(x - 1, y, k, step) for k, v in options if eq(v, want)]
+            p, q, step, cost = x - 1, y - 1, (x - 1, y - 1), float(c.sub[x - 1, y - 1])
+            options = [("M", 0.0), ("X", float(c.close[p, q])), ("Y", float(c.close[p, q]))]
         else:
-            want, step = Y[x, y] - cost.extend, [*path, (-1, y - 1)]
-            options = [("Y", Y[x, y - 1]), ("M", M[x, y - 1] + cost.open), ("X", X[x, y - 1] + cost.close + cost.open)]
-            stack += [(x, y - 1, k, step) for k, v in options if eq(v, want)]
+            p, q = (x - 1, y) if state == "X" else (x, y - 1)
+            if p < 0 or q < 0:
+                continue
+            step, cost, opened = ((p, -1) if state == "X" else (-1, q)), float(c.extend[x, y]), float(c.open[x, y])
+            other = "Y" if state == "X" else "X"
+            options = [(state, 0.0), ("M", opened), (other, opened + float(c.close[p, q]))]
+        if ends == LOCAL and state == "M" and p > 0 and q > 0 and cost + after >= least - 1e-6:
+            heapq.heappush(heap, (-(cost + after), next(order), -1, -1, "M", 0.0, (step, tail)))
+        for k, v in options:
+            here = float(table[k][p, q])
+            # a local path that could as well start here does so
+            if here <= _LOW / 2 or (ends == LOCAL and k == "M" and p > 0 and q > 0 and here <= 0):
+                continue
+            if here + v + cost + after >= least - 1e-6:
+                heapq.heappush(heap, (-(here + v + cost + after), next(order), p, q, k, v + cost + after, (step, tail)))
 
 
 def cigar_of(path: list[tuple[int, int]], b_length: int) -> tuple[str, int]:
@@ -180,14 +255,18 @@ def read_log10(a: str, b: str, path: list[tuple[int, int]], qual: list[float], o
     return float(total)
 
 
-def align(pairs: DataFrame, cost: Cost = Cost(), ends: int = GLOBAL, most: int = 0, gap_log10: tuple[float, float] = (-4.0, -1.0)) -> DataFrame:
-    """pairs (pair_id, a, b) -> (pair_id, score), and with ``most`` > 0 a row for each of up to ``most`` best alignments.
+def align(
+    pairs: DataFrame, cost: Cost = Cost(), ends: int = GLOBAL, most: int = 0, scores: int = 1, least: float | None = None, regions: Sequence[Region] = (), gap_log10: tuple[float, float] = (-4.0, -1.0)
+) -> DataFrame:
+    """pairs (pair_id, a, b) -> (pair_id, score), the best score.
 
-    Those rows have path_ind, cigar, start_a and log10_p, the read being b with the qualities of the optional array qual.
-    Null sequences give no row.  Memory is 3 tables of (|a| + 1)(|b| + 1) doubles.
+    With ``most`` > 0 there is a row for each alignment found: up to ``most`` of each of the ``scores`` highest different
+    scores that are at least ``least`` (by default only the best one counts).  These rows have path_ind, cigar, start_a and
+    log10_p, the read being b with the qualities of the optional array qual.  Null sequences give no row.  Memory is
+    seven tables of (|a| + 1)(|b| + 1) doubles and the paths under way.
     """
-    paths = most > 0
-    has_qual = "qual" in pairs.columns
+    each = most > 0
+    regions = tuple(regions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,17 +274,18 @@ def align(pairs: DataFrame, cost: Cost = Cost(), ends: int = GLOBAL, most: int =
             for pair_id, a, b, qual in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if a is None or b is None:
                     continue
-                t = tables(a, b, cost, ends)
-                score, i, j = best_cell(*t, cost, ends)
-                if not paths:
-                    out.append((pair_id, score))
+                c = spread(a, b, cost, regions)
+                t = tables(c, ends)
+                best = max(s for s, _, _, _ in endings(t, c, ends))
+                if not each:
+                    out.append((pair_id, best))
                     continue
-                for k, path in enumerate(trace(a, b, cost, ends, *t, i, j, most)):
+                for k, (score, path) in enumerate(paths(t, c, ends, best if least is None else least, scores, most)):
                     out.append((pair_id, score, k, *cigar_of(path, len(b)), read_log10(a, b, path, qual or [-3.0] * len(b), *gap_log10)))
-            names = ["pair_id", "score", "path_ind", "cigar", "start_a", "log10_p"][: 6 if paths else 2]
+            names = ["pair_id", "score", "path_ind", "cigar", "start_a", "log10_p"][: 6 if each else 2]
             types = [pa.int64(), pa.float64(), pa.int64(), pa.string(), pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], types[c]) for c in range(len(names))], names)
 
-    qual = F.col("qual").cast("array<double>") if has_qual else F.lit(None).cast("array<double>")
+    qual = F.col("qual").cast("array<double>") if "qual" in pairs.columns else F.lit(None).cast("array<double>")
     rows = pairs.select(F.col("pair_id").cast("long"), "a", "b", qual.alias("qual"))
-    return rows.mapInArrow(run, "pair_id long, score double" + ", path_ind long, cigar string, start_a long, log10_p double" * paths)
+    return rows.mapInArrow(run, "pair_id long, score double" + ", path_ind long, cigar string, start_a long, log10_p double" * each)

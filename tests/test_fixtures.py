@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions import colspec, genome, text
+from seqloom.plans import peptides
 from seqloom.operators import align, alignments, digest, graphs, matches, proteins, search, suffix, tables
 from seqloom.sources import genomics, sequences
 from seqloom.sources import matches as match_files
@@ -232,6 +233,55 @@ def test_alignment_close_costs_and_all_paths(spark):
     assert {r.cigar for r in both} == {"1D2M", "1M1D1M", "2M1D"} and {r.score for r in both} == {-1.0}
 
 
+def brute_alignments(a, b, cost, ends):
+    """All alignments as (score, path), by recursion over every path."""
+    out = []
+
+    def walk(x, y, state, score, path):
+        leave = cost.close if state in "XY" else 0
+        if ends == align.GLOBAL:
+            if (x, y) == (len(a), len(b)):
+                out.append((score + leave, tuple(path)))
+        elif state == "M" and (ends == align.LOCAL or x == len(a) or y == len(b)):
+            out.append((score, tuple(path)))
+        if x < len(a) and y < len(b):
+            walk(x + 1, y + 1, "M", score + leave + cost.of(a[x], b[y]), [*path, (x, y)])
+        for state2, dx, dy in (("X", 1, 0), ("Y", 0, 1)):
+            if x + dx <= len(a) and y + dy <= len(b) and (ends == align.GLOBAL or path):
+                enter = cost.extend if state == state2 else cost.extend + cost.open + leave
+                walk(x + dx, y + dy, state2, score + enter, [*path, (x if dx else -1, y if dy else -1)])
+
+    starts = [(0, 0)] if ends == align.GLOBAL else [(x, y) for x in range(len(a) + 1) for y in range(len(b) + 1) if ends == align.LOCAL or x == 0 or y == 0]
+    for x, y in starts:
+        walk(x, y, "M", 0, [])
+    return out
+
+
+@pytest.mark.parametrize("ends", [align.GLOBAL, align.SEMI, align.LOCAL])
+@pytest.mark.parametrize(("a", "b"), [("ACA", "AAC"), ("AB", "B"), ("", "A"), ("AC", "CA")])
+def test_all_alignments(ends, a, b):
+    cost = align.Cost(2, -1, -2, -1, -1)
+    c = align.spread(a, b, cost)
+    t = align.tables(c, ends)
+    want = brute_alignments(a, b, cost, ends)
+    best = max(s for s, _ in want)
+    assert max(s for s, *_ in align.endings(t, c, ends)) == best
+    if ends == align.GLOBAL:
+        got = [(s, tuple(p)) for s, p in align.paths(t, c, ends, best - 6, 1000, 1000)]
+        assert set(got) == {(s, p) for s, p in want if s >= best - 6} and len(got) == len(set(got))
+        assert [s for s, _ in got] == sorted((s for s, _ in got), reverse=True)
+    else:
+        got = {(s, tuple(p)) for s, p in align.paths(t, c, ends, best, 1, 1000)}
+        assert got <= {(s, p) for s, p in want if s == best} and got
+
+
+def test_alignment_regions(spark):
+    hard = align.Region(align.Cost(-5, -5, -9, -9, 0), 1, 2, 1, 2)
+    pairs = spark.createDataFrame([(0, "AAA", "AAA")], "pair_id long, a string, b string")
+    assert align.align(pairs, align.Cost(1, -1, -1, -1, 0), align.GLOBAL, regions=[align.Region(align.Cost(9, 9, -50, -50, 0), 0), hard]).first().score == 9 - 5 + 9
+    assert align.align(pairs, align.Cost(1, -1, -4, -1, 0), align.GLOBAL, regions=[align.Region(align.Cost(7, 7, -4, -1, 0), 2)]).first().score == 9
+
+
 def test_costs():
     assert align.parse_cost("-3 -1 0 2 A C 1 -1 -1 1").of("A", "C") == -1
     assert align.parse_cost("-3 -1 0 1 A 5").of("A", "X") == 0
@@ -243,6 +293,43 @@ def test_costs():
         align.parse_cost("1 2")
 
 
+def test_cost_changes():
+    base = align.parse_cost("-3 -1 0 2 A C 1 -1 -1 1")
+    changed = align.change_costs(base, "~ A C + 5\nGo * 2\nGx = -7\n~ C C - 1 * 3")
+    assert (changed.of("A", "C"), changed.of("C", "A"), changed.of("C", "C")) == (4, -1, 0)
+    assert (changed.open, changed.extend, changed.close) == (-6, -7, 0)
+    for bad in ("~ A", "~ A C + 1\n~ A C + 2", "Gz + 1", "Go + 1\nGo + 2", "x"):
+        with pytest.raises(ValueError):
+            align.change_costs(base, bad)
+
+
+def test_suffix_array_with_ends_and_bounds(spark, seqs, patterns):
+    ended = suffix.build_direct(seqs, with_end=True)
+    got = [(r.seq_ind, r.char_ind) for r in ended.orderBy("rank").collect()]
+    assert got == [(0, 6), (1, 5), *ARRAY]
+    index = suffix.with_head(suffix.build(seqs), seqs, 3)
+    got = {r.look_for: (r.low, r.high) for r in suffix.bounds(index, patterns).collect()}
+    assert got == {0: (2, 5), 1: (5, 9), 2: (3, 5)}
+    with pytest.raises(ValueError):
+        suffix.dump(index, seqs, -1)
+    assert suffix.dump(index, seqs, 0).first().bases == ""
+
+
+def test_peptide_search(spark, seqs, patterns):
+    named = seqs.withColumn("name", F.concat(F.lit("P"), F.col("seq_ind").cast("string"), F.lit("_v")))
+    bed = spark.createDataFrame([(0, "chr1", 100, 118, "P0", "+")], "ord long, chrom string, start long, end long, name string, strand string")
+    rows = spark.createDataFrame([(0, "P0_v", "i1", "6M", "4-5A>B:1C>T"), (1, "P0_v", "i2", "6M", None), (2, "P1_v", "i1", "5M", None)], "ord long, name string, ind string, cigar string, dif string")
+    ids = spark.createDataFrame([("P0", "T0", "G0")], "protein string, transcript string, gene string")
+    run = peptides.search_peptides(patterns.where("look_for < 4"), named, proteins.protein_rollup(bed), proteins.variant_rollup(rows), ids, rules="[4B52]|-[4B52]|!\n^|-[4B52]|!")
+    assert [tuple(r)[1:5] for r in run.matches.orderBy("match_ind").collect()] == [(0, 1, 0, 2), (0, 1, 2, 4)]
+    report = {(r.look_for, r.match_ind): r for r in run.report.collect()}
+    assert set(report) == {(0, 0), (0, 1), (1, None), (2, None), (3, None)} and report[0, 0].protein == "P1" and not report[3, None].found
+    assert {r.look_for: r.n_owners for r in run.frequencies.collect()} == {0: 1, 1: 0, 2: 0, 3: 0}
+    free = peptides.search_peptides(patterns.where("look_for = 0"), named, proteins.protein_rollup(bed), proteins.variant_rollup(rows), ids)
+    hit = free.report.where("protein = 'P0'").first()
+    assert (hit.location, hit.near_variants, hit.owners, hit.gene) == ("chr1:112-117", "4-5A>B:1C>T", "i1|i2", "G0")
+
+
 def test_regions_and_boxes(spark):
     points = spark.createDataFrame([(0, 5, 5), (1, 50, 5)], "point_id long, a long, b long")
     regions = spark.createDataFrame([(0, -1, -1, -1, -1, 1), (1, 0, 10, 0, 10, 2), (2, 0, -1, -1, -1, 3)], "region_id long, start_a long, end_a long, start_b long, end_b long, cost long")
