@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ FIRST, LAST, SECONDARY, FAILED_QC, DUPLICATE, SUPPLEMENTARY = 64, 128, 256, 512,
 _MAPPED = ("M", "=", "X")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: inside lambdas an expression is computed for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def has_flag(flag: Column, bits: int) -> Column:
     return flag.bitwiseAND(F.lit(bits)) != 0
 
@@ -123,13 +130,20 @@ def near_differences(diffs: Column, positions: Column, found_at: Column, found_t
     before it (low end) or after it (high end), else the nearest on its other side.
     """
     within = F.lit(within) if isinstance(within, int) else within
-    inside = F.filter(F.slice(positions, found_at.cast("int") + 1, (found_to - found_at).cast("int")), lambda p: p >= 0)
-    before = F.array_max(F.filter(F.slice(positions, F.lit(1), found_at.cast("int")), lambda p: p >= 0))
-    after = F.array_min(F.filter(F.slice(positions, found_to.cast("int") + 1, F.greatest(F.size(positions), F.lit(1))), lambda p: p >= 0))
-    low = F.coalesce(F.array_min(inside), before, after) - within
-    high = F.coalesce(F.array_max(inside), after, before) + within
-    found = F.filter(diffs, lambda d: d["prot_start"].isNotNull() & (d["prot_start"] <= high) & (d["prot_end"] >= low))
-    return F.when(low.isNotNull(), found).otherwise(F.slice(diffs, F.lit(1), F.lit(0)))
+
+    def at(pos: Column) -> Column:
+        inside = F.filter(F.slice(pos, found_at.cast("int") + 1, (found_to - found_at).cast("int")), lambda p: p >= 0)
+        before = F.array_max(F.filter(F.slice(pos, F.lit(1), found_at.cast("int")), lambda p: p >= 0))
+        after = F.array_min(F.filter(F.slice(pos, found_to.cast("int") + 1, F.greatest(F.size(pos), F.lit(1))), lambda p: p >= 0))
+        low = F.coalesce(F.array_min(inside), before, after) - within
+        high = F.coalesce(F.array_max(inside), after, before) + within
+        return bound(F.struct(low.alias("low"), high.alias("high")), near)
+
+    def near(r: Column) -> Column:
+        found = F.filter(diffs, lambda d: d["prot_start"].isNotNull() & (d["prot_start"] <= r["high"]) & (d["prot_end"] >= r["low"]))
+        return F.when(r["low"].isNotNull(), found).otherwise(F.slice(diffs, F.lit(1), F.lit(0)))
+
+    return bound(positions, at)
 
 
 def genome_location(locs: Column, positions: Column, found_at: Column, found_to: Column) -> Column:
@@ -139,38 +153,49 @@ def genome_location(locs: Column, positions: Column, found_at: Column, found_to:
     negative strand) and taken three to a residue; runs that go on by one base collapse to ``chr:first-last``, inserted
     residues to ``-1``; parts are joined by ``|``.
     """
-    forward = F.coalesce(F.get(locs, F.lit(0))["positive"], F.lit(True))
     lift = lambda loc: F.when(loc["end"] > loc["start"], F.sequence(loc["start"], loc["end"] - 1)).otherwise(F.array().cast("array<bigint>"))
-    bases = F.flatten(F.transform(locs, lift))
-    bases = F.when(forward, bases).otherwise(F.reverse(bases))
-    step = F.when(forward, F.lit(1)).otherwise(F.lit(-1))
-    chrom = F.get(locs, F.lit(0))["chrom"]
-    codons = (F.size(bases) / 3).cast("int")
-    part = F.slice(positions, found_at.cast("int") + 1, (found_to - found_at).cast("int"))
-    beyond = F.exists(part, lambda p: p >= codons)
-    spell = lambda p: F.when(p < 0, F.array(F.lit(-1).cast("long"))).otherwise(F.slice(bases, (p * 3 + 1).cast("int"), F.lit(3)))
-    flat = F.flatten(F.transform(part, spell))
-    empty = F.array().cast("array<struct<a:bigint,b:bigint>>")
-
-    def grow(acc: Column, x: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        goes_on = F.coalesce((last["b"] >= 0) & (x >= 0) & (x == last["b"] + step), F.lit(False))
-        same_gap = F.coalesce((last["b"] == -1) & (x == -1), F.lit(False))
-        longer = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["a"].alias("a"), x.alias("b"))))
-        return F.when(same_gap, acc).when(goes_on, longer).otherwise(F.concat(acc, F.array(F.struct(x.alias("a"), x.alias("b")))))
-
-    runs = F.aggregate(flat, empty, grow)
-    text = F.array_join(F.transform(runs, lambda r: F.when(r["a"] < 0, F.lit("-1")).otherwise(F.concat(chrom, F.lit(":"), r["a"].cast("string"), F.lit("-"), r["b"].cast("string")))), "|")
-    none = F.size(F.coalesce(locs, F.array().cast("array<struct<chrom:string,start:bigint,end:bigint,positive:boolean>>"))) == 0
-    mixed = F.exists(locs, lambda x: x["positive"] != forward)
-    many = F.exists(locs, lambda x: x["chrom"] != chrom)
-    stop = none | mixed | positions.isNull() | beyond
-    warnings = F.array(
-        F.when(none, "No location."),
-        F.when(~none & mixed, "Both strands."),
-        F.when(~none & ~mixed & many, "Multiple chromosomes."),
-        F.when(~none & ~mixed & (F.size(bases) % 3 != 0), "Not whole codons."),
-        F.when(~none & ~mixed & positions.isNull(), "Missing or malformed CIGAR."),
-        F.when(~none & ~mixed & beyond, "CIGAR beyond location."),
-    )
-    return F.struct(F.when(~F.coalesce(stop, F.lit(True)), text).alias("location"), F.filter(warnings, lambda w: w.isNotNull()).alias("warnings"))
+
+    def laid_out(row: Column) -> Column:
+        exons = row["locs"]
+        forward = F.coalesce(F.get(exons, F.lit(0))["positive"], F.lit(True))
+        bases = F.flatten(F.transform(exons, lift))
+        return bound(
+            F.struct(
+                exons.alias("locs"), row["positions"].alias("positions"), F.get(exons, F.lit(0))["chrom"].alias("chrom"), forward.alias("forward"), F.when(forward, 1).otherwise(-1).alias("step"),
+                F.when(forward, bases).otherwise(F.reverse(bases)).alias("bases"), F.slice(row["positions"], found_at.cast("int") + 1, (found_to - found_at).cast("int")).alias("part"),
+            ),
+            described,
+        )
+
+    def described(r: Column) -> Column:
+        codons = (F.size(r["bases"]) / 3).cast("int")
+        beyond = F.exists(r["part"], lambda p: p >= codons)
+        none = F.coalesce(F.size(r["locs"]) <= 0, F.lit(True))
+        mixed = F.exists(r["locs"], lambda x: x["positive"] != r["forward"])
+        many = F.exists(r["locs"], lambda x: x["chrom"] != r["chrom"])
+        spell = lambda p: F.when(p < 0, F.array(F.lit(-1).cast("long"))).otherwise(F.slice(r["bases"], (p * 3 + 1).cast("int"), F.lit(3)))
+        stop = none | mixed | r["positions"].isNull() | beyond
+        warnings = F.array(
+            F.when(none, "No location."),
+            F.when(~none & mixed, "Both strands."),
+            F.when(~none & ~mixed & many, "Multiple chromosomes."),
+            F.when(~none & ~mixed & (F.size(r["bases"]) % 3 != 0), "Not whole codons."),
+            F.when(~none & ~mixed & r["positions"].isNull(), "Missing or malformed CIGAR."),
+            F.when(~none & ~mixed & beyond, "CIGAR beyond location."),
+        )
+        text = bound(F.flatten(F.transform(r["part"], spell)), lambda flat: runs(flat, r["chrom"], r["step"]))
+        return F.struct(F.when(~F.coalesce(stop, F.lit(True)), text).alias("location"), F.filter(warnings, lambda w: w.isNotNull()).alias("warnings"))
+
+    def runs(flat: Column, chrom: Column, step: Column) -> Column:
+        """A run ends in front of every place that does not go on from the one before it."""
+        goes_on = lambda x, y: ((x >= 0) & (y == x + step) & (y >= 0)) | ((x == -1) & (y == -1))
+        places = F.transform(flat, lambda x, i: F.struct(x.alias("x"), F.when(i == 0, F.lit(True)).otherwise(~goes_on(F.get(flat, i - 1), x)).alias("first"), F.coalesce(~goes_on(x, F.get(flat, i + 1)), F.lit(True)).alias("last")))
+
+        def joined(p: Column) -> Column:
+            heads, tails = F.filter(p, lambda v: v["first"]), F.filter(p, lambda v: v["last"])
+            show = lambda h, t: F.when(h["x"] < 0, F.lit("-1")).otherwise(F.concat(chrom, F.lit(":"), h["x"].cast("string"), F.lit("-"), t["x"].cast("string")))
+            return F.array_join(F.zip_with(heads, tails, show), "|")
+
+        return bound(places, joined)
+
+    return bound(F.struct(locs.alias("locs"), positions.alias("positions")), laid_out)

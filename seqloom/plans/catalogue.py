@@ -37,6 +37,11 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of one file dealt to all cores, for expressions that cost much more than the move."""
+    return _t(spark, sf_dir, name).repartition(spark.sparkContext.defaultParallelism)
+
+
 # --- search -------------------------------------------------------------------------------------------------------
 
 SHORT_PATTERNS = ("e", "ee", "ed ", "re", "an", "aa", "l", "ll", "o o", "zz")
@@ -405,14 +410,14 @@ SELECT l_orderkey, l_linenumber, n AS soft_start, CAST(0 AS BIGINT) AS soft_end,
 )
 def cigar_positions(spark, sf_dir):
     p = genome.cigar_positions(_cigar(), F.col("l_suppkey").cast("long"))
-    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", p.alias("p"))
+    rows = _spread(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", p.alias("p"))
     return rows.select("l_orderkey", "l_linenumber", "p.soft_start", "p.soft_end", F.array_join(F.col("p.positions").cast("array<string>"), ",").alias("positions"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(l_suppkey AS BIGINT) AS first, CAST(l_suppkey + 2 * floor(l_quantity) + l_linenumber - 1 AS BIGINT) AS last FROM lineitem")
 def cigar_bounds(spark, sf_dir):
     b = genome.cigar_bounds(genome.cigar_positions(_cigar(), F.col("l_suppkey").cast("long"))["positions"])
-    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", b.alias("b")).select("l_orderkey", "l_linenumber", "b.first", "b.last")
+    return _spread(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", b.alias("b")).select("l_orderkey", "l_linenumber", "b.first", "b.last")
 
 
 @query(
@@ -421,7 +426,7 @@ def cigar_bounds(spark, sf_dir):
 )
 def near_match(spark, sf_dir):
     near = genome.near_differences(genome.differences(_difference_text()), genome.cigar_positions(F.lit("50M"))["positions"], F.lit(3), F.lit(6), 2)
-    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(F.transform(near, lambda d: d["desc"]), ";").alias("near"))
+    return _spread(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(F.transform(near, lambda d: d["desc"]), ";").alias("near"))
 
 
 @query(
@@ -433,7 +438,7 @@ def genome_location(spark, sf_dir):
     loc = F.array(F.struct(F.lit("c").alias("chrom"), start.alias("start"), (start + 3 * (F.col("l_linenumber") + 2)).alias("end"), (F.col("l_partkey") % 2 == 0).alias("positive")))
     positions = genome.cigar_positions(F.concat((F.col("l_linenumber") + 2).cast("string"), F.lit("M")))["positions"]
     where = genome.genome_location(loc, positions, F.lit(1), F.col("l_linenumber") + 1)
-    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", where["location"].alias("location"))
+    return _spread(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", where["location"].alias("location"))
 
 
 @query()
@@ -617,8 +622,7 @@ def variant_ids(spark, sf_dir):
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _t(spark, sf_dir, "part")
-    return p.select(F.col("p_partkey").alias("pair_id"), F.col("p_name").alias("a"), F.col("p_brand").alias("b")).repartition(spark.sparkContext.defaultParallelism)
+    return _spread(spark, sf_dir, "part").select(F.col("p_partkey").alias("pair_id"), F.col("p_name").alias("a"), F.col("p_brand").alias("b"))
 
 
 @query("SELECT p_partkey AS pair_id, CAST(-levenshtein(p_name, p_brand) AS DOUBLE) AS score FROM part")
