@@ -211,22 +211,25 @@ class ByteBpe:
 
 
 class PieceMemo:
-    """Ids of pieces seen before, at most ``most`` of them; when it is full, only new ones are forgotten again."""
-
-    def __init__(self, encode: Callable[[list[str]], list], most: int = 250_000):
-        self.encode, self.most, self.known = encode, most, {}
-
-    def lookup(self, split: list[list[str]]) -> dict:
-        """A mapping that holds every piece of these texts."""
-        known = self.known
-        new = list({p for pieces in split for p in pieces if p not in known})
-        if not new:
-            return known
-        found = dict(zip(new, self.encode(new), strict=True))
-        if len(known) + len(found) <= self.most:
-            known.update(found)
-            return known
-        return known | found
+    """Ids of pieces seen before, at most ``most`` of them: when it is full, new ones are held for one call only."""
+
+    def __init__(self, encode: Callable[[list], list], most: int = 250_000):
+        self.encode, self.most, self.known, self.passing = encode, most, {}, []
+
+    def lookup(self, split: list[list]) -> dict:
+        """A mapping that holds every piece of these texts, until the next call."""
+        for piece in self.passing:
+            del self.known[piece]
+        self.passing = []
+        seen: set = set()
+        for pieces in split:
+            seen.update(pieces)
+        new = list(seen.difference(self.known))
+        if new:
+            if len(self.known) + len(new) > self.most:
+                self.passing = new[max(0, self.most - len(self.known)) :]
+            self.known.update(zip(new, self.encode(new), strict=True))
+        return self.known
 
 
 _LOADED: dict = {}
@@ -241,13 +244,14 @@ def _loaded(path: str, pattern: str):
     return _LOADED[path, pattern]
 
 
-def text_groups(column: pa.Array, limit: int = SPLIT_BYTES) -> Iterator[list[str]]:
-    """The texts of a column in runs of about ``limit`` bytes; null is empty."""
+def text_groups(column: pa.Array, limit: int = SPLIT_BYTES) -> Iterator[list]:
+    """The texts (or byte strings) of a column in runs of about ``limit`` bytes; null is empty."""
+    empty = b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else ""
     lo, held, n = 0, 0, len(column)
     for i, size in enumerate(pc.binary_length(column).to_pylist()):
         held += size or 0
         if held >= limit or i + 1 == n:
-            yield [t or "" for t in column.slice(lo, i + 1 - lo).to_pylist()]
+            yield [t or empty for t in column.slice(lo, i + 1 - lo).to_pylist()]
             lo, held = i + 1, 0
 
 

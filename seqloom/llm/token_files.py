@@ -12,6 +12,7 @@ the commit protocol of Spark's writers holds and lost tasks are repeated safely.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 from collections.abc import Iterator
@@ -32,40 +33,94 @@ _SKIP_INDEX, _SKIP_TABLE = 0x184D2A50, 0x184D2A5E
 #: Uncompressed bytes after which a frame or a file is closed; a longer document has a frame or file of its own.
 FRAME_BYTES, FILE_BYTES = 1 << 18, 32 << 20
 
+#: Tokenizer settings under which a text's ids are those of its parts between spaces, and those of a run of letters are
+#: the model's: white space is dropped, letters are lower-cased and stand alone, other signs stand together.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
 _LOADED: dict = {}
 
 
-def _memo(path: str) -> PieceMemo:
-    """Ids of the space-separated parts of texts as the tokenizers library gives them, one memo for each worker.
+class PartEncoder:
+    """Ids, as bytes, of texts by the tokenizers library.
 
-    Only sound for tokenizers whose pre-tokenizer splits at spaces and drops them; see ``splits_at_spaces``.
+    If the tokenizer's settings allow it (see above), texts are cut at spaces and a memo holds what the library gave for
+    each part; a new part that is a run of letters and perhaps full stops and commas goes straight to the library's model.
     """
-    if path not in _LOADED:
+
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        tok.no_padding()
-        tok.no_truncation()
-        encode = lambda parts: [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(parts, add_special_tokens=False)]
-        _LOADED[path] = PieceMemo(encode, 300_000), splits_at_spaces(tok)
-    return _LOADED[path]
-
-
-def splits_at_spaces(tok) -> bool:
-    """Whether a text's ids are those of its space-separated parts: white space is a separator that leaves no token."""
-    probe = ["a b", "  a", "b  ", "1 2", ". .", "a <|x|> b", "é ́", "a'  s", "一 一"]
-    ids = lambda t: tok.encode(t, add_special_tokens=False).ids
-    return ids(" ") == [] and all(ids(t) == [i for part in t.split(" ") for i in ids(part)] for t in probe)
-
-
-def encode_bytes(path: str, texts: list[str], end_id: int | None) -> Iterator[bytes]:
-    memo, by_part = _memo(path)
+        self.tok = Tokenizer.from_file(path)
+        self.tok.no_padding()
+        self.tok.no_truncation()
+        with open(path, encoding="utf-8") as f:
+            setting = json.load(f)
+        steps = (setting.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        self.by_part = (
+            (setting.get("normalizer") or {}).get("normalizers") == _NORMALIZERS
+            and steps[0].get("pattern") == {"Regex": _SPLIT}
+            and [s.get("type") for s in steps] == ["Split", "ByteLevel"]
+            and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in setting["added_tokens"])
+            and not any(t["content"].isalnum() for t in setting["added_tokens"])
+        )
+        self.marks = sorted({t["content"][:2].lower().encode() for t in setting["added_tokens"]})
+        # bytes that the byte-level alphabet writes as other characters than latin-1 does
+        odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+        self.letters = {b: 256 + i for i, b in enumerate(odd)}
+        self.memo = PieceMemo(self._parts, 700_000)
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _stem(self, stem: bytes) -> bytes | None:
+        text = stem.decode()
+        if not stem.isascii():
+            text = self.tok.normalizer.normalize_str(text)
+            if text.isalpha():
+                return np.array([t.id for t in self.tok.model.tokenize(text.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
+        elif stem.isalpha():
+            return np.array([t.id for t in self.tok.model.tokenize(text.lower())], "<u4").tobytes()
+        return None
+
+    def _parts(self, parts: list[bytes]) -> list[bytes]:
+        out: list = [None] * len(parts)
+        stems: dict[bytes, bytes | None] = {}
+        left, tails = [], {}
+        for i, part in enumerate(parts):
+            stem = part.rstrip(b".,")
+            if stem not in stems:
+                stems[stem] = self._stem(stem)
+            if (head := stems[stem]) is None:
+                left.append(i)
+                continue
+            tail = part[len(stem) :]
+            if tail not in tails:
+                tails[tail] = self._library([tail.decode()])[0]
+            out[i] = head + tails[tail]
+        for i, ids in zip(left, self._library([parts[i].decode() for i in left]) if left else [], strict=True):
+            out[i] = ids
+        return out
+
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        if not self.by_part:
+            yield from self._library([t.decode() for t in texts])
+            return
+        # A-Z may be lower-cased before the rest unless a combining mark or an added token could make a difference
+        plain = [b"\xcc" not in t and b"\xcd" not in t and not any(m in t for m in self.marks) for t in texts]
+        parts = [(t.lower() if ok else t).split(b" ") for t, ok in zip(texts, plain, strict=True)]
+        known = self.memo.lookup(parts)
+        for p in parts:
+            yield b"".join(map(known.__getitem__, p))
+
+
+def encode_bytes(path: str, texts: list[bytes], end_id: int | None) -> Iterator[bytes]:
+    if path not in _LOADED:
+        _LOADED[path] = PartEncoder(path)
     end = b"" if end_id is None else struct.pack("<I", end_id)
-    parts = [t.split(" ") for t in texts] if by_part else [[t] for t in texts]
-    known = memo.lookup(parts)
-    for p in parts:
-        yield b"".join(map(known.__getitem__, p)) + end
+    for ids in _LOADED[path].encode(texts):
+        yield ids + end
 
 
 class FileBuilder:
@@ -184,7 +239,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             yield done()
 
     dealt = docs.repartitionByRange(partitions, F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    files = dealt.mapInArrow(run, "content binary").select(F.col("content").cast("string").alias("value"))
+    files = dealt.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "content binary").select(F.col("content").cast("string").alias("value"))
     files.write.option("encoding", "ISO-8859-1").option("lineSep", SEEKABLE_MAGIC.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
 
 
