@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .bpe import text_groups
 from .scratch import importable
@@ -136,8 +137,8 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], profile_size: int
                 lo += len(texts)
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    rows = docs.select(F.struct(*kept).alias("row"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(run, f"lang_pred string, score double, row {rows.schema['row'].dataType.simpleString()}")
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in kept)).alias("row"), F.col("text").cast("string").alias("text"))
+    out = rows.mapInArrow(run, StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("row", rows.schema["row"].dataType)]))
     return out.select("lang_pred", "score", "row.*")
 
 

@@ -30,26 +30,40 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """A new folder below the shared one; ``keep`` writes a table there and returns it as read back."""
+    """A new folder below the shared one; ``keep`` writes a table there and returns it as read back.
+
+    The folder goes when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str, base: str | None = None):
         importable(spark)
         self.spark = spark
         self.path = f"{base or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        self._tables: dict[int, str] = {}
+
+    def _file_system(self, path: str):
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop
 
     def new(self, name: str) -> str:
+        """The path of a table that does not exist yet."""
+        if not self._n:
+            fs, folder = self._file_system(self.path)
+            fs.mkdirs(folder)
+            fs.deleteOnExit(folder)
         self._n += 1
         return f"{self.path}/{self._n:03d}-{name}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = self.new(name)
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self._tables[id(kept)] = path
+        return kept
 
     def drop(self, df: DataFrame) -> None:
         """Remove the files of a table made by ``keep`` that nothing reads any more."""
-        for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-            if self.path.split("://")[-1].lstrip("/").split(":")[-1].lstrip("/") in folder:
-                path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        if path := self._tables.pop(id(df), None):
+            fs, folder = self._file_system(path)
+            fs.delete(folder, True)

@@ -148,6 +148,12 @@ def test_line_boundaries_resist_shifts():
     assert len(a & b) >= len(b) - 2
 
 
+def test_odd_column_names_survive(docs):
+    df = docs([(1, "a\nb\nc\nd"), (2, "a\nb\nc\nd")]).withColumnRenamed("source", "a.b c,d").withColumnRenamed("rep", "_drop").withColumnRenamed("row", "cleaned")
+    out = line_dedup.remove_repeated_lines(df)
+    assert out.columns[: len(df.columns)] == df.columns and {r["a.b c,d"] for r in out.collect()} == {"s"}
+
+
 def test_exact_copies_leave_one(docs):
     text = "a b\nc d\ne f\ng h\ni j"
     got = {r.doc_id: r.text for r in line_dedup.remove_repeated_lines(docs([(3, text), (1, text), (2, text), (1, text)])).collect()}
