@@ -18,21 +18,36 @@ def mate_pairs(entries: DataFrame, name: str = "name", order: str = "ord") -> tu
     return pairs, two.where("_k = 1").select("name", "first")
 
 
+#: Strips into which the range of the first coordinate is cut for range joins.
+STRIPS = 1024
+
+
+def _in_boxes(points: DataFrame, boxes: DataFrame, x: str, low: str, high: str, inclusive: bool) -> DataFrame:
+    """Pairs of points and boxes in one strip of coordinate x: an equality join that Catalyst can plan at any size.
+
+    Open bounds (-1) reach to the ends of the points' range, so a box lies in at most ``STRIPS`` strips.
+    """
+    least, most = points.agg(F.min(x), F.max(x)).first()
+    least, most = (0, 0) if least is None else (least, most)
+    width = max((most - least) / STRIPS, 1e-9)
+    strip = lambda c: F.floor((c - least) / width).cast("long")
+    from_ = F.greatest(F.when(F.col(low) < 0, F.lit(least)).otherwise(F.col(low)), F.lit(least))
+    to = F.least(F.when(F.col(high) < 0, F.lit(most)).otherwise(F.col(high) - (0 if inclusive else 1e-9)), F.lit(most))
+    placed = boxes.withColumns({"_from": from_, "_to": to}).where("_from <= _to").withColumn("_strip", F.explode(F.sequence(strip(F.col("_from")), strip(F.col("_to"))))).drop("_from", "_to")
+    return points.withColumn("_strip", strip(F.col(x))).join(placed, "_strip").drop("_strip")
+
+
 def region_costs(points: DataFrame, regions: DataFrame) -> DataFrame:
     """points (point_id, a, b) with the cost of the region of the highest priority that holds them, null if none does.
 
     regions (region_id, start_a, end_a, start_b, end_b, cost): half-open, -1 is open.  A region with four closed bounds
-    has priority over others; among equals the larger region_id wins.  The region table is joined as a broadcast if Spark
-    finds it small enough.
+    has priority over others; among equals the larger region_id wins.
     """
     closed = (F.col("start_a") >= 0) & (F.col("end_a") >= 0) & (F.col("start_b") >= 0) & (F.col("end_b") >= 0)
-    r = regions.withColumn("priority", F.when(closed, 1).otherwise(0))
-    inside = (
-        ((r["start_a"] < 0) | (points["a"] >= r["start_a"])) & ((r["end_a"] < 0) | (points["a"] < r["end_a"]))
-        & ((r["start_b"] < 0) | (points["b"] >= r["start_b"])) & ((r["end_b"] < 0) | (points["b"] < r["end_b"]))
-    )
-    rows = points.join(r, inside, "left")
-    return rows.groupBy("point_id").agg(F.max_by("cost", F.struct("priority", "region_id")).alias("cost"))
+    inside = "(start_a < 0 or a >= start_a) and (end_a < 0 or a < end_a) and (start_b < 0 or b >= start_b) and (end_b < 0 or b < end_b)"
+    rows = _in_boxes(points, regions.withColumn("priority", F.when(closed, 1).otherwise(0)), "a", "start_a", "end_a", False).where(inside)
+    best = rows.groupBy("point_id").agg(F.max_by("cost", F.struct("priority", "region_id")).alias("cost"))
+    return points.select("point_id").distinct().join(best, "point_id", "left")
 
 
 def quality_costs(points: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -49,11 +64,8 @@ def most_constrained(points: DataFrame, boxes: DataFrame) -> DataFrame:
 
     -1 leaves a bound open, both ends are included, the first of equals wins.
     """
-    bounds = ("low_q", "high_q", "low_r", "high_r")
-    closed = sum((F.when(F.col(c) >= 0, 1).otherwise(0) for c in bounds), F.lit(0))
-    b = boxes.withColumn("closed", closed)
-    inside = (
-        ((b["low_q"] < 0) | (points["q"] >= b["low_q"])) & ((b["high_q"] < 0) | (points["q"] <= b["high_q"]))
-        & ((b["low_r"] < 0) | (points["r"] >= b["low_r"])) & ((b["high_r"] < 0) | (points["r"] <= b["high_r"]))
-    )
-    return points.join(b, inside, "left").groupBy("point_id").agg(F.max_by("cost", F.struct("closed", -F.col("ord"))).alias("cost"))
+    closed = sum((F.when(F.col(c) >= 0, 1).otherwise(0) for c in ("low_q", "high_q", "low_r", "high_r")), F.lit(0))
+    inside = "(low_q < 0 or q >= low_q) and (high_q < 0 or q <= high_q) and (low_r < 0 or r >= low_r) and (high_r < 0 or r <= high_r)"
+    rows = _in_boxes(points, boxes.withColumn("closed", closed), "q", "low_q", "high_q", True).where(inside)
+    best = rows.groupBy("point_id").agg(F.max_by("cost", F.struct("closed", -F.col("ord"))).alias("cost"))
+    return points.select("point_id").distinct().join(best, "point_id", "left")
