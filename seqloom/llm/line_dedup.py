@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .scratch import Scratch
 from .textnum import chunks, mix, segment_hash, string_buffers
@@ -129,14 +130,14 @@ def repeated_chunks(docs: DataFrame, chunker: Chunker, scratch: Scratch) -> Data
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = _chunk_table(docs, chunker, None).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
     repeated = scratch.keep(counts.select("hash"), "hashes")
-    contents = _chunk_table(docs, chunker, _bitmap(repeated)).join(repeated, "hash")
+    contents = _chunk_table(docs, chunker, _bitmap(repeated)).join(repeated.hint("merge"), "hash")
     contents = scratch.keep(contents, "contents")
     # a decimal orders by (doc_id, place) and keeps the aggregation in its hash map
     rank = F.col("doc_id").cast("decimal(28,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("place")
     contents = contents.withColumn("rank", rank.cast("decimal(38,0)"))
     first = contents.groupBy("hash", "content").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first <> last").drop("last")
     first = scratch.keep(first, "first")
-    return contents.join(first, ["hash", "content"]).where("rank <> first").select("doc_id", "place", "hash").distinct()
+    return contents.join(first.hint("merge"), ["hash", "content"]).where("rank <> first").select("doc_id", "place", "hash").distinct()
 
 
 def remove_repeated_lines(docs: DataFrame, window: int = 2, divisor: int = 3, min_lines: int = 2, max_lines: int = 32, scratch: Scratch | None = None) -> DataFrame:
@@ -148,8 +149,9 @@ def remove_repeated_lines(docs: DataFrame, window: int = 2, divisor: int = 3, mi
     drop = scratch.keep(drop, "drop")
     added = ("n_lines", "n_removed_lines", "n_removed_chunks")
     kept = [c for c in docs.columns if c not in added]
-    rows = docs.select(F.struct(*kept).alias("row"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("_doc"))
-    rows = rows.join(drop, "_doc", "left").select("row", "text", "_drop")
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in kept)).alias("row"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("_doc"))
+    # a merge join at every size: what has repeats grows with the corpus
+    rows = rows.join(drop.hint("merge"), "_doc", "left").select("row", "text", "_drop")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,7 +179,8 @@ def remove_repeated_lines(docs: DataFrame, window: int = 2, divisor: int = 3, mi
                 removed_chunks.append(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string()), pa.array(removed_lines, pa.int64()), pa.array(removed_chunks, pa.int64())], ["row", "cleaned", *added[1:]])
 
-    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, cleaned string, n_removed_lines long, n_removed_chunks long")
+    fields = [StructField("row", rows.schema["row"].dataType), StructField("cleaned", StringType()), *(StructField(c, LongType()) for c in added[1:])]
+    out = rows.mapInArrow(run, StructType(fields))
     before = F.col("row.text").cast("string")
     n_lines = F.when(F.coalesce(F.length(before), F.lit(0)) == 0, 0).otherwise(F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + F.when(before.endswith("\n"), 0).otherwise(1))
     columns = [F.col("cleaned").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in kept]
