@@ -8,9 +8,11 @@ Every document is posted under each (coordinate, value) pair of its MinHash sign
 * *skip*: the long lists left out are not merged; candidates are looked up in them by comparing the signatures.
 
 Pairs with enough collisions are confirmed on their full shingle sets, and connected components follow from the links.
-Documents with equal shingle sets are one class and take part once.  Posting lists with the same members are merged,
-long ones are compared in square tiles of bounded size, and a tile returns at most one edge per member, so neither hot
-values nor big groups produce all their pairs as rows, and no candidate is dropped.
+Documents with equal shingle sets are one class and take part once, and posting lists with the same members are merged.
+Members of a list that is too long for one task are first compared to its smallest one; those that it is linked to need
+no comparison among themselves, so a big group of near copies costs as many comparisons as it has members.  The others
+of a long list are compared to all in square tiles of bounded size.  A tile returns at most one edge per member: neither
+hot values nor big groups produce all their pairs as rows, and no candidate is dropped.
 
 Defined results: null or blank text has an empty set and is linked with nothing.  Rows with equal ``doc_id`` are the
 same document and so in one component.  A null ``doc_id`` is linked with nothing, its component is null and it is kept.
@@ -78,7 +80,10 @@ def _links(shingle_words: int, percent: int, min_matches: int):
         lists = [set(x) for x in table["lists"].to_pylist()]
         sets = list(shingle_rows(table["text"], shingle_words))
         size = np.array([len(s) for s in sets])
-        root = np.arange(n)  # of each member; kept flat, as groups are small
+        # the root of each member, kept flat, as groups are small; what is settled has one already
+        settled = table["settled"].to_numpy()
+        root = np.unique(settled, return_index=True)[1][np.unique(settled, return_inverse=True)[1]]
+        before = root.copy()
         for x in range(n - 1):
             y = np.arange(x + 1, n)
             y = y[root[y] != root[x]]
@@ -94,12 +99,40 @@ def _links(shingle_words: int, percent: int, min_matches: int):
                 if 100 * both >= percent * (size[x] + size[z] - both):
                     lo, hi = sorted((root[x], root[z]))
                     root[root == hi] = lo
-        linked = np.flatnonzero(root != np.arange(n))
+        linked = np.flatnonzero(root != before)
         return pa.table({"a": rep[linked], "b": rep[root[linked]]})
 
     return run
 
 
+def _confirmed(shingle_words: int, percent: int):
+    """Rows (rep, center) of (rep, center, text, center_text) that are linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, other = None, None
+        for batch in batches:
+            keep = []
+            for center, text, own in zip(batch.column(1).to_pylist(), batch.column(3), shingle_rows(batch.column(2), shingle_words), strict=True):
+                if center != last:
+                    last, other = center, next(shingle_rows(pa.array([text.as_py()], pa.string()), shingle_words))
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                keep.append(100 * both >= percent * (len(own) + len(other) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _stars(docs: DataFrame, members: DataFrame, shingle_words: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """members (value, rep) of long lists -> their confirmed links to each list's smallest member, and (value, center)."""
+    centers = scratch.keep(members.groupBy("value").agg(F.min("rep").alias("center")), "centers")
+    pairs = scratch.keep(members.join(centers, "value").where("rep <> center").select("rep", "center").distinct(), "star-pairs")
+    ids = pairs.select(F.col("rep").alias("doc_id")).unionAll(pairs.select(F.col("center").alias("doc_id"))).distinct()
+    texts = scratch.keep(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "star-texts")
+    rows = pairs.join(texts.toDF("rep", "text"), "rep").join(texts.toDF("center", "center_text"), "center").sortWithinPartitions("center")
+    links = rows.select("rep", "center", "text", "center_text").mapInArrow(_confirmed(shingle_words, percent), "a long, b long")
+    return scratch.keep(links, "star-links"), centers
+
+
 def near_duplicates(
     docs: DataFrame, shingle_words: int = 5, percent: int = 80, coordinates: int = 32, min_matches: int | None = None, scratch: Scratch | None = None
 ) -> DataFrame:
@@ -116,7 +149,8 @@ def near_duplicates(
     usable = signed.where("set_digest is not null and doc_id is not null")
 
     # one class per set of shingles; its representative carries the signature
-    reps = usable.groupBy("set_digest").agg(F.min("doc_id").alias("rep"))
+    # (written first, so that the join has its own exchange on both sides and a set that very many share is split)
+    reps = scratch.keep(usable.groupBy("set_digest").agg(F.min("doc_id").alias("rep")), "reps")
     member = scratch.keep(signed.select("doc_id", "n_shingles", "set_digest").join(reps, "set_digest", "left"), "members")
     classes = usable.join(reps, ["set_digest"]).where("doc_id = rep").dropDuplicates(["set_digest"]).select("rep", "set_digest", "n_shingles", "sig")
     classes = scratch.keep(classes, "classes")
@@ -132,17 +166,36 @@ def near_duplicates(
     h = F.xxhash64("set_digest")
     stats = prefix.groupBy("value").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"), F.bit_xor(h).alias("h1"), F.bit_xor(F.xxhash64(h, F.lit(7))).alias("h2")).where("n > 1")
     stats = stats.groupBy("n", "weight", "h1", "h2").agg(F.min("value").alias("value"))
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("weight") / BLOCK_SHINGLES)).cast("int")
-    placed = prefix.select("set_digest", "value").join(stats.select("value", blocks.alias("blocks")), "value")
-    placed = placed.groupBy("set_digest").agg(F.collect_list("value").alias("lists"), F.collect_list(F.struct("value", "blocks", F.pmod(F.xxhash64("set_digest", "value"), "blocks").cast("int").alias("block"))).alias("places"))
+    members = scratch.keep(prefix.join(stats.select("value", "n", "weight"), "value").join(classes.select("set_digest", "rep"), "set_digest"), "listed")
+    too_long = (F.col("n") > BLOCK_ROWS) | (F.col("weight") > BLOCK_SHINGLES)
+    long_lists = members.where(too_long).select("value", "rep")
+    if long_lists.isEmpty():
+        stars = None
+        members = members.withColumns({"settled": F.col("rep"), "done": F.lit(False)})
+    else:
+        stars, centers = _stars(docs, long_lists, shingle_words, percent, scratch)
+        label = scratch.keep(components(stars, scratch), "settled")
+        named = lambda df, key, out: df.join(label.toDF(key, "_label"), key, "left").withColumn(out, F.coalesce("_label", key)).drop("_label")
+        members = named(members, "rep", "settled").join(named(centers, "center", "main"), "value", "left")
+        members = members.withColumn("done", F.coalesce(F.col("settled") == F.col("main"), F.lit(False)))
+
+    # members that are not done meet all of their list, those that are done only these
+    size = lambda which: F.ceil(F.greatest(F.sum(which.cast("int")) / BLOCK_ROWS, F.sum(F.when(which, F.col("n_shingles")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
+    blocks = members.groupBy("value").agg(size(~F.col("done")).alias("open"), size(F.col("done")).alias("shut")).where("open > 0")
+    mine = F.when(F.col("done"), F.col("open") + F.pmod(F.xxhash64("set_digest", "value"), F.greatest("shut", F.lit(1)))).otherwise(F.pmod(F.xxhash64("set_digest", "value"), F.greatest("open", F.lit(1))))
+    others = F.col("open") + F.when(F.col("done"), 0).otherwise(F.col("shut"))
+    placed = members.join(blocks, "value").groupBy("set_digest").agg(
+        F.collect_list("value").alias("lists"), F.min("settled").alias("settled"), F.collect_list(F.struct("value", others.alias("others"), mine.cast("int").alias("block"))).alias("places")
+    )
     placed = scratch.keep(placed.join(classes, "set_digest"), "placed")
 
-    texts = docs.join(placed.select(F.col("rep").alias("doc_id"), "set_digest", "lists", "places", "sig"), "doc_id")
-    tiles = texts.select(F.col("doc_id").alias("rep"), "text", "lists", "sig", F.explode("places").alias("p")).select(
-        "rep", "text", "lists", "sig", "p.value", "p.block", F.explode(F.sequence(F.lit(0), F.col("p.blocks") - 1)).alias("other")
+    texts = docs.join(placed.select(F.col("rep").alias("doc_id"), "set_digest", "lists", "settled", "places", "sig"), "doc_id")
+    tiles = texts.select(F.col("doc_id").alias("rep"), "text", "lists", "settled", "sig", F.explode("places").alias("p")).select(
+        "rep", "text", "lists", "settled", "sig", "p.value", "p.block", F.explode(F.sequence(F.lit(0), F.col("p.others") - 1)).alias("other")
     )
     tiles = tiles.withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")}).drop("other")
     edges = tiles.groupBy("value", "bi", "bj").applyInArrow(_links(shingle_words, percent, matches), "a long, b long")
+    edges = edges if stars is None else edges.unionAll(stars)
     # a doc_id that has several texts ties their classes
     ties = member.where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(edges.unionAll(ties), scratch)

@@ -50,8 +50,9 @@ def corpus(seed, n=160):
     return [*out, (2000, None), (2001, ""), (2002, " \n"), (2003, "one"), (2004, "ONE"), (2005, "one two"), (2006, "one two three"), (2007, "word " * 30_000)]
 
 
-@pytest.mark.parametrize(("k", "percent", "seed"), [(3, 85, 1), (5, 80, 2), (1, 50, 3)])
-def test_minhash(docs, k, percent, seed):
+@pytest.mark.parametrize(("k", "percent", "seed", "block"), [(3, 85, 1, 512), (5, 80, 2, 512), (1, 50, 3, 512), (3, 85, 4, 2), (2, 60, 5, 3)])
+def test_minhash(docs, monkeypatch, k, percent, seed, block):
+    monkeypatch.setattr(minhash_dedup, "BLOCK_ROWS", block)
     rows = corpus(seed)
     sets = {i: shingles(t, k) for i, t in rows}
     ids = sorted(sets)
