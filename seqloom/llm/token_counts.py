@@ -106,8 +106,6 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_dir: str, limit: in
     fresh.select(F.lit(version).alias("tokenizer"), "content", "n_bytes", "n_tokens").write.mode("append").parquet(cache_dir)
 
     counts = known().groupBy("content").agg(F.min("n_bytes").alias("n_bytes"), F.min("n_tokens").alias("n_tokens"))
+    # written, so that the join has its own exchange on both sides and a content that very many share is split
+    counts = Scratch(spark, "token-counts").keep(counts, "counts")
     return content.join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-
-
-def fresh_cache(spark: SparkSession) -> str:
-    return Scratch(spark, "token-counts").new("cache")
