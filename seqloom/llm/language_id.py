@@ -26,6 +26,8 @@ from .bpe import text_groups
 from .scratch import importable
 
 UNKNOWN = "und"
+#: Text taken at a time: a character needs some forty bytes on the way.
+GROUP_BYTES = 1 << 20
 _BITS = 21  # of a code point
 _ALPHA: list[np.ndarray] = []
 
@@ -105,7 +107,7 @@ def fit_profiles(labelled: DataFrame, profile_size: int = 300, train_docs: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, lo = batch.column(0).to_pylist(), 0
-            for texts in text_groups(batch.column(1)):
+            for texts in text_groups(batch.column(1), GROUP_BYTES):
                 parts: dict[str, list] = {}
                 for lang, x in zip(langs[lo : lo + len(texts)], ngram_counts(texts), strict=True):
                     parts.setdefault(lang, []).append(x)
@@ -129,7 +131,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], profile_size: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lo = 0
-            for texts in text_groups(batch.column(1)):
+            for texts in text_groups(batch.column(1), GROUP_BYTES):
                 found = [model.best(g, c) for g, c in ngram_counts(texts)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64()), batch.column(0).slice(lo, len(texts))], ["lang_pred", "score", "row"]
