@@ -75,8 +75,9 @@ class BitmapQueue:
 class ByteBpe:
     def __init__(self, ranks: dict[bytes, int]):
         self.token = [b""] * (max(ranks.values()) + 1)
+        self.number = [0] * len(self.token)  # one int object for each id, so that a memo of many tuples stays small
         for b, r in ranks.items():
-            self.token[r] = b
+            self.token[r], self.number[r] = b, r
         self.ranks = ranks
         self.decimal = [str(i) for i in range(len(self.token))]
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
@@ -116,7 +117,7 @@ class ByteBpe:
         self._merge(sym, ends)
         live = sym >= 0
         count = np.cumsum(live)[ends - 1]
-        ids = sym[live].tolist()
+        ids = list(map(self.number.__getitem__, sym[live].tolist()))
         lo = 0
         for i, hi in zip(todo, count.tolist(), strict=True):
             out[i] = tuple(ids[lo:hi])
