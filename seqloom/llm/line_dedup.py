@@ -1,6 +1,12 @@
-"""Removal of repeated runs of lines, by content-defined chunks.
+"""Removal of repeated runs of lines: all of them, or by content-defined chunks.
 
-A rolling hash over the hashes of the last ``window`` lines ends a chunk where its value is divisible by ``divisor`` (but
+``remove_repeated_runs`` takes every pair of adjacent lines.  A line goes if a pair that it belongs to stood before: in a
+document before, by (doc_id, text), or two lines or more further up.  So no run of two lines stays a second time, however
+it is embedded and however many documents its parts come from, and the first place of each line stays.  Pairs are told
+apart by 128-bit digests of their bytes.
+
+``remove_repeated_lines`` takes chunks, which is less: a short passage that stands elsewhere among other lines mostly
+straddles its chunks and stays.  A rolling hash over the hashes of the last ``window`` lines ends a chunk where its value is divisible by ``divisor`` (but
 not before ``min_lines`` and at the latest after ``max_lines``), so boundaries depend on the lines near them and meet
 again after an insertion.  A single line left over at the end belongs to the chunk before it.
 
@@ -9,17 +15,19 @@ the first by (doc_id, place) stays and the others are removed.  Only hashes trav
 of fixed size tells the tasks which contents can matter, and the exact join follows.
 
 Defined results: null text stays null.  Rows without id are left alone and not compared.  Rows with equal doc_id and
-equal text are one document.  Single lines are never removed, however often they occur.  Other columns are untouched.
+equal text are one document.  A line whose neighbours differ is never removed, however often it occurs.  Other columns
+are untouched.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -29,6 +37,10 @@ from .textnum import chunks, mix, segment_hash, string_buffers
 #: Bits of the bitmap of repeated hashes: a bound on what is broadcast.
 BITMAP_BITS = 1 << 22
 
+#: Pairs of lines that leave a task at a time.
+PAIR_ROWS = 1 << 16
+
+_ADDED = ("n_lines", "n_removed_lines", "n_removed_chunks")
 _Q = 0xD6E8FEB86659FD93
 
 
@@ -147,11 +159,6 @@ def remove_repeated_lines(docs: DataFrame, window: int = 2, divisor: int = 3, mi
     drop = repeated_chunks(docs, chunker, scratch)
     drop = drop.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("place", "hash")).alias("_drop"))
     drop = scratch.keep(drop, "drop")
-    added = ("n_lines", "n_removed_lines", "n_removed_chunks")
-    kept = [c for c in docs.columns if c not in added]
-    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in kept)).alias("row"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("_doc"))
-    # a merge join at every size: what has repeats grows with the corpus
-    rows = rows.join(drop.hint("merge"), "_doc", "left").select("row", "text", "_drop")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,11 +184,95 @@ def remove_repeated_lines(docs: DataFrame, window: int = 2, divisor: int = 3, mi
                     text.append(old.as_py())
                 removed_lines.append(lines)
                 removed_chunks.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string()), pa.array(removed_lines, pa.int64()), pa.array(removed_chunks, pa.int64())], ["row", "cleaned", *added[1:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string()), pa.array(removed_lines, pa.int64()), pa.array(removed_chunks, pa.int64())], ["row", "cleaned", *_ADDED[1:]])
+
+    return _cleaned(docs, drop, {"_doc": F.col("doc_id").cast("long")}, run)
+
+
+def _lines(raw: bytes) -> list[bytes]:
+    lines = raw.split(b"\n")
+    return lines if lines[-1] else lines[:-1]
+
+
+def _version() -> Column:
+    """Tells texts of equal doc_id apart."""
+    return F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit((1 << 30) - 1))
+
+
+def _pairs(docs: DataFrame) -> DataFrame:
+    """doc (a number in the order of doc_id and text), place, pair: the digests of each two adjacent lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+
+            def flush() -> pa.RecordBatch:
+                cols = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())]
+                return pa.RecordBatch.from_arrays(cols, ["doc_id", "version", "place", "pair"])
+
+            for doc_id, version, text in zip(*batch.columns, strict=True):
+                doc_id, version, lines = doc_id.as_py(), version.as_py(), _lines(text.as_py())
+                for i in range(len(lines) - 1):
+                    pair = blake2b(lines[i] + b"\n" + lines[i + 1], digest_size=16).digest()
+                    for column, value in zip(out, (doc_id, version, i, pair), strict=True):
+                        column.append(value)
+                    if len(out[0]) >= PAIR_ROWS:
+                        yield flush()
+                        out = [[], [], [], []]
+            yield flush()
+
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), _version(), F.col("text").cast("string").cast("binary"))
+    return rows.mapInArrow(run, "doc_id long, version long, place int, pair binary")
+
+
+def repeated_pairs(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """_doc, _version, place of the pairs of lines that stood before: in another document, or without overlap in their own."""
+    pairs = scratch.keep(_pairs(docs), "pairs")
+    # a decimal orders by (doc_id, version, place) and keeps the aggregation in its hash map
+    doc = F.col("doc_id").cast("decimal(19,0)") * F.lit(1 << 30).cast("decimal(10,0)") + F.col("version").cast("decimal(10,0)")
+    rank = (doc.cast("decimal(28,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("place")).cast("decimal(38,0)")
+    pairs = pairs.withColumn("rank", rank)
+    first = pairs.groupBy("pair").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("last > first + 1").drop("last")
+    first = scratch.keep(first, "first")
+    # ranks one apart are places one apart in one document, and overlap
+    return pairs.join(first.hint("merge"), "pair").where("rank > first + 1").select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), "place")
+
+
+def remove_repeated_runs(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """All rows and columns of ``docs`` with ``text`` cleaned, and n_lines, n_removed_lines, n_removed_chunks (runs) added."""
+    scratch = scratch or Scratch(docs.sparkSession, "runs")
+    drop = repeated_pairs(docs, scratch).groupBy("_doc", "_version").agg(F.collect_set("place").alias("_drop"))
+    drop = scratch.keep(drop, "drop")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, removed_lines, removed_runs = [], [], []
+            for old, cut in zip(batch.column(1), batch.column(2), strict=True):
+                old, n, runs = old.as_py(), 0, 0
+                if cut.is_valid:
+                    gone = {i + j for i in cut.as_py() for j in (0, 1)}
+                    n, runs = len(gone), sum(i - 1 not in gone for i in gone)
+                    raw = old.encode()
+                    new = b"".join(line + b"\n" for i, line in enumerate(_lines(raw)) if i not in gone)
+                    old = (new if raw.endswith(b"\n") else new[:-1]).decode()
+                text.append(old)
+                removed_lines.append(n)
+                removed_runs.append(runs)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string()), pa.array(removed_lines, pa.int64()), pa.array(removed_runs, pa.int64())], ["row", "cleaned", *_ADDED[1:]])
+
+    return _cleaned(docs, drop, {"_doc": F.col("doc_id").cast("long"), "_version": _version()}, run)
+
+
+def _cleaned(docs: DataFrame, drop: DataFrame, keys: dict[str, Column], run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``run`` over row, text and what ``drop`` has for it, with its results put in place."""
+    kept = [c for c in docs.columns if c not in _ADDED]
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in kept)).alias("row"), F.col("text").cast("string").alias("text"), *(x.alias(k) for k, x in keys.items()))
+    # a merge join at every size: what has repeats grows with the corpus
+    rows = rows.join(drop.hint("merge"), list(keys), "left").select("row", "text", "_drop")
 
-    fields = [StructField("row", rows.schema["row"].dataType), StructField("cleaned", StringType()), *(StructField(c, LongType()) for c in added[1:])]
+    fields = [StructField("row", rows.schema["row"].dataType), StructField("cleaned", StringType()), *(StructField(c, LongType()) for c in _ADDED[1:])]
     out = rows.mapInArrow(run, StructType(fields))
     before = F.col("row.text").cast("string")
     n_lines = F.when(F.coalesce(F.length(before), F.lit(0)) == 0, 0).otherwise(F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + F.when(before.endswith("\n"), 0).otherwise(1))
     columns = [F.col("cleaned").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in kept]
-    return out.select(*columns, n_lines.cast("long").alias("n_lines"), *added[1:])
+    return out.select(*columns, n_lines.cast("long").alias("n_lines"), *_ADDED[1:])

@@ -10,7 +10,7 @@ from .bpe import digests
 from .decontaminate import contaminated
 from .embedding_dedup import near_duplicate_vectors
 from .language_id import language_id
-from .line_dedup import remove_repeated_lines
+from .line_dedup import remove_repeated_runs
 from .minhash_dedup import near_duplicates
 from .scratch import Scratch
 from .token_counts import token_counts
@@ -87,7 +87,7 @@ UNION ALL SELECT * FROM short_items
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = remove_repeated_lines(_table(spark, sf_dir, "documents"))
+    cleaned = remove_repeated_runs(_table(spark, sf_dir, "documents"))
     size, digest = F.coalesce(F.octet_length("text"), F.lit(0)), F.sha2("text", 256)
     return cleaned.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", size.cast("long").alias("n_bytes_kept"), digest.alias("kept_sha256"))
 

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from seqloom.llm import decontaminate, embedding_dedup, line_dedup, minhash_dedup, textnum
+from seqloom.llm import decontaminate, embedding_dedup, line_dedup, minhash_dedup, queries, textnum
 from seqloom.llm.components import components
 from seqloom.llm.scratch import Scratch
 
@@ -142,6 +142,59 @@ def test_line_dedup(docs):
     assert line_dedup.remove_repeated_lines(docs([])).count() == 0
 
 
+def brute_runs(rows):
+    """Texts without the lines of pairs that stood before, pair by pair and without any operator's code."""
+    first, out = {}, {}
+    for d, t in sorted({(d, t) for d, t in rows if d is not None and t is not None}):
+        body, gone = t.removesuffix("\n").split("\n") if t else [], set()
+        for i in range(len(body) - 1):
+            at = first.setdefault((body[i], body[i + 1]), (d, i))
+            if at[0] != d or i >= at[1] + 2:
+                gone |= {i, i + 1}
+        left = [x for i, x in enumerate(body) if i not in gone]
+        runs = sum(i - 1 not in gone for i in gone)
+        out[d] = ("\n".join(left) + ("\n" if left and t.endswith("\n") else ""), len(body), len(gone), runs)
+    return out
+
+
+def test_every_repeated_run_goes(docs):
+    rng = random.Random(8)
+    passages = [[f"p{p} line {i} é" for i in range(rng.randint(2, 5))] for p in range(12)]
+    rows = []
+    for i in range(300):
+        body = []
+        for _ in range(rng.randint(0, 6)):
+            p = rng.choice(passages)
+            a = rng.randrange(len(p) - 1)
+            body += rng.choice([p, p[a : a + 2], [f"own {i} {rng.random()}"], ["same line"], [""]])
+        rows.append((i * 7 % 1000 - 300, "\n".join(body) + rng.choice(["", "\n", "\n\n"])))
+    rows += [(1000, None), (1001, ""), (1002, "\n"), (1003, "\n\n\n\n"), (1004, "row\n" * 70_000), (1005, "x" * 500_000), rows[3]]
+    df = docs([*rows, (None, "\n".join(passages[0]))])
+    out = line_dedup.remove_repeated_runs(df)
+    assert out.columns == [*df.columns, "n_lines", "n_removed_lines", "n_removed_chunks"]
+    found = out.collect()
+    assert len(found) == len(rows) + 1 and [r.text for r in found if r.doc_id is None] == ["\n".join(passages[0])]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed_lines, r.n_removed_chunks) for r in found if r.doc_id is not None}
+    assert got == brute_runs(rows) | {1000: (None, 0, 0, 0)}
+    assert got[1004][0] == "row\nrow\n"
+    # nothing repeated is left but what only removals brought together, and every line is still somewhere
+    assert {x for _, t in rows for x in (t or "").split("\n")} == {x for t, *_ in got.values() for x in (t or "").split("\n")} | {""}
+    assert line_dedup.remove_repeated_runs(docs([])).count() == 0
+
+
+def test_a_short_passage_among_other_lines_goes(spark, tmp_path):
+    passage = ["the first line of the passage", "its second line"]
+    rows = [(i, "\n".join([*(f"before {i} {j}" for j in range(i % 5)), *passage, *(f"after {i} {j}" for j in range(i % 3))]), "en", "s", 0) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_removed_lines for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: 2 if i else 0 for i in range(60)}
+
+
+def test_equal_ids_with_other_texts_are_other_documents(docs):
+    got = sorted(r.text for r in line_dedup.remove_repeated_runs(docs([(1, "a\nb\nc"), (1, "x\na\nb"), (1, "a\nb\nc")])).collect())
+    assert got in (["a\nb\nc", "a\nb\nc", "x"], ["c", "c", "x\na\nb"])
+
+
 def test_line_boundaries_resist_shifts():
     lines = [f"line {i} of a long passage" for i in range(60)]
     texts = ["\n".join(["new 1", "new 2", "new 3", *lines]), "\n".join(lines)]
