@@ -13,16 +13,15 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.bpe import digests
 from seqloom.llm.decontaminate import contaminated
-from seqloom.llm.language_id import UNKNOWN, fit_profiles, identify
+from seqloom.llm.language_id import in_a_language
 from seqloom.llm.line_dedup import remove_repeated_lines
 from seqloom.llm.minhash_dedup import near_duplicates
-from seqloom.llm.scratch import Scratch, importable
+from seqloom.llm.scratch import Scratch
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language (null text, text without a letter) go.  Profiles come from the labelled rows."""
-    importable(spark)
-    return identify(docs, fit_profiles(docs)).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    """Documents in no language go: null text, text without a letter, text unlike all languages of the labelled rows."""
+    return in_a_language(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

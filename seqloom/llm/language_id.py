@@ -26,6 +26,8 @@ from .bpe import text_groups
 from .scratch import importable
 
 UNKNOWN = "und"
+#: Below this a text is in none of the languages: other scripts have 0, held-out documents of sf0.1 0.45 at least.
+LEAST_SCORE = 0.25
 #: Text taken at a time: a character needs some forty bytes on the way.
 GROUP_BYTES = 1 << 20
 _BITS = 21  # of a code point
@@ -144,6 +146,32 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], profile_size: int
     return out.select("lang_pred", "score", "row.*")
 
 
+def _with_letter(docs: DataFrame) -> DataFrame:
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([any(map(str.isalpha, t.as_py() or "")) for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def in_a_language(docs: DataFrame, profile_size: int = 300, train_docs: int = 2000, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows whose text has a letter and is like one of the languages of the labelled rows: a score of ``least`` or more.
+
+    Texts are not rejected by what was not learned: letters alone count where no row is labelled or the labelled rows of
+    a language do not fill its profile.
+    """
+    importable(docs.sparkSession)
+    profiles = fit_profiles(docs, profile_size, train_docs)
+    if not profiles:
+        return _with_letter(docs)
+    judged = identify(docs, profiles, profile_size).where(F.col("lang_pred") != UNKNOWN)
+    if all(len(p) >= profile_size for p in profiles.values()):
+        judged = judged.where(F.col("score") >= least)
+    return judged.select(*docs.columns)
+
+
 def language_id(docs: DataFrame, profile_size: int = 300, train_docs: int = 2000) -> DataFrame:
     """doc_id, held_out, lang_pred, score: profiles are learned from the rows that are not held out."""
     profiles = fit_profiles(docs.where(~held_out()), profile_size, train_docs)

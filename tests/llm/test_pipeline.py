@@ -61,3 +61,23 @@ def test_stages(spark):
 def test_run(spark):
     got = corpus_pipeline.run(spark, DIR)
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] and got.count() > 100
+
+
+def languages(spark, rows):
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    return {r.text for r in corpus_pipeline.language_id(spark, docs, DIR).collect()}
+
+
+def test_unlabelled_texts_are_kept(spark):
+    texts = ["Some words.", "привет", "12 3", "", None, "x"]
+    assert languages(spark, [(t, None) for t in texts]) == {"Some words.", "привет", "x"}
+    # one labelled line is too little to reject anything
+    assert languages(spark, [*((t, None) for t in texts), ("A b c.", "en")]) == {"Some words.", "привет", "x", "A b c."}
+
+
+def test_texts_in_no_known_language_go(spark):
+    clean = [(r.text, r.lang) for r in spark.read.parquet(f"{DIR}/documents.parquet").where("lang is not null and text rlike '[a-z]'").collect()]
+    assert len(clean) > 100
+    unlabelled = [(t, None if i % 5 == 0 else lang) for i, (t, lang) in enumerate(clean)]
+    odd = [("привет мир как дела", None), ("你好世界今天天气很好", None), ("qzx xkcd vbnm wrtp qqq zzzz xkj", None)]
+    assert languages(spark, unlabelled + odd) == {t for t, _ in clean}
