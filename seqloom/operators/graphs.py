@@ -36,22 +36,29 @@ def subgraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(at.select("graph_id", F.col("node").alias("dst"), F.col("new").alias("new_dst")), ["graph_id", "dst"]).select("graph_id", "src", "dst", "new_src", "new_dst")
 
 
-def topological_layers(edges: DataFrame, most: int = 10_000) -> DataFrame:
+def topological_layers(edges: DataFrame) -> DataFrame:
     """(graph_id, node, layer): nodes without predecessors are layer 0 and go first; those on or behind cycles get -1.
 
-    Loops are ignored.  Every round is a distributed step over what is left.
+    Loops are ignored.  A step (node, pred, n) says that the longest way from pred to node has n edges; pred is null for
+    the start of all nodes without predecessors.  A pred with one step itself is replaced by the pred of that step, and of
+    steps between the same nodes the longest stays.  So chains, trees and chains of bubbles take rounds by the logarithm of
+    their depth, others at most one for each layer, and only nodes on or behind cycles never come down to the start alone.
     """
-    left = staged(edges.where("src <> dst").select("graph_id", "src", "dst").distinct(), "layer")
     nodes = edges.select("graph_id", F.col("src").alias("node")).unionAll(edges.select("graph_id", F.col("dst").alias("node"))).distinct()
-    rest, out, layer = staged(nodes, "layer"), None, 0
-    while layer < most and not rest.isEmpty():
-        free = staged(rest.join(left.select("graph_id", F.col("dst").alias("node")).distinct(), ["graph_id", "node"], "left_anti"), "layer")
-        if free.isEmpty():
-            break
-        done = free.withColumn("layer", F.lit(layer).cast("long"))
-        out = done if out is None else out.unionByName(done)
-        rest = staged(rest.join(free, ["graph_id", "node"], "left_anti"), "layer")
-        left = staged(left.join(free.withColumnRenamed("node", "src"), ["graph_id", "src"], "left_anti"), "layer")
-        layer += 1
-    cyclic = rest.withColumn("layer", F.lit(-1).cast("long"))
-    return cyclic if out is None else out.unionByName(cyclic)
+    steps = edges.where("graph_id is not null and src <> dst").select("graph_id", F.col("dst").alias("node"), F.col("src").alias("pred"), F.lit(1).cast("long").alias("n")).distinct()
+    starts = nodes.join(steps.select("graph_id", "node").distinct(), ["graph_id", "node"], "left_anti")
+    steps = staged(steps.unionByName(starts.select("graph_id", "node", F.lit(None).cast(steps.schema["pred"].dataType).alias("pred"), F.lit(0).cast("long").alias("n"))), "layer")
+    most, moved = nodes.count(), True  # a way of so many edges runs through a cycle: its step stays as it is
+    while moved:
+        single = steps.groupBy("graph_id", "node").agg(F.count("*").alias("_k"), F.first("pred").alias("_pred"), F.first("n").alias("_n")).where("_k = 1")
+        single = single.select("graph_id", F.col("node").alias("pred"), "_pred", "_n")
+        open_ = f"pred is not null and n < {most}"
+        after = steps.where(open_).join(single, ["graph_id", "pred"], "left")
+        known = F.col("_n").isNotNull()
+        after = after.select("graph_id", "node", F.when(known, F.col("_pred")).otherwise(F.col("pred")).alias("pred"), F.when(known, F.col("n") + F.col("_n")).otherwise(F.col("n")).alias("n"), known.alias("moved"))
+        after = after.unionByName(steps.where(f"not ({open_})").select("graph_id", "node", "pred", "n", F.lit(False).alias("moved")))
+        after = staged(after.groupBy("graph_id", "node", "pred").agg(F.max("n").alias("n"), F.max("moved").alias("moved")), "layer")
+        moved = not after.where("moved").isEmpty()
+        steps = after.drop("moved")
+    only_start = (F.count("*") == 1) & (F.count("pred") == 0)
+    return steps.groupBy("graph_id", "node").agg(F.when(only_start, F.max("n")).otherwise(F.lit(-1)).cast("long").alias("layer"))

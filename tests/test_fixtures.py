@@ -1,6 +1,7 @@
 """Small cases worked out by hand."""
 
 import gzip
+import random
 import struct
 
 import pytest
@@ -427,3 +428,35 @@ def test_log_sums(spark):
     got = {r.g: r.log10_sum for r in tables.log10_total(df, ["g"], "p").collect()}
     assert got["a"] == pytest.approx(-400 + 0.30103, abs=1e-5) and got["b"] == -1
     assert tables.log10_total(df, [], "p").first().log10_sum == pytest.approx(-1)
+
+
+def test_layers_of_deep_and_odd_graphs(spark):
+    deep = [(0, i, i + 1) for i in range(10_100)]
+    bubbles = [(1, a, b) for i in range(0, 300, 3) for a, b in ((i, i + 1), (i, i + 2), (i + 1, i + 3), (i + 2, i + 3), (i, i + 3))]
+    cycles = [(2, 1, 2), (2, 2, 3), (2, 3, 1), (2, 3, 4), (2, 5, 4), (2, 5, 6), (2, 7, 7), (3, 0, 1), (3, 1, 2), (3, 2, 1), (3, 8, 9)]
+    rng = random.Random(6)
+    dense = [(4, a, b) for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(90)) if a < b or rng.random() < 0.02]
+    rows = deep + bubbles + cycles + dense
+    want, before = {}, {}
+    for g, a, b in rows:
+        before.setdefault((g, a), set())
+        before.setdefault((g, b), set()).update({(g, a)} - {(g, b)})
+    free = [x for x, p in before.items() if not p]
+    after = {}
+    for x, p in before.items():
+        for y in p:
+            after.setdefault(y, []).append(x)
+    layer = 0
+    while free:
+        want |= dict.fromkeys(free, layer)
+        ready = []
+        for y in free:
+            for x in after.get(y, []):
+                before[x].discard(y)
+                if not before[x]:
+                    ready.append(x)
+        free, layer = ready, layer + 1
+    want = dict.fromkeys(before, -1) | want
+    got = graphs.topological_layers(spark.createDataFrame(rows, "graph_id long, src long, dst long")).collect()
+    assert len(got) == len(want) and {(r.graph_id, r.node): r.layer for r in got} == want
+    assert want[0, 10_100] == 10_100 and want[1, 300] == 200 and want[2, 4] == want[3, 2] == -1
