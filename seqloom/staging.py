@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -11,8 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of this machine where the setting is missing (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "seqloom-shared")
+    """``spark.checkpoint.dir``, or where that is missing and all tasks run in this process, a folder of this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
+    return named or os.path.join(tempfile.gettempdir(), "seqloom-shared")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
