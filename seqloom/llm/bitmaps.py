@@ -1,0 +1,42 @@
+"""Bitmaps of hashes, of bounded size, that let tasks leave out most of what an exact join would drop later.
+
+A bit may stand for several hashes, so a hit means "maybe" and a join always follows; a miss is certain.  With ever more
+hashes all bits are set, and the join alone decides: results never depend on the size.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Bits of the smallest and of the largest bitmap: 4 MB are the most that is broadcast.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 25
+
+
+def bitmap(table: DataFrame, column: str) -> np.ndarray:
+    """The bitmap of a long column of a written table, about eight bits for each row."""
+    size = min(max(1 << (8 * table.count()).bit_length(), LEAST_BITS), MOST_BITS)
+    low = F.col(column).bitwiseAND(F.lit(size - 1))
+    bit = F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))")
+    words = table.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def held(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes may be in the bitmap."""
+    at = hashes.view(np.uint64) & np.uint64(64 * len(bits) - 1)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def maybe_in(bits: np.ndarray, hashes: Column) -> Column:
+    """``held`` as a column expression; only the hashes leave the JVM."""
+
+    @F.pandas_udf("boolean")
+    def run(hashes: pd.Series) -> pd.Series:
+        return pd.Series(held(bits, hashes.to_numpy(np.int64)))
+
+    return run(hashes)

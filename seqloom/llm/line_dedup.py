@@ -1,278 +1,170 @@
-"""Removal of repeated runs of lines: all of them, or by content-defined chunks.
-
-``remove_repeated_runs`` takes every pair of adjacent lines.  A line goes if a pair that it belongs to stood before: in a
-document before, by (doc_id, text), or two lines or more further up.  So no run of two lines stays a second time, however
-it is embedded and however many documents its parts come from, and the first place of each line stays.  Pairs are told
-apart by 128-bit digests of their bytes.
-
-``remove_repeated_lines`` takes chunks, which is less: a short passage that stands elsewhere among other lines mostly
-straddles its chunks and stays.  A rolling hash over the hashes of the last ``window`` lines ends a chunk where its value is divisible by ``divisor`` (but
-not before ``min_lines`` and at the latest after ``max_lines``), so boundaries depend on the lines near them and meet
-again after an insertion.  A single line left over at the end belongs to the chunk before it.
-
-Chunks of two lines and more whose hash occurs more than once in the corpus are compared byte by byte; of equal ones
-the first by (doc_id, place) stays and the others are removed.  Only hashes travel for chunks that occur once: a bitmap
-of fixed size tells the tasks which contents can matter, and the exact join follows.
-
-Defined results: null text stays null.  Rows without id are left alone and not compared.  Rows with equal doc_id and
-equal text are one document.  A line whose neighbours differ is never removed, however often it occurs.  Other columns
-are untouched.
+"""Removal of repeated lines by content-defined chunks.
+
+A rolling hash over the hashes of two adjacent lines stands for the place between them.  The corpus says where chunks
+end: a chunk goes on from one place to the next only if everywhere in the corpus the first one's hash is followed by the
+second's and the second's preceded by the first's; the start and the end of a text count as neighbours of their own.  So
+a boundary depends on nothing but the lines next to it, an insertion above moves none, and a passage starts and ends
+chunks wherever other lines, or a part of it alone, surround it elsewhere.  Neighbouring chunks share the line at their
+boundary, and every occurrence of a place lies in a whole occurrence of its chunk: no repeat of two lines or more is cut.
+
+Chunks (two lines at least) whose hash occurs more than once are compared byte by byte; of equal ones the first by
+(doc_id, text, place) stays and the lines of the others go.  So the first place of every line stays, and no run of two
+lines that stood before is left but where removals brought lines together.  Only hashes travel for what occurs once: a
+bitmap of bounded size tells the tasks which lines can matter, and the exact joins follow.
+
+Defined results: null and empty texts stay as they are.  Rows without id are left alone and not compared.  Rows with
+equal doc_id and equal text are one document; rows with equal doc_id and other texts are other documents.  Of chunks that
+overlap their own first occurrence (three equal lines) the first stays whole.  A single line whose neighbours differ is
+never removed, however often it occurs.  An empty table gives an empty one.  Texts are whole at any length.  Input
+columns named like the three that are added are replaced; other columns, whatever their names, are untouched.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from hashlib import blake2b
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .scratch import Scratch
+from .bitmaps import bitmap, held
+from .scratch import Scratch, quoted
 from .textnum import chunks, mix, segment_hash, string_buffers
 
-#: Bits of the bitmap of repeated hashes: a bound on what is broadcast.
-BITMAP_BITS = 1 << 22
-
-#: Pairs of lines that leave a task at a time.
-PAIR_ROWS = 1 << 16
-
-_ADDED = ("n_lines", "n_removed_lines", "n_removed_chunks")
-_Q = 0xD6E8FEB86659FD93
-
-
-class Chunker:
-    def __init__(self, window: int = 2, divisor: int = 3, min_lines: int = 2, max_lines: int = 32):
-        self.window, self.divisor, self.min_lines, self.max_lines = window, divisor, min_lines, max_lines
-
-    def rows(self, column: pa.Array) -> Iterator[tuple[list[tuple[int, int, int, int, int]], bytes]]:
-        """For each row its chunks (number, lines, first byte, last byte + 1, hash), single lines included, and its bytes."""
-        data, offsets = string_buffers(column)
-        for lo, hi in chunks(offsets):
-            part, off = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-            # a line is its bytes with the line end; the last one of a text may lack it
-            solid = off[1:][np.diff(off) > 0]
-            ends = np.unique(np.concatenate([np.flatnonzero(part == 10) + 1, solid]))
-            starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-            bare = ends - (part[ends - 1] == 10) if len(ends) else ends
-            h = segment_hash(part, starts, bare)
-            roll, factor = h.copy(), 1
-            first = np.searchsorted(starts, off[:-1])
-            last = np.searchsorted(starts, off[1:])
-            row_start = np.repeat(first, last - first)
-            place = np.arange(len(h)) - row_start
-            for j in range(1, self.window):
-                factor = factor * _Q % (1 << 64)
-                roll[j:] += np.where(place[j:] >= j, h[:-j], 0).astype(np.uint64) * np.uint64(factor)
-            cut = (mix(roll) % np.uint64(self.divisor) == 0).tolist()
-            spans = []
-            for a, b in zip(first.tolist(), last.tolist(), strict=True):
-                own, begin = [], a
-                for i in range(a, b):
-                    n = i + 1 - begin
-                    if n >= self.min_lines and (cut[i] or n >= self.max_lines):
-                        own.append((begin, i + 1))
-                        begin = i + 1
-                if begin < b:
-                    if b - begin < self.min_lines and own:
-                        own[-1] = (own[-1][0], b)
-                    else:
-                        own.append((begin, b))
-                spans.append(own)
-            flat = [s for own in spans for s in own]
-            lo_b = starts[[s for s, _ in flat]] if flat else starts[:0]
-            hi_b = ends[[e - 1 for _, e in flat]] if flat else starts[:0]
-            stripped = bare[[e - 1 for _, e in flat]] if flat else starts[:0]
-            hashes = segment_hash(part, lo_b, stripped).view(np.int64).tolist()
-            at = iter(zip(lo_b.tolist(), hi_b.tolist(), hashes, strict=True))
-            for own, x, y in zip(spans, off[:-1].tolist(), off[1:].tolist(), strict=True):
-                found = []
-                for k, (s, e) in enumerate(own):
-                    p, q, v = next(at)
-                    found.append((k, e - s, p - x, q - x, v))
-                yield found, part[x:y].tobytes()
-
-
-def _chunk_table(docs: DataFrame, chunker: Chunker, bitmap: np.ndarray | None) -> DataFrame:
-    """doc_id, place, hash of multi-line chunks; with a bitmap also the content of those whose hash is in it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            out: list[list] = [[], [], [], []]
-            size = 0
-
-            def flush() -> pa.RecordBatch:
-                cols = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64())]
-                return pa.RecordBatch.from_arrays([*cols, pa.array(out[3], pa.binary())], ["doc_id", "place", "hash", "content"])
-
-            for doc_id, (found, text) in zip(ids, chunker.rows(batch.column(1)), strict=True):
-                for k, lines, lo, hi, h in found:
-                    if lines < 2:
-                        continue
-                    if bitmap is not None:
-                        bit = h % BITMAP_BITS
-                        if not bitmap[bit >> 3] >> (bit & 7) & 1:
-                            continue
-                    content = None if bitmap is None else text[lo:hi].removesuffix(b"\n")
-                    for column, value in zip(out, (doc_id, k, h, content), strict=True):
-                        column.append(value)
-                    size += len(content or b"")
-                if size > 4 << 20:
-                    yield flush()
-                    out, size = [[], [], [], []], 0
-            yield flush()
-
-    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, place int, hash long, content binary")
-
-
-def _bitmap(hashes: DataFrame) -> np.ndarray:
-    bit = F.pmod(F.col("hash"), F.lit(BITMAP_BITS))
-    words = hashes.groupBy((bit / 32).cast("long").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(hash, {BITMAP_BITS}) % 32 as int))")).alias("bits")).toPandas()
-    out = np.zeros(BITMAP_BITS // 32, np.uint32)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
-    return out.view(np.uint8)
-
-
-def repeated_chunks(docs: DataFrame, chunker: Chunker, scratch: Scratch) -> DataFrame:
-    """doc_id, place, hash of the chunks to remove: equal, byte by byte, to one that stands before them."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = _chunk_table(docs, chunker, None).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
-    repeated = scratch.keep(counts.select("hash"), "hashes")
-    contents = _chunk_table(docs, chunker, _bitmap(repeated)).join(repeated.hint("merge"), "hash")
-    contents = scratch.keep(contents, "contents")
-    # a decimal orders by (doc_id, place) and keeps the aggregation in its hash map
-    rank = F.col("doc_id").cast("decimal(28,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("place")
-    contents = contents.withColumn("rank", rank.cast("decimal(38,0)"))
-    first = contents.groupBy("hash", "content").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first <> last").drop("last")
-    first = scratch.keep(first, "first")
-    return contents.join(first.hint("merge"), ["hash", "content"]).where("rank <> first").select("doc_id", "place", "hash").distinct()
+ADDED = ("n_lines", "n_removed_lines", "n_removed_chunks")
+_Q = np.uint64(0xD6E8FEB86659FD93)
+#: Bytes of lines that leave a task at a time.
+_FLUSH = 4 << 20
+_DOC = ("doc_id", "version")
+
+
+def places(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]]:
+    """Row (within the column), place, first and last hash around it, own hash, and the slices of its two lines.
+
+    Yields for some rows at a time (row, place, hashes of the place before, here and after, line bounds), and the bytes.
+    Hashes are 0 outside a text.
+    """
+    data, offsets = string_buffers(column)
+    for lo, hi in chunks(offsets):
+        part, off = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        # a line is its bytes with the line end; the last one of a text may lack it
+        ends = np.unique(np.concatenate([np.flatnonzero(part == 10) + 1, off[1:][np.diff(off) > 0]]))
+        if len(ends) < 2:
+            continue
+        starts = np.concatenate([[0], ends[:-1]])
+        bare = ends - (part[ends - 1] == 10)
+        row = np.searchsorted(off, starts, side="right") - 1
+        first = np.searchsorted(starts, off[:-1])
+        h = segment_hash(part, starts, bare)
+        both = row[:-1] == row[1:]
+        roll = np.where(both, mix(h[:-1] * _Q + h[1:]), np.uint64(0))
+        before, after = np.concatenate([[np.uint64(0)], roll[:-1]]), np.concatenate([roll[1:], [np.uint64(0)]])
+        at = np.flatnonzero(both)
+        bounds = np.stack([starts[at], bare[at], starts[at + 1], bare[at + 1]], axis=1)
+        hashes = np.stack([before[at], roll[at], after[at]], axis=1).view(np.int64)
+        yield row[at] + lo, at - first[row[at]], hashes, bounds, part
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    rows = docs.where("doc_id is not null and text is not null")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), _version(text).alias("version"), text.alias("text"))
+
+
+def _version(text: Column) -> Column:
+    """Tells texts of equal doc_id apart."""
+    return F.xxhash64(text).bitwiseAND(F.lit((1 << 30) - 1))
 
 
-def remove_repeated_lines(docs: DataFrame, window: int = 2, divisor: int = 3, min_lines: int = 2, max_lines: int = 32, scratch: Scratch | None = None) -> DataFrame:
-    """All rows and columns of ``docs`` with ``text`` cleaned, and n_lines, n_removed_lines, n_removed_chunks added."""
-    scratch = scratch or Scratch(docs.sparkSession, "lines")
-    chunker = Chunker(window, divisor, min_lines, max_lines)
-    drop = repeated_chunks(docs, chunker, scratch)
-    drop = drop.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("place", "hash")).alias("_drop"))
-    drop = scratch.keep(drop, "drop")
+def _hashes(docs: DataFrame) -> DataFrame:
+    """before, hash, after of every place between two lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # the chunks of untouched texts need not be found again
-            touched = batch.column(2).is_valid()
-            found = chunker.rows(pc.if_else(touched, batch.column(1), ""))
-            text, removed_lines, removed_chunks = [], [], []
-            for old, cut, (spans, raw) in zip(batch.column(1), batch.column(2).to_pylist(), found, strict=True):
-                lines = n = 0
-                if cut:
-                    cut = {(x["place"], x["hash"]) for x in cut}
-                    parts = []
-                    for k, count, lo, hi, h in spans:
-                        if (k, h) in cut:
-                            lines, n = lines + count, n + 1
-                        else:
-                            parts.append(raw[lo:hi])
-                    new = b"".join(parts)
-                    if n and new.endswith(b"\n") and not raw.endswith(b"\n"):
-                        new = new[:-1]
-                    text.append(new.decode())
-                else:
-                    text.append(old.as_py())
-                removed_lines.append(lines)
-                removed_chunks.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string()), pa.array(removed_lines, pa.int64()), pa.array(removed_chunks, pa.int64())], ["row", "cleaned", *_ADDED[1:]])
-
-    return _cleaned(docs, drop, {"_doc": F.col("doc_id").cast("long")}, run)
-
-
-def _lines(raw: bytes) -> list[bytes]:
-    lines = raw.split(b"\n")
-    return lines if lines[-1] else lines[:-1]
-
-
-def _version() -> Column:
-    """Tells texts of equal doc_id apart."""
-    return F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit((1 << 30) - 1))
+            for _, _, hashes, _, _ in places(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[:, i]) for i in range(3)], ["before", "hash", "after"])
+
+    return docs.select("text").mapInArrow(run, "before long, hash long, after long")
 
 
-def _pairs(docs: DataFrame) -> DataFrame:
-    """doc (a number in the order of doc_id and text), place, pair: the digests of each two adjacent lines."""
+def _marked(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """doc_id, version, place, hash and both lines of the places whose hash the bitmap holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-
-            def flush() -> pa.RecordBatch:
-                cols = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())]
-                return pa.RecordBatch.from_arrays(cols, ["doc_id", "version", "place", "pair"])
-
-            for doc_id, version, text in zip(*batch.columns, strict=True):
-                doc_id, version, lines = doc_id.as_py(), version.as_py(), _lines(text.as_py())
-                for i in range(len(lines) - 1):
-                    pair = blake2b(lines[i] + b"\n" + lines[i + 1], digest_size=16).digest()
-                    for column, value in zip(out, (doc_id, version, i, pair), strict=True):
-                        column.append(value)
-                    if len(out[0]) >= PAIR_ROWS:
-                        yield flush()
-                        out = [[], [], [], []]
-            yield flush()
-
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), _version(), F.col("text").cast("string").cast("binary"))
-    return rows.mapInArrow(run, "doc_id long, version long, place int, pair binary")
-
-
-def repeated_pairs(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """_doc, _version, place of the pairs of lines that stood before: in another document, or without overlap in their own."""
-    pairs = scratch.keep(_pairs(docs), "pairs")
+            for row, place, hashes, bounds, part in places(batch.column(2)):
+                hit = np.flatnonzero(held(bits, hashes[:, 1]))
+                size = np.cumsum(bounds[hit, 3] - bounds[hit, 0]) // _FLUSH
+                for some in np.split(hit, np.flatnonzero(np.diff(size)) + 1) if len(hit) else ():
+                    lines = [[part[a:b].tobytes() for a, b in bounds[some, i : i + 2].tolist()] for i in (0, 2)]
+                    ids = [batch.column(i).take(pa.array(row[some])) for i in (0, 1)]
+                    text = [pa.array(x, pa.binary()).view(pa.string()) for x in lines]
+                    yield pa.RecordBatch.from_arrays([*ids, pa.array(place[some].astype(np.int32)), pa.array(hashes[some, 1]), *text], ["doc_id", "version", "place", "hash", "line", "below"])
+
+    return docs.select(*_DOC, "text").mapInArrow(run, "doc_id long, version long, place int, hash long, line string, below string")
+
+
+def _chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, version, place, lines, content of every chunk whose places all occur more than once in the corpus."""
+    counts = _hashes(docs).groupBy("hash").agg(F.count("*").alias("n"), *(f(c).alias(f"{c}_{f.__name__}") for c in ("before", "after") for f in (F.min, F.max)))
+    same = lambda c: F.col(f"{c}_min") == F.col(f"{c}_max")
+    one = lambda c: F.when(same(c), F.col(f"{c}_min")).alias(c)
+    repeated = scratch.keep(counts.where("n > 1").select("hash", one("before"), one("after")), "hashes")
+    marked = _marked(docs, bitmap(repeated, "hash")).join(repeated.hint("merge"), "hash")
+    # a place goes on the chunk of the one above if each is the other's only neighbour
+    above = Window.partitionBy(*_DOC).orderBy("place")
+    last = lambda c: F.lag(c).over(above)
+    goes_on = (last("place") == F.col("place")) | ((last("place") == F.col("place") - 1) & (last("after") == F.col("hash")) & (last("hash") == F.col("before")))
+    start = F.last(F.when(~F.coalesce(goes_on, F.lit(False)), F.col("place")), ignorenulls=True).over(above.rowsBetween(Window.unboundedPreceding, 0))
+    rows = marked.withColumn("start", start).groupBy(*_DOC, "start").agg(F.max("place").alias("last"), F.max_by("below", "place").alias("below"), F.array_sort(F.collect_set(F.struct("place", "line"))).alias("above"))
+    content = F.concat_ws("\n", F.transform("above", lambda x: x["line"]), F.col("below"))
+    return rows.select(*_DOC, F.col("start").alias("place"), (F.col("last") - F.col("start") + 2).alias("lines"), content.alias("content"))
+
+
+def repeated_chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, version, place, lines of the chunks to remove: equal, byte by byte, to one that stands before them."""
+    found = scratch.keep(_chunks(_texts(docs), scratch).withColumn("digest", F.xxhash64("content")), "chunks")
     # a decimal orders by (doc_id, version, place) and keeps the aggregation in its hash map
     doc = F.col("doc_id").cast("decimal(19,0)") * F.lit(1 << 30).cast("decimal(10,0)") + F.col("version").cast("decimal(10,0)")
     rank = (doc.cast("decimal(28,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("place")).cast("decimal(38,0)")
-    pairs = pairs.withColumn("rank", rank)
-    first = pairs.groupBy("pair").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("last > first + 1").drop("last")
+    found = found.withColumn("rank", rank)
+    first = found.groupBy("digest", "content").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("last > first + 1").drop("last")
     first = scratch.keep(first, "first")
     # ranks one apart are places one apart in one document, and overlap
-    return pairs.join(first.hint("merge"), "pair").where("rank > first + 1").select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), "place")
+    return found.join(first.hint("merge"), ["digest", "content"]).where("rank > first + 1").select(*_DOC, "place", "lines").distinct()
 
 
-def remove_repeated_runs(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """All rows and columns of ``docs`` with ``text`` cleaned, and n_lines, n_removed_lines, n_removed_chunks (runs) added."""
-    scratch = scratch or Scratch(docs.sparkSession, "runs")
-    drop = repeated_pairs(docs, scratch).groupBy("_doc", "_version").agg(F.collect_set("place").alias("_drop"))
+def remove_repeated_lines(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """All rows and columns of ``docs`` with ``text`` cleaned, and n_lines, n_removed_lines, n_removed_chunks added.
+
+    The last counts runs of removed lines: chunks that share a line count as one.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "lines")
+    drop = repeated_chunks(docs, scratch).groupBy(*(F.col(c).alias(f"_{c}") for c in _DOC)).agg(F.collect_list(F.struct("place", "lines")).alias("_drop"))
     drop = scratch.keep(drop, "drop")
+    kept = [c for c in docs.columns if c not in ADDED and c != "text"]
+    text = F.col("text").cast("string")
+    rows = docs.select(F.struct(*(quoted(c) for c in kept)).alias("row"), text.alias("text"), F.col("doc_id").cast("long").alias("_doc_id"), _version(text).alias("_version"))
+    # a merge join at every size: what has repeats grows with the corpus
+    rows = rows.join(drop.hint("merge"), ["_doc_id", "_version"], "left").select("row", "text", "_drop")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, removed_lines, removed_runs = [], [], []
+            out, total, removed_lines, removed_runs = [], [], [], []
             for old, cut in zip(batch.column(1), batch.column(2), strict=True):
                 old, n, runs = old.as_py(), 0, 0
+                lines = (old or "").count("\n") + bool(old and not old.endswith("\n"))
                 if cut.is_valid:
-                    gone = {i + j for i in cut.as_py() for j in (0, 1)}
+                    gone = {i for x in cut.as_py() for i in range(x["place"], x["place"] + x["lines"])}
                     n, runs = len(gone), sum(i - 1 not in gone for i in gone)
-                    raw = old.encode()
-                    new = b"".join(line + b"\n" for i, line in enumerate(_lines(raw)) if i not in gone)
-                    old = (new if raw.endswith(b"\n") else new[:-1]).decode()
-                text.append(old)
-                removed_lines.append(n)
-                removed_runs.append(runs)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string()), pa.array(removed_lines, pa.int64()), pa.array(removed_runs, pa.int64())], ["row", "cleaned", *_ADDED[1:]])
-
-    return _cleaned(docs, drop, {"_doc": F.col("doc_id").cast("long"), "_version": _version()}, run)
-
-
-def _cleaned(docs: DataFrame, drop: DataFrame, keys: dict[str, Column], run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """``run`` over row, text and what ``drop`` has for it, with its results put in place."""
-    kept = [c for c in docs.columns if c not in _ADDED]
-    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in kept)).alias("row"), F.col("text").cast("string").alias("text"), *(x.alias(k) for k, x in keys.items()))
-    # a merge join at every size: what has repeats grows with the corpus
-    rows = rows.join(drop.hint("merge"), list(keys), "left").select("row", "text", "_drop")
+                    new = "".join(line + "\n" for i, line in enumerate(old.removesuffix("\n").split("\n")) if i not in gone)
+                    old = new if old.endswith("\n") else new[:-1]
+                for column, value in zip((out, total, removed_lines, removed_runs), (old, lines, n, runs), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), *(pa.array(x, pa.int64()) for x in (total, removed_lines, removed_runs))], ["row", "text", *ADDED])
 
-    fields = [StructField("row", rows.schema["row"].dataType), StructField("cleaned", StringType()), *(StructField(c, LongType()) for c in _ADDED[1:])]
+    fields = [StructField("row", rows.schema["row"].dataType), StructField("text", StringType()), *(StructField(c, LongType()) for c in ADDED)]
     out = rows.mapInArrow(run, StructType(fields))
-    before = F.col("row.text").cast("string")
-    n_lines = F.when(F.coalesce(F.length(before), F.lit(0)) == 0, 0).otherwise(F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + F.when(before.endswith("\n"), 0).otherwise(1))
-    columns = [F.col("cleaned").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in kept]
-    return out.select(*columns, n_lines.cast("long").alias("n_lines"), *_ADDED[1:])
+    return out.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in ADDED), *ADDED)

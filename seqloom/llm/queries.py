@@ -10,7 +10,7 @@ from .bpe import digests
 from .decontaminate import contaminated
 from .embedding_dedup import near_duplicate_vectors
 from .language_id import language_id
-from .line_dedup import remove_repeated_runs
+from .line_dedup import remove_repeated_lines
 from .minhash_dedup import near_duplicates
 from .scratch import Scratch
 from .token_counts import token_counts
@@ -87,11 +87,35 @@ UNION ALL SELECT * FROM short_items
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = remove_repeated_runs(_table(spark, sf_dir, "documents"))
+    cleaned = remove_repeated_lines(_table(spark, sf_dir, "documents"))
     size, digest = F.coalesce(F.octet_length("text"), F.lit(0)), F.sha2("text", 256)
     return cleaned.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", size.cast("long").alias("n_bytes_kept"), digest.alias("kept_sha256"))
 
 
+OP7_SQL = """
+WITH t AS (
+  SELECT doc_id, text, CASE WHEN text <> '' THEN string_split(CASE WHEN suffix(text, chr(10)) THEN substr(text, 1, length(text) - 1) ELSE text END, chr(10)) ELSE [] END AS l
+  FROM documents),
+lines AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM t),
+pairs AS (SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS below FROM lines),
+placed AS (
+  SELECT doc_id, i, first_value(doc_id) OVER w AS first_doc, first_value(i) OVER w AS first_i
+  FROM pairs WHERE below IS NOT NULL WINDOW w AS (PARTITION BY line, below ORDER BY doc_id, i)),
+again AS (SELECT doc_id, i FROM placed WHERE first_doc <> doc_id OR i >= first_i + 2),
+gone AS (SELECT doc_id, i FROM again UNION SELECT doc_id, i + 1 FROM again),
+runs AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE NOT follows) AS runs FROM (
+  SELECT doc_id, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) = i - 1, false) AS follows FROM gone) GROUP BY doc_id),
+rest AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS kept FROM lines ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+cleaned AS (
+  SELECT t.doc_id, len(l) AS n_lines, coalesce(n, 0) AS n, coalesce(runs, 0) AS runs,
+         CASE WHEN n IS NULL THEN text ELSE coalesce(kept || CASE WHEN suffix(text, chr(10)) THEN chr(10) ELSE '' END, '') END AS kept
+  FROM t LEFT JOIN runs USING (doc_id) LEFT JOIN rest USING (doc_id))
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n AS BIGINT) AS n_removed_lines, CAST(runs AS BIGINT) AS n_removed_chunks,
+       CAST(coalesce(octet_length(encode(kept)), 0) AS BIGINT) AS n_bytes_kept, sha256(kept) AS kept_sha256
+FROM cleaned
+"""
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents"))
 
@@ -188,6 +212,7 @@ ORACLES = {
     "op2_warc": OP2_SQL,
     "op3_minhash_near_dedup": OP3_SQL,
     "op6_decontamination": OP6_SQL,
+    "op7_line_dedup": OP7_SQL,
     "op9_url_filter": _op9_sql(),
     "op10_embedding_near_dedup": OP10_SQL,
 }

@@ -1,17 +1,18 @@
 """Intermediate tables in the folder that driver and executors share.
 
-A cluster names that folder in ``spark.checkpoint.dir``.  Only where the setting is missing (unit tests, a laptop) a
-folder below the system's temporary directory takes its place.  Tables are written with Spark's own writers and read
-again, which cuts the lineage and survives the loss of executors.
+A cluster names that folder in ``spark.checkpoint.dir``.  Tables are written with Spark's own writers and read again,
+which cuts the lineage and survives the loss of executors.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..staging import shared_dir
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -24,9 +25,9 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or os.path.join(tempfile.gettempdir(), "seqloom-shared")
+def quoted(name: str) -> Column:
+    """The column of that very name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 class Scratch:

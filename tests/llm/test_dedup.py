@@ -105,43 +105,6 @@ def test_components(spark, seed):
     assert got == {i: r for i, r in want.items() if any(i in e and e[0] != e[1] for e in edges)}
 
 
-def brute_lines(rows):
-    chunker, seen, out = line_dedup.Chunker(), {}, {}
-    column = pa.array([t for _, t in rows], pa.string())
-    for (d, t), (spans, raw) in sorted(zip(rows, chunker.rows(column), strict=True), key=lambda x: (x[0][0] is None, x[0][0] or 0)):
-        if t is None or d is None:
-            out[d] = t
-            continue
-        parts, n = [], 0
-        for k, lines, lo, hi, _ in spans:
-            content = raw[lo:hi].removesuffix(b"\n")
-            if lines >= 2 and seen.setdefault(content, (d, k)) != (d, k):
-                n += 1
-            else:
-                parts.append(raw[lo:hi])
-        new = b"".join(parts)
-        out[d] = (new[:-1] if n and new.endswith(b"\n") and not raw.endswith(b"\n") else new).decode()
-    return out
-
-
-def test_line_dedup(docs):
-    rng = random.Random(3)
-    passages = ["\n".join(f"p{p} line {i} é" for i in range(rng.randint(2, 9))) for p in range(12)]
-    rows = []
-    for i in range(200):
-        parts = [rng.choice(passages) if rng.random() < 0.4 else f"own {i} {rng.random()}" if rng.random() < 0.8 else "same line" for _ in range(rng.randint(0, 5))]
-        rows.append((i, "\n".join(parts) + rng.choice(["", "\n", "\n\n"])))
-    rows += [(1000, None), (1001, ""), (1002, "\n"), (1003, "\n\n\n"), (None, passages[0]), (1004, "row\n" * 50_000), (1005, "x" * 500_000)]
-    df = docs(rows)
-    out = line_dedup.remove_repeated_lines(df)
-    assert out.columns == [*df.columns, "n_lines", "n_removed_lines", "n_removed_chunks"]
-    got = {r.doc_id: r for r in out.collect()}
-    assert {i: r.text for i, r in got.items()} == brute_lines(rows)
-    assert sum(r.text != dict(rows)[i] for i, r in got.items()) > 50
-    assert all(r.n_lines == len((dict(rows)[i] or "").splitlines()) for i, r in got.items())
-    assert line_dedup.remove_repeated_lines(docs([])).count() == 0
-
-
 def brute_runs(rows):
     """Texts without the lines of pairs that stood before, pair by pair and without any operator's code."""
     first, out = {}, {}
@@ -170,7 +133,7 @@ def test_every_repeated_run_goes(docs):
         rows.append((i * 7 % 1000 - 300, "\n".join(body) + rng.choice(["", "\n", "\n\n"])))
     rows += [(1000, None), (1001, ""), (1002, "\n"), (1003, "\n\n\n\n"), (1004, "row\n" * 70_000), (1005, "x" * 500_000), rows[3]]
     df = docs([*rows, (None, "\n".join(passages[0]))])
-    out = line_dedup.remove_repeated_runs(df)
+    out = line_dedup.remove_repeated_lines(df)
     assert out.columns == [*df.columns, "n_lines", "n_removed_lines", "n_removed_chunks"]
     found = out.collect()
     assert len(found) == len(rows) + 1 and [r.text for r in found if r.doc_id is None] == ["\n".join(passages[0])]
@@ -179,7 +142,7 @@ def test_every_repeated_run_goes(docs):
     assert got[1004][0] == "row\nrow\n"
     # nothing repeated is left but what only removals brought together, and every line is still somewhere
     assert {x for _, t in rows for x in (t or "").split("\n")} == {x for t, *_ in got.values() for x in (t or "").split("\n")} | {""}
-    assert line_dedup.remove_repeated_runs(docs([])).count() == 0
+    assert line_dedup.remove_repeated_lines(docs([])).count() == 0
 
 
 def test_a_short_passage_among_other_lines_goes(spark, tmp_path):
@@ -191,19 +154,32 @@ def test_a_short_passage_among_other_lines_goes(spark, tmp_path):
 
 
 def test_equal_ids_with_other_texts_are_other_documents(docs):
-    got = sorted(r.text for r in line_dedup.remove_repeated_runs(docs([(1, "a\nb\nc"), (1, "x\na\nb"), (1, "a\nb\nc")])).collect())
+    got = sorted(r.text for r in line_dedup.remove_repeated_lines(docs([(1, "a\nb\nc"), (1, "x\na\nb"), (1, "a\nb\nc")])).collect())
     assert got in (["a\nb\nc", "a\nb\nc", "x"], ["c", "c", "x\na\nb"])
 
 
-def test_line_boundaries_resist_shifts():
+def test_line_boundaries_resist_shifts(spark):
     lines = [f"line {i} of a long passage" for i in range(60)]
-    texts = ["\n".join(["new 1", "new 2", "new 3", *lines]), "\n".join(lines)]
-    a, b = ({raw[lo:hi] for _, n, lo, hi, _ in spans if n > 1} for spans, raw in line_dedup.Chunker().rows(pa.array(texts)))
-    assert len(a & b) >= len(b) - 2
+    rows = [(1, "\n".join(["new 1", "new 2", "new 3", *lines])), (2, "\n".join(lines)), (3, "\n".join(["x", *lines[20:30], "y"]))]
+    found = line_dedup.repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t")).collect()
+    # what stands elsewhere without the rest is a chunk of its own; all lines of both texts go
+    assert sorted((r.doc_id, r.place, r.lines) for r in found) == [(2, 0, 21), (2, 20, 10), (2, 29, 31), (3, 1, 10)]
+
+
+@pytest.mark.parametrize("size", [2, 4, 8, 20, 40])
+def test_recall_of_passages_at_any_place(docs, size):
+    rng = random.Random(size)
+    passages = [[f"passage {p} line {i}" for i in range(size)] for p in range(30)]
+    rows = []
+    for i in range(240):
+        own = lambda k: [f"{i} {k} {j} own" for j in range(rng.randint(1, 8))]  # noqa: E731, B023
+        rows.append((i, "\n".join([*own("a"), *rng.choice(passages), *own("b")])))
+    want, got = brute_runs(rows), {r.doc_id: r.text for r in line_dedup.remove_repeated_lines(docs(rows)).collect()}
+    assert got == {i: x[0] for i, x in want.items()} and sum(x[2] for x in want.values()) == size * (240 - len({t.split("passage ")[1].split()[0] for _, t in rows}))
 
 
 def test_odd_column_names_survive(docs):
-    df = docs([(1, "a\nb\nc\nd"), (2, "a\nb\nc\nd")]).withColumnRenamed("source", "a.b c,d").withColumnRenamed("rep", "_drop").withColumnRenamed("row", "cleaned")
+    df = docs([(1, "a\nb\nc\nd"), (2, "a\nb\nc\nd")]).withColumnRenamed("value", "place").withColumnRenamed("source", "a.b c,d").withColumnRenamed("rep", "_drop").withColumnRenamed("row", "cleaned")
     out = line_dedup.remove_repeated_lines(df)
     assert out.columns[: len(df.columns)] == df.columns and {r["a.b c,d"] for r in out.collect()} == {"s"}
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seqloom.llm import queries
 from seqloom.llm.scratch import Scratch
 
-from .test_dedup import brute_lines, roots, shingles, words
+from .test_dedup import brute_runs, roots, shingles, words
 
 DIR = "/root/testdata/sf0.001"
 
@@ -45,7 +45,7 @@ def test_stages(spark):
             out[name] = {r.doc_id: r.text for r in docs.collect()}
             assert docs.where(F.length("text") != F.col("n_chars")).count() == 0
     assert set(out["language_id"]) == {i for i, t in before.items() if t and any(c.isalpha() for c in t)}
-    cleaned = brute_lines(list(out["language_id"].items()))
+    cleaned = {i: x[0] for i, x in brute_runs(list(out["language_id"].items())).items()}
     assert out["line_dedup"] == {i: t for i, t in cleaned.items() if t.strip() or t == out["language_id"][i]}
     sets = {i: shingles(t, 5) for i, t in out["line_dedup"].items()}
     ids = sorted(sets)
@@ -81,3 +81,23 @@ def test_texts_in_no_known_language_go(spark):
     unlabelled = [(t, None if i % 5 == 0 else lang) for i, (t, lang) in enumerate(clean)]
     odd = [("привет мир как дела", None), ("你好世界今天天气很好", None), ("qzx xkcd vbnm wrtp qqq zzzz xkj", None)]
     assert languages(spark, unlabelled + odd) == {t for t, _ in clean}
+
+
+def test_stages_meet_odd_rows_and_columns(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score double, n_lines int, n_removed_lines int, n_removed_chunks int, rest int, `a.b` string, `c``d` int, kept string, gone string, hash long"
+    rows = [(1, "one line\nand another"), (2, "one line\nand another"), (2, "one line\nand another"), (None, "one line\nand another"), (3, None), (4, ""), (None, None), (5, "long words " * 100_000), (5, "long words " * 100_000)]
+    docs = spark.createDataFrame([(i, t, None, "s", None, "MINE", 0.5, 7, 8, 9, 1, "dotted", 3, "k", "g", 4) for i, t in rows], schema)
+    texts = lambda df: sorted(((r.doc_id, r.text and r.text[:8]) for r in df.collect()), key=repr)
+    want = {
+        "language_id": [(1, "one line"), (2, "one line"), (2, "one line"), (5, "long wor"), (5, "long wor"), (None, "one line")],
+        "line_dedup": [(1, "one line"), (3, None), (4, ""), (5, "long wor"), (5, "long wor"), (None, None), (None, "one line")],
+        "near_dedup": [(1, "one line"), (3, None), (4, ""), (5, "long wor"), (5, "long wor"), (None, None), (None, "one line")],
+        "decontaminate": texts(docs),
+    }
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DIR)
+        assert out.columns == docs.columns and texts(out) == sorted(want[name], key=repr)
+        assert {(r["a.b"], r["c`d"], r.lang_pred, r.score, r.n_lines, r.n_removed_lines, r.kept, r.gone) for r in out.collect()} == {("dotted", 3, "MINE", 0.5, 7, 8, "k", "g")}
+        none = stage(spark, docs.limit(0), DIR)
+        assert none.columns == docs.columns and none.count() == 0
+    assert corpus_pipeline.byte_bpe(spark, docs, DIR).count() == len(rows) and corpus_pipeline.byte_bpe(spark, docs.limit(0), DIR).count() == 0
