@@ -10,15 +10,17 @@ such a line itself, so candidates are not trusted.  Pointer jumping from the sta
 the length of the pointers and marks what the marked ones point at) retains the candidates that a chain of records
 reaches; the rest is payload and is joined again to the record that it lies in.
 
+Where tasks begin to read depends on the cores that are there at that moment, so nothing is carried from one scan of the
+files to another but file offsets, which each scan computes from the sizes of the pieces that it has itself written down.
+
 Defined results: null payloads are empty, null ids and urls stay null, line ends in urls are percent-encoded.  Rows with
 the smallest id of their payload are all responses, however many there are; rows without id never are what others
-refer to, and are responses unless an id exists.  Other columns are not read.
+refer to, and are responses unless an id exists.  Other columns are not read.  A record whose file ends before its
+payload does is left out, as is what follows a broken header; a record whose pieces cannot be found again is an error.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
 #: Fixed so that equal input gives equal archives.
 DATE = "2000-01-01T00:00:00Z"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def plan_records(pages: DataFrame, scratch: Scratch, min_revisit: int = 100) -> DataFrame:
@@ -46,14 +49,17 @@ def plan_records(pages: DataFrame, scratch: Scratch, min_revisit: int = 100) ->
 def _record(r: dict[str, Column]) -> Column:
     url = F.regexp_replace(F.regexp_replace(r["url"], "\r", "%0D"), "\n", "%0A")
     revisit = r["record_type"] == "revisit"
+    # rows without id need a record id too; it is of a kind that is not read as a page's
+    own = F.concat(F.lit("<urn:sha256:"), F.sha2(F.concat_ws(" ", r["url"], r["payload_digest"]), 256), F.lit(">"))
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
     return F.concat(
         F.lit(MAGIC),
         line("WARC-Type", r["record_type"]),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), r["page_id"].cast("string"), F.lit(">"))),
+        line("WARC-Record-ID", F.coalesce(F.concat(F.lit("<urn:page:"), r["page_id"].cast("string"), F.lit(">")), own)),
         line("WARC-Date", F.lit(DATE)),
         line("WARC-Target-URI", url),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), r["payload_digest"])),
+        line("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
         line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), r["refers_to"].cast("string"), F.lit(">"))),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("Content-Length", F.when(revisit, F.lit("0")).otherwise(r["payload_bytes"].cast("string"))),
@@ -69,16 +75,30 @@ def write_archive(records: DataFrame, path: str, records_per_file: int = 20_000)
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """file, block, ordinal, size (with the separator) and value of every piece between WARC/1.0 lines."""
+    """file, block, ordinal, size (with the separator) and value of every piece between WARC/1.0 lines, as split here and now."""
     at = {"file": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start"), "ordinal": F.monotonically_increasing_id()}
     rows = spark.read.option("lineSep", MAGIC).text(path)
     return rows.select(*(c.alias(n) for n, c in at.items()), (F.octet_length("value") + len(MAGIC)).cast("long").alias("size"), "value")
 
 
-def candidates(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
-    """Every candidate's file, off, successor, header and, if the piece holds it whole, its payload's size and digest.
+def _with_offset(rows: DataFrame) -> DataFrame:
+    """Written pieces with ``off``, the offset of the WARC/1.0 line in front, in place of block, ordinal and size.
+
+    Sizes are summed within a task's block, and over the blocks of a file.
+    """
+    before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda w: F.coalesce(F.sum("size").over(w), F.lit(0))
+    blocks = rows.groupBy("file", "block").agg(F.sum("size").alias("size")).select("file", "block", total(before("file", "block")).alias("base"))
+    within = rows.select("file", "block", "ordinal", "size", total(before("file", "block", "ordinal")).alias("within"))
+    at = within.join(blocks, ["file", "block"]).select("file", "block", "ordinal", (F.col("base") + F.col("within") - len(MAGIC)).alias("off"))
+    # the piece in front of the first line of a file is no candidate; every other follows its line
+    return rows.join(at.where("off >= 0"), ["file", "block", "ordinal"]).drop("block", "ordinal")
+
 
-    ``off`` is the offset of the WARC/1.0 line: sizes are summed within a task's block, and over the blocks of a file.
+def candidates(spark: SparkSession, path: str, scratch: Scratch, with_value: bool = False) -> DataFrame:
+    """Every candidate's file, off, size, succ (offset of its successor), header, length and place of its payload, and, if the piece holds it whole, its payload's digest.
+
+    ``off`` is the offset of the WARC/1.0 line.
     """
     header = F.substring_index("value", END, 1)
     length = F.regexp_extract(F.concat(F.lit("\r\n"), header, F.lit("\r\n")), "(?i)\r\nContent-Length: *([0-9]{1,18})\r\n", 1)
@@ -90,24 +110,18 @@ def candidates(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
     payload = F.substring(raw, (body + 1).cast("int"), F.col("length").cast("int"))
     rows = rows.select(
         "file", "block", "ordinal", "size", "length", body.alias("body"), F.when(F.col("length").isNotNull(), F.col("header")).alias("header"),
-        F.coalesce(whole, F.lit(False)).alias("whole"), F.when(whole, F.sha2(payload, 256)).alias("digest"),
+        F.coalesce(whole, F.lit(False)).alias("whole"), F.when(whole, F.sha2(payload, 256)).alias("digest"), *(["value"] if with_value else []),
     )
-    rows = scratch.keep(rows, "pieces")
-    blocks = rows.groupBy("file", "block").agg(F.sum("size").alias("size"))
-    blocks = blocks.select("file", "block", F.coalesce(F.sum("size").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    within = F.coalesce(F.sum("size").over(Window.partitionBy("file", "block").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("within", within).join(blocks, ["file", "block"])
-    # the piece in front of the first line of a file is no candidate; every other follows its line
-    off = F.col("base") + F.col("within") - len(MAGIC)
-    rows = rows.withColumn("off", off).where("off >= 0")
+    rows = _with_offset(scratch.keep(rows, "pieces"))
     return rows.withColumn("succ", F.col("off") + len(MAGIC) + F.col("body") + F.col("length") + len(END))
 
 
 def reachable(cands: DataFrame, scratch: Scratch) -> DataFrame:
     """file, off of the candidates that the chain from the start of their file reaches, by pointer jumping."""
     now = scratch.keep(cands.select("file", "off", F.col("succ").alias("next"), (F.col("off") == 0).alias("found")), "chain")
-    longest = now.groupBy("file").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    for _ in range(math.ceil(math.log2(longest + 1))):
+    marks, before = now.where("found").count(), 0
+    # pointers and marked stretches double together: a round that marks nothing is at the ends of all chains
+    while marks > before:
         # a row's successor, if it is a candidate, gives the new pointer; marked rows mark what they point at
         target = now.select("file", F.col("off").alias("next"), F.col("next").alias("jump"))
         step = now.join(target, ["file", "next"], "left")
@@ -115,7 +129,8 @@ def reachable(cands: DataFrame, scratch: Scratch) -> DataFrame:
         after = step.join(marked, ["file", "off"], "left").select("file", "off", F.col("jump").alias("next"), (F.col("found") | F.coalesce("hit", F.lit(False))).alias("found"))
         after = scratch.keep(after, "chain")
         scratch.drop(now)
-        now = after
+        now, before = after, marks
+        marks = now.where("found").count()
     return now.where("found").select("file", "off")
 
 
@@ -135,34 +150,39 @@ def read_archive(spark: SparkSession, path: str, scratch: Scratch, with_payload:
 
     Bytes and digest are those of the payload read; a revisit has those of the response that it refers to.
     """
-    cands = scratch.keep(candidates(spark, path, scratch), "candidates")
+    cands = scratch.keep(candidates(spark, path, scratch, with_payload), "candidates")
     found = scratch.keep(reachable(cands, scratch), "records")
     records = cands.join(found, ["file", "off"])
-    broken = scratch.keep(records.where("not whole").select("file", "off", "succ"), "broken")
-    records = records.withColumn("inner_payload", F.lit(None).cast("string"))
+    broken = scratch.keep(records.where("not whole and length is not null").select("file", "off", "succ", "body", "length"), "broken")
+    payload = lambda text: F.substring(text.cast("binary"), (F.col("body") + 1).cast("int"), F.col("length").cast("int"))
+    records = records.where("length is not null").withColumn("payload", F.when(F.col("whole"), payload(F.col("value")).cast("string")) if with_payload else F.lit(None).cast("string")).drop("value")
     if not broken.isEmpty():
         # payloads cut by a line of their own are put together again: the pieces from a record up to its successor
-        last = F.last(F.when(F.col("found"), F.col("off")), ignorenulls=True).over(Window.partitionBy("file").orderBy("off"))
-        inner = cands.select("file", "off", "block", "ordinal").join(broken.select("file").distinct(), "file", "left_semi")
-        inner = inner.join(found.withColumn("found", F.lit(True)), ["file", "off"], "left").withColumn("record", last)
-        inner = inner.join(broken.select("file", F.col("off").alias("record"), "succ"), ["file", "record"]).where("off < succ")
-        inner = scratch.keep(inner.select("file", "block", "ordinal", "record", "off"), "inner")
-        parts = _pieces(spark, path).join(inner, ["file", "block", "ordinal"]).groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("off", "value"))).alias("parts"))
+        pieces = cands.select("file", "off", "size", "value") if with_payload else _with_offset(scratch.keep(_pieces(spark, path).join(broken.select("file").distinct(), "file", "left_semi"), "again"))
+        start = broken.select("file", F.col("off").alias("record"), "off", "succ")
+        marks = pieces.select("file", "off", "size").join(start, ["file", "off"], "full")
+        # broken records do not overlap: the last one in front is the one that a piece may belong to
+        last = Window.partitionBy("file").orderBy("off").rowsBetween(Window.unboundedPreceding, 0)
+        marks = marks.select("file", "off", "size", F.last("record", ignorenulls=True).over(last).alias("record"), F.last("succ", ignorenulls=True).over(last).alias("succ"))
+        inner = scratch.keep(marks.where("off < succ").select("file", "off", "size", "record"), "inner")
+        parts = inner.join(pieces.select("file", "off", "value"), ["file", "off"], "left").groupBy("file", "record")
+        parts = parts.agg(F.array_sort(F.collect_list(F.struct("off", "value"))).alias("parts"), (F.sum("size") - len(MAGIC)).alias("bytes"), F.bool_or(F.col("size").isNull()).alias("lost"))
         text = F.array_join(F.transform("parts", lambda p: p["value"]), MAGIC)
-        mended = parts.select("file", F.col("record").alias("off"), text.alias("text")).join(cands.select("file", "off", "body", "length"), ["file", "off"])
-        raw = F.substring(F.col("text").cast("binary"), (F.col("body") + 1).cast("int"), F.col("length").cast("int"))
-        # a record whose file ends before its payload does is lost
-        mended = scratch.keep(mended.where(F.octet_length("text") >= F.col("body") + F.col("length")).select("file", "off", F.sha2(raw, 256).alias("mended"), raw.cast("string").alias("again")), "mended")
+        mended = broken.join(parts.select("file", F.col("record").alias("off"), text.alias("text"), "bytes", "lost"), ["file", "off"], "left")
+        # both scans must have cut the same bytes
+        end = lambda df, name: df.groupBy("file").agg(F.max(F.col("off") + F.col("size")).alias(name))
+        mended = mended.join(end(cands, "end"), "file").join(end(pieces, "end_now"), "file", "left")
+        same = (F.col("end") == F.col("end_now")) & ~F.col("lost") & (F.octet_length("text") == F.col("bytes"))
+        mended = mended.withColumn("text", F.when(F.coalesce(same, F.lit(False)), F.col("text")).otherwise(F.raise_error(F.lit("A record's pieces were not found again.")).cast("string")))
+        # a record whose file ends before its payload does is left out
+        mended = mended.where(F.octet_length("text") >= F.col("body") + F.col("length")).withColumn("raw", payload(F.col("text")))
+        mended = scratch.keep(mended.select("file", "off", F.sha2("raw", 256).alias("mended"), *([F.col("raw").cast("string").alias("again")] if with_payload else [])), "mended")
         records = records.join(mended, ["file", "off"], "left").where("whole or mended is not null")
-        records = records.withColumns({"digest": F.coalesce("digest", "mended"), "inner_payload": F.col("again")})
+        records = records.withColumns({"digest": F.coalesce("digest", "mended"), "payload": F.coalesce("payload", "again") if with_payload else F.col("payload")})
     out = records.select(
-        "file", "off", "block", "ordinal", "inner_payload", _page("WARC-Record-ID").alias("page_id"), _field("WARC-Target-URI").alias("url"), _field("WARC-Type").alias("record_type"),
-        _page("WARC-Refers-To").alias("refers_to"), F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.regexp_replace(_field("WARC-Payload-Digest"), "^sha256:", "").alias("claimed"), "length", "body",
+        _page("WARC-Record-ID").alias("page_id"), _field("WARC-Target-URI").alias("url"), _field("WARC-Type").alias("record_type"), _page("WARC-Refers-To").alias("refers_to"), F.col("length").alias("payload_bytes"),
+        F.col("digest").alias("payload_digest"), F.regexp_replace(_field("WARC-Payload-Digest"), "^sha256:", "").alias("claimed"), "payload",
     )
-    if with_payload:
-        raw = F.substring(F.col("value").cast("binary"), (F.col("body") + 1).cast("int"), F.col("length").cast("int")).cast("string")
-        out = out.join(_pieces(spark, path).select("file", "block", "ordinal", "value"), ["file", "block", "ordinal"])
-        out = out.withColumn("payload", F.coalesce("inner_payload", raw))
     columns = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", *(["payload"] if with_payload else []), "claimed"]
     out = scratch.keep(out.select(*columns), "read")
     whole = out.where("record_type <> 'revisit'")

@@ -52,6 +52,50 @@ def test_archives_split_at_any_byte(spark):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+@pytest.mark.parametrize("with_payload", [True, False])
+def test_archives_survive_other_splits_between_scans(spark, monkeypatch, with_payload):
+    rows = [(i, f"http://x/{i}", f"{i} \r\n{FAKE}" * (1 + i % 3)) for i in range(2000)]
+    scratch = Scratch(spark, "t")
+    path = scratch.new("archive")
+    warc.write_archive(warc.plan_records(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), scratch), path)
+    scan, cores = warc._pieces, iter((4, 7, 5, 11))
+
+    def other_cores(spark, path):
+        spark.conf.set("spark.sql.files.minPartitionNum", next(cores))
+        return scan(spark, path)
+
+    monkeypatch.setattr(warc, "_pieces", other_cores)
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        got = {r.page_id: r for r in warc.read_archive(spark, path, scratch, with_payload).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert {i: r.payload_digest for i, r in got.items()} == {i: hashlib.sha256(h.encode()).hexdigest() for i, _, h in rows}
+    assert not with_payload or {i: r.payload for i, r in got.items()} == {i: h for i, _, h in rows}
+
+
+def test_pieces_that_are_not_found_again_are_an_error(spark, monkeypatch):
+    scratch = Scratch(spark, "t")
+    path = scratch.new("archive")
+    warc.write_archive(warc.plan_records(spark.createDataFrame([(1, "u", FAKE * 2)], "page_id long, url string, html string"), scratch), path)
+    scan, scans = warc._pieces, []
+    monkeypatch.setattr(warc, "_pieces", lambda *a: scans.append(a) or (scan(*a) if len(scans) < 2 else scan(*a).where("value not like '%Record-ID%'")))
+    with pytest.raises(Exception, match="not found again"):
+        warc.read_archive(spark, path, scratch)
+
+
+def test_records_have_their_mandatory_fields(spark):
+    scratch = Scratch(spark, "t")
+    path = scratch.new("archive")
+    warc.write_archive(warc.plan_records(spark.createDataFrame(PAGES, "page_id long, url string, html string"), scratch), path)
+    headers = [r.header for r in warc.candidates(spark, path, scratch).join(warc.reachable(warc.candidates(spark, path, scratch), scratch), ["file", "off"]).collect()]
+    assert len(headers) == len(PAGES)
+    for h in headers:
+        assert all(f"\r\n{name}: " in f"\r\n{h}" for name in ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"))
+        assert ("WARC-Profile: " in h) == ("WARC-Type: revisit" in h)
+
+
 def test_no_pages(spark):
     df, scratch = spark.createDataFrame([], "page_id long, url string, html string"), Scratch(spark, "t")
     path = scratch.new("archive")
