@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitmaps import bitmap, maybe_in
 from .components import components
 from .scratch import Scratch
 from .textnum import mix, shingle_rows
@@ -122,12 +123,17 @@ def _confirmed(shingle_words: int, percent: int):
     return run
 
 
+def _maybe(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents that may be among ``ids`` (written): the others' texts are not shuffled."""
+    return docs.where(maybe_in(bitmap(ids.select(F.xxhash64("doc_id").alias("hash")), "hash"), F.xxhash64("doc_id")))
+
+
 def _stars(docs: DataFrame, members: DataFrame, shingle_words: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """members (value, rep) of long lists -> their confirmed links to each list's smallest member, and (value, center)."""
     centers = scratch.keep(members.groupBy("value").agg(F.min("rep").alias("center")), "centers")
     pairs = scratch.keep(members.join(centers, "value").where("rep <> center").select("rep", "center").distinct(), "star-pairs")
-    ids = pairs.select(F.col("rep").alias("doc_id")).unionAll(pairs.select(F.col("center").alias("doc_id"))).distinct()
-    texts = scratch.keep(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "star-texts")
+    ids = scratch.keep(pairs.select(F.col("rep").alias("doc_id")).unionAll(pairs.select(F.col("center").alias("doc_id"))).distinct(), "star-ids")
+    texts = scratch.keep(_maybe(docs, ids).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "star-texts")
     rows = pairs.join(texts.toDF("rep", "text"), "rep").join(texts.toDF("center", "center_text"), "center").sortWithinPartitions("center")
     links = rows.select("rep", "center", "text", "center_text").mapInArrow(_confirmed(shingle_words, percent), "a long, b long")
     return scratch.keep(links, "star-links"), centers
@@ -139,8 +145,9 @@ def near_duplicates(
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Documents are linked if ``100 * |intersection| >= percent * |union|`` of their distinct shingles.  ``min_matches``
-    is the collision threshold for candidates; by default 0.6 of the expected number at the similarity asked for,
-    where a pair right at the threshold is missed about once in a million.
+    is the collision threshold for candidates; by default 0.6 of the expected number at the similarity asked for.  With 32
+    coordinates a pair right at the threshold is then missed about once in a million at 80 to 90 percent, in 7,000 at 70,
+    1,100 at 60 and 290 at 50: ask for more coordinates there.
     """
     scratch = scratch or Scratch(docs.sparkSession, "minhash")
     matches = min_matches or max(1, int(0.6 * percent / 100 * coordinates))
@@ -157,7 +164,8 @@ def near_duplicates(
 
     # postings under (coordinate, value); values nobody shares cannot collide
     post = classes.select("set_digest", F.explode("sig").alias("value"))
-    shared = post.groupBy("value").agg(F.count("*").alias("f")).where("f > 1")
+    # (written, like the blocks below, so that a value that very many have is split in the join)
+    shared = scratch.keep(post.groupBy("value").agg(F.count("*").alias("f")).where("f > 1"), "shared")
     lists = post.join(shared, "value").groupBy("set_digest").agg(F.array_sort(F.collect_list(F.struct("f", "value"))).alias("l")).where(F.size("l") >= matches)
     prefix = lists.select("set_digest", F.explode(F.slice("l", F.lit(1), F.size("l") - F.lit(matches - 1))).alias("p")).select("set_digest", F.col("p.value").alias("value"))
     prefix = scratch.keep(prefix.join(classes.select("set_digest", "n_shingles"), "set_digest"), "prefix")
@@ -182,6 +190,7 @@ def near_duplicates(
     # members that are not done meet all of their list, those that are done only these
     size = lambda which: F.ceil(F.greatest(F.sum(which.cast("int")) / BLOCK_ROWS, F.sum(F.when(which, F.col("n_shingles")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
     blocks = members.groupBy("value").agg(size(~F.col("done")).alias("open"), size(F.col("done")).alias("shut")).where("open > 0")
+    blocks = scratch.keep(blocks, "blocks")
     mine = F.when(F.col("done"), F.col("open") + F.pmod(F.xxhash64("set_digest", "value"), F.greatest("shut", F.lit(1)))).otherwise(F.pmod(F.xxhash64("set_digest", "value"), F.greatest("open", F.lit(1))))
     others = F.col("open") + F.when(F.col("done"), 0).otherwise(F.col("shut"))
     placed = members.join(blocks, "value").groupBy("set_digest").agg(
@@ -189,7 +198,7 @@ def near_duplicates(
     )
     placed = scratch.keep(placed.join(classes, "set_digest"), "placed")
 
-    texts = docs.join(placed.select(F.col("rep").alias("doc_id"), "set_digest", "lists", "settled", "places", "sig"), "doc_id")
+    texts = _maybe(docs, placed.select(F.col("rep").alias("doc_id"))).join(placed.select(F.col("rep").alias("doc_id"), "set_digest", "lists", "settled", "places", "sig"), "doc_id")
     tiles = texts.select(F.col("doc_id").alias("rep"), "text", "lists", "settled", "sig", F.explode("places").alias("p")).select(
         "rep", "text", "lists", "settled", "sig", "p.value", "p.block", F.explode(F.sequence(F.lit(0), F.col("p.others") - 1)).alias("other")
     )
