@@ -10,7 +10,8 @@ Items of fewer words than a shingle are searched as they are: the document must
 
 Defined results: items and documents without words match nothing; documents shorter than a shingle only match short
 items; rows without doc_id or item_id are not compared; documents that share an id count as contaminated if one is;
-other columns are not read.
+repeated items give a row each, repeated rows of a document one; empty tables give an empty one; texts are whole at any
+length; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,12 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitmaps import bitmap, held, maybe_in
 from .minhash_dedup import _family
 from .scratch import Scratch
 from .textnum import _fold, chunks, mix, string_buffers, words
 
-#: Bits of the bitmap of the items' values: a bound on what is broadcast.
-BITMAP_BITS = 1 << 22
 _SHORT = 1 << 20  # numbers the searches for short items apart from the size classes
 
 
@@ -61,12 +61,12 @@ def _item_keys(k: int, functions: int):
                 else:
                     kind.append(None)
                     keys.append([])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kind, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["item_id", "kind", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kind, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["item", "kind", "keys"])
 
     return run
 
 
-def _document_keys(k: int, functions: int, kinds: list[int], bitmap: np.ndarray):
+def _document_keys(k: int, functions: int, kinds: list[int], bits: np.ndarray):
     """Keys of the blocks of every document that the bitmap holds."""
     a, b = _family(functions)
     classes, short = sorted(c for c in kinds if c < _SHORT), [c - _SHORT for c in kinds if c >= _SHORT]
@@ -90,8 +90,7 @@ def _document_keys(k: int, functions: int, kinds: list[int], bitmap: np.ndarray)
                     break
                 low = np.minimum.reduceat(low, np.arange(0, low.shape[1], 2), axis=1)
         keys = np.concatenate(found) if found else w[:0]
-        bit = (keys % np.uint64(BITMAP_BITS)).astype(np.int64)
-        return np.unique(keys[bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1]).view(np.int64)
+        return np.unique(keys[held(bits, keys)]).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,14 +103,6 @@ def _document_keys(k: int, functions: int, kinds: list[int], bitmap: np.ndarray)
     return run
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    low = f"(key & {BITMAP_BITS - 1})"
-    rows = keys.groupBy(F.expr(f"shiftright({low}, 5)").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({low} & 31 as int))")).alias("bits")).toPandas()
-    out = np.zeros(BITMAP_BITS // 32, np.uint32)
-    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(np.uint32)
-    return out.view(np.uint8)
-
-
 def _contained(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, w, grams = object(), None, None
@@ -129,23 +120,34 @@ def _contained(k: int):
                 else:
                     common.append(int(len(w) >= len(iw) > 0 and bool((_fold(w, len(iw)) == _fold(iw, len(iw))[0]).any())))
                     total.append(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total, pa.int64()), pa.array(common, pa.int64())], ["doc_id", "item_id", "n_item", "n_common"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total, pa.int64()), pa.array(common, pa.int64())], ["doc_id", "item", "n_item", "n_common"])
 
     return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, shingle_words: int = 5, percent: int = 80, functions: int = 48, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, item_id, n_item, n_common: every document that contains a test item, once for each item."""
+def contaminations(docs: DataFrame, items: DataFrame, shingle_words: int = 5, percent: int = 80, functions: int = 48, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, item, n_item, n_common) for every document and every text of an item that it contains, and (item_id, item)."""
     scratch = scratch or Scratch(docs.sparkSession, "decontaminate")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    keyed = items.mapInArrow(_item_keys(shingle_words, functions), "item_id long, kind int, keys array<long>").where("kind is not null")
+    named = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    # items with one text are one: it is searched for and compared once
+    named = scratch.keep(named.withColumn("item", F.sha2("text", 256)), "named")
+    items = scratch.keep(named.groupBy("item").agg(F.first("text").alias("text")), "texts")
+    keyed = items.select("item", "text").mapInArrow(_item_keys(shingle_words, functions), "item string, kind int, keys array<long>").where("kind is not null")
     keyed = scratch.keep(keyed, "items")
     kinds = [r.kind for r in keyed.select("kind").distinct().collect()]  # one for each size class
-    posted = scratch.keep(keyed.select("item_id", F.explode("keys").alias("key")).distinct(), "postings")
-    found = docs.mapInArrow(_document_keys(shingle_words, functions, kinds, _bitmap(posted)), "doc_id long, key long")
-    pairs = scratch.keep(found.join(posted, "key").select("doc_id", "item_id").distinct(), "candidates")
-    rows = pairs.join(items.select("item_id", F.col("text").alias("item")), "item_id").join(docs, "doc_id")
-    checked = rows.select("doc_id", "item_id", "text", "item").mapInArrow(_contained(shingle_words), "doc_id long, item_id long, n_item long, n_common long")
+    posted = scratch.keep(keyed.select("item", F.explode("keys").alias("key")).distinct(), "postings")
+    found = docs.mapInArrow(_document_keys(shingle_words, functions, kinds, bitmap(posted, "key")), "doc_id long, key long")
+    pairs = scratch.keep(found.join(posted, "key").select("doc_id", "item").distinct(), "candidates")
+    # only texts that may be candidates are shuffled
+    docs = docs.where(maybe_in(bitmap(pairs.select(F.xxhash64("doc_id").alias("hash")), "hash"), F.xxhash64("doc_id")))
+    rows = pairs.join(items.select("item", F.col("text").alias("other")), "item").join(docs, "doc_id")
+    checked = rows.select("doc_id", "item", "text", "other").mapInArrow(_contained(shingle_words), "doc_id long, item string, n_item long, n_common long")
     checked = checked.where(F.col("n_common") * 100 >= F.col("n_item") * percent)
-    return checked.groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_common").alias("n_common"))
+    return checked.groupBy("doc_id", "item").agg(F.max("n_item").alias("n_item"), F.max("n_common").alias("n_common")), named.select("item_id", "item").distinct()
+
+
+def contaminated(docs: DataFrame, items: DataFrame, shingle_words: int = 5, percent: int = 80, functions: int = 48, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, item_id, n_item, n_common: every document that contains a test item, once for each item."""
+    found, named = contaminations(docs, items, shingle_words, percent, functions, scratch)
+    return found.join(named, "item").select("doc_id", "item_id", "n_item", "n_common")
