@@ -3,8 +3,9 @@
 The symbols of many pre-tokens lie in one doubly linked list whose links stop at the pre-tokens' ends.  A bucket for
 each merge rank holds the list positions at which that merge is possible; a bitmap of the non-empty buckets, with
 bitmaps of the non-empty words above it, yields the smallest rank by find-first-set in as many steps as there are levels.
-All of a bucket is merged at once, which is sound because pre-tokens do not influence one another and entries of one
-pre-token with the same rank are taken from left to right.  Positions whose pair has changed since they were queued are
+Pre-tokens do not influence one another, and entries of one pre-token with the same rank are taken from left to right.  A
+bucket is merged at once where no merge into its token can bring up a smaller rank, as the vocabulary tells beforehand;
+other buckets are heaps of positions, left as soon as a smaller rank comes up.  Positions whose pair has changed since they were queued are
 stale and skipped.  The work is proportional to the number of queued pairs, so one very long pre-token is no harder
 than many short ones.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +92,9 @@ class ByteBpe:
         self.pairs = pairs
         keys = np.array(sorted(pairs), np.int64)
         self.pair_key, self.pair_rank = keys, np.array([pairs[k] for k in keys.tolist()], np.int64)
+        # ranks whose merge can bring up a pair of a smaller rank, which then goes before the rest of their bucket
+        sides = np.stack([keys >> 32, keys & 0xFFFFFFFF])
+        self.dips = set(np.unique(sides[sides > self.pair_rank]).tolist())
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merge ranks of pairs, -1 where there is none."""
@@ -132,7 +137,7 @@ class ByteBpe:
         prv[0] = -1
         prv[ends[:-1]] = -1
         buckets: dict[int, list] = {}
-        queue = BitmapQueue(len(self.token))
+        queue, pairs, dips = BitmapQueue(len(self.token)), self.pairs, self.dips
 
         def put(at: np.ndarray, rank: np.ndarray) -> None:
             if len(at) <= SMALL:
@@ -150,20 +155,54 @@ class ByteBpe:
                 if bucket is None:
                     buckets[r] = bucket = []
                     queue.add(r)
-                bucket.extend(part.tolist()) if len(part) <= SMALL else bucket.append(part)
+                if r in dips:
+                    bucket.extend(part.tolist())
+                    heapify(bucket)
+                else:
+                    bucket.extend(part.tolist()) if len(part) <= SMALL else bucket.append(part)
 
         def put_one(a: int, r: int) -> None:
             bucket = buckets.get(r)
             if bucket is None:
                 buckets[r] = [a]
                 queue.add(r)
+            elif r in dips:
+                heappush(bucket, a)
             else:
                 bucket.append(a)
 
+        def merge_one(a: int, rank: int) -> int:
+            """Merge at a if its pair still has this rank; the smallest rank that comes up, or this one."""
+            x, b = int(sym[a]), int(nxt[a])
+            if x < 0 or b < 0 or pairs.get(x << 32 | int(sym[b])) != rank:
+                return rank
+            c, z, low = int(nxt[b]), int(prv[a]), rank
+            sym[a], sym[b], nxt[a] = rank, -1, c
+            if c >= 0:
+                prv[c] = a
+                r = pairs.get(rank << 32 | int(sym[c]))
+                if r is not None:
+                    put_one(a, r)
+                    low = min(low, r)
+            if z >= 0:
+                r = pairs.get(int(sym[z]) << 32 | rank)
+                if r is not None:
+                    put_one(z, r)
+                    low = min(low, r)
+            return low
+
         first = np.flatnonzero(nxt >= 0)
         put(first, self._rank(sym[first], sym[nxt[first]]))
-        pairs = self.pairs
         while (rank := queue.first()) >= 0:
+            if rank in dips:
+                # from left to right, until a smaller rank comes up
+                bucket = buckets[rank]
+                while bucket and merge_one(heappop(bucket), rank) == rank:
+                    pass
+                if not bucket:
+                    queue.remove(rank)
+                    del buckets[rank]
+                continue
             queue.remove(rank)
             bucket = buckets.pop(rank)
             arrays = [b for b in bucket if isinstance(b, np.ndarray)]
@@ -192,20 +231,7 @@ class ByteBpe:
                 put(inner, self._rank(sym[inner], sym[nxt[inner]]))
                 continue
             for a in sorted(bucket):
-                x, b = int(sym[a]), int(nxt[a])
-                if x < 0 or b < 0 or pairs.get(x << 32 | int(sym[b])) != rank:
-                    continue
-                c, z = int(nxt[b]), int(prv[a])
-                sym[a], sym[b], nxt[a] = rank, -1, c
-                if c >= 0:
-                    prv[c] = a
-                    r = pairs.get(rank << 32 | int(sym[c]))
-                    if r is not None:
-                        put_one(a, r)
-                if z >= 0:
-                    r = pairs.get(int(sym[z]) << 32 | rank)
-                    if r is not None:
-                        put_one(z, r)
+                merge_one(a, rank)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))

@@ -38,6 +38,25 @@ def test_long_piece_without_pattern():
     assert list(bpe.ByteBpe(ranks).encode_pieces([text.encode()])[0]) == enc.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("merged", [False, True])
+def test_rank_queue_with_other_vocabularies(merged):
+    rng = random.Random(5)
+    for _ in range(60):
+        tokens = [bytes([b]) for b in range(256)]
+        if merged:  # each token is made of two before it, in any order of ranks
+            have = [b"a", b"b", b"c"]
+            while len(have) < 30:
+                have.append(rng.choice(have) + rng.choice(have))
+            more = list(dict.fromkeys(x for x in have if 1 < len(x) < 9))
+        else:
+            more = list({bytes(rng.choice(b"abc") for _ in range(rng.randint(2, 5))) for _ in range(40)})
+            rng.shuffle(more)
+        ranks = {t: i for i, t in enumerate(rng.sample(tokens, 256) + more if merged or rng.random() < 0.5 else more + tokens)}
+        enc, own = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={}), bpe.ByteBpe(ranks)
+        texts = ["".join(rng.choice("abc") for _ in range(rng.choice([3, 12, 60, 400]))) for _ in range(60)]
+        assert [list(x) for x in own.encode_pieces([t.encode() for t in texts])] == [enc.encode_ordinary(t) for t in texts]
+
+
 def test_bitmap_queue():
     rng, queue, have = random.Random(3), bpe.BitmapQueue(300_000), set()
     for _ in range(5000):
