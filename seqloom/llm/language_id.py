@@ -9,7 +9,8 @@ Profiles are fitted on a bounded sample of labelled rows: about ``train_docs`` d
 hash of their ids.  They are the only thing that reaches the driver: ``profile_size`` n-grams for each language.
 
 Defined results: ``und`` with score 0 for null text, text without a letter, or if there is nothing to learn from.
-Repeated rows each give a row.  Other columns are not read.
+Repeated rows each give a row.  An empty table gives an empty one.  Texts are whole at any length.  Other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -104,7 +105,7 @@ def fit_profiles(labelled: DataFrame, profile_size: int = 300, train_docs: int =
     totals = rows.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.lit(float(train_docs)) / F.col("n")
     draw = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.join(F.broadcast(totals), "lang").where(draw < share).select("lang", "text")
+    sample = rows.join(totals, "lang").where(draw < share).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
