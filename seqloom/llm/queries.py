@@ -24,7 +24,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cache = Scratch(spark, "token-counts").new("cache")
+    # a folder named by the session outlives the query and serves later ones; else the cache starts empty
+    cache = spark.conf.get("spark.seqloom.tokenCache", None) or Scratch(spark, "token-counts").new("cache")
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), cache)
 
 
@@ -173,25 +174,28 @@ FROM s JOIN comp c ON c.id = s.doc_id
 """
 
 def _op9_sql() -> str:
-    has = lambda t: f"CAST(regexp_matches(u, '(^|[^a-z0-9]){t}($|[^a-z0-9])') AS INT)"
-    strict, soft = (" + ".join(map(has, terms)) for terms in (STRICT_TERMS, SOFT_TERMS))
+    terms = ", ".join(f"('{t}', {w})" for w, ts in ((NEED_SOFT, STRICT_TERMS), (1, SOFT_TERMS)) for t in ts)
     rules = ", ".join(f"('{verdict}', '{h}', '/{p}', '{h}/{p}')" for verdict, (h, _, p) in ((v, r.partition("/")) for v, r in URL_RULES))
     return rf"""
 WITH p AS (
-  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest,
+  SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest,
          translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS u
   FROM pages),
 h AS (
-  SELECT page_id, u, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, url, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
   FROM p),
+terms(term, weight) AS (VALUES {terms}),
+weights AS (
+  SELECT page_id, url, sum(weight) AS weight FROM (SELECT DISTINCT page_id, url, u FROM p) x
+  JOIN terms t ON contains(u, term) AND regexp_matches(u, '(^|[^a-z0-9])' || term || '($|[^a-z0-9])') GROUP BY page_id, url),
 rules(verdict, h, p, rule) AS (VALUES {rules}),
 best AS (
-  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
-  FROM h JOIN rules r ON (h.host = r.h OR suffix(h.host, '.' || r.h)) AND prefix(h.path, r.p) GROUP BY page_id)
+  SELECT page_id, url, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM h JOIN rules r ON (h.host = r.h OR suffix(h.host, '.' || r.h)) AND prefix(h.path, r.p) GROUP BY page_id, url)
 SELECT h.page_id, h.host, h.path, b.rule,
-       coalesce(b.verdict, CASE WHEN {strict} > 0 OR {soft} >= {NEED_SOFT} THEN 'block' ELSE 'allow' END) AS verdict
-FROM h LEFT JOIN best b USING (page_id)
+       coalesce(b.verdict, CASE WHEN w.weight >= {NEED_SOFT} THEN 'block' ELSE 'allow' END) AS verdict
+FROM h LEFT JOIN best b ON b.page_id = h.page_id AND b.url IS NOT DISTINCT FROM h.url LEFT JOIN weights w ON w.page_id = h.page_id AND w.url IS NOT DISTINCT FROM h.url
 """
 
 

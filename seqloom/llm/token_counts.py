@@ -8,8 +8,8 @@ of another tokenizer version has another digest and never meets old counts.
 Content is normalised by turning null into the empty text and nothing else: the tokenizer's own normalisation is
 part of its version, and a stronger one could change counts.
 
-Defined results: null or empty text has 0 bytes and 0 tokens.  Repeated rows each give a row.  Null ids are ids like
-others.  Other columns are not read.
+Defined results: null or empty text has 0 bytes and 0 tokens.  Repeated rows each give a row and are encoded once.  Null
+ids are ids like others.  An empty table gives an empty one.  Texts are whole at any length.  Other columns are not read.
 """
 
 from __future__ import annotations

@@ -1,12 +1,16 @@
 """WARC archives, URL rules and language profiles."""
 
 import hashlib
+import random
+import re
 
+import duckdb
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.llm import language_id, url_filter, warc
+from seqloom.llm import language_id, queries, url_filter, warc
 from seqloom.llm.scratch import Scratch
 
 FAKE = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
@@ -133,6 +137,38 @@ def test_urls(spark, url, host, path, rule, verdict):
     assert tuple(url_filter.judge_urls(df, RULES).first()) == (1, host, path, rule, verdict)
 
 
+def test_terms_and_rules_against_sql(spark, tmp_path):
+    rng = random.Random(4)
+    words = [*url_filter.STRICT_TERMS, *url_filter.SOFT_TERMS, "essex", "alphabet", "analysis", "sport", "news", "en", "de", "7", "xxxl", "sexton", ""]
+    hosts = ["example.com", "Example.NET", "a.b.example.com", "x.org", "com", "notexample.com", ""]
+    rows = []
+    for i in range(600):
+        path = "".join(rng.choice("/-_.?#=&") + (rng.choice(words) if rng.random() < 0.8 else rng.choice(words) + rng.choice("a1é")) for _ in range(rng.randint(0, 4)))
+        url = rng.choice(["http://", "https://", "", "HTTP://"]) + rng.choice(hosts) + rng.choice(["", "/en/", "/de/8", "/en/7", "/es/"]) + (path.upper() if rng.random() < 0.1 else path)
+        rows.append((i // 2 * 2 if rng.random() < 0.1 else i, url if rng.random() < 0.98 else None, "<html>"))
+    rows += [(9000, "http://x/" + "a/" * 50_000 + "porn", ""), (9001, rows[0][1], ""), (9001, rows[0][1], ""), (None, "http://x.org/hentai", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.op9_url_filter(spark, str(tmp_path)).toArrow()
+    verdicts = got.to_pandas().groupby(["verdict", got.to_pandas()["rule"].isna()]).size()
+    assert verdicts["block", True] > 100 and verdicts["allow", True] > 100 and verdicts["block", False] > 10
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet' WHERE page_id IS NOT NULL")
+    rows_of = lambda t: sorted(map(repr, t.select(["page_id", "host", "path", "rule", "verdict"]).to_pylist()))
+    assert rows_of(got.filter(pc.is_valid(got["page_id"]))) == rows_of(con.sql(queries.ORACLES["op9_url_filter"]).to_arrow_table())
+    assert [r["verdict"] for r in got.to_pylist() if r["page_id"] is None] == ["block"]
+
+
+def test_many_rules(spark):
+    rules = [("block" if i % 2 else "allow", f"h{i}.com/p{i}") for i in range(20_000)]
+    df = spark.createDataFrame([(i, f"http://www.h{i}.com/p{i}/x") for i in range(0, 20_000, 997)], "page_id long, url string")
+    assert all((r.rule, r.verdict) == (f"h{r.page_id}.com/p{r.page_id}", "block" if r.page_id % 2 else "allow") for r in url_filter.judge_urls(df, rules).collect())
+
+
+def test_vocabulary():
+    terms = url_filter.STRICT_TERMS + url_filter.SOFT_TERMS
+    assert len(terms) == len(set(terms)) > 200 and all(re.fullmatch("[a-z0-9-]+", t) for t in terms)
+
+
 def test_no_urls(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
@@ -175,6 +211,37 @@ def test_profiles_and_distance(spark):
     assert model.best(np.array([9]), np.array([1])) == ("x", 0.0)
 
 
+def brute_languages(rows, size):
+    """Profiles, distances and scores from plain dictionaries: rows (text, lang) -> (lang_pred, score) of every text."""
+    order = lambda counts: sorted(counts, key=lambda g: (-counts[g], [ord(c) for c in g.rjust(3, "\0")]))[:size]
+    totals = {}
+    for text, lang in rows:
+        if text is not None and lang is not None:
+            for g, n in brute_counts(text).items():
+                totals.setdefault(lang, {}).setdefault(g, 0)
+                totals[lang][g] += n
+    profiles, out = {lang: order(c) for lang, c in totals.items()}, []
+    for text, _ in rows:
+        own = order(brute_counts(text or ""))
+        if not own or not profiles:
+            out.append(("und", 0.0))
+            continue
+        far = {lang: sum(abs(p.index(g) - i) if g in p else size for i, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        out.append((best, max(0.0, 1 - far[best] / (size * len(own)))))
+    return out
+
+
+@pytest.mark.parametrize("size", [300, 40])
+def test_languages_against_brute_force(spark, size):
+    docs = [(r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(120).collect()]
+    docs += [(None, "en"), ("", None), ("12 !", "de"), ("Éa ß", None), ("日本 b", None), docs[0]]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(docs)], "doc_id long, text string, lang string")
+    profiles = language_id.fit_profiles(df, size, train_docs=10**9)
+    got = {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in language_id.identify(df.select("doc_id", "text"), profiles, size).collect()}
+    assert got == {i: (lang, round(score, 9)) for i, (lang, score) in enumerate(brute_languages(docs, size))}
+
+
 def test_language_of_documents(spark):
     en, de = "the and of to in that with which from this", "der die und ein nicht mit von auch sich ist"
     rows = [(i, f"{(en if i % 2 else de)} {i}", "en" if i % 2 else "de") for i in range(60)]
