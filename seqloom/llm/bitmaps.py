@@ -7,7 +7,7 @@ hashes all bits are set, and the join alone decides: results never depend on the
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +35,8 @@ def held(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def maybe_in(bits: np.ndarray, hashes: Column) -> Column:
     """``held`` as a column expression; only the hashes leave the JVM."""
 
-    @F.pandas_udf("boolean")
-    def run(hashes: pd.Series) -> pd.Series:
-        return pd.Series(held(bits, hashes.to_numpy(np.int64)))
+    @F.arrow_udf("boolean")
+    def run(hashes: pa.Array) -> pa.Array:
+        return pa.array(held(bits, hashes.to_numpy()))
 
     return run(hashes)

@@ -31,6 +31,8 @@ UNKNOWN = "und"
 LEAST_SCORE = 0.25
 #: Text taken at a time: a character needs some forty bytes on the way.
 GROUP_BYTES = 1 << 20
+#: Labels beyond which the column is taken for something else; the profiles of all of them reach the driver.
+MOST_LANGUAGES = 5000
 _BITS = 21  # of a code point
 _ALPHA: list[np.ndarray] = []
 
@@ -102,7 +104,10 @@ def fit_profiles(labelled: DataFrame, profile_size: int = 300, train_docs: int =
     """Profiles of the languages in rows doc_id, text, lang; rows with a null are not used."""
     importable(labelled.sparkSession)
     rows = labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    totals = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    totals = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(totals) > MOST_LANGUAGES:
+        raise ValueError(f"More than {MOST_LANGUAGES} labels: that is no column of languages.")
+    totals = F.broadcast(labelled.sparkSession.createDataFrame(totals, "lang string, n long"))  # of checked size
     share = F.lit(float(train_docs)) / F.col("n")
     draw = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.join(totals, "lang").where(draw < share).select("lang", "text")

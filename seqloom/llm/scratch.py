@@ -17,8 +17,15 @@ from ..staging import shared_dir
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Bytes of an Arrow batch: whole texts can be long, and a batch is held several times on its way through a task.
+BATCH_BYTES = 4 << 20
+
+
 def importable(spark: SparkSession) -> None:
-    """Let Python workers of this session import the package from where the driver found it."""
+    """Let Python workers of this session import the package from where the driver found it, and keep batches small."""
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set(size, BATCH_BYTES)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
