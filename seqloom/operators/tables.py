@@ -12,8 +12,9 @@ from ..staging import with_rank
 def sort_table(table: DataFrame, specs: list[str], rank: str = "rank") -> DataFrame:
     """(rank, row_ind, cells) in ascending order of the keys, ties by row_ind.  Too short a row is an error."""
     keys = colspec.keys(F.col("cells"), specs)
-    rows = table.select("row_ind", "cells", *keys)
-    return with_rank(rows, [*(f"key{i}" for i in range(len(keys))), "row_ind"], rank).select(rank, "row_ind", "cells")
+    # only keys and row numbers go through the sort
+    rows = with_rank(table.select("row_ind", *keys), [*(f"key{i}" for i in range(len(keys))), "row_ind"], rank).select(rank, "row_ind")
+    return rows.join(table.select("row_ind", "cells"), "row_ind").select(rank, "row_ind", "cells")
 
 
 def look_up(probes: DataFrame, database: DataFrame, probe_specs: list[str], database_specs: list[str]) -> DataFrame:
@@ -41,21 +42,22 @@ def sort_found_rows(found: DataFrame, rank: str = "rank") -> DataFrame:
 
 
 def log10_total(df: DataFrame, group: list[str], column: str) -> DataFrame:
-    """group columns and log10_sum: log10 of the sum of 10^column, scaled by each group's maximum; NaN if empty."""
-    if not group:
-        df = df.withColumn("_all", F.lit(1))
-    names = group or ["_all"]
-    top = df.groupBy(*names).agg(F.max(column).alias("_top"))
-    rows = df.join(top, names)
-    total = rows.groupBy(*names).agg(F.max("_top").alias("_top"), F.sum(F.pow(F.lit(10.0), F.col(column) - F.col("_top"))).alias("_sum"))
-    out = total.select(*group, F.coalesce(F.col("_top") + F.log10("_sum"), F.lit(float("nan"))).alias("log10_sum"))
-    return out
+    """group columns and log10_sum: log10 of the sum of 10^column, scaled so that nothing overflows; NaN if empty.
+
+    Sums are made for each whole part of the logarithm first, within the tasks, so a big group is no single task's.
+    """
+    whole = F.floor(column).cast("double")
+    part = df.groupBy(*group, whole.alias("_whole")).agg(F.sum(F.pow(F.lit(10.0), F.col(column) - whole)).alias("_sum"))
+    top = F.max("_whole").over(Window.partitionBy(*group))
+    total = part.withColumn("_top", top).groupBy(*group).agg(F.max("_top").alias("_top"), F.sum(F.col("_sum") * F.pow(F.lit(10.0), F.col("_whole") - F.col("_top"))).alias("_sum"))
+    return total.select(*group, F.coalesce(F.col("_top") + F.log10("_sum"), F.lit(float("nan"))).alias("log10_sum"))
 
 
 def widest(table: DataFrame, specs: list[str]) -> DataFrame:
-    """The longest text of each key column, in one row."""
+    """The longest text of each key column and the number of rows ``n``, in one row."""
     keys = colspec.keys(F.col("cells"), specs)
-    return table.select(*keys).agg(*(F.max(F.length(F.col(f"key{i}").cast("string"))).cast("long").alias(f"width{i}") for i in range(len(keys))))
+    longest = (F.max(F.length(F.col(f"key{i}").cast("string"))).cast("long").alias(f"width{i}") for i in range(len(keys)))
+    return table.select(*keys).agg(*longest, F.count("*").alias("n"))
 
 
 def distinct_best(scores: DataFrame, group: str, score: str, n: int, least: float) -> DataFrame:

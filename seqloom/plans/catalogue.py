@@ -107,7 +107,7 @@ SELECT row_number() OVER (ORDER BY substr(p_name, char_ind + 1), seq_ind, char_i
 
 @query(_SAFA)
 def safa(spark, sf_dir):
-    return suffix.build_direct(_parts(spark, sf_dir))
+    return suffix.build(_parts(spark, sf_dir))
 
 
 @query(_SAFA)
@@ -121,7 +121,7 @@ def mrgsa(spark, sf_dir):
     cut = seqs.agg((F.count("*") / 2).cast("long")).first()[0]
     own = seqs.select(F.col("place").alias("seq_ind"), "key", "seq")
     left, right = own.where(F.col("seq_ind") < cut), own.where(F.col("seq_ind") >= cut).withColumn("seq_ind", F.col("seq_ind") - cut)
-    merged, _ = suffix.merge(suffix.build_direct(left), left, suffix.build_direct(right), right)
+    merged, _ = suffix.merge(suffix.build(left), left, suffix.build(right), right)
     return merged.join(own.select("seq_ind", "key"), "seq_ind").select("rank", F.col("key").alias("seq_ind"), "char_ind")
 
 
@@ -134,7 +134,7 @@ SELECT rank, seq_ind, char_ind, array_to_string(list_transform(range(1, 5), lamb
 )
 def dumpsa(spark, sf_dir):
     seqs = _parts(spark, sf_dir)
-    return suffix.dump(suffix.build_direct(seqs), seqs, 4)
+    return suffix.dump(suffix.build(seqs), seqs, 4)
 
 
 # --- matches ------------------------------------------------------------------------------------------------------
@@ -298,7 +298,7 @@ def legacy_lookup(spark, sf_dir):
 def table_widths(spark, sf_dir):
     p = _t(spark, sf_dir, "part")
     table = tsv.from_columns(p, F.col("p_partkey"), F.col("p_name"), F.col("p_size"))
-    return tables.widest(table, ["0", "i1"]).crossJoin(table.agg(F.count("*").alias("n")))
+    return tables.widest(table, ["0", "i1"])
 
 
 # --- proteins, variants, reports ----------------------------------------------------------------------------------

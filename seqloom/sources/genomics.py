@@ -33,7 +33,7 @@ def sam(lines: DataFrame) -> DataFrame:
     checked = F.when(body & (F.size("c") < 11), fail("SAM entry has too few columns.")).when(
         body & (c(9) != "*") & (c(10) != "*") & (F.length(c(9)) != F.length(c(10))), fail("SAM sequence and quality differ in length.")
     )
-    rest = F.when(F.size("c") > 11, F.array_join(F.slice("c", 12, 1 << 20), "\t"))
+    rest = F.when(F.size("c") > 11, F.array_join(F.slice("c", F.lit(12), F.size("c")), "\t"))
     fields = {
         "name": star(0), "flag": to_long(c(1)).cast("int"), "ref": star(2), "pos": to_long(c(3)) - 1, "mapq": to_long(c(4)).cast("int"), "cigar": star(5), "next_ref": star(6),
         "next_pos": to_long(c(7)) - 1, "tlen": to_long(c(8)), "seq": star(9), "qual": star(10), "extra": rest,
@@ -144,8 +144,13 @@ def read_alignments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_sam(records: DataFrame, path: str) -> None:
-    """SAM text, always plain; headers first."""
-    sam_lines(records.orderBy(F.desc("is_header"))).write.text(path)
+    """SAM text, always plain: headers, then alignments, each in the order of ``records``.
+
+    Ranges of the order are written in parallel, by files whose names follow it.
+    """
+    n = max(1, int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = records.withColumns({"_body": ~F.col("is_header"), "_row": F.monotonically_increasing_id()})
+    sam_lines(rows.repartitionByRange(n, "_body", "_row").sortWithinPartitions("_body", "_row")).write.text(path)
 
 
 def gff3_to_bed(lines: DataFrame) -> DataFrame:

@@ -13,10 +13,15 @@ _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "\\": "\\"}
 def unescape(text: Column) -> Column:
     r"""Decode ``\n \t \r \\``; any other use of a backslash is an error."""
     bad = text.rlike(r"^(?:[^\\]|\\[ntr\\])*\\(?:[^ntr\\]|$)")
-    hidden = F.replace(text, F.lit("\\\\"), F.lit("\x00"))
-    for code in "ntr":
-        hidden = F.replace(hidden, F.lit(f"\\{code}"), F.lit(_ESCAPES[code]))
-    return F.when(bad, F.raise_error(F.concat(F.lit("Bad escape sequence: "), text)).cast("string")).otherwise(F.replace(hidden, F.lit("\x00"), F.lit("\\")))
+
+    def plain(part: Column) -> Column:
+        for code in "ntr":
+            part = F.replace(part, F.lit(f"\\{code}"), F.lit(_ESCAPES[code]))
+        return part
+
+    # backslashes in a row pair up from the left, so what lies between the pairs has single ones only
+    decoded = F.array_join(F.transform(F.split(text, r"\\\\", -1), plain), "\\")
+    return F.when(bad, F.raise_error(F.concat(F.lit("Bad escape sequence: "), text)).cast("string")).otherwise(decoded)
 
 
 def escape(text: Column) -> Column:

@@ -48,10 +48,11 @@ def with_rank(df: DataFrame, keys: list[Column | str], rank: str = "rank") -> Da
 
 
 def with_dense_rank(df: DataFrame, keys: list[str], rank: str = "rank") -> DataFrame:
-    """Like ``with_rank``, but rows with equal keys share a number and no number is left out."""
-    rows = _by_range(df, keys, "dense")
-    rows = rows.withColumn("_in", F.dense_rank().over(Window.partitionBy("_part").orderBy(*keys)) - 1)
-    sizes = rows.groupBy("_part").agg((F.max("_in") + 1).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("_part", before.alias("_before"))
-    return rows.join(F.broadcast(sizes), "_part").withColumn(rank, F.col("_before") + F.col("_in")).drop("_part", "_row", "_before", "_in")
+    """Like ``with_rank``, but rows with equal keys share a number and no number is left out.
+
+    The different keys are ranked and joined back, so rows with one key, however many, need not meet in a task.
+    """
+    rows = staged(df, "dense")
+    ranks = staged(with_rank(rows.select(*keys).distinct(), keys, "_rank").withColumnsRenamed({k: f"_key{i}" for i, k in enumerate(keys)}), "ranks")
+    same = [rows[k].eqNullSafe(ranks[f"_key{i}"]) for i, k in enumerate(keys)]
+    return rows.join(ranks, same).withColumn(rank, F.col("_rank")).drop("_rank", *(f"_key{i}" for i in range(len(keys))))

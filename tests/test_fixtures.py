@@ -1,8 +1,10 @@
 """Small cases worked out by hand."""
 
 import gzip
+import math
 import random
 import struct
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from seqloom.operators import align, alignments, digest, graphs, matches, protei
 from seqloom.sources import genomics, sequences
 from seqloom.sources import matches as match_files
 from seqloom.sources import tables as tsv
+from seqloom.staging import shared_dir, with_dense_rank
 
 FOUND = {(0, 0, 4, 6), (0, 1, 0, 2), (0, 1, 2, 4), (1, 0, 1, 2), (1, 0, 5, 6), (1, 1, 1, 2), (1, 1, 3, 4), (2, 1, 0, 3), (2, 1, 2, 5)}
 ARRAY = [(1, 4), (0, 3), (0, 4), (1, 2), (1, 0), (0, 5), (1, 3), (1, 1), (0, 1), (0, 0), (0, 2)]
@@ -49,6 +52,21 @@ def test_search_in_several_passes(spark, seqs, patterns, monkeypatch):
     assert {tuple(r) for r in search.find_scan(seqs, patterns).collect()} == FOUND
 
 
+def test_more_patterns_than_an_automaton_holds_never_reach_the_driver(spark, monkeypatch):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abä\U0001f600") for _ in range(rng.choice([0, 1, 7, 300]))) for _ in range(40)]
+    found_in = [(i, t) for i, t in enumerate(texts)] + [(50, None), (None, "abab")]
+    patterns = [(i, t[a : a + rng.choice([1, 2, 3, 5, 64, 65, 130])]) for i in range(120) for t in [rng.choice(texts)] for a in [rng.randrange(len(t) + 1)]]
+    patterns += [(200, "zz" * 40), (201, ""), (202, None), (203, "ab"), (204, "ab"), (None, "b")]
+    want = sorted(((k, i, a, a + len(p)) for k, p in patterns if p for i, t in found_in if t and i is not None for a in range(len(t)) if t.startswith(p, a)), key=str)
+    seqs, table = spark.createDataFrame(found_in, "seq_ind long, seq string"), spark.createDataFrame(patterns, "look_for long, pattern string")
+    monkeypatch.setattr(search, "AUTOMATON_CHARS", 10)
+    monkeypatch.setattr(search, "_scan", None)  # no automaton is built, and its patterns are not collected
+    got = search.find_scan(seqs, table)
+    assert sorted(map(tuple, got.collect()), key=str) == want and len(want) > 1000
+    assert search.find_scan(seqs.limit(0), table).count() == 0
+
+
 def test_search_null_empty_and_repeated(spark):
     seqs = spark.createDataFrame([(0, None), (1, ""), (2, "äbäb")], "seq_ind long, seq string")
     twice = spark.createDataFrame([(7, "äb"), (8, "äb")], "look_for long, pattern string")
@@ -423,6 +441,50 @@ def test_keyed_lines_and_people(spark):
     assert sorted(r.name for r in tsv.people(lines).collect()) == ["a 1", "a 3", "b 2"]
 
 
+def test_escapes_keep_every_character(spark):
+    texts = ["a\0b", "\\n", "\\\\t", "\\", "\n\t\r", "\0\\\0", "", "x\\y\\"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    back = df.select("i", tsv.unescape(tsv.escape(F.col("t"))).alias("t"), tsv.unescape(F.lit("\\\\n\\n\\\\")).alias("u"))
+    assert {r.i: r.t for r in back.collect()} == dict(enumerate(texts)) and back.first().u == "\\n\n\\"
+
+
+def test_sam_files_keep_their_order_in_all_tasks(spark):
+    lines = [f"r{i}\t0\t*\t1\t0\t*\t*\t0\t0\t*\t*" for i in range(3000)]
+    lines[1000:1000] = ["@HD\tVN:1", "@CO\tlater"]
+    path, df = f"{shared_dir(spark)}/{uuid.uuid4().hex}", spark.createDataFrame([(x,) for x in lines], "value string").repartition(1)
+    genomics.write_sam(genomics.sam(df), path)
+    rows = spark.read.text(path).select("value", "_metadata.file_name").collect()
+    files = {}
+    for r in rows:
+        files.setdefault(r.file_name, []).append(r.value)
+    assert len(files) > 2 and max(map(len, files.values())) < 2500
+    assert [x for f in sorted(files) for x in files[f]] == ["@HD\tVN:1", "@CO\tlater", *(x for x in lines if x[0] != "@")]
+
+
+def test_log_sums_of_hot_groups_and_extremes(spark):
+    rows = [("hot", -1.5)] * 5000 + [("wide", 300.0), ("wide", -300.0), ("low", float("-inf")), ("low", -2.0), ("none", None), (None, -1.0)]
+    df = spark.createDataFrame(rows, "g string, p double")
+    got = {r.g: r.log10_sum for r in tables.log10_total(df, ["g"], "p").collect()}
+    assert got["hot"] == pytest.approx(-1.5 + math.log10(5000)) and got["wide"] == pytest.approx(300) and got["low"] == pytest.approx(-2) and math.isnan(got["none"]) and got[None] == -1
+    assert math.isnan(tables.log10_total(df.limit(0), [], "p").first().log10_sum) and tables.log10_total(df.limit(0), ["g"], "p").count() == 0
+
+
+def test_range_joins_of_skewed_points(spark):
+    rng = random.Random(3)
+    points = [(i, rng.choice([0, 0, 0, 1, 5, 10**6]), rng.choice([7, 7, rng.randrange(100)])) for i in range(300)]
+    boxes = [(i, *(rng.choice([-1, rng.randrange(60)]) for _ in range(4)), i) for i in range(40)]
+    inside = lambda p, b: (b[1] < 0 or p[1] >= b[1]) and (b[2] < 0 or p[1] < b[2]) and (b[3] < 0 or p[2] >= b[3]) and (b[4] < 0 or p[2] < b[4])
+    want = {p[0]: max(((min(b[1:5]) >= 0, b[0]) for b in boxes if inside(p, b)), default=(0, None))[1] for p in points}
+    got = alignments.region_costs(spark.createDataFrame(points, "point_id long, a long, b long"), spark.createDataFrame(boxes, "region_id long, start_a long, end_a long, start_b long, end_b long, cost long"))
+    assert {r.point_id: r.cost for r in got.collect()} == want
+
+
+def test_dense_ranks_of_equal_keys(spark):
+    rows = [(None, 1), (None, 1), ("a", None), ("a", 2), ("a", 2), ("b", 0)] + [("hot", 1)] * 500
+    got = with_dense_rank(spark.createDataFrame(rows, "x string, y long"), ["x", "y"]).collect()
+    assert len(got) == len(rows) and {(r.x, r.y): r["rank"] for r in got} == {(None, 1): 0, ("a", None): 1, ("a", 2): 2, ("b", 0): 3, ("hot", 1): 4}
+
+
 def test_log_sums(spark):
     df = spark.createDataFrame([("a", -400.0), ("a", -400.0), ("b", -1.0)], "g string, p double")
     got = {r.g: r.log10_sum for r in tables.log10_total(df, ["g"], "p").collect()}
