@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.bitmaps import bitmap, maybe_in
+from seqloom.bitmaps import bitmap, maybe_in
 from seqloom.llm.bpe import digests
 from seqloom.llm.decontaminate import contaminated
 from seqloom.llm.language_id import in_a_language
