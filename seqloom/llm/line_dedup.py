@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .bitmaps import bitmap, held
+from ..bitmaps import bitmap, held
 from .scratch import Scratch, quoted
 from .textnum import chunks, mix, segment_hash, string_buffers
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bitmaps import bitmap, maybe_in
+from ..bitmaps import bitmap, maybe_in
 from .components import components
 from .scratch import Scratch
 from .textnum import mix, shingle_rows
