@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..staging import staged
 
+_NODE = ["graph_id", "node"]
+
 
 def flatten(jumps: DataFrame) -> DataFrame:
     """Sorted distinct jumps of (graph_id, src, dst); a target that nothing leaves gets a jump to itself."""
@@ -62,3 +64,49 @@ def topological_layers(edges: DataFrame) -> DataFrame:
         steps = after.drop("moved")
     only_start = (F.count("*") == 1) & (F.count("pred") == 0)
     return steps.groupBy("graph_id", "node").agg(F.when(only_start, F.max("n")).otherwise(F.lit(-1)).cast("long").alias("layer"))
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(graph_id, node, component): nodes that reach each other share the smallest of their numbers.
+
+    Nodes that are on no way between cycles are components of their own, which the layers tell.  Among the others every
+    node takes the smallest number that reaches it; those of its nodes that reach the owner of a number are its component
+    and go, until none is left.  The rounds follow the longest shortest way within the parts that have cycles.
+    """
+    links = staged(edges.where("graph_id is not null and src <> dst").select("graph_id", "src", "dst").distinct(), "links")
+    nodes = edges.select("graph_id", F.col("src").alias("node")).unionAll(edges.select("graph_id", F.col("dst").alias("node"))).where("graph_id is not null and node is not null").distinct()
+    nodes = staged(nodes, "nodes")
+    behind = topological_layers(links).where("layer < 0").select(*_NODE)
+    before = topological_layers(links.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).where("layer < 0").select(*_NODE)
+    rest = staged(behind.join(before, _NODE, "left_semi"), "cyclic")
+    out = nodes.join(rest, _NODE, "left_anti").withColumn("component", F.col("node"))
+    end = lambda name: rest.withColumnRenamed("node", name)
+    while not rest.isEmpty():
+        links = staged(links.join(end("src"), ["graph_id", "src"], "left_semi").join(end("dst"), ["graph_id", "dst"], "left_semi").select("graph_id", "src", "dst"), "links")
+        color, moved = rest.withColumns({"color": F.col("node"), "moved": F.lit(True)}), True
+        while moved:
+            sent = links.join(color.where("moved").select("graph_id", F.col("node").alias("src"), F.col("color").alias("sent")), ["graph_id", "src"])
+            low = sent.groupBy("graph_id", F.col("dst").alias("node")).agg(F.min("sent").alias("sent"))
+            color = staged(color.join(low, _NODE, "left").select(*_NODE, F.least("color", "sent").alias("color"), F.coalesce(F.col("sent") < F.col("color"), F.lit(False)).alias("moved")), "colors")
+            moved = not color.where("moved").isEmpty()
+        color = color.select(*_NODE, "color")
+        # back from each owner, along links of one color
+        same = links.join(color.toDF("graph_id", "src", "color"), ["graph_id", "src"]).join(color.toDF("graph_id", "dst", "color"), ["graph_id", "dst", "color"])
+        same = staged(same, "same")
+        edge = members = staged(color.where("node = color"), "members")
+        while not edge.isEmpty():
+            back = same.join(edge.select("graph_id", F.col("node").alias("dst"), "color"), ["graph_id", "dst", "color"]).select("graph_id", F.col("src").alias("node"), "color").distinct()
+            edge = staged(back.join(members, _NODE, "left_anti"), "edge")
+            members = staged(members.unionByName(edge), "members")
+        out = out.unionByName(members.withColumnRenamed("color", "component"))
+        rest = staged(rest.join(members, _NODE, "left_anti"), "cyclic")
+    return out
+
+
+def topological_order(edges: DataFrame) -> DataFrame:
+    """(graph_id, node, component, layer): every edge between components goes to a higher layer; a cycle's nodes share one."""
+    found = staged(strong_components(edges), "components")
+    at = lambda end: found.select("graph_id", F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
+    between = edges.join(at("src"), ["graph_id", "src"]).join(at("dst"), ["graph_id", "dst"]).where("c_src <> c_dst").select("graph_id", F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).distinct()
+    layers = topological_layers(staged(between, "between")).withColumnRenamed("node", "component")
+    return found.join(layers, ["graph_id", "component"], "left").select(*_NODE, "component", F.coalesce("layer", F.lit(0)).cast("long").alias("layer"))

@@ -27,6 +27,11 @@ def match_error(length: Column) -> Column:
     )
 
 
+def problems(matches: DataFrame, seqs: DataFrame) -> DataFrame:
+    """Matches with ``error``: what is wrong with them, null if nothing is."""
+    return _checked(matches, seqs, "seq").select(*matches.columns, match_error(F.length("seq")).alias("error"))
+
+
 def _or_raise(error: Column, value: Column) -> Column:
     return F.when(error.isNotNull(), F.raise_error(error).cast("string")).otherwise(value)
 

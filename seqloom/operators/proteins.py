@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.colspec import to_long
 from ..functions.genome import cigar_positions, differences, genome_location, near_differences
 
 
@@ -27,6 +28,44 @@ def variant_rollup(rows: DataFrame) -> DataFrame:
     return best.join(lists, "name").select("name", "cigar", "n_cigars", F.transform("l", lambda x: x["ind"]).alias("inds"), "difs")
 
 
+def _cell(value: Column) -> Column:
+    return F.coalesce(value.cast("string"), F.lit(""))
+
+
+def _between(cells: Column, start: str, end: str) -> Column:
+    """The cells between two marks; none if a mark is missing."""
+    low, high = F.array_position(cells, start), F.array_position(cells, end)
+    return F.when((low > 0) & (high > low), F.slice(cells, (low + 1).cast("int"), (high - low - 1).cast("int"))).otherwise(F.array().cast("array<string>"))
+
+
+def protein_cells(rows: DataFrame) -> DataFrame:
+    """(name, locs) -> (cells): the name, then chromosome, start, end and strand of each location between LOCS{ and }SCOL."""
+    quad = lambda x: F.array(x["chrom"], x["start"].cast("string"), x["end"].cast("string"), F.when(x["positive"], "+").otherwise("-"))
+    return rows.select(F.concat(F.array(F.col("name"), F.lit("LOCS{")), F.flatten(F.transform("locs", quad)), F.array(F.lit("}SCOL"))).alias("cells"))
+
+
+def parse_protein_cells(table: DataFrame) -> DataFrame:
+    """The inverse of ``protein_cells``; a strand is positive unless it is ``-``, cells short of a location are left out."""
+    rows = table.select(F.get("cells", F.lit(0)).alias("name"), _between(F.col("cells"), "LOCS{", "}SCOL").alias("l"))
+    part = lambda i, k: F.get("l", i * 4 + k)
+    loc = lambda i: F.struct(part(i, 0).alias("chrom"), to_long(part(i, 1)).alias("start"), to_long(part(i, 2)).alias("end"), (part(i, 3) != "-").alias("positive"))
+    n = F.floor(F.size("l") / 4).cast("int")
+    return rows.select("name", F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), loc)).otherwise(F.array().cast("array<struct<chrom:string,start:bigint,end:bigint,positive:boolean>>")).alias("locs"))
+
+
+def variant_cells(rows: DataFrame) -> DataFrame:
+    """(name, cigar, inds, difs) -> (cells): name and CIGAR, then individuals in INDS{ }SDNI and differences in DIFS{ }SFID."""
+    marks = lambda start, c, end: [F.array(F.lit(start)), F.transform(c, _cell), F.array(F.lit(end))]
+    return rows.select(F.concat(F.array(F.col("name"), _cell(F.col("cigar"))), *marks("INDS{", "inds", "}SDNI"), *marks("DIFS{", "difs", "}SFID")).alias("cells"))
+
+
+def parse_variant_cells(table: DataFrame) -> DataFrame:
+    """The inverse of ``variant_cells``; a missing CIGAR is ``???``, missing lists are empty."""
+    c = F.col("cells")
+    cigar = F.when((F.size(c) > 1) & ~F.get(c, F.lit(1)).isin("INDS{", "DIFS{"), F.get(c, F.lit(1))).otherwise("???")
+    return table.select(F.get(c, F.lit(0)).alias("name"), cigar.alias("cigar"), _between(c, "INDS{", "}SDNI").alias("inds"), _between(c, "DIFS{", "}SFID").alias("difs"))
+
+
 def protein_of(name: Column) -> Column:
     """A sequence's protein is its name up to the first underscore."""
     return F.split_part(name, F.lit("_"), F.lit(1))

@@ -666,7 +666,11 @@ def graph_neighbourhood(spark, sf_dir):
     return graphs.neighbourhood(edges, edges.select("graph_id", F.lit(500).cast("long").alias("node")), 2)
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT o_orderkey % 100 AS graph_id, o_orderkey % 8 AS src, o_orderkey % 8 + 1 + o_orderkey % 3 AS dst FROM orders),
+walk(graph_id, node, layer) AS (SELECT graph_id, src, CAST(0 AS BIGINT) FROM e UNION SELECT w.graph_id, e.dst, w.layer + 1 FROM walk w JOIN e ON e.graph_id = w.graph_id AND e.src = w.node)
+SELECT graph_id, node, max(layer) AS layer FROM walk GROUP BY 1, 2"""
+)
 def graph_layers(spark, sf_dir):
     n = F.col("o_orderkey")
     edges = _t(spark, sf_dir, "orders").select((n % 100).alias("graph_id"), (n % 8).alias("src"), (n % 8 + 1 + n % 3).alias("dst")).distinct()

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 MATCH = ("look_for", "found_in", "found_at", "found_to")
 
 
-def _records(spark: SparkSession, path: str, names: tuple[str, ...], error: str) -> DataFrame:
-    """Rows of big-endian 64-bit integers, with their number ``ord`` in the file; a file is one task."""
+def records(contents: DataFrame, names: tuple[str, ...], error: str) -> DataFrame:
+    """Rows of big-endian 64-bit integers, with their number ``ord`` in their file; contents (content) has a file a row."""
     width = 8 * len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -28,8 +28,11 @@ def _records(spark: SparkSession, path: str, names: tuple[str, ...], error: str)
                     cols = [pa.array(np.arange(lo, lo + len(part))), *(pa.array(np.ascontiguousarray(part[:, i])) for i in range(len(names)))]
                     yield pa.RecordBatch.from_arrays(cols, ["ord", *names])
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, ", ".join(f"{n} long" for n in ("ord", *names)))
+    return contents.select("content").mapInArrow(run, ", ".join(f"{n} long" for n in ("ord", *names)))
+
+
+def _records(spark: SparkSession, path: str, names: tuple[str, ...], error: str) -> DataFrame:
+    return records(spark.read.format("binaryFile").load(path), names, error)
 
 
 def read_matches(spark: SparkSession, path: str) -> DataFrame:
@@ -40,9 +43,26 @@ def read_suffix_array(spark: SparkSession, path: str) -> DataFrame:
     return _records(spark, path, ("seq_ind", "char_ind"), "Malformed combo file.").withColumnRenamed("ord", "rank")
 
 
+def record_bytes(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Rows with ``record``: the named columns as big-endian 64-bit integers."""
+    return rows.select("*", F.unhex(F.concat(*(F.lpad(F.hex(F.col(c)), 16, "0") for c in names))).alias("record"))
+
+
 def match_bytes(matches: DataFrame) -> DataFrame:
     """The record of each match as binary, 4 big-endian integers."""
-    return matches.select("*", F.unhex(F.concat(*(F.lpad(F.hex(F.col(c)), 16, "0") for c in MATCH))).alias("record"))
+    return record_bytes(matches, MATCH)
+
+
+def suffix_bytes(suffixes: DataFrame) -> DataFrame:
+    """The record of each place of a suffix array as binary, 2 big-endian integers."""
+    return record_bytes(suffixes, ("seq_ind", "char_ind"))
+
+
+def file_contents(rows: DataFrame, order: str, rows_per_file: int = 4096) -> DataFrame:
+    """(number, content): the records of ``rows`` joined in the order of a dense number, so many to a file."""
+    file = F.floor(F.col(order) / rows_per_file).cast("long").alias("number")
+    parts = rows.groupBy(file).agg(F.array_sort(F.collect_list(F.struct(order, "record"))).alias("r"))
+    return parts.select("number", F.unhex(F.array_join(F.transform("r", lambda x: F.hex(x["record"])), "")).alias("content"))
 
 
 def match_text(matches: DataFrame) -> DataFrame:

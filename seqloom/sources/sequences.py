@@ -103,6 +103,26 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("qual", F.lit(None).cast("array<double>"))
 
 
+def read_fastq(spark: SparkSession, path: str) -> DataFrame:
+    """FASTQ of four lines a record by Spark's own text reader, with seq_ind in the order of files and lines.
+
+    Large files are split and any file system is read: the lines are numbered over all tasks, and four make a record.
+    A record that is not whole is an error.
+    """
+    at = {"file": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start"), "row": F.monotonically_increasing_id()}
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.regexp_replace("value", "\r$", "").alias("line"), *(c.alias(k) for k, c in at.items()))
+    lines = with_rank(lines, ["file", "block", "row"], "number")
+    first = lines.groupBy("file").agg(F.min("number").alias("first"))
+    lines = lines.join(first, "file").withColumn("number", F.col("number") - F.col("first"))
+    four = lines.groupBy("file", F.floor(F.col("number") / 4).alias("record")).agg(F.array_sort(F.collect_list(F.struct("number", "line"))).alias("l"))
+    part = lambda i: F.get("l", F.lit(i))["line"]
+    good = (F.size("l") == 4) & part(0).startswith("@") & part(2).startswith("+") & (F.length(part(1)) == F.length(part(3))) & (F.trim(part(0).substr(F.lit(2), F.length(part(0)))) != "")
+    name = F.trim(part(0).substr(F.lit(2), F.length(part(0))))
+    checked = F.when(F.coalesce(good, F.lit(False)), name).otherwise(F.raise_error(F.concat(F.lit("Incomplete record "), F.coalesce(part(0), F.lit("")))).cast("string"))
+    rows = four.select("file", "record", checked.alias("name"), part(1).alias("seq"), part(3).alias("phred")).withColumn("short_name", F.regexp_extract("name", r"^(\S+)", 1))
+    return _finished(with_rank(rows, ["file", "record"], "seq_ind")).select("seq_ind", "name", "short_name", "seq", "qual")
+
+
 def record_text(name: Column, seq: Column, qual: Column) -> Column:
     fastq = F.concat(F.lit("@"), name, F.lit("\n"), seq, F.lit("\n+\n"), log10_to_phred(qual))
     return F.when(qual.isNotNull(), fastq).otherwise(F.concat(F.lit(">"), name, F.lit("\n"), seq))

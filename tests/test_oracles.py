@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from seqloom.plans import catalogue
+from seqloom.plans import catalogue, more  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents benchmark".split()
