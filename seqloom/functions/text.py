@@ -55,8 +55,8 @@ def hex_byte(cc: Column) -> Column:
 
 
 def phred_to_log10(quality: Column) -> Column:
-    """array<double> of log10 error probabilities of phred characters."""
-    return F.transform(F.split(quality, ""), lambda c: (F.ascii(c) - 33) / F.lit(-10.0))
+    """array<double> of log10 error probabilities of phred characters, none for an empty text."""
+    return F.transform(F.filter(F.split(quality, ""), lambda c: c != ""), lambda c: (F.ascii(c) - 33) / F.lit(-10.0))
 
 
 def log10_to_phred(values: Column) -> Column:

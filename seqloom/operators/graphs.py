@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +52,8 @@ def topological_layers(edges: DataFrame) -> DataFrame:
     steps = edges.where("graph_id is not null and src <> dst").select("graph_id", F.col("dst").alias("node"), F.col("src").alias("pred"), F.lit(1).cast("long").alias("n")).distinct()
     starts = nodes.join(steps.select("graph_id", "node").distinct(), ["graph_id", "node"], "left_anti")
     steps = staged(steps.unionByName(starts.select("graph_id", "node", F.lit(None).cast(steps.schema["pred"].dataType).alias("pred"), F.lit(0).cast("long").alias("n"))), "layer")
-    most, moved = nodes.count(), True  # a way of so many edges runs through a cycle: its step stays as it is
+    # a way of as many edges as a graph has nodes runs through a cycle: its step stays as it is
+    most, moved = nodes.groupBy("graph_id").count().agg(F.max("count")).first()[0] or 0, True
     while moved:
         single = steps.groupBy("graph_id", "node").agg(F.count("*").alias("_k"), F.first("pred").alias("_pred"), F.first("n").alias("_n")).where("_k = 1")
         single = single.select("graph_id", F.col("node").alias("pred"), "_pred", "_n")
@@ -69,9 +72,10 @@ def topological_layers(edges: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """(graph_id, node, component): nodes that reach each other share the smallest of their numbers.
 
-    Nodes that are on no way between cycles are components of their own, which the layers tell.  Among the others every
-    node takes the smallest number that reaches it; those of its nodes that reach the owner of a number are its component
-    and go, until none is left.  The rounds follow the longest shortest way within the parts that have cycles.
+    Nodes that are on no way between cycles are components of their own, which the layers tell.  Every other node takes the
+    smallest number that reaches it and the smallest that it reaches; where both are one, that is its component.  The
+    rest goes on by itself, without the edges between nodes of other pairs of numbers, until none is left.  The rounds of
+    a turn follow the longest shortest way within the parts that have cycles.
     """
     links = staged(edges.where("graph_id is not null and src <> dst").select("graph_id", "src", "dst").distinct(), "links")
     nodes = edges.select("graph_id", F.col("src").alias("node")).unionAll(edges.select("graph_id", F.col("dst").alias("node"))).where("graph_id is not null and node is not null").distinct()
@@ -79,28 +83,23 @@ def strong_components(edges: DataFrame) -> DataFrame:
     behind = topological_layers(links).where("layer < 0").select(*_NODE)
     before = topological_layers(links.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).where("layer < 0").select(*_NODE)
     rest = staged(behind.join(before, _NODE, "left_semi"), "cyclic")
-    out = nodes.join(rest, _NODE, "left_anti").withColumn("component", F.col("node"))
-    end = lambda name: rest.withColumnRenamed("node", name)
+    out = [nodes.join(rest, _NODE, "left_anti").withColumn("component", F.col("node"))]
+    rest = rest.withColumns({"f": F.lit(0).cast("long"), "b": F.lit(0).cast("long")})
     while not rest.isEmpty():
-        links = staged(links.join(end("src"), ["graph_id", "src"], "left_semi").join(end("dst"), ["graph_id", "dst"], "left_semi").select("graph_id", "src", "dst"), "links")
-        color, moved = rest.withColumns({"color": F.col("node"), "moved": F.lit(True)}), True
+        end = lambda name: rest.select("graph_id", F.col("node").alias(name), "f", "b")  # noqa: E731, B023
+        links = staged(links.join(end("src"), ["graph_id", "src"]).join(end("dst"), ["graph_id", "dst", "f", "b"]).select("graph_id", "src", "dst"), "links")
+        rest, moved = rest.select(*_NODE, F.col("node").alias("f"), F.col("node").alias("b"), F.lit(True).alias("moved")), True
         while moved:
-            sent = links.join(color.where("moved").select("graph_id", F.col("node").alias("src"), F.col("color").alias("sent")), ["graph_id", "src"])
-            low = sent.groupBy("graph_id", F.col("dst").alias("node")).agg(F.min("sent").alias("sent"))
-            color = staged(color.join(low, _NODE, "left").select(*_NODE, F.least("color", "sent").alias("color"), F.coalesce(F.col("sent") < F.col("color"), F.lit(False)).alias("moved")), "colors")
-            moved = not color.where("moved").isEmpty()
-        color = color.select(*_NODE, "color")
-        # back from each owner, along links of one color
-        same = links.join(color.toDF("graph_id", "src", "color"), ["graph_id", "src"]).join(color.toDF("graph_id", "dst", "color"), ["graph_id", "dst", "color"])
-        same = staged(same, "same")
-        edge = members = staged(color.where("node = color"), "members")
-        while not edge.isEmpty():
-            back = same.join(edge.select("graph_id", F.col("node").alias("dst"), "color"), ["graph_id", "dst", "color"]).select("graph_id", F.col("src").alias("node"), "color").distinct()
-            edge = staged(back.join(members, _NODE, "left_anti"), "edge")
-            members = staged(members.unionByName(edge), "members")
-        out = out.unionByName(members.withColumnRenamed("color", "component"))
-        rest = staged(rest.join(members, _NODE, "left_anti"), "cyclic")
-    return out
+            news = rest.where("moved")
+            on = links.join(news.select("graph_id", F.col("node").alias("src"), "f"), ["graph_id", "src"]).select("graph_id", F.col("dst").alias("node"), F.col("f").alias("new_f"), F.lit(None).cast("long").alias("new_b"))
+            back = links.join(news.select("graph_id", F.col("node").alias("dst"), "b"), ["graph_id", "dst"]).select("graph_id", F.col("src").alias("node"), F.lit(None).cast("long").alias("new_f"), F.col("b").alias("new_b"))
+            low = on.unionAll(back).groupBy(*_NODE).agg(F.min("new_f").alias("new_f"), F.min("new_b").alias("new_b"))
+            lower = F.coalesce(F.col("new_f") < F.col("f"), F.lit(False)) | F.coalesce(F.col("new_b") < F.col("b"), F.lit(False))
+            rest = staged(rest.join(low, _NODE, "left").select(*_NODE, F.least("f", "new_f").alias("f"), F.least("b", "new_b").alias("b"), lower.alias("moved")), "reach")
+            moved = not rest.where("moved").isEmpty()
+        out.append(rest.where("f = b").select(*_NODE, F.col("f").alias("component")))
+        rest = rest.where("f <> b").drop("moved")
+    return reduce(DataFrame.unionByName, out)
 
 
 def topological_order(edges: DataFrame) -> DataFrame:

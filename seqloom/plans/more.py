@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -222,6 +222,44 @@ def align_parsed_cost(spark, sf_dir):
     return al.align(pairs, cost)
 
 
+def _dp_sql(local: bool) -> str:
+    """Scores row by row of the tables: lists of the three states over b, gaps of 3 to open and 1 for each character."""
+    free = "greatest(x, 0)" if local else "x"
+    before = "greatest(m[j], greatest(gx[j], gy[j]))"  # close costs nothing
+    return f"""
+WITH RECURSIVE p AS (SELECT p_partkey AS pair_id, p_name AS a, p_brand AS b, length(p_brand) AS n FROM part),
+t(pair_id, a, b, n, i, m, gx, gy, best) AS (
+  SELECT pair_id, a, b, n, 0, list_transform(range(0, n + 1), lambda j: CAST(0 AS DOUBLE)), list_transform(range(0, n + 1), lambda j: CAST(-1e9 AS DOUBLE)),
+         list_transform(range(0, n + 1), lambda j: CAST(-1e9 AS DOUBLE)), CAST(0 AS DOUBLE) FROM p
+  UNION ALL
+  SELECT pair_id, a, b, n, i, m, gx,
+         list_transform(range(0, n + 1), lambda j: CASE WHEN j < 2 THEN CAST(CASE WHEN j = 1 THEN -4 ELSE -1e9 END AS DOUBLE)
+           ELSE list_max(list_transform(range(0, j), lambda k: greatest(m[k + 1], gx[k + 1]) - 3 - (j - k))) END),
+         {"greatest(best, list_max(m))" if local else "greatest(best, m[n + 1], CASE WHEN i = length(a) THEN list_max(m) ELSE -1e9 END)"}
+  FROM (
+    SELECT pair_id, a, b, n, i + 1 AS i, best,
+           list_transform(range(0, n + 1), lambda j: CASE WHEN j = 0 THEN CAST(0 AS DOUBLE) ELSE list_transform([{before}], lambda x: {free})[1] + CASE WHEN substr(a, i + 1, 1) = substr(b, j, 1) THEN 2 ELSE -1 END END) AS m,
+           list_transform(range(0, n + 1), lambda j: CASE WHEN j = 0 THEN CAST(-1e9 AS DOUBLE) ELSE greatest(gx[j + 1], greatest(m[j + 1], gy[j + 1]) - 3) - 1 END) AS gx
+    FROM t WHERE i < length(a)) s)
+SELECT pair_id, best AS score FROM t WHERE i = length(a)
+"""
+
+
+def _gapped(spark: SparkSession, sf_dir: str, ends: int) -> DataFrame:
+    pairs = _t(spark, sf_dir, "part").repartition(spark.sparkContext.defaultParallelism)
+    return al.align(pairs.select(F.col("p_partkey").alias("pair_id"), F.col("p_name").alias("a"), F.col("p_brand").alias("b")), al.Cost(2, -1, -3, -1, 0), ends)
+
+
+@query(_dp_sql(True))
+def align_local_score(spark, sf_dir):
+    return _gapped(spark, sf_dir, al.LOCAL)
+
+
+@query(_dp_sql(False))
+def align_semi_score(spark, sf_dir):
+    return _gapped(spark, sf_dir, al.SEMI)
+
+
 # --- graphs -------------------------------------------------------------------------------------------------------
 
 

@@ -522,3 +522,52 @@ def test_layers_of_deep_and_odd_graphs(spark):
     got = graphs.topological_layers(spark.createDataFrame(rows, "graph_id long, src long, dst long")).collect()
     assert len(got) == len(want) and {(r.graph_id, r.node): r.layer for r in got} == want
     assert want[0, 10_100] == 10_100 and want[1, 300] == 200 and want[2, 4] == want[3, 2] == -1
+
+
+def brute_order(edges):
+    """(node, component, layer) by reachability of a small graph."""
+    nodes = {x for e in edges for x in e}
+    reach = {n: {n} for n in nodes}
+    for _ in nodes:
+        for a, b in edges:
+            reach[a] |= reach[b]
+    comp = {n: min(m for m in nodes if m in reach[n] and n in reach[m]) for n in nodes}
+    layer = dict.fromkeys(comp.values(), 0)
+    for _ in nodes:
+        for a, b in edges:
+            if comp[a] != comp[b]:
+                layer[comp[b]] = max(layer[comp[b]], layer[comp[a]] + 1)
+    return {(n, comp[n], layer[comp[n]]) for n in nodes}
+
+
+def test_cycles_are_one_group_and_what_lies_behind_has_layers(spark):
+    rng = random.Random(6)
+    drawn = {g: [(rng.randrange(12), rng.randrange(12)) for _ in range(rng.choice([3, 10, 18]))] for g in range(12)}
+    drawn[100] = [(i, (i + 1) % 40) for i in range(40)] + [(7, 99), (99, 98), (98, 7), (98, 200), (300, 3), (5, 5)]
+    edges = spark.createDataFrame([(g, a, b) for g, es in drawn.items() for a, b in es] + [(None, 1, 2)], "graph_id long, src long, dst long")
+    got = graphs.topological_order(edges).collect()
+    assert {(r.graph_id, r.node, r.component, r.layer) for r in got} == {(g, *x) for g, es in drawn.items() for x in brute_order(es)} and len(got) == len(set(got))
+    assert graphs.topological_order(edges.limit(0)).count() == 0
+
+
+def test_fastq_by_lines(spark, tmp_path):
+    (tmp_path / "a.fq").write_text("@one x\nACGT\n+\n@@II\r\n@two\n\n+two\n\n@three\r\nA\r\n+\r\n+\r\n")
+    (tmp_path / "b.fq").write_text("@four\nAC\n+\n!~")
+    got = sequences.read_fastq(spark, str(tmp_path)).orderBy("seq_ind").collect()
+    assert [(r.seq_ind, r.name, r.short_name, r.seq) for r in got] == [(0, "one x", "one", "ACGT"), (1, "two", "two", ""), (2, "three", "three", "A"), (3, "four", "four", "AC")]
+    assert got[0].qual == pytest.approx([-3.1, -3.1, -4.0, -4.0]) and got[1].qual == []
+    for bad in ("@x\nAC\n+\nI\n", "@x\nAC\n+\n", "x\nAC\n+\nII\n", "@ \nA\n+\nI\n"):
+        (tmp_path / "bad").mkdir(exist_ok=True)
+        (tmp_path / "bad" / "c.fq").write_text(bad)
+        fails(spark, sequences.read_fastq(spark, str(tmp_path / "bad")), "Incomplete record")
+
+
+def test_protein_and_variant_text(spark):
+    cells = [["P1", "LOCS{", "chr1", "5", "9", "-", "chr2", "x", "3", "?", "}SCOL"], ["P2", "LOCS{", "}SCOL"], ["P3"], ["P4", "LOCS{", "chr1", "5", "}SCOL"]]
+    rows = spark.createDataFrame([(c,) for c in cells], "cells array<string>")
+    got = {r.name: [tuple(x) for x in r.locs] for r in proteins.parse_protein_cells(rows).collect()}
+    assert got == {"P1": [("chr1", 5, 9, False), ("chr2", 0, 3, True)], "P2": [], "P3": [], "P4": []}
+    cells = [["V1", "5M", "INDS{", "a", "b", "}SDNI", "DIFS{", "d", "}SFID"], ["V2", "4M", "INDS{", "a", "}SDNI"], ["V3"], ["V4", "INDS{", "}SDNI", "DIFS{", "}SFID"]]
+    rows = proteins.parse_variant_cells(spark.createDataFrame([(c,) for c in cells], "cells array<string>"))
+    assert sorted((r.name, r.cigar, r.inds, r.difs) for r in rows.collect()) == [("V1", "5M", ["a", "b"], ["d"]), ("V2", "4M", ["a"], []), ("V3", "???", [], []), ("V4", "???", [], [])]
+    assert [r.cells for r in proteins.variant_cells(rows.where("name = 'V1'")).collect()] == [["V1", "5M", "INDS{", "a", "b", "}SDNI", "DIFS{", "d", "}SFID"]]
