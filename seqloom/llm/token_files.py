@@ -75,30 +75,36 @@ class PartEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _stem(self, stem: bytes) -> bytes | None:
-        text = stem.decode()
-        if not stem.isascii():
-            text = self.tok.normalizer.normalize_str(text)
-            if text.isalpha():
-                return np.array([t.id for t in self.tok.model.tokenize(text.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
-        elif stem.isalpha():
-            return np.array([t.id for t in self.tok.model.tokenize(text.lower())], "<u4").tobytes()
-        return None
+        """Of letters that are not all ASCII."""
+        text = "" if stem.isascii() else self.tok.normalizer.normalize_str(stem.decode())
+        if not text.isalpha():
+            return None
+        ids = [t.id for t in self.tok.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _parts(self, parts: list[bytes]) -> list[bytes]:
         out: list = [None] * len(parts)
         stems: dict[bytes, bytes | None] = {}
-        left, tails = [], {}
+        left, tails, tokenize, pack = [], {b"": b""}, self.tok.model.tokenize, struct.pack
         for i, part in enumerate(parts):
             stem = part.rstrip(b".,")
-            if stem not in stems:
-                stems[stem] = self._stem(stem)
-            if (head := stems[stem]) is None:
+            head = stems.get(stem, b"")
+            if head == b"":  # not met yet, or nothing but full stops and commas
+                if stem.isalpha():  # ASCII letters
+                    ids = [t.id for t in tokenize(stem.lower().decode())]
+                    head = pack(f"<{len(ids)}I", *ids)
+                else:
+                    head = self._stem(stem)
+                stems[stem] = head
+            if head is None:
                 left.append(i)
-                continue
-            tail = part[len(stem) :]
-            if tail not in tails:
-                tails[tail] = self._library([tail.decode()])[0]
-            out[i] = head + tails[tail]
+            elif len(stem) == len(part):
+                out[i] = head
+            else:
+                tail = part[len(stem) :]
+                if tail not in tails:
+                    tails[tail] = self._library([tail.decode()])[0]
+                out[i] = head + tails[tail]
         for i, ids in zip(left, self._library([parts[i].decode() for i in left]) if left else [], strict=True):
             out[i] = ids
         return out
