@@ -219,9 +219,9 @@ class FileReader:
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = None, partitions: int | None = None) -> None:
     """Encode every text and write the files below ``path``.
 
-    Null text is empty; null ids come first; rows with equal ids are all written, in the order of their texts' first 256
-    characters.  The texts are dealt out by ranges of doc_id, and of texts and rows where one id has very many, so a
-    partition's ids are consecutive and its memory is one file's.
+    Null text is empty; null ids come first; rows with equal ids are all written, in the order of a hash of their texts.
+    The texts are dealt out by ranges of doc_id, and of hashes and rows where one id has very many, so a partition's ids
+    are consecutive and its memory is one file's.
     """
     spark = docs.sparkSession
     importable(spark)
@@ -245,7 +245,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         if out.ids:
             yield done()
 
-    order = {"doc_id": F.col("doc_id"), "head": F.left("text", F.lit(256)), "hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()}
+    order = {"doc_id": F.col("doc_id"), "hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()}
     dealt = docs.withColumns(order).repartitionByRange(partitions, *order).sortWithinPartitions(*order)
     files = dealt.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "content binary").select(F.col("content").cast("string").alias("value"))
     files.write.option("encoding", "ISO-8859-1").option("lineSep", SEEKABLE_MAGIC.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
