@@ -33,19 +33,23 @@ _SKIP_INDEX, _SKIP_TABLE = 0x184D2A50, 0x184D2A5E
 #: Uncompressed bytes after which a frame or a file is closed; a longer document has a frame or file of its own.
 FRAME_BYTES, FILE_BYTES = 1 << 18, 32 << 20
 
-#: Tokenizer settings under which a text's ids are those of its parts between spaces, and those of a run of letters are
-#: the model's: white space is dropped, letters are lower-cased and stand alone, other signs stand together.
+#: Tokenizer settings under which a text's ids are those of its parts between white space, and those of a run of letters
+#: are the model's: white space is dropped, letters are lower-cased and stand alone, other signs stand together.
 _NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
+#: ASCII signs that are neither letters, digits nor white space: behind a run of letters they are a token run of their own.
+_SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+
 _LOADED: dict = {}
 
 
 class PartEncoder:
     """Ids, as bytes, of texts by the tokenizers library.
 
-    If the tokenizer's settings allow it (see above), texts are cut at spaces and a memo holds what the library gave for
-    each part; a new part that is a run of letters and perhaps full stops and commas goes straight to the library's model.
+    If the tokenizer's settings allow it (see above), texts are cut at ASCII white space and a memo holds what the library
+    gave for each part; a new part that is a run of letters and perhaps ASCII signs goes straight to the library's model,
+    after the library's normalizer, in one call for many parts, where letters are not all ASCII.
     """
 
     def __init__(self, path: str):
@@ -62,8 +66,8 @@ class PartEncoder:
             (setting.get("normalizer") or {}).get("normalizers") == _NORMALIZERS
             and steps[0].get("pattern") == {"Regex": _SPLIT}
             and [s.get("type") for s in steps] == ["Split", "ByteLevel"]
-            and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in setting["added_tokens"])
-            and not any(t["content"].isalnum() for t in setting["added_tokens"])
+            and not any(t["content"].split() != [t["content"]] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in setting["added_tokens"])
+            and not any(t["content"][:1].isalnum() for t in setting["added_tokens"])
         )
         self.marks = sorted({t["content"][:2].lower().encode() for t in setting["added_tokens"]})
         # bytes that the byte-level alphabet writes as other characters than latin-1 does
@@ -74,40 +78,35 @@ class PartEncoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _stem(self, stem: bytes) -> bytes | None:
-        """Of letters that are not all ASCII."""
-        text = "" if stem.isascii() else self.tok.normalizer.normalize_str(stem.decode())
-        if not text.isalpha():
-            return None
-        ids = [t.id for t in self.tok.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
+    def _model(self, text: str) -> bytes:
+        ids = [t.id for t in self.tok.model.tokenize(text)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _parts(self, parts: list[bytes]) -> list[bytes]:
-        out: list = [None] * len(parts)
-        stems: dict[bytes, bytes | None] = {}
-        left, tails, tokenize, pack = [], {b"": b""}, self.tok.model.tokenize, struct.pack
-        for i, part in enumerate(parts):
-            stem = part.rstrip(b".,")
-            head = stems.get(stem, b"")
-            if head == b"":  # not met yet, or nothing but full stops and commas
-                if stem.isalpha():  # ASCII letters
-                    ids = [t.id for t in tokenize(stem.lower().decode())]
-                    head = pack(f"<{len(ids)}I", *ids)
-                else:
-                    head = self._stem(stem)
-                stems[stem] = head
-            if head is None:
-                left.append(i)
-            elif len(stem) == len(part):
-                out[i] = head
+    def _stems(self, stems: list[bytes]) -> Iterator[bytes | None]:
+        """Ids of each run of letters; None for what is none."""
+        odd = [s for s in stems if not s.isascii()]
+        normal = self.tok.normalizer.normalize_str(b" ".join(odd).decode()).split(" ")
+        if len(normal) != len(odd):  # white space beyond ASCII
+            normal = [self.tok.normalizer.normalize_str(s.decode()) for s in odd]
+        texts = iter(normal)
+        for s in stems:
+            if s.isascii():
+                yield self._model(s.lower().decode()) if s.isalpha() else None
             else:
-                tail = part[len(stem) :]
-                if tail not in tails:
-                    tails[tail] = self._library([tail.decode()])[0]
-                out[i] = head + tails[tail]
-        for i, ids in zip(left, self._library([parts[i].decode() for i in left]) if left else [], strict=True):
-            out[i] = ids
-        return out
+                text = next(texts)
+                yield self._model(text.encode().decode("latin-1").translate(self.letters)) if text.isalpha() else None
+
+    def _parts(self, parts: list[bytes]) -> list[bytes]:
+        cut = [p.rstrip(_SIGNS) for p in parts]
+        stems, known = set(cut) - {b""}, self.memo.known
+        heads = {s: known[s] for s in stems if s in known and s.isalpha()}
+        stems = list(stems.difference(heads))
+        heads |= zip(stems, self._stems(stems), strict=True)
+        tails = list({p[len(s) :] for p, s in zip(parts, cut, strict=True) if len(s) < len(p)})
+        ends = dict(zip(tails, self._library([t.decode() for t in tails]) if tails else [], strict=True)) | {b"": b""}
+        left = [p for p, s in zip(parts, cut, strict=True) if s and heads[s] is None]
+        whole = dict(zip(left, self._library([p.decode() for p in left]) if left else [], strict=True))
+        return [whole[p] if p in whole else heads.get(s, b"") + ends[p[len(s) :]] for p, s in zip(parts, cut, strict=True)]
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         if not self.by_part:
@@ -115,7 +114,7 @@ class PartEncoder:
             return
         # A-Z may be lower-cased before the rest unless a combining mark or an added token could make a difference
         plain = [b"\xcc" not in t and b"\xcd" not in t and not any(m in t for m in self.marks) for t in texts]
-        parts = [(t.lower() if ok else t).split(b" ") for t, ok in zip(texts, plain, strict=True)]
+        parts = [(t.lower() if ok else t).split() for t, ok in zip(texts, plain, strict=True)]
         known = self.memo.lookup(parts)
         for p in parts:
             yield b"".join(map(known.__getitem__, p))

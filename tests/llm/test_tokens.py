@@ -132,6 +132,15 @@ def test_part_encoder_is_the_library():
     assert list(e.encode([t.encode() for t in texts])) == want
 
 
+def test_part_encoder_on_random_signs():
+    e, rng = token_files.PartEncoder(WORDS), random.Random(5)
+    signs = ["a", "É", "\u0130", "ß", "ﬁ", "Σ", "ς", "\u0301", "\u0338", "=", "<", "!", "'", "'s", "’", " ", "\n", "\t", "\x0b", "\r", "\x1c", "\x85", "\u00a0", "\u3000"]
+    signs += ["1", "²", "<|endoftext|>", "<|EndOfText|>", "|", ".", ",", "_", "中", "\u1112", "\u1161", "\x00", "word", "The", "&&&", "\u0345"]
+    for _ in range(30):
+        texts = ["".join(rng.choices(signs, k=rng.choice([0, 1, 2, 3, 8, 40]))) for _ in range(100)]
+        assert list(e.encode([t.encode() for t in texts])) == e._library(texts)
+
+
 def test_files_round_trip(spark, docs, monkeypatch):
     from tokenizers import Tokenizer
 
