@@ -66,11 +66,8 @@ def mangled(cost: Cost, pair_scripts: dict[tuple[str, str], str], open_script: s
     return Cost(cost.match, cost.mismatch, mangle(int(cost.open), open_script), mangle(int(cost.extend), extend_script), mangle(int(cost.close), close_script), pairs)
 
 
-def change_costs(cost: Cost, text: str) -> Cost:
-    """Lines ``~ x y script`` for a pair of characters and ``Go script``, ``Gx script``, ``Gc script`` for the gap costs.
-
-    A script is as in ``mangle``; what is named twice is an error.
-    """
+def parse_changes(text: str) -> tuple[dict[tuple[str, str], str], dict[str, str]]:
+    """Scripts by pair of characters (``~ x y script``) and by gap cost (``Go script``, ``Gx script``, ``Gc script``), a line each."""
     pairs: dict[tuple[str, str], str] = {}
     gaps: dict[str, str] = {}
     for line in filter(None, map(str.strip, text.splitlines())):
@@ -83,7 +80,14 @@ def change_costs(cost: Cost, text: str) -> Cost:
             raise ValueError(f"Malformed cost change: {line}")
         if key in where:
             raise ValueError(f"Changed twice: {line}")
+        mangle(0, " ".join(script))  # raises if malformed
         where[key] = " ".join(script)
+    return pairs, gaps
+
+
+def change_costs(cost: Cost, text: str) -> Cost:
+    """``cost`` after the scripts of ``parse_changes``, each as in ``mangle``; what is named twice is an error."""
+    pairs, gaps = parse_changes(text)
     return mangled(cost, pairs, gaps.get("Go", ""), gaps.get("Gx", ""), gaps.get("Gc", ""))
 
 

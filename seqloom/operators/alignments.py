@@ -42,12 +42,13 @@ def _in_boxes(points: DataFrame, boxes: DataFrame, x: tuple[str, str, str], y: t
 def region_costs(points: DataFrame, regions: DataFrame) -> DataFrame:
     """points (point_id, a, b) with the cost of the region of the highest priority that holds them, null if none does.
 
-    regions (region_id, start_a, end_a, start_b, end_b, cost): half-open, -1 is open.  A region with four closed bounds
-    has priority over others; among equals the larger region_id wins.
+    regions (region_id, start_a, end_a, start_b, end_b, cost): half-open, -1 is open.  The priority is that of a column
+    ``priority``; without one a region with four closed bounds goes before others.  Among equals the larger region_id wins.
     """
     closed = (F.col("start_a") >= 0) & (F.col("end_a") >= 0) & (F.col("start_b") >= 0) & (F.col("end_b") >= 0)
     inside = "(start_a < 0 or a >= start_a) and (end_a < 0 or a < end_a) and (start_b < 0 or b >= start_b) and (end_b < 0 or b < end_b)"
-    rows = _in_boxes(points, regions.withColumn("priority", F.when(closed, 1).otherwise(0)), ("a", "start_a", "end_a"), ("b", "start_b", "end_b"), False).where(inside)
+    priority = F.col("priority") if "priority" in regions.columns else F.when(closed, 1).otherwise(0)
+    rows = _in_boxes(points, regions.withColumn("priority", priority), ("a", "start_a", "end_a"), ("b", "start_b", "end_b"), False).where(inside)
     best = rows.groupBy("point_id").agg(F.max_by("cost", F.struct("priority", "region_id")).alias("cost"))
     return points.select("point_id").distinct().join(best, "point_id", "left")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import align as al
-from ..operators import alignments, graphs, matches, proteins, search, suffix
+from ..operators import alignments, costs, graphs, matches, proteins, search, suffix
 from ..sources import genomics
 from ..sources import matches as match_files
 from ..sources import sequences, tables as tsv
@@ -274,6 +274,31 @@ def graph_read(spark, sf_dir):
     return read.select("graph_id", "chars", F.array_join(F.transform("jumps", show), " ").alias("jumps"))
 
 
+_REGION_SETS = "R0 3 1 0 0 1 0 10 -1 -1 2 1 0 0 | R1 3 1 0 0 1 5 20 2 6 1 1 0 0 |"
+_MANGLE_SETS = "r R0\nq 0 9\nGo + 5\nQ\nP 4 8\nq 0 20\nGo * 2\nQ\nR\nr R1\nq 10 30\nGo - 7\nQ\nR\n"
+
+
+@query(
+    """WITH pos AS (SELECT p_partkey AS read_id, 'R' || (p_size % 2) AS ref, i - 1 AS b, ascii(substr(p_name, i, 1)) % 40 AS q FROM part, unnest(range(1, length(p_name) + 1)) AS t(i)),
+cuts(ref, region_id, start_a, end_a, start_b, end_b, lo, hi, times, plus, open) AS (VALUES
+('R0', 0, -1, 4, 0, 9999, 0, 9, 1, 5, 3), ('R0', 0, 4, 8, 0, 9999, 0, 20, 2, 0, 3), ('R0', 0, 8, -1, 0, 9999, 0, 9, 1, 5, 3),
+('R0', 1, 0, 4, 0, 9999, 0, 9, 1, 5, 2), ('R0', 1, 4, 8, 0, 9999, 0, 20, 2, 0, 2), ('R0', 1, 8, 10, 0, 9999, 0, 9, 1, 5, 2),
+('R1', 0, -1, -1, 0, 9999, 10, 30, 1, -7, 3), ('R1', 1, 5, 20, 2, 6, 10, 30, 1, -7, 1))
+SELECT read_id, CAST(region_id AS BIGINT) AS region_id, CAST(start_a AS BIGINT) AS start_a, CAST(end_a AS BIGINT) AS end_a, count(*) AS places,
+CAST(sum(CASE WHEN q BETWEEN lo AND hi THEN open * times + plus ELSE open END) AS BIGINT) AS total
+FROM pos JOIN cuts USING (ref) WHERE b >= start_b AND b < end_b GROUP BY ALL"""
+)
+def quality_regions(spark, sf_dir):
+    part = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("read_id"), F.concat(F.lit("R"), F.col("p_size") % 2).alias("ref"), "p_name")
+    chars = F.transform(F.sequence(F.lit(1), F.length("p_name")), lambda i: F.ascii(F.col("p_name").substr(i, F.lit(1))) % 40)
+    reads = part.where("p_name <> ''").withColumn("quals", chars)
+    regions = spark.createDataFrame(costs.parse_region_sets(_REGION_SETS), costs.REGIONS)
+    rows = costs.quality_regions(reads, regions, spark.createDataFrame(costs.parse_mangle_sets(_MANGLE_SETS), costs.STRETCHES))
+    rows = rows.join(reads.select("read_id", F.size("quals").alias("n")), "read_id").where("start_b < n")
+    size = F.col("end_b") - F.col("start_b")
+    return rows.groupBy("read_id", "region_id", "start_a", "end_a").agg(F.sum(size).alias("places"), F.sum(size * F.col("costs")["open"]).alias("total"))
+
+
 def _order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A graph for each order: its lines lead on to later numbers, and some of them back."""
     li = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("graph_id"), F.col("l_linenumber").cast("long").alias("a"), (F.col("l_linenumber") + 1 + F.col("l_partkey") % 3).alias("b"), (F.col("l_suppkey") % 4 == 0).alias("back"))
