@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import gzip
 import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.colspec import to_long
+from ..staging import staged
+from . import bgzf
 from .tables import format_line, parse_line
 
 SAM_FIELDS = ("name", "flag", "ref", "pos", "mapq", "cigar", "next_ref", "next_pos", "tlen", "seq", "qual", "extra")
@@ -84,58 +85,212 @@ def _tags(raw: bytes) -> Iterator[tuple[str, str, str]]:
             raise ValueError(f"Unknown BAM tag type {kind}.")
 
 
-def bam_records(data: bytes) -> Iterator[tuple]:
-    """Rows of SAM_SCHEMA of an uncompressed BAM stream."""
-    if data[:4] != b"BAM\1":
+def _bam_header(data: bytes) -> tuple[list[str], list[str], int] | None:
+    """(text lines, names of references, size) of the header of a BAM stream, None if ``data`` ends before it does."""
+    if data[:4] != b"BAM\1"[: len(data)]:
         raise ValueError("Not a BAM file.")
-    (size,) = struct.unpack_from("<i", data, 4)
-    for line in data[8 : 8 + size].rstrip(b"\0").decode().splitlines():
-        yield (True, line, *[None] * 12)
-    at = 8 + size
-    (n_ref,) = struct.unpack_from("<i", data, at)
-    at, refs = at + 4, []
-    for _ in range(n_ref):
-        (n,) = struct.unpack_from("<i", data, at)
-        refs.append(data[at + 4 : at + 3 + n].decode())
-        at += 8 + n
+    try:
+        (size,) = struct.unpack_from("<i", data, 4)
+        (n_ref,) = struct.unpack_from("<i", data, 8 + size)
+        at, refs = 12 + size, []
+        for _ in range(n_ref):
+            (n,) = struct.unpack_from("<i", data, at)
+            struct.unpack_from("<i", data, at + 4 + n)
+            refs.append(data[at + 4 : at + 3 + n].decode())
+            at += 8 + n
+    except struct.error:
+        return None
+    return data[8 : 8 + size].rstrip(b"\0").decode().splitlines(), refs, at
+
+
+def _bam_record(data: bytes, at: int, refs: list[str]) -> tuple:
+    """A row of SAM_SCHEMA."""
     name_of = lambda i: None if i < 0 else refs[i]
-    while at < len(data):
-        (block,) = struct.unpack_from("<i", data, at)
-        ref, pos, n_name, mapq, _, n_ops, flag, n_seq, next_ref, next_pos, tlen = struct.unpack_from("<iiBBHHHiiii", data, at + 4)
-        p = at + 36
-        name = data[p : p + n_name - 1].decode()
-        p += n_name
-        ops = struct.unpack_from(f"<{n_ops}I", data, p)
-        p += 4 * n_ops
-        packed = data[p : p + (n_seq + 1) // 2]
-        p += len(packed)
-        qual = data[p : p + n_seq]
-        p += n_seq
-        seq = "".join(_BASES[b >> 4] + _BASES[b & 15] for b in packed)[:n_seq]
-        tags = list(_tags(data[p : at + 4 + block]))
-        long_ops = next((v.split(",")[1:] for t, k, v in tags if t == "CG" and k == "B"), None)
-        cigar = "".join(f"{o >> 4}{_OPS[o & 15]}" for o in (map(int, long_ops) if long_ops else ops))
-        extra = "\t".join(f"{t}:{k}:{v}" for t, k, v in tags if not (long_ops and t == "CG"))
-        text = None if n_seq == 0 or qual[:1] == b"\xff" else bytes(q + 33 for q in qual).decode()
-        none = lambda s: None if s in ("", "*") else s
-        same = name_of(next_ref)
-        yield (False, None, none(name), flag, name_of(ref), pos, mapq, none(cigar), same, next_pos, tlen, none(seq), text, extra or None)
-        at += 4 + block
+    (block,) = struct.unpack_from("<i", data, at)
+    ref, pos, n_name, mapq, _, n_ops, flag, n_seq, next_ref, next_pos, tlen = struct.unpack_from("<iiBBHHHiiii", data, at + 4)
+    p = at + 36
+    name = data[p : p + n_name - 1].decode()
+    p += n_name
+    ops = struct.unpack_from(f"<{n_ops}I", data, p)
+    p += 4 * n_ops
+    packed = data[p : p + (n_seq + 1) // 2]
+    p += len(packed)
+    qual = data[p : p + n_seq]
+    p += n_seq
+    seq = "".join(_BASES[b >> 4] + _BASES[b & 15] for b in packed)[:n_seq]
+    tags = list(_tags(data[p : at + 4 + block]))
+    long_ops = next((v.split(",")[1:] for t, k, v in tags if t == "CG" and k == "B"), None)
+    cigar = "".join(f"{o >> 4}{_OPS[o & 15]}" for o in (map(int, long_ops) if long_ops else ops))
+    extra = "\t".join(f"{t}:{k}:{v}" for t, k, v in tags if not (long_ops and t == "CG"))
+    text = None if n_seq == 0 or qual[:1] == b"\xff" else bytes(q + 33 for q in qual).decode()
+    none = lambda s: None if s in ("", "*") else s
+    return (False, None, none(name), flag, name_of(ref), pos, mapq, none(cigar), name_of(next_ref), next_pos, tlen, none(seq), text, extra or None)
+
+
+def _record_end(data: bytes, at: int) -> int | None:
+    """Where the record ends that may start at ``at``; None if none can."""
+    if at + 36 > len(data):
+        return None
+    block, ref, pos, n_name, _, _, n_ops, _, n_seq, next_ref, next_pos, _ = struct.unpack_from("<iiiBBHHHiiii", data, at)
+    fits = n_name > 0 and n_seq >= 0 and block >= 32 + n_name + 4 * n_ops + (n_seq + 1) // 2 + n_seq and min(ref, pos, next_ref, next_pos) >= -1
+    name = data[at + 36 : at + 36 + n_name]
+    return at + 4 + block if fits and (len(name) < n_name or name[-1] == 0) else None
+
+
+def _likely_start(data: bytes) -> int:
+    """The first place from which three records follow one another, or all that there are."""
+    for at in range(len(data)):
+        end, n = _record_end(data, at), 1
+        while end is not None and n < 3 and end + 36 <= len(data):
+            end, n = _record_end(data, end), n + 1
+        if end is not None:
+            return at
+    return len(data)
+
+
+_PART = ["file", "split", "part"]
+_WALK = "file string, split long, part long, entry long, exit long, good boolean"
+
+
+def _walk(blocks: DataFrame) -> DataFrame:
+    """``entry`` and ``exit`` of parts: where the first record starts whose size ends in the part, and where the last one
+    ends; not ``good`` where something else than records follows the entry.  Rows have ``before``, the three bytes in front
+    of the part, and ``entry``, null where it has to be guessed."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("inner")
+        first = {c: t.column(c)[0].as_py() for c in [*_PART, "base", "entry", "before"]}
+        data = first["before"] + bgzf.unpacked(t.column("z").to_pylist())
+        start = first["base"] - len(first["before"])
+        at = _likely_start(data) if first["entry"] is None else first["entry"] - start
+        entry, good = at, True
+        while good and at + 4 <= len(data):
+            step = struct.unpack_from("<i", data, at)[0]
+            good = step >= 32
+            at += 4 + step if good else 0
+        types = [("file", pa.string()), *((c, pa.int64()) for c in ("split", "part", "entry", "exit")), ("good", pa.bool_())]
+        return pa.table([[first[c]] for c in _PART] + [[start + entry], [start + at], [good]], schema=pa.schema(types))
+
+    return blocks.groupBy(*_PART).applyInArrow(run, _WALK)
+
+
+def _bam_heads(blocks: DataFrame, parts: DataFrame) -> DataFrame:
+    """(file, lines, refs, end): the header of each file, one unit of work; files are read as far as their headers go."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("base", "ascending"), ("inner", "ascending")])
+        head = _bam_header(bgzf.unpacked(t.column("z").to_pylist()))
+        lines, refs, end = head or ([], [], None)
+        types = [pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int64()]
+        return pa.table([pa.array([v], k) for v, k in zip((t.column("file")[0].as_py(), lines, refs, end), types, strict=True)], names=["file", "lines", "refs", "end"])
+
+    done, upto = None, 1 << 16
+    size = parts.groupBy("file").agg(F.max(F.col("base") + F.col("size")).alias("all"))
+    while True:
+        some = blocks.join(parts.where(F.col("base") < upto).select(*_PART, "base", "least"), _PART).where(F.col("base") + F.col("inner") - F.col("least") < upto)
+        some = some if done is None else some.join(done.where("end is null").select("file"), "file")
+        new = staged(some.groupBy("file").applyInArrow(run, "file string, lines array<string>, refs array<string>, end long"), "bam-heads")
+        done = new if done is None else done.where("end is not null").unionByName(new)
+        left = done.where("end is null")
+        if left.isEmpty():
+            return done
+        if not left.join(size.where(F.col("all") <= upto), "file").isEmpty():
+            raise ValueError("A BAM file ends within its header.")
+        upto *= 16
 
 
 def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """Records of BAM files, a task for each; memory is one uncompressed file."""
+    """Headers, then the records of BAM files in their order (rows of SAM_SCHEMA).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["is_header", "header", *SAM_FIELDS]
-        types = [pa.bool_(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+    Parts of 256 blocks (16 MB at most) are read independently: each guesses where its first record starts, walks to its
+    end, and the guess counts only if the part before ends there; others are walked again from where it does.  Memory is
+    a part and the record that runs on, or a header.  A plain gzip file is one part.
+    """
+    blocks = bgzf.blocks(spark, path)
+    order = Window.partitionBy("file").orderBy("split", "part")
+    parts = blocks.groupBy(*_PART).agg(F.sum("size").alias("size"), F.min("inner").alias("least"))
+    before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    parts = staged(parts.withColumn("base", F.coalesce(before, F.lit(0))), "bam-parts")
+    heads = _bam_heads(blocks, parts)
+
+    tails = staged(_tails(blocks), "bam-tails")
+    near = F.concat(*(F.coalesce(F.lag("tail", k).over(order), F.lit(b"")) for k in (3, 2, 1)))
+    parts = parts.join(tails, _PART).withColumn("before", F.substring(near, -3, 3)).drop("tail")
+    parts = staged(parts.join(heads.select("file", "end"), "file"), "bam-ends")
+    over = F.col("base") + F.col("size") <= F.col("end")
+    known = parts.where(over).select(*_PART, F.col("end").alias("entry"), F.col("end").alias("exit"), F.lit(True).alias("good"))
+    entry = F.when(F.col("base") <= F.col("end"), F.col("end"))
+    at = lambda p: blocks.join(p.select(*_PART, "base", "before", "entry"), _PART)
+    walked = staged(known.unionByName(_walk(at(parts.where(~over).withColumn("entry", entry)))), "bam-walk")
+    while True:
+        rows = walked.join(parts, _PART).withColumn("due", F.coalesce(F.greatest(F.lag("exit").over(order), "end"), "end"))
+        wrong = staged(rows.where("entry <> due").select(*_PART, "base", "size", "before", F.col("due").alias("entry")), "bam-wrong")
+        if wrong.isEmpty():
+            break
+        walked = staged(walked.join(wrong, _PART, "left_anti").unionByName(_walk(at(wrong))), "bam-walk")
+    last = rows.groupBy("file").agg(F.max(F.col("base") + F.col("size")).alias("all"), F.max("exit").alias("exit"), F.every("good").alias("good")).where("not good or all <> exit")
+    if not last.isEmpty():
+        raise ValueError("A BAM file is damaged, or ends within a record.")
+
+    starts = F.col("exit") > F.col("entry")
+    owner = F.last(F.when(starts, F.col("base")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("owner", owner)
+    own = blocks.join(rows.where(starts).select(*_PART, "base", "least", F.col("base").alias("of")), _PART)
+    more = blocks.join(rows.where("owner is not null").select(*_PART, "base", "least", "entry", F.col("owner").alias("of")), _PART)
+    more = more.where(F.col("base") + F.col("inner") - F.col("least") < F.col("entry")).drop("entry")
+    used = own.unionByName(more).withColumn("o", F.col("base") + F.col("inner") - F.col("least")).select("file", "of", "o", "z")
+    plan = rows.where(starts).join(heads.select("file", "refs"), "file").select("file", F.col("base").alias("of"), "before", "entry", "exit", "refs")
+    used = used.join(plan, ["file", "of"])
+    first = F.col("o") == F.col("of")
+    used = used.select("file", "of", "o", "z", *(F.when(first, F.col(c)).alias(c) for c in ("before", "entry", "exit", "refs")))
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    body = used.repartitionByRange(n, "file", "of").sortWithinPartitions("file", "of", "o").drop("file").mapInArrow(_part_records, SAM_SCHEMA)
+    top = heads.orderBy("file").select(F.explode("lines").alias("header"))
+    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in body.schema.fields[2:]]
+    return top.select(F.lit(True).alias("is_header"), "header", *nulls).unionAll(body)
+
+
+def _tails(blocks: DataFrame) -> DataFrame:
+    """The last three bytes of each part, or fewer if it is shorter."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("inner")
+        data = bgzf.unpacked(t.column("z").to_pylist())
+        return pa.table([t.column(c).slice(0, 1) for c in _PART] + [pa.array([data[-3:]], pa.binary())], names=[*_PART, "tail"])
+
+    ends = blocks.withColumn("_n", F.row_number().over(Window.partitionBy(*_PART).orderBy(F.desc("inner")))).where("_n <= 3").drop("_n")
+    return ends.groupBy(*_PART).applyInArrow(run, "file string, split long, part long, tail binary")
+
+
+def _part_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of (of, o, z, before, entry, exit, refs): blocks in order, the last four columns at the first of a part."""
+    names = ["is_header", "header", *SAM_FIELDS]
+    types = [pa.bool_(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+
+    def records(plan: tuple, zs: list[bytes]) -> Iterator[tuple]:
+        of, before, entry, end, refs = plan
+        data = before + bgzf.unpacked(zs)
+        start = of - len(before)
+        at = entry - start
+        while at < end - start:
+            yield _bam_record(data, at, refs)
+            at += 4 + struct.unpack_from("<i", data, at)[0]
+
+    def parts() -> Iterator[tuple]:
+        plan, zs = None, []
         for batch in batches:
-            for data in batch.column(0):
-                rows = bam_records(gzip.decompress(data.as_py()))
-                while part := [r for _, r in zip(range(4096), rows)]:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), types, strict=True)], names)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, SAM_SCHEMA)
+            for of, _, z, before, entry, end, refs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if refs is not None:
+                    if plan:
+                        yield from records(plan, zs)
+                    plan, zs = (of, before, entry, end, refs), []
+                zs.append(z)
+        if plan:
+            yield from records(plan, zs)
+
+    rows = parts()
+    while part := [r for _, r in zip(range(4096), rows)]:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), types, strict=True)], names)
 
 
 def read_alignments(spark: SparkSession, path: str) -> DataFrame:
