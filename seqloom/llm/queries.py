@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from .bpe import digests
 from .decontaminate import contaminated
 from .embedding_dedup import near_duplicate_vectors
+from .exact_dedup import exact_duplicates
+from .fill_in_middle import MIDDLE, PREFIX, SUFFIX, fill_in_middle, restored
 from .language_id import language_id
 from .line_dedup import remove_repeated_lines
 from .minhash_dedup import near_duplicates
 from .scratch import Scratch
+from .source_divergence import source_divergences
 from .token_counts import token_counts
 from .token_files import read_token_files, with_starts, write_token_files
 from .warc import plan_records, read_archive, write_archive
@@ -173,6 +176,77 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id, s.doc_i
 FROM s JOIN comp c ON c.id = s.doc_id
 """
 
+
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(_table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c, 256)
+    return made.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored(F.col("form"), F.col("output"))).alias("restored_sha256"))
+
+
+OP11_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS d FROM documents),
+h AS (
+  SELECT doc_id, text, length(text) AS n, CAST('0x' || d[1:8] AS BIGINT) AS h1, CAST('0x' || d[9:16] AS BIGINT) AS h2,
+         CAST('0x' || d[17:24] AS BIGINT) AS h3, CAST('0x' || d[25:32] AS BIGINT) AS h4
+  FROM t),
+c AS (
+  SELECT doc_id, text, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '{PREFIX}') OR contains(text, '{SUFFIX}') OR contains(text, '{MIDDLE}') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM h),
+p AS (SELECT *, substring(text, 1, a) AS prefix, substring(text, a + 1, b - a) AS middle, substring(text, b + 1) AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '{PREFIX}' || prefix || '{SUFFIX}' || suffix || '{MIDDLE}' || middle
+              ELSE '{SUFFIX}' || suffix || '{PREFIX}' || prefix || '{MIDDLE}' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(text) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY text)
+"""
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergences(_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+words AS (SELECT i, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT i) >= 3),
+of_lang AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+groups AS (
+  SELECT g.lang, g.source, coalesce(v, 0) AS v, coalesce(sum(c.n), 0) AS n
+  FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN of_lang USING (lang) LEFT JOIN counts c USING (lang, source) GROUP BY g.lang, g.source, v),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * CAST(coalesce(c.n, 0) + 1 AS HUGEINT)) // (g.n + g.v) AS p
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+whole AS (SELECT lang, term, 1 + (1000000000 * CAST(k.n + 1 AS HUGEINT)) // (o.n + o.v) AS q FROM kept k JOIN of_lang o USING (lang)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce((
+    SELECT sum((x.p - y.p) * (x.p - y.p) // y.p) FROM shares x JOIN shares y ON x.lang = a.lang AND y.lang = a.lang AND x.source = a.source AND y.source = b.source AND x.term = y.term), 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source),
+terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM shares JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL
+  SELECT * FROM (SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM terms) WHERE rank <= 200)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked
+"""
+
+
 def _op9_sql() -> str:
     terms = ", ".join(f"('{t}', {w})" for w, ts in ((NEED_SOFT, STRICT_TERMS), (1, SOFT_TERMS)) for t in ts)
     rules = ", ".join(f"('{verdict}', '{h}', '/{p}', '{h}/{p}')" for verdict, (h, _, p) in ((v, r.partition("/")) for v, r in URL_RULES))
@@ -210,6 +284,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_url_filter": op9_url_filter,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES = {
@@ -219,4 +296,7 @@ ORACLES = {
     "op7_line_dedup": OP7_SQL,
     "op9_url_filter": _op9_sql(),
     "op10_embedding_near_dedup": OP10_SQL,
+    "op11_fill_in_middle": OP11_SQL,
+    "op12_exact_dedup": OP12_SQL,
+    "op13_source_divergence": OP13_SQL,
 }
