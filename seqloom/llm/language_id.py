@@ -6,7 +6,7 @@ places between its two ranks, or ``profile_size`` if the profile lacks it, and t
 (ties: the smaller name).
 
 Profiles are fitted on a bounded sample of labelled rows: about ``train_docs`` documents for each language, taken by a
-hash of their ids.  They are the only thing that reaches the driver: ``profile_size`` n-grams for each language.
+hash of their ids and texts.  They are the only thing that reaches the driver: ``profile_size`` n-grams for each language.
 
 Defined results: ``und`` with score 0 for null text, text without a letter, or if there is nothing to learn from.
 Repeated rows each give a row.  An empty table gives an empty one.  Texts are whole at any length.  Other columns are not
@@ -95,6 +95,21 @@ class RankProfiles:
         j = int(np.argmin(distance))
         return self.names[j], max(0.0, 1.0 - float(distance[j]) / (self.size * len(own)))
 
+    def like_any(self, grams: np.ndarray, counts: np.ndarray) -> float:
+        """The greatest score, each language by the size of its own profile: as many n-grams, at that cost for each it lacks.
+
+        A full profile gives the score of ``best``.
+        """
+        own, most = top(grams, counts, self.size), 0.0
+        for j in range(len(self.names)) if len(own) else ():
+            size = int((self.rank[:, j] >= 0).sum())
+            some = own[:size]
+            at = np.minimum(np.searchsorted(self.grams, some), len(self.grams) - 1)
+            rank = np.where(self.grams[at] == some, self.rank[at, j], -1)
+            distance = np.where(rank >= 0, np.abs(rank - np.arange(len(some))), size).sum()
+            most = max(most, 1.0 - float(distance) / (size * len(some)))
+        return most
+
 
 def held_out(folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False))
@@ -109,7 +124,7 @@ def fit_profiles(labelled: DataFrame, profile_size: int = 300, train_docs: int =
         raise ValueError(f"More than {MOST_LANGUAGES} labels: that is no column of languages.")
     totals = F.broadcast(labelled.sparkSession.createDataFrame(totals, "lang string, n long"))  # of checked size
     share = F.lit(float(train_docs)) / F.col("n")
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("train")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.join(totals, "lang").where(draw < share).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,30 +167,26 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], profile_size: int
     return out.select("lang_pred", "score", "row.*")
 
 
-def _with_letter(docs: DataFrame) -> DataFrame:
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([any(map(str.isalpha, t.as_py() or "")) for t in batch.column(at)], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
-
-
 def in_a_language(docs: DataFrame, profile_size: int = 300, train_docs: int = 2000, least: float = LEAST_SCORE) -> DataFrame:
     """The rows whose text has a letter and is like one of the languages of the labelled rows: a score of ``least`` or more.
 
-    Texts are not rejected by what was not learned: letters alone count where no row is labelled or the labelled rows of
-    a language do not fill its profile.
+    A language whose rows do not fill its profile is held to the n-grams it has, so a few rows of a new label neither reject
+    texts of their own language nor keep those of others.  Texts are not rejected by what was not learned: letters alone
+    count where no language has a full profile.
     """
     importable(docs.sparkSession)
     profiles = fit_profiles(docs, profile_size, train_docs)
-    if not profiles:
-        return _with_letter(docs)
-    judged = identify(docs, profiles, profile_size).where(F.col("lang_pred") != UNKNOWN)
-    if all(len(p) >= profile_size for p in profiles.values()):
-        judged = judged.where(F.col("score") >= least)
-    return judged.select(*docs.columns)
+    model, judge = RankProfiles(profiles, profile_size), any(len(p) >= profile_size for p in profiles.values())
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep: list[bool] = []
+            for texts in text_groups(batch.column(at), GROUP_BYTES):
+                keep += [len(g) > 0 and (not judge or model.like_any(g, c) >= least) for g, c in ngram_counts(texts)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def language_id(docs: DataFrame, profile_size: int = 300, train_docs: int = 2000) -> DataFrame:

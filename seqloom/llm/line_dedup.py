@@ -8,7 +8,7 @@ chunks wherever other lines, or a part of it alone, surround it elsewhere.  Neig
 boundary, and every occurrence of a place lies in a whole occurrence of its chunk: no repeat of two lines or more is cut.
 
 Chunks (two lines at least) whose hash occurs more than once are compared byte by byte; of equal ones the first by
-(doc_id, text, place) stays and the lines of the others go.  So the first place of every line stays, and no run of two
+(doc_id, place, digest of the text) stays and the lines of the others go.  So the first place of every line stays, and no run of two
 lines that stood before is left but where removals brought lines together.  Only hashes travel for what occurs once: a
 bitmap of bounded size tells the tasks which lines can matter, and the exact joins follow.
 
@@ -37,7 +37,7 @@ ADDED = ("n_lines", "n_removed_lines", "n_removed_chunks")
 _Q = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes of lines that leave a task at a time.
 _FLUSH = 4 << 20
-_DOC = ("doc_id", "version")
+_DOC, _VERSION = ("doc_id", "version"), "decimal(38,0)"
 
 
 def places(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]]:
@@ -74,8 +74,9 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _version(text: Column) -> Column:
-    """Tells texts of equal doc_id apart."""
-    return F.xxhash64(text).bitwiseAND(F.lit((1 << 30) - 1))
+    """Tells texts of equal doc_id apart: 120 bits of their SHA-256, as a number that hash tables and merge joins take."""
+    part = lambda start: F.conv(F.substring(F.sha2(text, 256), start, 15), 16, 10).cast("decimal(19,0)")
+    return (part(1) * F.lit(1 << 60).cast("decimal(19,0)") + part(16)).cast(_VERSION)
 
 
 def _hashes(docs: DataFrame) -> DataFrame:
@@ -103,7 +104,7 @@ def _marked(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                     text = [pa.array(x, pa.binary()).view(pa.string()) for x in lines]
                     yield pa.RecordBatch.from_arrays([*ids, pa.array(place[some].astype(np.int32)), pa.array(hashes[some, 1]), *text], ["doc_id", "version", "place", "hash", "line", "below"])
 
-    return docs.select(*_DOC, "text").mapInArrow(run, "doc_id long, version long, place int, hash long, line string, below string")
+    return docs.select(*_DOC, "text").mapInArrow(run, f"doc_id long, version {_VERSION}, place int, hash long, line string, below string")
 
 
 def _chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -126,14 +127,17 @@ def _chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
 def repeated_chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, version, place, lines of the chunks to remove: equal, byte by byte, to one that stands before them."""
     found = scratch.keep(_chunks(_texts(docs), scratch).withColumn("digest", F.xxhash64("content")), "chunks")
-    # a decimal orders by (doc_id, version, place) and keeps the aggregation in its hash map
-    doc = F.col("doc_id").cast("decimal(19,0)") * F.lit(1 << 30).cast("decimal(10,0)") + F.col("version").cast("decimal(10,0)")
-    rank = (doc.cast("decimal(28,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("place")).cast("decimal(38,0)")
-    found = found.withColumn("rank", rank)
-    first = found.groupBy("digest", "content").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("last > first + 1").drop("last")
-    first = scratch.keep(first, "first")
-    # ranks one apart are places one apart in one document, and overlap
-    return found.join(first.hint("merge"), ["digest", "content"]).where("rank > first + 1").select(*_DOC, "place", "lines").distinct()
+    # a decimal orders by (doc_id, place) and keeps the aggregation in its hash map
+    rank = F.col("doc_id").cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("place")
+    found = found.withColumn("rank", rank.cast("decimal(38,0)"))
+    first = found.groupBy("digest", "content").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = scratch.keep(first.withColumn("chunk", F.monotonically_increasing_id()), "first")
+    equal = scratch.keep(found.join(first.hint("merge"), ["digest", "content"]).select("chunk", *_DOC, "place", "lines", "rank", "first"), "equal")
+    # of documents that share the first one's id the smallest version is the first; next to its chunk lies what overlaps it
+    near = equal.where("rank <= first + 1")
+    starts = scratch.keep(near.where("rank = first").groupBy("chunk").agg(F.min("version").alias("start")), "starts")
+    others = near.join(starts, "chunk").where("version <> start")
+    return equal.where("rank > first + 1").select(*_DOC, "place", "lines").unionByName(others.select(*_DOC, "place", "lines")).distinct()
 
 
 def remove_repeated_lines(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:

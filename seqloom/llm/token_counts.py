@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..bitmaps import bitmap, maybe_in
 from .scratch import Scratch
 
 CACHE_SCHEMA = "tokenizer string, content binary, n_bytes long, n_tokens long"
@@ -96,16 +97,19 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_dir: str, limit: in
     known = lambda: read_cache(spark, cache_dir).where(F.col("tokenizer") == version)
 
     # one row per content is kept in each task before the shuffle, and one per content after it
+    scratch = Scratch(spark, "token-counts")
     content = docs.select(digest.alias("content"), "doc_id")
     missing = content.groupBy("content").agg(F.min("doc_id").alias("doc_id")).join(known().select("content"), "content", "left_anti")
-    # null ids cannot be joined, and repeated ids bring several texts: the digest decides.  Equal rows that are left
-    # meet in one task, which encodes the first of them
-    texts = docs.withColumn("content", digest).join(missing.select("content", F.col("doc_id").alias("first")).hint("merge"), "content")
-    texts = texts.where(F.col("first").eqNullSafe(F.col("doc_id"))).select("content", "text")
-    fresh = texts.mapInArrow(_counted(tokenizer_path), "content binary, n_bytes long, n_tokens long")
-    fresh.select(F.lit(version).alias("tokenizer"), "content", "n_bytes", "n_tokens").write.mode("append").parquet(cache_dir)
+    missing = scratch.keep(missing.select("content", F.col("doc_id").alias("first"), F.xxhash64("content").alias("hash")), "missing")
+    if not missing.isEmpty():
+        # texts that the cache knows stay where they are.  Null ids cannot be joined, and repeated ids bring several texts:
+        # the digest decides.  Equal rows that are left meet in one task, which encodes the first of them
+        texts = docs.withColumn("content", digest).where(maybe_in(bitmap(missing, "hash"), F.xxhash64("content")))
+        texts = texts.join(missing.drop("hash").hint("merge"), "content").where(F.col("first").eqNullSafe(F.col("doc_id"))).select("content", "text")
+        fresh = texts.mapInArrow(_counted(tokenizer_path), "content binary, n_bytes long, n_tokens long")
+        fresh.select(F.lit(version).alias("tokenizer"), "content", "n_bytes", "n_tokens").write.mode("append").parquet(cache_dir)
 
     counts = known().groupBy("content").agg(F.min("n_bytes").alias("n_bytes"), F.min("n_tokens").alias("n_tokens"))
     # written, so that the join has its own exchange on both sides and a content that very many share is split
-    counts = Scratch(spark, "token-counts").keep(counts, "counts")
+    counts = scratch.keep(counts, "counts")
     return content.join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

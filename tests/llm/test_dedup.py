@@ -1,11 +1,13 @@
 """Near-duplicates, line dedup, decontamination and embeddings against brute force."""
 
+import hashlib
 import random
 import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from seqloom.llm import decontaminate, embedding_dedup, line_dedup, minhash_dedup, queries, textnum
 from seqloom.llm.components import components
@@ -158,6 +160,22 @@ def test_equal_ids_with_other_texts_are_other_documents(docs):
     assert got in (["a\nb\nc", "a\nb\nc", "x"], ["c", "c", "x\na\nb"])
 
 
+def test_many_texts_of_one_id(docs):
+    text = lambda i: f"head {i}\nown {i}\n" + (f"shared {i % 40}\nby {i % 40} some\n" if i % 3 else "") + f"tail {i}"
+    rows = [(1, text(i)) for i in range(900)] + [(1, text(5)), (2, text(7)), (0, "shared 1\nby 1 some")]
+    out = sorted((r.doc_id, r.text) for r in line_dedup.remove_repeated_lines(docs(rows)).collect())
+    lines = [x for _, t in out for x in t.split("\n")]
+    # nothing unique is lost, of every shared pair one is left, and equal rows are one document
+    assert sum(x.startswith("head ") for x in lines) == 901 and {t.split("\n")[0] for i, t in out if i == 2} == {""}
+    assert all(lines.count(f"by {i} some") == 1 or (i == 5 and lines.count("by 5 some") == 2) for i in range(40))
+    assert [t for i, t in out if i == 0] == ["shared 1\nby 1 some"]
+
+
+def test_versions_are_digests(spark):
+    value = spark.range(1).select(line_dedup._version(F.lit("é text"))).first()[0]
+    assert int(value) == int(hashlib.sha256("é text".encode()).hexdigest()[:30], 16)
+
+
 def test_line_boundaries_resist_shifts(spark):
     lines = [f"line {i} of a long passage" for i in range(60)]
     rows = [(1, "\n".join(["new 1", "new 2", "new 3", *lines])), (2, "\n".join(lines)), (3, "\n".join(["x", *lines[20:30], "y"]))]

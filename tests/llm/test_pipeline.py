@@ -83,6 +83,14 @@ def test_texts_in_no_known_language_go(spark):
     assert languages(spark, unlabelled + odd) == {t for t, _ in clean}
 
 
+def test_a_short_label_switches_nothing_off(spark):
+    clean = [(r.text, r.lang) for r in spark.read.parquet(f"{DIR}/documents.parquet").where("lang is not null and text rlike '[a-z]'").collect()]
+    odd = [("привет мир как дела", None), ("你好世界今天天气很好", None)] * 3
+    short = [("ok go", "xx"), ("Γεια σου κόσμε, τι κάνεις σήμερα", "el")]
+    greek = [("Γεια σου, τι κάνεις", None)]
+    assert languages(spark, clean + odd + short + greek) == {t for t, _ in clean + short + greek}
+
+
 def test_stages_meet_odd_rows_and_columns(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score double, n_lines int, n_removed_lines int, n_removed_chunks int, rest int, `a.b` string, `c``d` int, kept string, gone string, hash long"
     rows = [(1, "one line\nand another"), (2, "one line\nand another"), (2, "one line\nand another"), (None, "one line\nand another"), (3, None), (4, ""), (None, None), (5, "long words " * 100_000), (5, "long words " * 100_000)]

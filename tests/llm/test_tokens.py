@@ -122,6 +122,27 @@ def test_stored_counts_are_used(spark, docs):
     assert token_counts.token_counts(docs([(1, "a")]), PIECES, cache).first().n_tokens == 77
 
 
+def shuffled(spark, run):
+    """Bytes of shuffles written while ``run`` runs."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark._jvm
+    total = lambda: sum(x.shuffleWriteBytes() for x in jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())))
+    before = total()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return total() - before
+
+
+def test_hits_move_no_text(spark, docs):
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"{rng.random()}" for _ in range(300))) for i in range(200)]
+    cache = Scratch(spark, "t").new("cache")
+    count = lambda rows: token_counts.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), PIECES, cache).collect()
+    first = shuffled(spark, lambda: count(rows))
+    again = shuffled(spark, lambda: count(rows))
+    more = shuffled(spark, lambda: count([*rows, (900, "one new text")]))
+    assert first > 400_000 and again < 40_000 and more < 40_000
+
+
 def test_part_encoder_is_the_library():
     e = token_files.PartEncoder(WORDS)
     assert e.by_part
