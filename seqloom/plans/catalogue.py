@@ -38,8 +38,9 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of one file dealt to all cores, for expressions that cost much more than the move."""
-    return _t(spark, sf_dir, name).repartition(spark.sparkContext.defaultParallelism)
+    """A table that has fewer splits than there are cores dealt to all of them, for what costs much more than the move."""
+    table, cores = _t(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
 
 
 # --- search -------------------------------------------------------------------------------------------------------
@@ -48,7 +49,7 @@ SHORT_PATTERNS = ("e", "ee", "ed ", "re", "an", "aa", "l", "ll", "o o", "zz")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_ind"), F.col("source").alias("name"), F.col("text").alias("seq"))
+    return _spread(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_ind"), F.col("source").alias("name"), F.col("text").alias("seq"))
 
 
 def _patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +57,7 @@ def _patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq_ind"), F.col("p_brand").alias("name"), F.col("p_name").alias("seq"))
+    return _spread(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq_ind"), F.col("p_brand").alias("name"), F.col("p_name").alias("seq"))
 
 
 def _short(spark: SparkSession) -> DataFrame:

@@ -6,9 +6,11 @@ import random
 import struct
 import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from seqloom import bitmaps
 from seqloom.functions import colspec, genome, text
 from seqloom.plans import peptides
 from seqloom.operators import align, alignments, digest, graphs, matches, proteins, search, suffix, tables
@@ -52,21 +54,48 @@ def test_search_in_several_passes(spark, seqs, patterns, monkeypatch):
     assert {tuple(r) for r in search.find_scan(seqs, patterns).collect()} == FOUND
 
 
-def test_more_patterns_than_an_automaton_holds_never_reach_the_driver(spark, monkeypatch):
+@pytest.mark.parametrize(("bits", "slice_chars"), [(1 << 27, 1 << 18), (1 << 10, 50), (64, 7)])
+def test_scan_and_join_give_the_same_rows(spark, monkeypatch, bits, slice_chars):
     rng = random.Random(2)
     texts = ["".join(rng.choice("abä\U0001f600") for _ in range(rng.choice([0, 1, 7, 300]))) for _ in range(40)]
-    found_in = [(i, t) for i, t in enumerate(texts)] + [(50, None), (None, "abab")]
-    patterns = [(i, t[a : a + rng.choice([1, 2, 3, 5, 64, 65, 130])]) for i in range(120) for t in [rng.choice(texts)] for a in [rng.randrange(len(t) + 1)]]
-    patterns += [(200, "zz" * 40), (201, ""), (202, None), (203, "ab"), (204, "ab"), (None, "b")]
-    want = sorted(((k, i, a, a + len(p)) for k, p in patterns if p for i, t in found_in if t and i is not None for a in range(len(t)) if t.startswith(p, a)), key=str)
+    found_in = [*enumerate(texts), (50, None), (None, "abab"), (None, texts[0]), (None, "abab"), (3, "abab"), (4, texts[4]), (4, texts[4])]
+    n = 12 if bits == 64 else 120
+    patterns = [(i, t[a : a + rng.choice([1, 2, 3, 5, 64, 65, 130])]) for i in range(n) for t in [rng.choice(texts)] for a in [rng.randrange(len(t) + 1)]]
+    patterns += [(200, "zz" * 40), (201, ""), (202, None), (203, "ab"), (204, "ab"), (None, "b"), (203, "ab")]
+    want = sorted(((k, i, a, a + len(p)) for k, p in patterns if p for i, t in found_in if t for a in range(len(t)) if t.startswith(p, a)), key=str)
     seqs, table = spark.createDataFrame(found_in, "seq_ind long, seq string"), spark.createDataFrame(patterns, "look_for long, pattern string")
+    assert sorted(map(tuple, search.find_scan(seqs, table).collect()), key=str) == want and len(want) > 200
     monkeypatch.setattr(search, "AUTOMATON_CHARS", 10)
+    monkeypatch.setattr(search, "SLICE_CHARS", slice_chars)
+    monkeypatch.setattr(bitmaps, "MOST_BITS", bits)
     monkeypatch.setattr(search, "_scan", None)  # no automaton is built, and its patterns are not collected
     got = search.find_scan(seqs, table)
-    assert sorted(map(tuple, got.collect()), key=str) == want and len(want) > 1000
+    assert sorted(map(tuple, got.collect()), key=str) == want
     assert search.find_scan(seqs.limit(0), table).count() == 0
 
 
+@pytest.mark.parametrize("most", [1 << 27, 1 << 12])
+def test_bitmaps_of_any_number_of_keys_stay_sparse(spark, monkeypatch, most):
+    monkeypatch.setattr(bitmaps, "MOST_BITS", most)
+    table = spark.range(3000).select(F.xxhash64("id").alias("h"))
+    keys = np.array([r.h for r in table.collect()])
+    others = np.random.default_rng(1).integers(-(1 << 63), (1 << 63) - 1, 100_000)
+    of_keys, of_others, n = np.zeros(len(keys), int), np.zeros(len(others), int), 0
+    for bits in bitmaps.passes(table, "h"):
+        of_keys, of_others, n = of_keys + bitmaps.held(bits, keys), of_others + bitmaps.held(bits, others), n + 1
+    assert n == (16 if most == 1 << 12 else 1) and (of_keys == 1).all() and of_others.mean() < 0.02
+
+
+@pytest.mark.parametrize(("most", "all_move"), [(1 << 27, False), (1 << 14, False), (64, True)])
+def test_split_by_bitmap(spark, monkeypatch, most, all_move):
+    monkeypatch.setattr(bitmaps, "MOST_BITS", most)
+    rows, table = spark.range(2000), spark.range(0, 2000, 2).select(F.xxhash64("id").alias("h"))
+    maybe, others = bitmaps.split(rows, F.xxhash64("id"), table, "h")
+    maybe, others = {r.id for r in maybe.collect()}, {r.id for r in others.collect()}
+    assert maybe | others == set(range(2000)) and not maybe & others and set(range(0, 2000, 2)) <= maybe
+    assert (len(others) == 0) if all_move else (len(others) > 950)
+
+
 def test_search_null_empty_and_repeated(spark):
     seqs = spark.createDataFrame([(0, None), (1, ""), (2, "äbäb")], "seq_ind long, seq string")
     twice = spark.createDataFrame([(7, "äb"), (8, "äb")], "look_for long, pattern string")

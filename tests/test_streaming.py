@@ -1,4 +1,7 @@
-from seqloom.streaming.search import find_stream, look_up_stream, write_stream
+import pytest
+
+from seqloom.operators import search
+from seqloom.streaming.search import find_stream, look_up_stream, write_matches, write_stream
 
 
 def test_streams_give_the_rows_of_the_batch_operators(spark, tmp_path):
@@ -11,3 +14,16 @@ def test_streams_give_the_rows_of_the_batch_operators(spark, tmp_path):
     probes = stream.selectExpr("seq_ind as row_ind", "cells")
     write_stream(look_up_stream(probes, table, ["0"], ["0"]), str(tmp_path / "out2"), str(tmp_path / "c2")).awaitTermination(60)
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out2")).collect()] == [(1, ["y", "found"])]
+
+
+def test_a_stream_and_more_patterns_than_an_automaton_holds(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "AUTOMATON_CHARS", 2)
+    for i, part in enumerate([[(0, "AKAK"), (None, "KK")], [(2, "xK")]]):
+        spark.createDataFrame(part, "seq_ind long, seq string").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema("seq_ind long, seq string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    patterns = spark.createDataFrame([(0, "K"), (1, "AK")], "look_for long, pattern string")
+    with pytest.raises(ValueError, match="automaton"):
+        find_stream(stream, patterns)
+    write_matches(stream, patterns, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
+    got = sorted(((r.look_for, r.found_in, r.found_at, r.found_to) for r in spark.read.parquet(str(tmp_path / "out")).collect()), key=str)
+    assert got == sorted([(0, 0, 1, 2), (0, 0, 3, 4), (1, 0, 0, 2), (1, 0, 2, 4), (0, None, 0, 1), (0, None, 1, 2), (0, 2, 1, 2)], key=str)
