@@ -88,16 +88,22 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), n_docs; a row with the empty term for every group."""
+    """lang, term, n_lang, n_docs, column (source, n); the empty term's column has every group of the language.
+
+    Terms are dealt once: what a term has in its sources is summed and gathered in the same task.
+    """
     importable(docs.sparkSession)
     plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     found = docs.select(plain("lang"), plain("source"), plain("text")).mapInArrow(_count, "lang string, source string, term string, n long, n_docs long")
-    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
+    each = found.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
+    column = F.array_sort(F.collect_list(F.struct("source", "n"))).alias("column")
+    return each.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"), F.sum("n_docs").alias("n_docs"), column)
 
 
 def _share(count: Column, total: Column) -> Column:
-    """p of a count in a group whose N + V is ``total``; the product does not fit in 64 bits."""
-    return F.expr("cast(1 as long)") + F.call_function("div", (count + 1).cast("decimal(19,0)") * F.lit(SCALE).cast("decimal(10,0)"), total.cast("decimal(19,0)"))
+    """p of a count in a group whose N + V is ``total``; the product of a great count does not fit in 64 bits."""
+    wide = F.call_function("div", (count + 1).cast("decimal(19,0)") * F.lit(SCALE).cast("decimal(10,0)"), total.cast("decimal(19,0)"))
+    return F.when(count < 9 * SCALE, F.call_function("div", (count + 1) * SCALE, total)).otherwise(wide) + 1
 
 
 def _value(p: Column, q: Column) -> Column:
@@ -148,26 +154,25 @@ def _floor(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _kept_terms(docs: DataFrame, least_docs: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, term, n, n_lang, total, total_lang), and for every group (lang, source, total, n_terms, n_kept)."""
-    counts = scratch.keep(term_counts(docs), "counts")
-    columns = F.array_sort(F.collect_list(F.struct("source", "n"))).alias("column")
-    terms = counts.where("term <> ''").groupBy("lang", "term").agg(F.sum("n").alias("n_lang"), F.sum("n_docs").alias("n_docs"), columns)
-    terms = scratch.keep(terms.where(F.col("n_docs") >= least_docs).drop("n_docs"), "terms")
-    entries = terms.select("lang", "term", "n_lang", F.inline("column"))
-    of_group = entries.groupBy("lang", "source").agg(F.sum("n").alias("n"), F.count("*").alias("n_terms"))
+    """(lang, term, n_lang, column), and for every group (lang, source, total, total_lang, n_terms, n_kept)."""
+    counts = scratch.keep(term_counts(docs).where((F.col("n_docs") >= least_docs) | (F.col("term") == "")).drop("n_docs"), "terms")
+    terms = counts.where("term <> ''")
+    of_group = terms.select("lang", F.inline("column")).groupBy("lang", "source").agg(F.sum("n").alias("n"), F.count("*").alias("n_terms"))
     of_lang = terms.groupBy("lang").agg(F.sum("n_lang").alias("n_lang"), F.count("*").alias("n_kept"))
-    groups = counts.where("term = ''").select("lang", "source").join(of_lang, "lang", "left").join(of_group, ["lang", "source"], "left").na.fill(0)
+    groups = counts.where("term = ''").select("lang", F.explode("column.source").alias("source")).join(of_lang, "lang", "left").join(of_group, ["lang", "source"], "left").na.fill(0)
     groups = groups.select("lang", "source", (F.col("n") + F.col("n_kept")).alias("total"), (F.col("n_lang") + F.col("n_kept")).alias("total_lang"), "n_terms", "n_kept")
-    groups = scratch.keep(groups, "groups")
-    entries = entries.join(groups.select("lang", "source", "total", "total_lang"), ["lang", "source"])
-    return scratch.keep(entries, "entries"), groups.drop("total_lang")
+    return terms, scratch.keep(groups, "groups")
 
 
-def _pairs(entries: DataFrame, groups: DataFrame) -> DataFrame:
+def _pairs(terms: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
     """lang, source, item, value for every two sources of a language."""
-    column = F.array_sort(F.collect_list(F.struct("source", "n", "total"))).alias("column")
-    vectors = entries.groupBy("lang", "term").agg(column).where(F.size("column") > 1).groupBy("lang", "column").agg(F.count("*").alias("many"))
-    joint = vectors.mapInArrow(_joint, "lang string, source string, item string, value long")
+    groups = groups.drop("total_lang")
+    vectors = terms.where(F.size("column") > 1).groupBy("lang", "column").agg(F.count("*").alias("many"))
+    vectors = scratch.keep(vectors.withColumn("vector", F.monotonically_increasing_id()), "vectors")
+    entries = vectors.select("vector", "lang", "many", F.inline("column")).join(groups.select("lang", "source", "total"), ["lang", "source"])
+    column = F.collect_list(F.struct("source", "n", "total")).alias("column")
+    joint = entries.groupBy("vector").agg(F.first("lang").alias("lang"), column, F.first("many").alias("many")).select("lang", "column", "many")
+    joint = joint.mapInArrow(_joint, "lang string, source string, item string, value long")
 
     other = groups.select("lang", F.col("source").alias("item"), F.col("total").alias("other"), F.col("n_terms").alias("other_terms"))
     pairs = groups.join(other, "lang").where("source <> item")
@@ -175,7 +180,7 @@ def _pairs(entries: DataFrame, groups: DataFrame) -> DataFrame:
     neither = F.when(F.col("n_kept") > 0, (F.col("n_kept") - F.col("n_terms") - F.col("other_terms")) * _value(zero("total"), zero("other"))).otherwise(0)
     base = pairs.select("lang", "source", "item", neither.cast("long").alias("value"))
 
-    alike = entries.groupBy("lang", "source", "n").agg(F.count("*").alias("many"))  # all terms that a source has so often
+    alike = terms.select("lang", F.inline("column")).groupBy("lang", "source", "n").agg(F.count("*").alias("many"))  # all terms that a source has so often
     alone = alike.join(pairs.select("lang", "source", "item", "total", "other"), ["lang", "source"])
     share = _share(F.col("n"), F.col("total"))
     here = alone.select("lang", "source", "item", (F.col("many") * _value(share, zero("other"))).alias("value"))
@@ -190,13 +195,14 @@ def source_divergences(docs: DataFrame, least_docs: int = 3, top: int = 200, scr
     Ranks go from 1 in each group and part, by descending value, then by the bytes of the item.
     """
     scratch = scratch or Scratch(docs.sparkSession, "divergence")
-    entries, groups = _kept_terms(docs, least_docs, scratch)
+    terms, groups = _kept_terms(docs, least_docs, scratch)
+    entries = terms.select("lang", "term", "n_lang", F.inline("column")).join(groups.select("lang", "source", "total", "total_lang"), ["lang", "source"])
     p, q = _share(F.col("n"), F.col("total")), _share(F.col("n_lang"), F.col("total_lang"))
     more = entries.select("lang", "source", F.col("term").alias("item"), p.alias("p"), q.alias("q")).where("p > q")
-    terms = more.select("lang", "source", "item", _value(F.col("p"), F.col("q")).alias("value"))
+    best = more.select("lang", "source", "item", _value(F.col("p"), F.col("q")).alias("value"))
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     # tasks leave out what cannot be among the top before they hand on their rows
-    terms = terms.withColumn("rank", rank).where(F.col("rank") <= top)
-    pairs = _pairs(entries, groups).withColumn("rank", rank)
+    best = best.withColumn("rank", rank).where(F.col("rank") <= top)
+    pairs = _pairs(terms, groups, scratch).withColumn("rank", rank)
     columns = lambda part: ("lang", "source", F.lit(part).alias("part"), "item", "value", "rank")
-    return pairs.select(*columns("pair")).unionByName(terms.select(*columns("term")))
+    return pairs.select(*columns("pair")).unionByName(best.select(*columns("term")))
