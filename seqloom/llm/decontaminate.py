@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..bitmaps import bitmap, held, maybe_in
+from ..bitmaps import Bitmap, held, passes, split
 from .minhash_dedup import _family
 from .scratch import Scratch
 from .textnum import _fold, chunks, mix, string_buffers, words
@@ -66,7 +66,7 @@ def _item_keys(k: int, functions: int):
     return run
 
 
-def _document_keys(k: int, functions: int, kinds: list[int], bits: np.ndarray):
+def _document_keys(k: int, functions: int, kinds: list[int], bits: Bitmap):
     """Keys of the blocks of every document that the bitmap holds."""
     a, b = _family(functions)
     classes, short = sorted(c for c in kinds if c < _SHORT), [c - _SHORT for c in kinds if c >= _SHORT]
@@ -137,10 +137,13 @@ def contaminations(docs: DataFrame, items: DataFrame, shingle_words: int = 5, pe
     keyed = scratch.keep(keyed, "items")
     kinds = [r.kind for r in keyed.select("kind").distinct().collect()]  # one for each size class
     posted = scratch.keep(keyed.select("item", F.explode("keys").alias("key")).distinct(), "postings")
-    found = docs.mapInArrow(_document_keys(shingle_words, functions, kinds, bitmap(posted, "key")), "doc_id long, key long")
-    pairs = scratch.keep(found.join(posted, "key").select("doc_id", "item").distinct(), "candidates")
+    pairs = None
+    for bits in passes(posted, "key"):  # one pass over the documents, unless the items' keys need several bitmaps
+        found = docs.mapInArrow(_document_keys(shingle_words, functions, kinds, bits), "doc_id long, key long")
+        part = scratch.keep(found.join(posted, "key").select("doc_id", "item").distinct(), "candidates")
+        pairs = part if pairs is None else pairs.unionAll(part).distinct()
     # only texts that may be candidates are shuffled
-    docs = docs.where(maybe_in(bitmap(pairs.select(F.xxhash64("doc_id").alias("hash")), "hash"), F.xxhash64("doc_id")))
+    docs = split(docs, F.xxhash64("doc_id"), pairs.select(F.xxhash64("doc_id").alias("hash")), "hash")[0]
     rows = pairs.join(items.select("item", F.col("text").alias("other")), "item").join(docs, "doc_id")
     checked = rows.select("doc_id", "item", "text", "other").mapInArrow(_contained(shingle_words), "doc_id long, item string, n_item long, n_common long")
     checked = checked.where(F.col("n_common") * 100 >= F.col("n_item") * percent)

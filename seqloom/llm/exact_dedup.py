@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..bitmaps import bitmap, maybe_in
+from ..bitmaps import split
 from .scratch import Scratch, importable
 from .textnum import mix, string_buffers
 
@@ -274,9 +274,14 @@ class ExactIndex:
     def _as_rows(filters: DataFrame) -> DataFrame:
         return filters.select("bucket", F.lit(_FILTER).alias("kind"), "data", F.lit(False).alias("again"))
 
-    def _verified(self, docs: DataFrame, seen: DataFrame, bits: np.ndarray) -> DataFrame:
+    @staticmethod
+    def _split(rows: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(rows whose digest may be one of those that hit, the others)."""
+        return split(rows, F.xxhash64("digest"), seen, "hash")
+
+    def _verified(self, docs: DataFrame, seen: DataFrame) -> DataFrame:
         """digest, content, first (id), n, stored (id), live: the contents of the rows whose digest hit."""
-        rows = _contents(docs).where(maybe_in(bits, F.xxhash64("digest")))
+        rows, _ = self._split(_contents(docs), seen)
         # grouped before they are joined: a task hands on one row for all its copies
         groups = rows.groupBy("digest", "content").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).join(seen.select("digest"), "digest")
         if not self.generations():
@@ -294,20 +299,18 @@ class ExactIndex:
         buckets = old.first()["buckets"] if old is not None else max(LEAST_BUCKETS, -(-rows.count() // BUCKET_KEYS))
         found = self._run(*([self._as_rows(old)] if old is not None else []), self._asked(rows, _PROBE_ADD, buckets))
         seen = self.scratch.keep(found.where(F.col("kind") == _PROBE).select(F.col("data").alias("digest"), "added", F.xxhash64("data").alias("hash")), "seen")
-        bits = bitmap(seen, "hash")
-        groups = self.scratch.keep(self._verified(docs, seen, bits), "groups")
+        groups = self.scratch.keep(self._verified(docs, seen), "groups")
         if self.path:
-            self._store(docs, found, seen, bits, groups, buckets)
-        return self._decided(docs, rows, seen, bits, groups)
+            self._store(docs, found, seen, groups, buckets)
+        return self._decided(docs, rows, seen, groups)
 
-    def _decided(self, docs: DataFrame, rows: DataFrame, seen: DataFrame, bits: np.ndarray, groups: DataFrame) -> DataFrame:
+    def _decided(self, docs: DataFrame, rows: DataFrame, seen: DataFrame, groups: DataFrame) -> DataFrame:
         keep = F.when(F.col("n").isNull(), F.col("doc_id")).when(F.col("live"), F.col("stored")).otherwise(F.col("first"))
         kept = F.when(F.col("n").isNull(), True).otherwise(~F.col("live") & F.col("doc_id").eqNullSafe(F.col("first")))
         decided = lambda joined: joined.select("doc_id", "digest", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"), kept.alias("kept"))
-        maybe = maybe_in(bits, F.xxhash64("digest"))
-        alone = rows.where(~maybe).select("doc_id", "digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+        rest, alone = self._split(rows, seen)
+        alone = alone.select("doc_id", "digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
         several = self.scratch.keep(groups.groupBy("digest").agg(F.count("*").alias("contents")).where("contents > 1").select("digest"), "several")
-        rest = rows.where(maybe)
         if several.isEmpty():
             return alone.unionByName(decided(rest.join(groups.drop("content"), "digest", "left")))
         # different contents of one digest are told apart by their text
@@ -316,12 +319,11 @@ class ExactIndex:
         together = decided(_contents(docs).join(several, "digest").join(groups, ["digest", "content"]))
         return alone.unionByName(apart).unionByName(together)
 
-    def _store(self, docs: DataFrame, found: DataFrame, seen: DataFrame, bits: np.ndarray, groups: DataFrame, buckets: int) -> None:
+    def _store(self, docs: DataFrame, found: DataFrame, seen: DataFrame, groups: DataFrame, buckets: int) -> None:
         """The next generation: new contents in buckets, and filters that hold all of them."""
         now = f"{self.path}/{self.generations():06d}"
-        hit = maybe_in(bits, F.xxhash64("digest"))
-        texts = _contents(docs)
-        once = texts.where(~hit).unionByName(texts.where(hit).join(seen.select("digest"), "digest", "left_anti"))
+        maybe, once = self._split(_contents(docs), seen)
+        once = once.unionByName(maybe.join(seen.select("digest"), "digest", "left_anti").select(*once.columns))
         new = once.select("digest", "content", "doc_id").unionByName(groups.where("not live").select("digest", "content", F.col("first").alias("doc_id")))
         new = new.select(_bucket(F.col("digest"), buckets), "digest", "content", "doc_id")
         new.repartition("bucket").sortWithinPartitions("bucket").write.mode("overwrite").parquet(f"{now}/keys")
@@ -348,7 +350,7 @@ class ExactIndex:
         buckets, now = old.first()["buckets"], f"{self.path}/{self.generations():06d}"
         found = self._run(self._as_rows(old), self._asked(_contents(docs).select("digest"), _PROBE, buckets))
         seen = self.scratch.keep(found.where(F.col("kind") == _PROBE).select(F.col("data").alias("digest"), F.xxhash64("data").alias("hash")), "seen")
-        gone = self.scratch.keep(self._verified(docs, seen, bitmap(seen, "hash")).where("live").select("digest", "content", F.col("stored").alias("doc_id")), "gone")
+        gone = self.scratch.keep(self._verified(docs, seen).where("live").select("digest", "content", F.col("stored").alias("doc_id")), "gone")
         gone.select("digest", "content").write.mode("overwrite").parquet(f"{now}/gone")
         others = self.live().join(seen.select("digest"), "digest").join(gone, ["digest", "content"], "left_anti").select("digest")
         digests = gone.select("digest").distinct().join(others, "digest", "left_anti")  # another content may have the same digest

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ..bitmaps import bitmap, held
+from ..bitmaps import Bitmap, held, passes
 from .scratch import Scratch, quoted
 from .textnum import chunks, mix, segment_hash, string_buffers
 
@@ -90,7 +90,7 @@ def _hashes(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "before long, hash long, after long")
 
 
-def _marked(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+def _marked(docs: DataFrame, bits: Bitmap) -> DataFrame:
     """doc_id, version, place, hash and both lines of the places whose hash the bitmap holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +113,11 @@ def _chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
     same = lambda c: F.col(f"{c}_min") == F.col(f"{c}_max")
     one = lambda c: F.when(same(c), F.col(f"{c}_min")).alias(c)
     repeated = scratch.keep(counts.where("n > 1").select("hash", one("before"), one("after")), "hashes")
-    marked = _marked(docs, bitmap(repeated, "hash")).join(repeated.hint("merge"), "hash")
+    marked = None
+    for bits in passes(repeated, "hash"):  # one pass, unless what is repeated needs several bitmaps
+        part = _marked(docs, bits)
+        marked = part if marked is None else marked.unionAll(part)
+    marked = marked.join(repeated.hint("merge"), "hash")
     # a place goes on the chunk of the one above if each is the other's only neighbour
     above = Window.partitionBy(*_DOC).orderBy("place")
     last = lambda c: F.lag(c).over(above)

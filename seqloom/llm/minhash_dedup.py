@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..bitmaps import bitmap, maybe_in
+from ..bitmaps import split
 from .components import components
 from .scratch import Scratch
 from .textnum import mix, shingle_rows
@@ -125,7 +125,7 @@ def _confirmed(shingle_words: int, percent: int):
 
 def _maybe(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents that may be among ``ids`` (written): the others' texts are not shuffled."""
-    return docs.where(maybe_in(bitmap(ids.select(F.xxhash64("doc_id").alias("hash")), "hash"), F.xxhash64("doc_id")))
+    return split(docs, F.xxhash64("doc_id"), ids.select(F.xxhash64("doc_id").alias("hash")), "hash")[0]
 
 
 def _stars(docs: DataFrame, members: DataFrame, shingle_words: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:

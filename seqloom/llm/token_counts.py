@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..bitmaps import bitmap, maybe_in
+from ..bitmaps import split
 from .scratch import Scratch
 
 CACHE_SCHEMA = "tokenizer string, content binary, n_bytes long, n_tokens long"
@@ -104,7 +104,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_dir: str, limit: in
     if not missing.isEmpty():
         # texts that the cache knows stay where they are.  Null ids cannot be joined, and repeated ids bring several texts:
         # the digest decides.  Equal rows that are left meet in one task, which encodes the first of them
-        texts = docs.withColumn("content", digest).where(maybe_in(bitmap(missing, "hash"), F.xxhash64("content")))
+        texts = split(docs.withColumn("content", digest), F.xxhash64("content"), missing, "hash")[0]
         texts = texts.join(missing.drop("hash").hint("merge"), "content").where(F.col("first").eqNullSafe(F.col("doc_id"))).select("content", "text")
         fresh = texts.mapInArrow(_counted(tokenizer_path), "content binary, n_bytes long, n_tokens long")
         fresh.select(F.lit(version).alias("tokenizer"), "content", "n_bytes", "n_tokens").write.mode("append").parquet(cache_dir)
