@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.bitmaps import bitmap, maybe_in
+from seqloom.bitmaps import split
 from seqloom.llm.bpe import digests
 from seqloom.llm.decontaminate import contaminated
 from seqloom.llm.language_id import in_a_language
@@ -34,10 +34,9 @@ def _unpacked(packed: DataFrame, columns: list[str], **new: Column) -> DataFrame
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows whose doc_id is not in ``gone`` (doc_id, written); only those that may be there are shuffled."""
-    bits = bitmap(gone.select(F.xxhash64("doc_id").alias("hash")), "hash")
-    maybe = maybe_in(bits, F.xxhash64(F.col("doc_id").cast("long")))
+    maybe, others = split(docs, F.xxhash64(F.col("doc_id").cast("long")), gone.select(F.xxhash64("doc_id").alias("hash")), "hash")
     gone = gone.withColumnRenamed("doc_id", "gone")
-    return docs.where(~maybe).unionAll(docs.where(maybe).join(gone, docs["doc_id"] == gone["gone"], "left_anti"))
+    return others.unionAll(maybe.join(gone, maybe["doc_id"] == gone["gone"], "left_anti"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
