@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 #: SAM flag bits, fixed by the format.
 PAIRED, PROPER_PAIR, UNMAPPED, MATE_UNMAPPED, REVERSE, MATE_REVERSE = 1, 2, 4, 8, 16, 32
 FIRST, LAST, SECONDARY, FAILED_QC, DUPLICATE, SUPPLEMENTARY = 64, 128, 256, 512, 1024, 2048
 
-_MAPPED = ("M", "=", "X")
-
-
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once: inside lambdas an expression is computed for every element."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -37,51 +38,86 @@ def is_alignment(flag: Column, pos: Column, cigar: Column) -> Column:
 
 def cigar_error(cigar: Column) -> Column:
     """What is wrong with a CIGAR, null if nothing is.  Missing values are not an error."""
-    return (
+    # the order of operations is looked at without their counts: plain classes, which match texts of any length
+    kinds = F.regexp_replace(cigar, "[0-9]+", "")
+    shape = cigar.rlike("^[^0-9]|[^0-9][^0-9]|[0-9]$") | kinds.rlike("[^MIDNSHP=X]")
+    order = kinds.rlike("^[HP]*[SP]*[MIDNP=X]*[SP]*[HP]*$")
+    return F.when(~shape & order, F.lit(None).cast("string")).otherwise(
         F.when(cigar.rlike("-[0-9]*[A-Z=]"), "Negative count in CIGAR.")
         .when(cigar.rlike("(^|[A-Z=])[A-Z=]"), "Operation without a count in CIGAR.")
         .when(cigar.rlike("[0-9]$"), "Count without an operation in CIGAR.")
-        .when(~cigar.rlike("^([0-9]+[MIDNSHP=X])*$"), "Unknown operation in CIGAR.")
-        .when(cigar.rlike("[MIDNP=X].*[SH].*[MIDNP=X]") | cigar.rlike("[MIDNP=X][0-9]*.*[SH][0-9]+[MIDNP=X]"), "Operation after a clip in CIGAR.")
+        .when(shape, "Unknown operation in CIGAR.")
+        .when(~order, "Operation after a clip in CIGAR.")
     )
 
 
-def _ops(cigar: Column) -> Column:
-    parts = F.regexp_extract_all(cigar, F.lit("([0-9]+[MIDNSHP=X])"), F.lit(1))
-    return F.transform(parts, lambda p: F.struct(F.regexp_extract(p, "^[0-9]+", 0).cast("long").alias("n"), F.right(p, F.lit(1)).alias("op")))
+_RUN = StructType([StructField(c, LongType()) for c in ("at", "n", "ref")])
+_RUNS = StructType([*(StructField(c, LongType()) for c in ("soft_start", "soft_end", "length")), StructField("runs", ArrayType(_RUN))])
+#: Codes of operations: mapped, inserted, skipped in the reference, soft clip, nothing.
+_KIND = np.full(256, 4)
+for _i, _letters in enumerate((b"M=X", b"I", b"DN", b"S")):
+    _KIND[list(_letters)] = _i
+
+
+@F.arrow_udf(_RUNS)
+def _runs_of(cigars: pa.Array, starts: pa.Array) -> pa.Array:
+    """Runs of well-formed CIGARs, all of a batch at once; null for null."""
+    rows, missing = len(cigars), pc.is_null(cigars)
+    starts = pc.fill_null(starts, 0).to_numpy(zero_copy_only=False)
+    cigars = pc.fill_null(cigars, "").cast(pa.large_binary())
+    offsets = np.frombuffer(cigars.buffers()[1], np.int64)[cigars.offset : cigars.offset + rows + 1]
+    data = np.frombuffer(cigars.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].astype(np.int64)
+    offsets = offsets - offsets[0]
+    ends = np.flatnonzero((data < 48) | (data > 57))  # of counts: where the operations stand
+    digits = np.flatnonzero((data >= 48) & (data <= 57))
+    op = np.searchsorted(ends, digits)
+    n = np.zeros(len(ends), np.int64)
+    np.add.at(n, op, (data[digits] - 48) * 10 ** np.minimum(ends[op] - 1 - digits, 18))
+    row, kind = np.searchsorted(offsets, ends, side="right") - 1, _KIND[data[ends]]
+    first = np.searchsorted(row, np.arange(rows))
+
+    def before(some: np.ndarray) -> np.ndarray:
+        """The sum of what stands before each operation in its CIGAR."""
+        total = np.concatenate([[0], np.cumsum(some)])
+        return total[:-1] - total[first[row]]
+
+    ref, at, seen = before(n * np.isin(kind, (0, 2))) + starts[row], before(n * (kind <= 1)), before(kind <= 2) > 0
+    sums = lambda some: np.bincount(row[some], n[some], rows).astype(np.int64)
+    keep = (kind <= 1) & (n > 0)
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=rows))]).astype(np.int32)
+    runs = pa.StructArray.from_arrays([pa.array(at[keep]), pa.array(n[keep]), pa.array(np.where(kind == 0, ref, -1)[keep])], ["at", "n", "ref"])
+    columns = [pa.array(sums((kind == 3) & ~seen)), pa.array(sums((kind == 3) & seen)), pa.array(sums(kind <= 1)), pa.ListArray.from_arrays(pa.array(bounds), runs)]
+    return pa.StructArray.from_arrays(columns, ["soft_start", "soft_end", "length", "runs"], mask=missing)
+
+
+def cigar_runs(cigar: Column, start: Column | int = 0) -> Column:
+    """struct(soft_start, soft_end, length, runs): what stretches of the read's ``length`` bases align to.
+
+    A run is (at, n, ref): n bases from ``at`` on, the first at reference position ``ref``, or -1 if they are inserted.  M, =
+    and X take a base of both, I one of the read, D and N skip reference, S counts as clipped, H and P do nothing.  Null if
+    the CIGAR is missing or malformed (see ``cigar_error``).
+    """
+    start = F.lit(start) if isinstance(start, int) else start
+    return _runs_of(F.when(cigar_error(cigar).isNull(), cigar), start.cast("long"))
 
 
 def cigar_positions(cigar: Column, start: Column | int = 0) -> Column:
-    """struct(soft_start, soft_end, positions): for every read base its reference position, -1 for inserted ones.
+    """struct(soft_start, soft_end, positions): the runs with a reference position for every read base, -1 for inserted ones."""
 
-    M, = and X take a base of both, I one of the read, D and N skip reference, S counts as clipped, H and P do nothing.
-    Null if the CIGAR is malformed (see ``cigar_error``).
-    """
-    start = F.lit(start) if isinstance(start, int) else start
-    zero = F.struct(start.cast("long").alias("ref"), F.lit(0).cast("long").alias("head"), F.lit(0).cast("long").alias("tail"), F.array().cast("array<array<bigint>>").alias("runs"), F.lit(False).alias("seen"))
-
-    def step(acc: Column, op: Column) -> Column:
-        n, kind = op["n"], op["op"]
-        mapped, some = kind.isin(*_MAPPED), n > 0
-        run = F.when(some & mapped, F.sequence(acc["ref"], acc["ref"] + n - 1)).when(some & (kind == "I"), F.transform(F.sequence(F.lit(1).cast("long"), n), lambda _: F.lit(-1).cast("long")))
-        moves = mapped | kind.isin("D", "N")
-        clip = kind == "S"
-        return F.struct(
-            F.when(moves, acc["ref"] + n).otherwise(acc["ref"]).alias("ref"),
-            F.when(clip & ~acc["seen"], acc["head"] + n).otherwise(acc["head"]).alias("head"),
-            F.when(clip & acc["seen"], acc["tail"] + n).otherwise(acc["tail"]).alias("tail"),
-            F.when(run.isNotNull(), F.concat(acc["runs"], F.array(run))).otherwise(acc["runs"]).alias("runs"),
-            (acc["seen"] | mapped | kind.isin("I", "D", "N")).alias("seen"),
-        )
+    def spelled(parsed: Column) -> Column:
+        spell = lambda r: F.when(r["ref"] >= 0, F.sequence(r["ref"], r["ref"] + r["n"] - 1)).otherwise(F.array_repeat(F.lit(-1).cast("long"), r["n"].cast("int")))
+        positions = F.flatten(F.transform(parsed["runs"], spell))
+        return F.when(parsed.isNotNull(), F.struct(parsed["soft_start"].alias("soft_start"), parsed["soft_end"].alias("soft_end"), positions.alias("positions")))
 
-    done = lambda acc: F.struct(acc["head"].alias("soft_start"), acc["tail"].alias("soft_end"), F.flatten(acc["runs"]).alias("positions"))
-    return F.when(cigar.isNotNull() & cigar_error(cigar).isNull(), F.aggregate(_ops(cigar), zero, step, done))
+    return bound(cigar_runs(cigar, start), spelled)
 
 
-def cigar_bounds(positions: Column) -> Column:
-    """struct(first, last): the smallest and largest reference position, -1 if no base is mapped."""
-    mapped = F.filter(positions, lambda p: p >= 0)
-    return F.struct(F.coalesce(F.array_min(mapped), F.lit(-1).cast("long")).alias("first"), F.coalesce(F.array_max(mapped), F.lit(-1).cast("long")).alias("last"))
+def cigar_bounds(runs: Column) -> Column:
+    """struct(first, last): the smallest and largest reference position of runs, -1 if no base is mapped."""
+    mapped = F.filter(runs, lambda r: r["ref"] >= 0)
+    end = lambda edge: F.array_max(F.transform(mapped, edge)) if edge is last else F.array_min(F.transform(mapped, edge))
+    first, last = (lambda r: r["ref"]), (lambda r: r["ref"] + r["n"] - 1)
+    return F.struct(F.coalesce(end(first), F.lit(-1).cast("long")).alias("first"), F.coalesce(end(last), F.lit(-1).cast("long")).alias("last"))
 
 
 def ucsc(text: Column) -> Column:
@@ -123,79 +159,126 @@ def differences(text: Column) -> Column:
     return F.transform(F.split(text, ";", -1), difference)
 
 
-def near_differences(diffs: Column, positions: Column, found_at: Column, found_to: Column, within: Column | int = 0) -> Column:
+#: What stands for a CIGAR that is not known.
+NO_CIGAR = "???"
+
+
+def _given(cigar: Column) -> Column:
+    return F.when(cigar != NO_CIGAR, cigar)
+
+
+def _protein_cigar_error(cigar: Column, parsed: Column, found_to: Column) -> Column:
+    """What keeps a protein's CIGAR from placing a match, null if nothing does or there is none."""
+    return F.when(
+        cigar.isNotNull(),
+        F.coalesce(cigar_error(cigar), F.when(parsed["soft_start"] + parsed["soft_end"] > 0, "Soft clip in the CIGAR of a protein.").when(parsed["length"] < found_to, "Match beyond the end of the CIGAR.")),
+    )
+
+
+def near_differences(diffs: Column, cigar: Column, found_at: Column, found_to: Column, within: Column | int = 0) -> Column:
     """Those of ``diffs`` whose protein range meets the match's range in the reference, widened by ``within`` on each side.
 
-    The match's ends are carried through the CIGAR positions; an end that is inserted takes the nearest mapped base
-    before it (low end) or after it (high end), else the nearest on its other side.
+    The match's ends are carried through the CIGAR; an end that is inserted takes the nearest mapped base before it (low
+    end) or after it (high end), else the nearest on its other side; if no base is mapped nothing is near.  Without a CIGAR
+    (null or ``???``) residues are their own positions.  A malformed CIGAR, soft clips and a match beyond its end are errors.
     """
     within = F.lit(within) if isinstance(within, int) else within
-
-    def at(pos: Column) -> Column:
-        inside = F.filter(F.slice(pos, found_at.cast("int") + 1, (found_to - found_at).cast("int")), lambda p: p >= 0)
-        before = F.array_max(F.filter(F.slice(pos, F.lit(1), found_at.cast("int")), lambda p: p >= 0))
-        after = F.array_min(F.filter(F.slice(pos, found_to.cast("int") + 1, F.greatest(F.size(pos), F.lit(1))), lambda p: p >= 0))
-        low = F.coalesce(F.array_min(inside), before, after) - within
-        high = F.coalesce(F.array_max(inside), after, before) + within
-        return bound(F.struct(low.alias("low"), high.alias("high")), near)
+    found_at, found_to, cigar = found_at.cast("long"), found_to.cast("long"), _given(cigar)
+
+    def at(row: Column) -> Column:
+        parsed, a, b = row["parsed"], row["a"], row["b"]
+        mapped = F.filter(parsed["runs"], lambda r: r["ref"] >= 0)
+        inside = F.filter(mapped, lambda r: (r["at"] < b) & (r["at"] + r["n"] > a))
+        low = F.array_min(F.transform(inside, lambda r: r["ref"] + F.greatest(a - r["at"], F.lit(0))))
+        high = F.array_max(F.transform(inside, lambda r: r["ref"] + F.least(b - r["at"], r["n"]) - 1))
+        before = F.array_max(F.transform(F.filter(mapped, lambda r: r["at"] < a), lambda r: r["ref"] + F.least(a - r["at"], r["n"]) - 1))
+        after = F.array_min(F.transform(F.filter(mapped, lambda r: r["at"] + r["n"] > b), lambda r: r["ref"] + F.greatest(b - r["at"], F.lit(0))))
+        ends = F.struct((F.coalesce(low, before, high, after) - within).alias("low"), (F.coalesce(high, after, low, before) + within).alias("high"))
+        return F.when(row["error"].isNotNull(), F.raise_error(row["error"]).cast("struct<low:bigint,high:bigint>")).otherwise(ends)
 
     def near(r: Column) -> Column:
         found = F.filter(diffs, lambda d: d["prot_start"].isNotNull() & (d["prot_start"] <= r["high"]) & (d["prot_end"] >= r["low"]))
         return F.when(r["low"].isNotNull(), found).otherwise(F.slice(diffs, F.lit(1), F.lit(0)))
 
-    return bound(positions, at)
+    parsed = cigar_runs(F.coalesce(cigar, F.concat(found_to.cast("string"), F.lit("M"))))
+    error = _protein_cigar_error(cigar, parsed, found_to)
+    return bound(F.struct(parsed.alias("parsed"), error.alias("error"), found_at.alias("a"), found_to.alias("b")), lambda row: bound(at(row), near))
 
 
-def genome_location(locs: Column, positions: Column, found_at: Column, found_to: Column) -> Column:
+def genome_location(locs: Column, cigar: Column, found_at: Column, found_to: Column) -> Column:
     """struct(location, warnings) of the residues [found_at, found_to) of a protein.
 
-    ``locs`` is array<struct<chrom, start, end, positive>>.  The exons' bases are laid end to end (backwards on the
-    negative strand) and taken three to a residue; runs that go on by one base collapse to ``chr:first-last``, inserted
-    residues to ``-1``; parts are joined by ``|``.
+    ``locs`` is array<struct<chrom, start, end, positive>>.  The exons are laid end to end (backwards on the negative
+    strand), three bases to a residue; stretches that go on by one base are ``chr:first-last``, one base ``chr:base``,
+    inserted residues and those beyond the exons ``-1``; parts are joined by ``|``.
+
+    Warnings: no exons (the location is null); several chromosomes (the first one's name stands for all); both strands (exons
+    from the first that turns are left out); no whole number of codons (the rest is left out); a CIGAR that is missing, or
+    malformed, clipped or too short (residues are their own positions); a CIGAR beyond the exons.
     """
-    lift = lambda loc: F.when(loc["end"] > loc["start"], F.sequence(loc["start"], loc["end"] - 1)).otherwise(F.array().cast("array<bigint>"))
+    found_at, found_to, cigar = found_at.cast("long"), found_to.cast("long"), _given(cigar)
+    parsed = cigar_runs(cigar)
+    row = F.struct(locs.alias("locs"), parsed.alias("parsed"), cigar.isNull().alias("missing"), _protein_cigar_error(cigar, parsed, found_to).alias("error"), found_at.alias("a"), found_to.alias("b"))
+    segment = "array<struct<off:bigint,n:bigint,first:bigint>>"
 
     def laid_out(row: Column) -> Column:
-        exons = row["locs"]
-        forward = F.coalesce(F.get(exons, F.lit(0))["positive"], F.lit(True))
-        bases = F.flatten(F.transform(exons, lift))
+        first = F.get(row["locs"], F.lit(0))
+        forward = F.coalesce(first["positive"], F.lit(True))
+        turn = F.array_position(F.transform(row["locs"], lambda x: x["positive"] != forward), F.lit(True))
+        used = F.when(turn > 0, F.slice(row["locs"], F.lit(1), (turn - 1).cast("int"))).otherwise(row["locs"])
+        ordered = F.when(forward, used).otherwise(F.reverse(used))
+        size = lambda x: F.greatest(x["end"] - x["start"], F.lit(0).cast("long"))
+        zero = F.struct(F.lit(0).cast("long").alias("off"), F.array().cast(segment).alias("segments"))
+        here = lambda acc, x: F.array(F.struct(acc["off"].alias("off"), size(x).alias("n"), F.when(forward, x["start"]).otherwise(x["end"] - 1).alias("first")))
+        laid = F.aggregate(ordered, zero, lambda acc, x: F.struct((acc["off"] + size(x)).alias("off"), F.concat(acc["segments"], here(acc, x)).alias("segments")))
+        alone = F.array(F.struct(F.lit(0).cast("long").alias("at"), row["b"].alias("n"), F.lit(0).cast("long").alias("ref")))
+        runs = F.when(row["missing"] | row["error"].isNotNull(), alone).otherwise(row["parsed"]["runs"])
+        many = F.exists(used, lambda x: (x["chrom"] != first["chrom"]) & (x["end"] > x["start"]))
         return bound(
             F.struct(
-                exons.alias("locs"), row["positions"].alias("positions"), F.get(exons, F.lit(0))["chrom"].alias("chrom"), forward.alias("forward"), F.when(forward, 1).otherwise(-1).alias("step"),
-                F.when(forward, bases).otherwise(F.reverse(bases)).alias("bases"), F.slice(row["positions"], found_at.cast("int") + 1, (found_to - found_at).cast("int")).alias("part"),
+                (F.coalesce(F.size(row["locs"]), F.lit(0)) <= 0).alias("none"), (turn > 0).alias("mixed"), many.alias("many"), row["missing"].alias("missing"), row["error"].alias("error"),
+                first["chrom"].alias("chrom"), F.when(forward, 1).otherwise(-1).alias("step"), laid.alias("laid"), runs.alias("runs"), row["a"].alias("a"), row["b"].alias("b"),
             ),
             described,
         )
 
     def described(r: Column) -> Column:
-        codons = (F.size(r["bases"]) / 3).cast("int")
-        beyond = F.exists(r["part"], lambda p: p >= codons)
-        none = F.coalesce(F.size(r["locs"]) <= 0, F.lit(True))
-        mixed = F.exists(r["locs"], lambda x: x["positive"] != r["forward"])
-        many = F.exists(r["locs"], lambda x: x["chrom"] != r["chrom"])
-        spell = lambda p: F.when(p < 0, F.array(F.lit(-1).cast("long"))).otherwise(F.slice(r["bases"], (p * 3 + 1).cast("int"), F.lit(3)))
-        stop = none | mixed | r["positions"].isNull() | beyond
+        codons = F.floor(r["laid"]["off"] / 3)
         warnings = F.array(
-            F.when(none, "No location."),
-            F.when(~none & mixed, "Both strands."),
-            F.when(~none & ~mixed & many, "Multiple chromosomes."),
-            F.when(~none & ~mixed & (F.size(r["bases"]) % 3 != 0), "Not whole codons."),
-            F.when(~none & ~mixed & r["positions"].isNull(), "Missing or malformed CIGAR."),
-            F.when(~none & ~mixed & beyond, "CIGAR beyond location."),
+            F.when(r["many"], "Multiple chromosomes."),
+            F.when(r["mixed"], "Both strands."),
+            F.when(r["laid"]["off"] % 3 != 0, "Not whole codons."),
+            F.when(r["missing"], "Missing CIGAR."),
+            F.when(r["error"].isNotNull(), F.concat(F.lit("Bad CIGAR: "), r["error"])),
+            F.when(F.exists(r["runs"], lambda x: x["ref"] + x["n"] > F.when(x["ref"] >= 0, codons)), "CIGAR beyond location."),
         )
-        text = bound(F.flatten(F.transform(r["part"], spell)), lambda flat: runs(flat, r["chrom"], r["step"]))
-        return F.struct(F.when(~F.coalesce(stop, F.lit(True)), text).alias("location"), F.filter(warnings, lambda w: w.isNotNull()).alias("warnings"))
-
-    def runs(flat: Column, chrom: Column, step: Column) -> Column:
-        """A run ends in front of every place that does not go on from the one before it."""
-        goes_on = lambda x, y: ((x >= 0) & (y == x + step) & (y >= 0)) | ((x == -1) & (y == -1))
-        places = F.transform(flat, lambda x, i: F.struct(x.alias("x"), F.when(i == 0, F.lit(True)).otherwise(~goes_on(F.get(flat, i - 1), x)).alias("first"), F.coalesce(~goes_on(x, F.get(flat, i + 1)), F.lit(True)).alias("last")))
-
-        def joined(p: Column) -> Column:
-            heads, tails = F.filter(p, lambda v: v["first"]), F.filter(p, lambda v: v["last"])
-            show = lambda h, t: F.when(h["x"] < 0, F.lit("-1")).otherwise(F.concat(chrom, F.lit(":"), h["x"].cast("string"), F.lit("-"), t["x"].cast("string")))
-            return F.array_join(F.zip_with(heads, tails, show), "|")
-
-        return bound(places, joined)
-
-    return bound(F.struct(locs.alias("locs"), positions.alias("positions")), laid_out)
+        gap = F.array(F.struct(F.lit(-1).cast("long").alias("first"), F.lit(1).cast("long").alias("n")))
+
+        def bases(low: Column, high: Column) -> Column:
+            """The stretches of the exons' bases [low, high)."""
+            start, end = (lambda s: F.greatest(low, s["off"])), (lambda s: F.least(high, s["off"] + s["n"]))
+            meet = F.filter(r["laid"]["segments"], lambda s: start(s) < end(s))
+            return F.transform(meet, lambda s: F.struct((s["first"] + r["step"] * (start(s) - s["off"])).alias("first"), (end(s) - start(s)).alias("n")))
+
+        def pieces(x: Column) -> Column:
+            start, end = F.greatest(r["a"], x["at"]), F.least(r["b"], x["at"] + x["n"])
+            low = x["ref"] + start - x["at"]
+            high = low + end - start
+            there = F.concat(bases(3 * low, 3 * F.least(high, codons)), F.when(high > codons, gap).otherwise(F.slice(gap, 1, 0)))
+            return F.when(x["ref"] < 0, gap).otherwise(there)
+
+        part = F.filter(r["runs"], lambda x: (x["at"] < r["b"]) & (x["at"] + x["n"] > r["a"]))
+        text = bound(F.flatten(F.transform(part, pieces)), lambda flat: joined(flat, r["chrom"], r["step"]))
+        kept = F.when(r["none"], F.array(F.lit("No location."))).otherwise(F.filter(warnings, lambda w: w.isNotNull()))
+        return F.struct(F.when(~r["none"], text).alias("location"), kept.alias("warnings"))
+
+    def joined(flat: Column, chrom: Column, step: Column) -> Column:
+        """The stretches as text, those that go on from the one before as one with it."""
+        end = lambda x: x["first"] + step * (x["n"] - 1)
+        goes_on = lambda x, y: ((x["first"] < 0) & (y["first"] < 0)) | ((x["first"] >= 0) & (y["first"] >= 0) & (y["first"] == end(x) + step))
+        head = lambda x, i: F.when(i == 0, F.lit(True)).otherwise(~goes_on(F.get(flat, i - 1), x))
+        tail = lambda x, i: F.coalesce(~goes_on(x, F.get(flat, i + 1)), F.lit(True))
+        show = lambda h, t: F.when(h["first"] < 0, F.lit("-1")).otherwise(F.concat(chrom, F.lit(":"), h["first"].cast("string"), F.when(h["first"] == end(t), "").otherwise(F.concat(F.lit("-"), end(t).cast("string")))))
+        return F.array_join(F.zip_with(F.filter(flat, head), F.filter(flat, tail), show), "|")
+
+    return bound(row, laid_out)

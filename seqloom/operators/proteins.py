@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.colspec import to_long
-from ..functions.genome import cigar_positions, differences, genome_location, near_differences
+from ..functions.genome import differences, genome_location, near_differences
 
 
 def protein_rollup(bed: DataFrame) -> DataFrame:
@@ -106,15 +106,14 @@ def peptide_report(peptides: DataFrame, found: DataFrame, identifiers: DataFrame
     """One row for each peptide and match, and one with found = false for each peptide without a match.
 
     ``found`` is the output of ``with_proteins`` on named matches with match_ind, ``identifiers`` (protein, transcript,
-    gene).  Differences near the match are those within ``within`` residues of it.
+    gene).  Differences near the match are those within ``within`` residues of it.  A protein without a variant has no CIGAR,
+    which is a warning; what is wrong with a CIGAR is one for the location and an error for the differences.
     """
-    positions = F.col("placed.positions")
-    rows = found.withColumn("placed", cigar_positions(F.col("cigar")))
-    near = near_differences(differences(F.array_join("difs", ";")), positions, F.col("found_at"), F.col("found_to"), within)
-    where = genome_location(F.col("locs"), positions, F.col("found_at"), F.col("found_to"))
-    rows = rows.select(
-        "look_for", "match_ind", "name", "protein", "found_at", "found_to", "cigar", "inds", where.alias("where"),
-        F.when(F.size("difs") > 0, F.transform(near, lambda d: d["desc"])).otherwise(F.array().cast("array<string>")).alias("near"),
+    difs = F.flatten(F.transform(F.filter(F.coalesce("difs", F.array().cast("array<string>")), lambda d: d.isNotNull()), differences))
+    near = near_differences(difs, F.col("cigar"), F.col("found_at"), F.col("found_to"), within)
+    where = genome_location(F.col("locs"), F.col("cigar"), F.col("found_at"), F.col("found_to"))
+    rows = found.select(
+        "look_for", "match_ind", "name", "protein", "found_at", "found_to", "cigar", "inds", where.alias("where"), F.transform(near, lambda d: d["desc"]).alias("near"),
     )
     rows = rows.join(identifiers, "protein", "left")
     blank = lambda c: F.coalesce(c, F.lit(""))

@@ -417,7 +417,7 @@ def cigar_positions(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber, CAST(l_suppkey AS BIGINT) AS first, CAST(l_suppkey + 2 * floor(l_quantity) + l_linenumber - 1 AS BIGINT) AS last FROM lineitem")
 def cigar_bounds(spark, sf_dir):
-    b = genome.cigar_bounds(genome.cigar_positions(_cigar(), F.col("l_suppkey").cast("long"))["positions"])
+    b = genome.cigar_bounds(genome.cigar_runs(_cigar(), F.col("l_suppkey").cast("long"))["runs"])
     return _spread(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", b.alias("b")).select("l_orderkey", "l_linenumber", "b.first", "b.last")
 
 
@@ -426,7 +426,7 @@ def cigar_bounds(spark, sf_dir):
  THEN l_linenumber || '-' || (l_linenumber + 2) || 'S>F:' || l_orderkey || 'C>T' ELSE '' END AS near FROM lineitem"""
 )
 def near_match(spark, sf_dir):
-    near = genome.near_differences(genome.differences(_difference_text()), genome.cigar_positions(F.lit("50M"))["positions"], F.lit(3), F.lit(6), 2)
+    near = genome.near_differences(genome.differences(_difference_text()), F.lit("50M"), F.lit(3), F.lit(6), 2)
     return _spread(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(F.transform(near, lambda d: d["desc"]), ";").alias("near"))
 
 
@@ -437,11 +437,89 @@ def near_match(spark, sf_dir):
 def genome_location(spark, sf_dir):
     start = F.col("l_orderkey") * 1000
     loc = F.array(F.struct(F.lit("c").alias("chrom"), start.alias("start"), (start + 3 * (F.col("l_linenumber") + 2)).alias("end"), (F.col("l_partkey") % 2 == 0).alias("positive")))
-    positions = genome.cigar_positions(F.concat((F.col("l_linenumber") + 2).cast("string"), F.lit("M")))["positions"]
-    where = genome.genome_location(loc, positions, F.lit(1), F.col("l_linenumber") + 1)
+    cigar = F.concat((F.col("l_linenumber") + 2).cast("string"), F.lit("M"))
+    where = genome.genome_location(loc, cigar, F.lit(1), F.col("l_linenumber") + 1)
     return _spread(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", where["location"].alias("location"))
 
 
+def _odd_cigar() -> Column:
+    """By the part's number: a M, b I, c M, d D, e M, or too short, clipped, malformed, ``???`` or missing."""
+    n, k = lambda m, low: (F.col("l_partkey") % m + low).cast("string"), F.col("l_partkey") % 11
+    whole = F.concat(n(3, 1), F.lit("M"), n(4, 0), F.lit("I"), n(5, 1), F.lit("M"), n(3, 0), F.lit("D"), n(7, 6), F.lit("M"))
+    return F.when(k == 0, None).when(k == 1, "???").when(k == 2, "3M1Q").when(k == 3, "2S18M").when(k == 4, "4M").otherwise(whole)
+
+
+#: Residues' reference positions, list by list: what the CIGAR says, or the residue itself.
+_ODD_CIGAR = """o AS (
+  SELECT row_number() OVER () AS rid, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 11 AS k, l_linenumber % 4 AS a, l_linenumber % 4 + 1 + l_suppkey % 6 AS b,
+         l_partkey % 3 + 1 AS m1, l_partkey % 4 AS i1, l_partkey % 5 + 1 AS m2, l_partkey % 3 AS d1, l_partkey % 7 + 6 AS m3 FROM lineitem),
+c AS (
+  SELECT *, CASE WHEN k >= 5 AND b <= m1 + i1 + m2 + m3 THEN list_concat(list_concat(list_concat(range(0, m1), list_transform(range(0, i1), lambda i: CAST(-1 AS BIGINT))), range(m1, m1 + m2)), range(m1 + m2 + d1, m1 + m2 + d1 + m3))
+              WHEN k = 4 AND b <= 4 THEN range(0, 4) ELSE range(0, b) END AS pos,
+         CASE k WHEN 0 THEN 'Missing CIGAR.' WHEN 1 THEN 'Missing CIGAR.' WHEN 2 THEN 'Bad CIGAR: Unknown operation in CIGAR.' WHEN 3 THEN 'Bad CIGAR: Soft clip in the CIGAR of a protein.'
+              WHEN 4 THEN CASE WHEN b > 4 THEN 'Bad CIGAR: Match beyond the end of the CIGAR.' END
+              ELSE CASE WHEN b > m1 + i1 + m2 + m3 THEN 'Bad CIGAR: Match beyond the end of the CIGAR.' END END AS cigar_warning
+  FROM o)"""
+
+
+@query(
+    f"""WITH {_ODD_CIGAR},
+e AS (
+  SELECT *, CASE WHEN l_suppkey % 5 = 0 THEN 1 ELSE 3 END AS n_exons, l_linenumber % 2 = 0 AS forward, l_suppkey * 100 AS s FROM c),
+g AS (
+  SELECT *, list_concat(list_concat(range(s, s + l_partkey % 9 + 4), CASE WHEN n_exons = 3 THEN range(s + 40, s + 40 + l_suppkey % 4) ELSE [] END),
+            CASE WHEN n_exons = 3 THEN range(s + 40 + l_suppkey % 4, s + 60 + l_partkey % 5) ELSE [] END) AS up
+  FROM e),
+h AS (SELECT *, CASE WHEN forward THEN up ELSE list_reverse(up) END AS bases, len(up) // 3 AS codons, CASE WHEN forward THEN 1 ELSE -1 END AS step FROM g),
+residues AS (SELECT rid, step, unnest(range(a, b)) AS i, bases, codons, pos FROM h),
+p AS (SELECT rid, step, i, bases, CASE WHEN pos[i + 1] >= codons THEN -1 ELSE pos[i + 1] END AS r FROM residues),
+flat AS (
+  SELECT rid, step, i, j, CASE WHEN r < 0 THEN -1 ELSE bases[3 * r + j + 1] END AS x FROM p, range(3) t(j) WHERE r >= 0 OR j = 0),
+marked AS (
+  SELECT *, row_number() OVER w AS k, lag(x) OVER w AS before FROM flat WINDOW w AS (PARTITION BY rid ORDER BY i, j)),
+runs AS (
+  SELECT *, sum(CASE WHEN before IS NULL OR NOT ((x < 0 AND before < 0) OR (x >= 0 AND before >= 0 AND x = before + step)) THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY k) AS run FROM marked),
+parts AS (
+  SELECT rid, run, CASE WHEN any_value(x) < 0 THEN '-1' WHEN count(*) = 1 THEN 'c:' || min(x) ELSE 'c:' || arg_min(x, k) || '-' || arg_max(x, k) END AS part FROM runs GROUP BY ALL),
+texts AS (SELECT rid, string_agg(part, '|' ORDER BY run) AS location FROM parts GROUP BY ALL)
+SELECT h.l_orderkey, h.l_linenumber, t.location,
+       array_to_string(list_filter([CASE WHEN n_exons = 3 AND l_partkey % 7 = 0 THEN 'Multiple chromosomes.' END, CASE WHEN n_exons = 1 THEN 'Both strands.' END, CASE WHEN len(up) % 3 <> 0 THEN 'Not whole codons.' END,
+         cigar_warning, CASE WHEN list_max(pos) >= codons THEN 'CIGAR beyond location.' END], lambda w: w IS NOT NULL), '|') AS warnings
+FROM h JOIN texts t USING (rid)"""
+)
+def genome_location_exons(spark, sf_dir):
+    """Three exons, two of which touch, on either strand; some turn after the first; CIGARs of all kinds."""
+    s, forward, mixed = F.col("l_suppkey").cast("long") * 100, F.col("l_linenumber") % 2 == 0, F.col("l_suppkey") % 5 == 0
+    exon = lambda chrom, a, b, way: F.struct(chrom.alias("chrom"), a.alias("start"), b.alias("end"), way.alias("positive"))
+    first = exon(F.lit("c"), s, s + F.col("l_partkey") % 9 + 4, forward)
+    second = exon(F.lit("c"), s + 40, s + 40 + F.col("l_suppkey") % 4, forward != mixed)
+    third = exon(F.when(F.col("l_partkey") % 7 == 0, "d").otherwise("c"), s + 40 + F.col("l_suppkey") % 4, s + 60 + F.col("l_partkey") % 5, forward)
+    at = F.col("l_linenumber") % 4
+    where = genome.genome_location(F.array(first, second, third), _odd_cigar(), at, at + 1 + F.col("l_suppkey") % 6)
+    rows = _spread(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", where.alias("w"))
+    return rows.select("l_orderkey", "l_linenumber", "w.location", F.array_join("w.warnings", "|").alias("warnings"))
+
+
+@query(
+    f"""WITH {_ODD_CIGAR},
+x AS (
+  SELECT *, list_filter(pos[a + 1:b], lambda p: p >= 0) AS inside, list_filter(pos[1:a], lambda p: p >= 0) AS before, list_filter(pos[b + 1:], lambda p: p >= 0) AS after
+  FROM c WHERE cigar_warning IS NULL OR cigar_warning = 'Missing CIGAR.'),
+r AS (
+  SELECT *, coalesce(list_min(inside), list_max(before), list_max(inside), list_min(after)) - 1 AS low, coalesce(list_max(inside), list_min(after), list_min(inside), list_max(before)) + 1 AS high FROM x)
+SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 7 <> 0 AND l_linenumber <= high AND l_linenumber + 2 >= low
+ THEN l_linenumber || '-' || (l_linenumber + 2) || 'S>F:' || l_orderkey || 'C>T' ELSE '' END AS near FROM r"""
+)
+def near_match_cigars(spark, sf_dir):
+    """Insertions, deletions and missing CIGARs; those that place no match are errors and left out before."""
+    at, to, cigar, k = F.col("l_linenumber") % 4, F.col("l_linenumber") % 4 + 1 + F.col("l_suppkey") % 6, _odd_cigar(), F.col("l_partkey") % 11
+    rows = _spread(spark, sf_dir, "lineitem").withColumns({"cigar": cigar, "at": at, "to": to})
+    long_enough = F.when(k == 4, F.col("to") <= 4).otherwise(F.col("to") <= F.col("l_partkey") % 3 + F.col("l_partkey") % 4 + F.col("l_partkey") % 5 + F.col("l_partkey") % 7 + 8)
+    rows = rows.where((k < 2) | ((k > 3) & long_enough))
+    near = genome.near_differences(genome.differences(_difference_text()), F.col("cigar"), F.col("at"), F.col("to"), 1)
+    return rows.select("l_orderkey", "l_linenumber", F.array_join(F.transform(near, lambda d: d["desc"]), ";").alias("near"))
+
+
 @query()
 def peptide_report(spark, sf_dir):
     """The whole chain: search, order, names, proteins, variants, report."""

@@ -207,32 +207,84 @@ def test_cigar(spark):
     for bad in ("M", "3", "-1M", "2M1S1M", "1Q"):
         assert one(spark, genome.cigar_error(F.lit(bad))), bad
         assert one(spark, genome.cigar_positions(F.lit(bad))) is None
-    bounds = one(spark, genome.cigar_bounds(F.array(F.lit(-1), F.lit(4), F.lit(9)).cast("array<bigint>")))
-    assert (bounds.first, bounds.last) == (4, 9)
-
-
-def _location(spark, positive, cigar, locs=((100, 106), (200, 206)), at=(1, 3), chroms=("chr1", "chr1")):
-    l = F.array(*(F.struct(F.lit(c).alias("chrom"), F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end"), F.lit(positive).alias("positive")) for c, (a, b) in zip(chroms, locs)))
-    return one(spark, genome.genome_location(l, genome.cigar_positions(F.lit(cigar))["positions"], F.lit(at[0]), F.lit(at[1])))
+    for good in ("", "0M", "5H3P2S4M1P2D1N3I2X1=2S1P4H", "12P", "+5M"[1:], "3M" * 20_000):
+        assert one(spark, genome.cigar_error(F.lit(good))) is None, good[:30]
+    runs = one(spark, genome.cigar_runs(F.lit("2H1S2=1I0M3X4D1M5S"), 7))
+    assert (runs.soft_start, runs.soft_end, runs.length) == (1, 5, 7) and [tuple(r) for r in runs.runs] == [(0, 2, 7), (2, 1, -1), (3, 3, 9), (6, 1, 16)]
+    long = one(spark, genome.cigar_runs(F.lit("3M1D" * 20_000)))
+    assert (long.length, len(long.runs), tuple(long.runs[-1])) == (60_000, 20_000, (59_997, 3, 79_996))
+    bounds = one(spark, genome.cigar_bounds(genome.cigar_runs(F.lit("3I2M5D3M"), 4)["runs"]))
+    assert (bounds.first, bounds.last) == (4, 13)
+    bounds = one(spark, genome.cigar_bounds(genome.cigar_runs(F.lit("3I"))["runs"]))
+    assert (bounds.first, bounds.last) == (-1, -1)
+
+
+def test_cigars_of_a_batch_against_a_walk(spark):
+    rng = random.Random(4)
+    cigars = [None, "", "7Q"] + ["".join(f"{rng.randint(0, 12)}{rng.choice('MIDN=XP')}" for _ in range(rng.choice([1, 3, 9]))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(cigars)), "i long, c string").repartition(3)
+    got = {r.i: r.p for r in df.select("i", genome.cigar_positions(F.col("c"), F.col("i") * 10).alias("p")).collect()}
+    for i, c in enumerate(cigars):
+        if c is None or "Q" in c:
+            assert got[i] is None
+            continue
+        ref, want, n = i * 10, [], ""
+        for x in c:
+            if x.isdigit():
+                n += x
+                continue
+            want += range(ref, ref + int(n)) if x in "M=X" else [-1] * int(n) if x == "I" else []
+            ref += int(n) if x in "M=XDN" else 0
+            n = ""
+        assert got[i].positions == want
+
+
+def _location(spark, positive, cigar, locs=((100, 106), (200, 206)), at=(1, 3), chroms=("chr1",) * 9):
+    ways = positive if isinstance(positive, tuple) else (positive,) * len(locs)
+    l = F.array(*(F.struct(F.lit(c).alias("chrom"), F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end"), F.lit(w).alias("positive")) for c, (a, b), w in zip(chroms, locs, ways))).cast("array<struct<chrom:string,start:bigint,end:bigint,positive:boolean>>")
+    found = one(spark, genome.genome_location(l, F.lit(cigar).cast("string"), F.lit(at[0]), F.lit(at[1])))
+    return found.location, found.warnings
 
 
 def test_genome_location(spark):
-    assert _location(spark, True, "4M").location == "chr1:103-105|chr1:200-202"
-    assert _location(spark, False, "2M1I2M", at=(1, 4)).location == "chr1:202-200|-1|chr1:105-103"
-    assert _location(spark, True, "9M", at=(0, 9)).warnings == ["CIGAR beyond location."]
-    assert "Missing or malformed CIGAR." in _location(spark, True, "Q").warnings
-    assert "Not whole codons." in _location(spark, True, "2M", locs=((0, 7), (10, 20)), at=(0, 1)).warnings
-    assert "Multiple chromosomes." in _location(spark, True, "4M", chroms=("chr1", "chr2")).warnings
+    assert _location(spark, True, "4M") == ("chr1:103-105|chr1:200-202", [])
+    assert _location(spark, False, "2M1I2M", at=(1, 4)) == ("chr1:202-200|-1|chr1:105-103", [])
+    # residues beyond the exons are reported as such, the rest as ever
+    assert _location(spark, True, "9M", at=(3, 9)) == ("chr1:203-205|-1", ["CIGAR beyond location."])
+    assert _location(spark, True, "9M", at=(5, 9)) == ("-1", ["CIGAR beyond location."])
+    # without a usable CIGAR residues are their own positions
+    for cigar, warning in ((None, "Missing CIGAR."), ("???", "Missing CIGAR."), ("Q", "Bad CIGAR: Operation without a count in CIGAR."), ("2S18M", "Bad CIGAR: Soft clip in the CIGAR of a protein."), ("2M", "Bad CIGAR: Match beyond the end of the CIGAR.")):
+        assert _location(spark, True, cigar) == ("chr1:103-105|chr1:200-202", [warning])
+    # codons across exons, exons that touch, a base of its own
+    assert _location(spark, True, "4M", locs=((0, 2), (2, 4), (10, 20)), at=(0, 2)) == ("chr1:0-3|chr1:10-11", ["Not whole codons."])
+    assert _location(spark, True, "1M", locs=((0, 1), (5, 7)), at=(0, 1)) == ("chr1:0|chr1:5-6", [])
+    assert _location(spark, False, "1M", locs=((0, 2), (5, 6)), at=(0, 1)) == ("chr1:5|chr1:1-0", [])
+    # exons from the first that turns are left out
+    assert _location(spark, (True, False, True), "2M", locs=((0, 6), (10, 16), (20, 26)), at=(0, 2)) == ("chr1:0-5", ["Both strands."])
+    assert _location(spark, True, "4M", chroms=("chr1", "chr2"))[1] == ["Multiple chromosomes."]
+    assert _location(spark, True, "4M", locs=()) == (None, ["No location."])
+    # as many runs and exons as there are, in time linear in them
+    assert _location(spark, True, "1M1D" * 3000, locs=((0, 18_000),), at=(0, 3000))[0].count("|") == 2999
 
 
 def test_differences(spark):
     d = one(spark, genome.difference(F.lit("167-168S>F:109130043C>T")))
     assert (d.prot_start, d.prot_end, d.prot_change, d.gen_loc, d.gen_change, d.warning) == (167, 168, "S>F", 109130043, "C>T", None)
     assert one(spark, genome.difference(F.lit("abc"))).warning == "Questionable variant: abc"
-    near = one(spark, genome.near_differences(genome.differences(F.lit("1-2A>B:1C>T;7-8A>B:2C>T;x")), genome.cigar_positions(F.lit("2M3I9M"))["positions"], F.lit(2), F.lit(5), 0))
+    near = one(spark, genome.near_differences(genome.differences(F.lit("1-2A>B:1C>T;7-8A>B:2C>T;x")), F.lit("2M3I9M"), F.lit(2), F.lit(5), 0))
     assert [x.desc for x in near] == ["1-2A>B:1C>T"]
 
 
+def test_near_differences(spark):
+    near = lambda cigar, at, to, within=0: [x.desc for x in one(spark, genome.near_differences(genome.differences(F.lit("1-2A>B:1C>T;7-8A>B:2C>T;x")), F.lit(cigar).cast("string"), F.lit(at), F.lit(to), within))]
+    first, second = "1-2A>B:1C>T", "7-8A>B:2C>T"
+    assert near(None, 2, 5) == near("???", 2, 5) == [first] and near(None, 5, 8) == [second] and near("???", 3, 5, 2) == [first]
+    assert near("9I", 2, 5, 99) == [] and near("2I9M", 0, 2) == [] and near("2I9M", 0, 2, 1) == [first] and near("9M2I", 9, 11) == [second]
+    for bad, message in (("2S18M", "Soft clip"), ("3M", "beyond the end"), ("5Q", "Unknown operation")):
+        with pytest.raises(Exception, match=message):
+            near(bad, 2, 5)
+
+
 def test_ucsc(spark):
     u = lambda t: tuple(one(spark, genome.ucsc(F.lit(t))))
     assert u("chr1:5-9") == ("chr1", 5, 9, None) and u("chr1:5") == ("chr1", 5, 6, None)
