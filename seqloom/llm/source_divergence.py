@@ -38,8 +38,8 @@ from .textnum import string_buffers
 #: Bytes of a term: ASCII letters and all bytes of non-ASCII characters.
 _TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
-#: Different terms that a task holds before it hands on their counts.
-TASK_TERMS = 200_000
+#: Different terms of groups that a task holds before it hands on their counts, about 100 bytes each.
+TASK_TERMS = 500_000
 #: Bytes of a text looked at together.
 PIECE_BYTES = 1 << 20
 #: Pairs of sources evaluated together.
@@ -59,30 +59,35 @@ def _pieces(text: bytes) -> Iterator[bytes]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, source, term, n, n_docs; the empty term stands for the group itself."""
-    counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    """lang, source, term, n, n_docs; the empty term stands for the group itself.
+
+    The documents that have a term are counted for its language, and go with the first of its sources.
+    """
+    counts: dict[tuple[str, str], Counter] = {}
+    n_docs: dict[str, Counter] = {}
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, docs) in counts.items():
-            terms = [b"", *n]
+        for (lang, source), n in counts.items():
+            terms, docs = [b"", *n], n_docs[lang]
             size = len(terms)
             columns = [pa.array([lang] * size, pa.string()), pa.array([source] * size, pa.string()), pa.array(terms, pa.binary()).view(pa.string()), pa.array([0, *n.values()], pa.int64())]
             for lo in range(0, size, 1 << 15):
                 part = [c.slice(lo, 1 << 15) for c in columns]
-                yield pa.RecordBatch.from_arrays([*part, pa.array([docs[t] for t in terms[lo : lo + (1 << 15)]], pa.int64())], ["lang", "source", "term", "n", "n_docs"])
+                yield pa.RecordBatch.from_arrays([*part, pa.array([docs.pop(t, 0) for t in terms[lo : lo + (1 << 15)]], pa.int64())], ["lang", "source", "term", "n", "n_docs"])
         counts.clear()
+        n_docs.clear()
 
     for batch in batches:
         data, offsets = string_buffers(batch.column(2))
         for i, group in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-            n, docs = counts.setdefault(group, (Counter(), Counter()))
+            n, docs = counts.setdefault(group, Counter()), n_docs.setdefault(group[0], Counter())
             seen: set[bytes] = set()
             for piece in _pieces(data[offsets[i] : offsets[i + 1]].tobytes().translate(_LOWER)):
                 terms = _TERM.findall(piece)
                 n.update(terms)
                 seen.update(terms)
             docs.update(seen)
-            if sum(len(n) for n, _ in counts.values()) >= TASK_TERMS:
+            if sum(map(len, counts.values())) >= TASK_TERMS:
                 yield from flush()
     yield from flush()
 
