@@ -520,15 +520,51 @@ def near_match_cigars(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", F.array_join(F.transform(near, lambda d: d["desc"]), ";").alias("near"))
 
 
-@query()
+@query(
+    _SHORT_SQL.rstrip()
+    + """,
+m AS (SELECT look_for, found_in AS p, found_at, found_to, row_number() OVER (ORDER BY look_for, found_in, found_at, found_to) - 1 AS match_ind FROM found),
+locs AS (SELECT l_partkey AS p, flatten(list(range(l_orderkey * 1000, l_orderkey * 1000 + 3 * l_linenumber) ORDER BY l_orderkey * 10 + l_linenumber, l_orderkey, l_linenumber)) AS up FROM lineitem GROUP BY l_partkey),
+v AS (
+  SELECT user_id AS p, count(DISTINCT event_id % 17) AS n_owners, string_agg(DISTINCT 'I' || event_id % 17, '|' ORDER BY 'I' || event_id % 17) AS owners,
+         CASE user_id % 4 WHEN 0 THEN '3M2I94M' WHEN 1 THEN '2M4D97M' WHEN 2 THEN '3S96M' ELSE '99M' END AS cigar FROM events GROUP BY user_id),
+x AS (
+  SELECT m.*, n_owners, owners, cigar, up, len(up) // 3 AS codons, CASE WHEN m.p % 2 = 0 THEN 1 ELSE -1 END AS step, CASE WHEN m.p % 2 = 0 THEN up ELSE list_reverse(up) END AS bases,
+         CASE cigar WHEN '3M2I94M' THEN list_concat([0, 1, 2, -1, -1], range(3, 97)) WHEN '2M4D97M' THEN list_concat([0, 1], range(6, 103)) WHEN '99M' THEN range(0, 99) ELSE range(0, found_to) END AS pos
+  FROM m LEFT JOIN v ON m.p = v.p LEFT JOIN locs ON locs.p = m.p),
+residues AS (SELECT match_ind, step, bases, codons, pos, unnest(range(found_at, found_to)) AS i FROM x WHERE up IS NOT NULL),
+r AS (SELECT match_ind, step, bases, i, CASE WHEN pos[i + 1] >= codons THEN -1 ELSE pos[i + 1] END AS r FROM residues),
+flat AS (SELECT match_ind, step, i, j, CASE WHEN r < 0 THEN -1 ELSE bases[3 * r + j + 1] END AS b FROM r, range(3) t(j) WHERE r >= 0 OR j = 0),
+marked AS (SELECT *, row_number() OVER w AS k, lag(b) OVER w AS before FROM flat WINDOW w AS (PARTITION BY match_ind ORDER BY i, j)),
+runs AS (
+  SELECT *, sum(CASE WHEN before IS NULL OR NOT ((b < 0 AND before < 0) OR (b >= 0 AND before >= 0 AND b = before + step)) THEN 1 ELSE 0 END) OVER (PARTITION BY match_ind ORDER BY k) AS run FROM marked),
+parts AS (SELECT match_ind, run, min(b) AS least, count(*) AS n, arg_min(b, k) AS a, arg_max(b, k) AS z FROM runs GROUP BY match_ind, run),
+texts AS (SELECT match_ind, string_agg(CASE WHEN least < 0 THEN '-1' ELSE 'chr' || p % 23 || ':' || a || CASE WHEN n > 1 THEN '-' || z ELSE '' END END, '|' ORDER BY run) AS location
+          FROM parts JOIN m USING (match_ind) GROUP BY match_ind),
+ends AS (
+  SELECT match_ind, list_filter(pos[found_at + 1:found_to], lambda q: q >= 0) AS inside, list_filter(pos[1:found_at], lambda q: q >= 0) AS before, list_filter(pos[found_to + 1:], lambda q: q >= 0) AS after
+  FROM x WHERE cigar IS NOT NULL AND cigar <> '3S96M'),
+near AS (
+  SELECT match_ind, coalesce(list_min(inside), list_max(before), list_max(inside), list_min(after)) - 1 AS low, coalesce(list_max(inside), list_min(after), list_min(inside), list_max(before)) + 1 AS high FROM ends)
+SELECT CAST(pat.look_for AS BIGINT) AS look_for, pat.p AS pattern, match_ind IS NOT NULL AS found, match_ind, coalesce('P' || x.p || '_1', '') AS name, coalesce('P' || x.p, '') AS protein,
+       coalesce(p_brand, '') AS transcript, coalesce(p_type, '') AS gene, found_at, found_to, coalesce(CASE WHEN cigar <> '3S96M' THEN cigar END, '') AS cigar, coalesce(location, '') AS location,
+       CASE WHEN match_ind IS NULL THEN '' WHEN up IS NULL THEN 'No location.' ELSE array_to_string(list_filter([CASE WHEN cigar IS NULL OR cigar = '3S96M' THEN 'Missing CIGAR.' END,
+         CASE WHEN list_max(pos) >= codons THEN 'CIGAR beyond location.' END], lambda w: w IS NOT NULL), '|') END AS warnings,
+       coalesce(n_owners, 0) AS n_owners, coalesce(owners, '') AS owners,
+       CASE WHEN x.p % 20 <= high AND x.p % 20 + 1 >= low THEN x.p % 20 || '-' || (x.p % 20 + 1) || 'A>B:5C>T' ELSE '' END AS near_variants
+FROM pat LEFT JOIN x ON pat.look_for = x.look_for LEFT JOIN part ON p_partkey = x.p LEFT JOIN texts USING (match_ind) LEFT JOIN near USING (match_ind)"""
+)
 def peptide_report(spark, sf_dir):
-    """The whole chain: search, order, names, proteins, variants, report."""
+    """The whole chain: search, order, names, proteins, variants, report; variants with insertions, deletions and no CIGAR."""
     seqs = _parts(spark, sf_dir).withColumn("name", F.concat(F.lit("P"), F.col("seq_ind").cast("string"), F.lit("_1")))
     found = matches.names(matches.sort_found(search.find_scan(seqs, _short(spark))), seqs)
-    v = proteins.variant_rollup(_variant_rows(spark, sf_dir)).withColumns({"name": F.regexp_replace("name", "^V([0-9]+)$", "P$1_1"), "cigar": F.lit("99M")})
+    k = F.regexp_extract("name", "([0-9]+)$", 1).cast("long")
+    near = F.when(k % 4 != 2, F.concat((k % 20).cast("string"), F.lit("-"), (k % 20 + 1).cast("string"), F.lit("A>B:5C>T")))
+    cigar = F.when(k % 4 == 0, "3M2I94M").when(k % 4 == 1, "2M4D97M").when(k % 4 == 3, "99M")
+    v = proteins.variant_rollup(_variant_rows(spark, sf_dir)).withColumns({"cigar": cigar, "difs": F.concat("difs", F.array(near)), "name": F.concat(F.lit("P"), k.cast("string"), F.lit("_1"))})
     found = proteins.with_proteins(found, proteins.protein_rollup(_bed(spark, sf_dir)), v)
     ids = _t(spark, sf_dir, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("protein"), F.col("p_brand").alias("transcript"), F.col("p_type").alias("gene"))
-    return proteins.peptide_report(_short(spark), found, ids)
+    return proteins.peptide_report(_short(spark), found, ids, 1)
 
 
 # --- genomics -----------------------------------------------------------------------------------------------------
