@@ -81,6 +81,27 @@ def fastq_files(spark, sf_dir):
     return sequences.read_fastq(spark, path).select("seq_ind", "name", "short_name", "seq", text.log10_to_phred(F.col("qual")).alias("phred"))
 
 
+@query(
+    """SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS seq_ind, 'part ' || p_partkey || ' ' || p_brand AS name, 'part' AS short_name, replace(p_name, ' ', '') AS seq FROM part"""
+)
+def fasta_files(spark, sf_dir):
+    """Ordered FASTA: written in ranges of seq_ind, read and numbered in the order of files and records."""
+    rows = _t(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("seq_ind"), F.concat_ws(" ", F.lit("part"), "p_partkey", "p_brand").alias("name"), F.replace(F.col("p_name"), F.lit(" "), F.lit("")).alias("seq"), F.lit(None).cast("array<double>").alias("qual")
+    )
+    path = _folder(spark, "fasta")
+    sequences.write_sequences(rows, path)
+    return sequences.read_fasta(spark, path).select("seq_ind", "name", "short_name", "seq")
+
+
+@query("SELECT CAST(s_nationkey AS BIGINT) AS row_ind, (SELECT string_agg(c, '|') FROM (SELECT unnest([CAST(c_custkey AS VARCHAR), c_name, c_mktsegment]) AS c)) AS cells FROM supplier JOIN (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS k FROM customer) ON k = s_nationkey")
+def row_fetch(spark, sf_dir):
+    """Rows of a packed table by their numbers, with repeats."""
+    packed = tsv.pack([_customers(spark, sf_dir)], _folder(spark, "table"))
+    found = tsv.fetch(packed, _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("row_ind")))
+    return found.select("row_ind", F.array_join("cells", "|").alias("cells"))
+
+
 @query("SELECT c_name || ' x' AS name FROM customer")
 def people(spark, sf_dir):
     line = F.concat(F.lit("  "), F.col("c_name"), F.lit(" x "))

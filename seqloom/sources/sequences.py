@@ -9,12 +9,16 @@ from __future__ import annotations
 import gzip
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import log10_to_phred, phred_to_log10
 from ..staging import with_rank
+from .clustered import only, write_clustered
+from .splits import appended, numbered_lines
 
 RECORD = "name string, short_name string, seq string, phred string"
 
@@ -93,34 +97,48 @@ def read_sequences(spark: SparkSession, paths: list[str]) -> DataFrame:
     return _finished(with_rank(rows, ["file_number", "record_number"], "seq_ind")).drop("file_number", "record_number")
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """FASTA by Spark's own text reader: splits large files, reads any file system, keeps no order (no seq_ind)."""
-    rows = spark.read.option("lineSep", "\n>").text(path)
+def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """FASTA by Spark's own text reader, with seq_ind in the order of paths, files and records.
+
+    Large files are split and any file system is read; records are counted and stay where they are.
+    """
+    rows = numbered_lines(spark, [path] if isinstance(path, str) else path, "\n>", "trim(value) <> ''")
     text = F.regexp_replace("value", "^>", "")
     name = F.trim(F.regexp_replace(F.substring_index(text, "\n", 1), "\r", ""))
     body = F.when(F.contains(text, F.lit("\n")), F.regexp_replace(text.substr(F.position(F.lit("\n"), text) + 1, F.length(text)), r"\s", "")).otherwise("")
-    rows = rows.where(F.trim("value") != "").select(name.alias("name"), F.regexp_extract(name, r"^(\S+)", 1).alias("short_name"), body.alias("seq"))
+    rows = rows.select(F.col("record").alias("seq_ind"), name.alias("name"), F.regexp_extract(name, r"^(\S+)", 1).alias("short_name"), body.alias("seq"))
     return rows.withColumn("qual", F.lit(None).cast("array<double>"))
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """FASTQ of four lines a record by Spark's own text reader, with seq_ind in the order of files and lines.
+def _fours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of four lines each, which follow one another without gaps, in one row."""
+    rest = None
+    for batch in batches:
+        lines = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
+        n = lines.num_rows // 4 * 4
+        rest = lines.slice(n).combine_chunks().to_batches()[0] if n < lines.num_rows else None
+        if n:
+            value, at = lines["value"].combine_chunks(), np.arange(0, n, 4)
+            yield pa.RecordBatch.from_arrays([lines["record"].combine_chunks().take(pa.array(at)), *(value.take(pa.array(at + i)) for i in range(4))], ["record", "l0", "l1", "l2", "l3"])
+
+
+def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """FASTQ of four lines a record by Spark's own text reader, with seq_ind in the order of paths, files and lines.
 
-    Large files are split and any file system is read: the lines are numbered over all tasks, and four make a record.
-    A record that is not whole is an error.
+    Large files are split and any file system is read.  Lines are counted; records within a split are put together where
+    they are, and only the lines of those that a split cuts are moved.  A record that is not whole is an error.
     """
-    at = {"file": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start"), "row": F.monotonically_increasing_id()}
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.regexp_replace("value", "\r$", "").alias("line"), *(c.alias(k) for k, c in at.items()))
-    lines = with_rank(lines, ["file", "block", "row"], "number")
-    first = lines.groupBy("file").agg(F.min("number").alias("first"))
-    lines = lines.join(first, "file").withColumn("number", F.col("number") - F.col("first"))
-    four = lines.groupBy("file", F.floor(F.col("number") / 4).alias("record")).agg(F.array_sort(F.collect_list(F.struct("number", "line"))).alias("l"))
-    part = lambda i: F.get("l", F.lit(i))["line"]
-    good = (F.size("l") == 4) & part(0).startswith("@") & part(2).startswith("+") & (F.length(part(1)) == F.length(part(3))) & (F.trim(part(0).substr(F.lit(2), F.length(part(0)))) != "")
-    name = F.trim(part(0).substr(F.lit(2), F.length(part(0))))
-    checked = F.when(F.coalesce(good, F.lit(False)), name).otherwise(F.raise_error(F.concat(F.lit("Incomplete record "), F.coalesce(part(0), F.lit("")))).cast("string"))
-    rows = four.select("file", "record", checked.alias("name"), part(1).alias("seq"), part(3).alias("phred")).withColumn("short_name", F.regexp_extract("name", r"^(\S+)", 1))
-    return _finished(with_rank(rows, ["file", "record"], "seq_ind")).select("seq_ind", "name", "short_name", "seq", "qual")
+    lines = numbered_lines(spark, [path] if isinstance(path, str) else path, per=4)
+    whole = lines.where(~F.col("edge")).select("record", "value").mapInArrow(_fours, "record long, l0 string, l1 string, l2 string, l3 string")
+    cut = lines.where("edge").groupBy("record").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("l"))
+    four = whole.unionByName(cut.select("record", *(F.get("l", F.lit(i))["value"].alias(f"l{i}") for i in range(4))))
+    name = F.trim(F.regexp_replace(F.col("l0").substr(F.lit(2), F.length("l0")), "\r$", ""))
+    good = F.col("l0").startswith("@") & F.col("l2").startswith("+") & (name != "")
+    seq, phred = (F.regexp_replace(c, "\r$", "") for c in ("l1", "l3"))
+    good = good & (F.length(seq) == F.length(phred))
+    checked = F.when(F.coalesce(good, F.lit(False)), name).otherwise(F.raise_error(F.concat(F.lit("Incomplete record "), F.coalesce("l0", F.lit("")))).cast("string"))
+    rows = four.select(F.col("record").alias("seq_ind"), checked.alias("name"), seq.alias("seq"), phred.alias("phred")).withColumn("short_name", F.regexp_extract("name", r"^(\S+)", 1))
+    return _finished(rows).select("seq_ind", "name", "short_name", "seq", "qual")
 
 
 def record_text(name: Column, seq: Column, qual: Column) -> Column:
@@ -136,19 +154,28 @@ def write_sequences(seqs: DataFrame, path: str) -> None:
 
 
 def pack(inputs: list[DataFrame], path: str) -> DataFrame:
-    """Append sequence tables (with seq_ind of their own) in order into one store; returns it as read."""
-    rows = None
-    for i, df in enumerate(inputs):
-        part = df.select(F.lit(i).alias("_input"), F.col("seq_ind").alias("_old"), "name", "short_name", "seq", "qual")
-        rows = part if rows is None else rows.unionByName(part)
-    packed = with_rank(rows, ["_input", "_old"], "seq_ind").select("seq_ind", "name", "short_name", "seq", "qual")
-    packed.write.parquet(path)
-    return packed.sparkSession.read.schema(packed.schema).parquet(path)
+    """Append sequence tables (with seq_ind of their own) in order into one store; returns it as read.
+
+    Sequences whose numbers go on by one are written where they are read; others are ranked first.
+    """
+    columns = ["name", "short_name", "seq", "qual"]
+    inputs = [df.select("seq_ind", *columns) for df in inputs]
+    packed = appended(inputs, "seq_ind")
+    if packed is None:
+        rows = None
+        for i, df in enumerate(inputs):
+            part = df.select(F.lit(i).alias("_input"), F.col("seq_ind").alias("_old"), *columns)
+            rows = part if rows is None else rows.unionByName(part)
+        packed = with_rank(rows, ["_input", "_old"], "seq_ind").select("seq_ind", *columns)
+    return write_clustered(packed, "seq_ind", path)
 
 
 def subsequence(seqs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (seq_ind, start, end) with ``part``; a bad index or range is an error."""
-    found = wanted.join(seqs.select("seq_ind", "seq"), "seq_ind", "left")
+    """wanted (seq_ind, start, end) with ``part``; a bad index or range is an error.
+
+    Of a store made by ``pack`` only the files and row groups that hold wanted numbers are read.
+    """
+    found = wanted.join(only(seqs, wanted, "seq_ind").select("seq_ind", "seq"), "seq_ind", "left")
     ok = F.col("seq").isNotNull() & (F.col("start") >= 0) & (F.col("end") >= F.col("start")) & (F.col("end") <= F.length("seq"))
     part = F.when(ok, F.col("seq").substr(F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")))
     return found.select("seq_ind", "start", "end", F.coalesce(part, F.when(~F.coalesce(ok, F.lit(False)), F.raise_error(F.lit("Bad sequence index or range."))).cast("string")).alias("part"))

@@ -6,21 +6,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..staging import with_rank
+from .clustered import only, write_clustered
+from .splits import appended, numbered_lines
 
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "\\": "\\"}
 
 
 def unescape(text: Column) -> Column:
     r"""Decode ``\n \t \r \\``; any other use of a backslash is an error."""
-    bad = text.rlike(r"^(?:[^\\]|\\[ntr\\])*\\(?:[^ntr\\]|$)")
+    # backslashes in a row pair up from the left, so what lies between the pairs has single ones only
+    parts = F.split(text, r"\\\\", -1)
+    bad = F.exists(parts, lambda part: part.rlike(r"\\([^ntr]|\z)"))
 
     def plain(part: Column) -> Column:
         for code in "ntr":
             part = F.replace(part, F.lit(f"\\{code}"), F.lit(_ESCAPES[code]))
         return part
 
-    # backslashes in a row pair up from the left, so what lies between the pairs has single ones only
-    decoded = F.array_join(F.transform(F.split(text, r"\\\\", -1), plain), "\\")
+    decoded = F.array_join(F.transform(parts, plain), "\\")
     return F.when(bad, F.raise_error(F.concat(F.lit("Bad escape sequence: "), text)).cast("string")).otherwise(decoded)
 
 
@@ -42,13 +45,8 @@ def format_line(cells: Column, escapes: bool = True) -> Column:
 
 
 def read_tsv(spark: SparkSession, paths: list[str], escapes: bool = True) -> DataFrame:
-    """Rows of the files in the order given, with row_ind."""
-    rows = None
-    for i, path in enumerate(paths):
-        part = spark.read.option("lineSep", "\n").text(path).select(F.lit(i).alias("_input"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"), "value")
-        rows = part if rows is None else rows.unionByName(part)
-    rows = rows.withColumn("cells", parse_line(F.col("value"), escapes)).drop("value")
-    return with_rank(rows, ["_input", "_file", "_block", "_line"], "row_ind").select("row_ind", "cells")
+    """Rows of the files in the order given, with row_ind; lines are counted and stay where they are."""
+    return numbered_lines(spark, paths).select(F.col("record").alias("row_ind"), parse_line(F.col("value"), escapes).alias("cells"))
 
 
 def write_tsv(table: DataFrame, path: str, escapes: bool = True) -> None:
@@ -59,14 +57,29 @@ def write_tsv(table: DataFrame, path: str, escapes: bool = True) -> None:
 
 
 def pack(inputs: list[DataFrame], path: str) -> DataFrame:
-    """Append tables in order into one store with a new row_ind; returns it as read."""
-    rows = None
-    for i, df in enumerate(inputs):
-        part = df.select(F.lit(i).alias("_input"), F.col("row_ind").alias("_old"), "cells")
-        rows = part if rows is None else rows.unionByName(part)
-    packed = with_rank(rows, ["_input", "_old"], "row_ind").select("row_ind", "cells")
-    packed.write.parquet(path)
-    return packed.sparkSession.read.schema(packed.schema).parquet(path)
+    """Append tables in order into one store with a new row_ind; returns it as read.
+
+    Rows whose numbers go on by one are written where they are read; others are ranked first.
+    """
+    inputs = [df.select("row_ind", "cells") for df in inputs]
+    packed = appended(inputs, "row_ind")
+    if packed is None:
+        rows = None
+        for i, df in enumerate(inputs):
+            part = df.select(F.lit(i).alias("_input"), F.col("row_ind").alias("_old"), "cells")
+            rows = part if rows is None else rows.unionByName(part)
+        packed = with_rank(rows, ["_input", "_old"], "row_ind").select("row_ind", "cells")
+    return write_clustered(packed, "row_ind", path)
+
+
+def fetch(store: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(row_ind, cells) of the rows of ``wanted`` (row_ind), a row for each; an unknown number is an error.
+
+    Of a store made by ``pack`` only the files and row groups that hold wanted numbers are read.
+    """
+    found = wanted.select("row_ind").join(only(store, wanted, "row_ind").select("row_ind", "cells", F.lit(True).alias("_there")), "row_ind", "left")
+    cells = F.when(F.col("_there"), F.col("cells")).otherwise(F.raise_error(F.concat(F.lit("No such row: "), F.coalesce(F.col("row_ind").cast("string"), F.lit("null")))).cast("array<string>"))
+    return found.select("row_ind", cells.alias("cells"))
 
 
 def from_columns(df: DataFrame, row_ind: Column, *columns: Column) -> DataFrame:

@@ -641,7 +641,7 @@ def test_fastq_by_lines(spark, tmp_path):
         (tmp_path / "bad").mkdir(exist_ok=True)
         (tmp_path / "bad" / "c.fq").write_text(bad)
         with pytest.raises(Exception, match="Incomplete record"):  # records are numbered at once
-            sequences.read_fastq(spark, str(tmp_path / "bad"))
+            sequences.read_fastq(spark, str(tmp_path / "bad")).collect()
 
 
 def test_protein_and_variant_text(spark):
