@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import colspec
 from ..staging import with_rank
@@ -26,6 +31,53 @@ def look_up(probes: DataFrame, database: DataFrame, probe_specs: list[str], data
     return left.join(right, names).select("probe_ind", "cells")
 
 
+@dataclass(frozen=True)
+class SortedTable:
+    """A table kept by its keys: rows (key0, key1, .., row_ind, cells) dealt to buckets by the keys and sorted in each."""
+
+    rows: DataFrame
+    specs: tuple[str, ...]
+    buckets: int
+
+
+def _rows_path(path: str) -> str:
+    return f"{path}/rows"
+
+
+def write_sorted(table: DataFrame, specs: list[str], path: str, buckets: int | None = None) -> SortedTable:
+    """Keep a table (row_ind, cells) by its keys below ``path``.  Too short a row is an error.
+
+    The rows move once, here; a look-up moves its probes to them.  ``buckets`` should be at least the number of shuffle
+    partitions that look-ups run with, which is what it is without being told.
+    """
+    spark = table.sparkSession
+    keys = [f"key{i}" for i in range(len(specs))]
+    n = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = table.select(*colspec.keys(F.col("cells"), specs), F.col("row_ind").cast("long").alias("row_ind"), "cells")
+    name = f"sorted_{uuid.uuid4().hex}"
+    # one task writes one bucket, so a bucket is one file
+    rows.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).sortBy(*keys, "row_ind").option("path", _rows_path(path)).saveAsTable(name)
+    spark.createDataFrame([(list(specs), n, rows.schema.json())], "specs array<string>, buckets int, schema string").write.parquet(f"{path}/about")
+    return SortedTable(spark.table(name), tuple(specs), n)
+
+
+def open_sorted(spark: SparkSession, path: str) -> SortedTable:
+    """A table that ``write_sorted`` has kept, in this or another session."""
+    about = spark.read.parquet(f"{path}/about").first()
+    name, keys = f"sorted_{uuid.uuid4().hex}", ", ".join(f"key{i}" for i in range(len(about.specs)))
+    columns = StructType.fromJson(json.loads(about.schema)).toDDL()
+    location = _rows_path(path).replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}, row_ind) INTO {about.buckets} BUCKETS LOCATION '{location}'")
+    return SortedTable(spark.table(name), tuple(about.specs), about.buckets)
+
+
+def look_up_sorted(probes: DataFrame, database: SortedTable, probe_specs: list[str]) -> DataFrame:
+    """As ``look_up``, in a sorted table: only the probes are moved (both sides, where a key is a double)."""
+    colspec.consistent(list(database.specs), probe_specs)
+    left = probes.select(F.col("row_ind").alias("probe_ind"), *colspec.keys(F.col("cells"), probe_specs))
+    return left.join(database.rows, [f"key{i}" for i in range(len(probe_specs))]).select("probe_ind", "cells")
+
+
 def look_up_first(probes: DataFrame, database: DataFrame, probe_specs: list[str], database_specs: list[str]) -> DataFrame:
     """(probe_ind, cells) of every probe with the first equal database row, no cells if there is none."""
     colspec.consistent(database_specs, probe_specs)

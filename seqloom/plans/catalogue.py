@@ -274,7 +274,8 @@ def findtabs(spark, sf_dir):
     li, p = _t(spark, sf_dir, "lineitem"), _t(spark, sf_dir, "part")
     probes = tsv.from_columns(li, F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.col("l_partkey"), F.col("l_linenumber"))
     database = tsv.from_columns(p, F.col("p_partkey"), F.col("p_brand"), F.col("p_size"), F.col("p_name"), F.col("p_partkey"))
-    found = tables.look_up(probes, database, ["i0", "i1"], ["i3", "i1"])
+    store = tables.write_sorted(database, ["i3", "i1"], f"{shared_dir(spark)}/sorted-{_unique()}")
+    found = tables.look_up_sorted(probes, store, ["i0", "i1"])
     return found.select("probe_ind", F.array_join(F.slice("cells", 1, 3), "|").alias("cells"))
 
 

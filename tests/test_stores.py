@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from seqloom.operators import tables
 from seqloom.sources import clustered, sequences, splits
 from seqloom.sources import tables as tsv
 
@@ -169,3 +170,30 @@ def test_escapes_in_long_cells(spark):
     for bad in ("\\x", "a\\", "\\\\\\", "\\\\\\x", "y" * 100_000 + "\\q"):
         with pytest.raises(Exception, match="Bad escape"):
             one(bad)
+
+
+@pytest.mark.parametrize("reopened", [False, True])
+def test_look_ups_move_only_the_probes(spark, tmp_path, reopened):
+    rng = random.Random(7)
+    database = [(i, [str(rng.randrange(30)), rng.choice(["x", "y", ""]), f"row {i}"]) for i in range(300)]
+    probes = [(i, [rng.choice(["x", "y", "zz"]), f" {rng.randrange(40)}z"]) for i in range(200)]
+    make = lambda rows: spark.createDataFrame(rows, "row_ind long, cells array<string>").repartition(3)
+    store = tables.write_sorted(make(database), ["i0", "1"], str(tmp_path / "it's"))
+    store = tables.open_sorted(spark, str(tmp_path / "it's")) if reopened else store
+    want = sorted((p, b) for p, a in probes for _, b in database if int(a[1][1:-1]) == int(b[0]) and a[0] == b[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = tables.look_up_sorted(make(probes), store, ["i1", "0"])
+        assert sorted((r.probe_ind, r.cells) for r in found.collect()) == want and len(want) > 100
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in plan and "Bucketed: true" in plan
+        assert len(list((tmp_path / "it's" / "rows").glob("part-*"))) <= store.buckets
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for bad in (["i1"], ["1", "0"]):
+        with pytest.raises(ValueError):
+            tables.look_up_sorted(make(probes), store, bad)
+    with pytest.raises(Exception, match="too few columns"):
+        tables.write_sorted(make([(0, ["1"])]), ["1"], str(tmp_path / "short"))
+    floats = tables.write_sorted(make([(0, ["0"]), (1, ["-0.0"]), (2, ["1.5x"])]), ["f0"], str(tmp_path / "f"))
+    assert sorted((r.probe_ind, r.cells[0]) for r in tables.look_up_sorted(make([(7, ["0"]), (8, ["1.50"])]), floats, ["f0"]).collect()) == [(7, "-0.0"), (7, "0"), (8, "1.5x")]
