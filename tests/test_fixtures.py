@@ -408,7 +408,7 @@ def test_suffix_array_with_ends_and_bounds(spark, seqs, patterns):
     got = [(r.seq_ind, r.char_ind) for r in ended.orderBy("rank").collect()]
     assert got == [(0, 6), (1, 5), *ARRAY]
     index = suffix.with_head(suffix.build(seqs), seqs, 3)
-    got = {r.look_for: (r.low, r.high) for r in suffix.bounds(index, patterns).collect()}
+    got = {r.look_for: (r.low, r.high) for r in suffix.bounds(index, patterns, 3).collect()}
     assert got == {0: (2, 5), 1: (5, 9), 2: (3, 5)}
     with pytest.raises(ValueError):
         suffix.dump(index, seqs, -1)
