@@ -96,7 +96,7 @@ def findfa_overlap(spark, sf_dir):
 @query(_SHORT_SQL + "SELECT look_for, found_in, found_at, found_to FROM found")
 def findsa(spark, sf_dir):
     seqs = _parts(spark, sf_dir)
-    indexed = staged(suffix.with_head(suffix.build(seqs), seqs, 2), "index")
+    indexed = suffix.store(suffix.with_head(suffix.build(seqs), seqs, 2), f"{shared_dir(spark)}/index-{_unique()}")
     return search.find(seqs, _short(spark), indexed, 2)
 
 

@@ -15,7 +15,7 @@ from ..sources import matches as match_files
 from ..sources import sequences, tables as tsv
 from ..staging import shared_dir, staged, with_rank
 from . import peptides
-from .catalogue import _BED, _EDGES, _FINDFA, _SAFA, _SHORT_SQL, _VARIANTS, _bed, _customers, _found, _parts, _short, _t, _variant_rows, query
+from .catalogue import _BED, _EDGES, _FINDFA, _SAFA, _SHORT_SQL, _VARIANTS, _bed, _customers, _documents, _found, _parts, _patterns, _short, _t, _variant_rows, query
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -178,7 +178,15 @@ SELECT look_for, min(rank) AS low, max(rank) + 1 AS high FROM sa JOIN found ON f
 )
 def suffix_bounds(spark, sf_dir):
     seqs = _parts(spark, sf_dir)
-    return suffix.bounds(staged(suffix.with_head(suffix.build(seqs), seqs, 4), "index"), _short(spark), 4)
+    return suffix.bounds(suffix.store(suffix.with_head(suffix.build(seqs), seqs, 2), _folder(spark, "index")), _short(spark), 2, seqs)
+
+
+@query(_FINDFA + "SELECT look_for, found_in, found_at, found_to FROM found")
+def findsa_documents(spark, sf_dir):
+    """Whole benchmark texts in whole documents, by an index of all their suffixes."""
+    seqs = _documents(spark, sf_dir).select("seq_ind", "seq")
+    index = suffix.store(suffix.with_head(suffix.build_doubling(seqs, 32), seqs, 16), _folder(spark, "index"))
+    return search.find_index(index, seqs, _patterns(spark, sf_dir), 16)
 
 
 @query(
