@@ -328,6 +328,51 @@ def quality_regions(spark, sf_dir):
     return rows.groupBy("read_id", "region_id", "start_a", "end_a").agg(F.sum(size).alias("places"), F.sum(size * F.col("costs")["open"]).alias("total"))
 
 
+@query(
+    """WITH reads AS (SELECT row_number() OVER (ORDER BY p_partkey) AS read_id, p_size % 3 AS ref, p_partkey % 97 * 50 AS low_a, CASE WHEN p_partkey % 50 = 0 THEN -1 ELSE p_partkey % 97 * 50 + p_size * 9 END AS high_a FROM part),
+regions AS (SELECT c_custkey AS region_id, c_custkey % 3 AS ref, CASE WHEN c_custkey % 40 = 0 THEN -1 ELSE c_custkey % 500 * 10 END AS start_a, CASE WHEN c_custkey % 60 = 1 THEN -1 ELSE c_custkey % 500 * 10 + 1 + c_nationkey * c_nationkey * 4 END AS end_a FROM customer)
+SELECT read_id, region_id, CASE WHEN start_a < 0 THEN -1 ELSE greatest(start_a - low_a, 0) END AS start_a,
+       CASE WHEN end_a < 0 THEN -1 WHEN high_a < 0 THEN end_a - low_a ELSE least(end_a, high_a) - low_a END AS end_a
+FROM reads JOIN regions USING (ref) WHERE (end_a < 0 OR low_a < end_a) AND (high_a < 0 OR start_a < high_a)"""
+)
+def window_regions(spark, sf_dir):
+    """Regions of a reference in each read's own window and coordinates; some bounds are open."""
+    p, c = _t(spark, sf_dir, "part"), _t(spark, sf_dir, "customer")
+    low = F.col("p_partkey") % 97 * 50
+    reads = p.select(F.col("p_partkey").alias("read_id"), (F.col("p_size") % 3).cast("string").alias("ref"), low.cast("long").alias("low_a"), F.when(F.col("p_partkey") % 50 == 0, -1).otherwise(low + F.col("p_size") * 9).cast("long").alias("high_a"))
+    key, start = F.col("c_custkey"), F.col("c_custkey") % 500 * 10
+    ends = {"start_a": F.when(key % 40 == 0, -1).otherwise(start), "end_a": F.when(key % 60 == 1, -1).otherwise(start + 1 + F.col("c_nationkey") * F.col("c_nationkey") * 4), "start_b": F.lit(-1), "end_b": F.lit(-1)}
+    regions = c.select((key % 3).cast("string").alias("ref"), key.alias("region_id"), F.lit(0).alias("priority"), *(v.cast("long").alias(k) for k, v in ends.items()), F.create_map(F.lit("open"), key).alias("costs"))
+    return costs.window_regions(reads, regions).select("read_id", "region_id", "start_a", "end_a")
+
+
+_BOXES = "q 0 9 -1 -1\nGo + 5\nQ q 3 20 5 6\nGo * 2\nQ q -1 15 2 -1\nGo - 1\nGx = 4\nQ"
+
+
+@query(
+    """WITH p AS (SELECT p_partkey AS pair_id, p_name, p_brand FROM part),
+a AS (SELECT pair_id, i - 1 AS a, ascii(substr(p_name, i, 1)) % 25 AS q FROM p, unnest(range(1, length(p_name) + 1)) AS t(i)),
+b AS (SELECT pair_id, i - 1 AS b, ascii(substr(p_brand, i, 1)) % 9 AS r FROM p, unnest(range(1, length(p_brand) + 1)) AS t(i)),
+c AS (
+  SELECT pair_id, CASE WHEN q BETWEEN 3 AND 20 AND r BETWEEN 5 AND 6 THEN 'both' WHEN q BETWEEN 0 AND 9 THEN 'low' WHEN q <= 15 AND r >= 2 THEN 'wide' ELSE 'none' END AS box,
+         a BETWEEN 2 AND 4 AND b BETWEEN 1 AND 3 AS inner_region FROM a JOIN b USING (pair_id)),
+v AS (SELECT pair_id, region_id, box, CASE region_id WHEN 0 THEN 3 ELSE 10 END AS open FROM c, (VALUES (0), (1)) r(region_id) WHERE region_id = 0 OR inner_region)
+SELECT pair_id, CAST(region_id AS BIGINT) AS region_id, count(*) AS places,
+       CAST(sum(CASE box WHEN 'low' THEN open + 5 WHEN 'both' THEN open * 2 WHEN 'wide' THEN open - 1 ELSE open END) AS BIGINT) AS open, CAST(sum(CASE box WHEN 'wide' THEN 4 ELSE 1 END) AS BIGINT) AS extend
+FROM v GROUP BY ALL"""
+)
+def quality_pair_regions(spark, sf_dir):
+    """Costs by the qualities of both sides: the most constrained box changes them, place by place."""
+    code = lambda c, m: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.ascii(F.col(c).substr(i, F.lit(1))) % m)
+    pairs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("pair_id"), F.lit("x").alias("ref"), code("p_name", 25).alias("quals_a"), code("p_brand", 9).alias("quals_b"))
+    regions = spark.createDataFrame(costs.parse_regions("3 1 0 0 1 2 5 1 4 10 1 0 0", "x"), costs.REGIONS)
+    rows = costs.quality_pair_regions(pairs, regions, spark.createDataFrame(costs.parse_boxes(_BOXES), costs.BOXES))
+    rows = rows.join(pairs.select("pair_id", F.size("quals_a").alias("n_a"), F.size("quals_b").alias("n_b")), "pair_id").where("start_a < n_a and start_b < n_b")
+    size = (F.least("end_a", "n_a") - F.col("start_a")) * (F.least("end_b", "n_b") - F.col("start_b"))
+    total = lambda k: F.sum(size * F.col("costs")[k]).alias(k)
+    return rows.groupBy("pair_id", "region_id").agg(F.sum(size).alias("places"), total("open"), total("extend"))
+
+
 def _order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A graph for each order: its lines lead on to later numbers, and some of them back."""
     li = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("graph_id"), F.col("l_linenumber").cast("long").alias("a"), (F.col("l_linenumber") + 1 + F.col("l_partkey") % 3).alias("b"), (F.col("l_suppkey") % 4 == 0).alias("back"))
