@@ -329,7 +329,7 @@ def quality_regions(spark, sf_dir):
 
 
 @query(
-    """WITH reads AS (SELECT row_number() OVER (ORDER BY p_partkey) AS read_id, p_size % 3 AS ref, p_partkey % 97 * 50 AS low_a, CASE WHEN p_partkey % 50 = 0 THEN -1 ELSE p_partkey % 97 * 50 + p_size * 9 END AS high_a FROM part),
+    """WITH reads AS (SELECT p_partkey AS read_id, p_size % 3 AS ref, p_partkey % 97 * 50 AS low_a, CASE WHEN p_partkey % 50 = 0 THEN -1 ELSE p_partkey % 97 * 50 + p_size * 9 END AS high_a FROM part),
 regions AS (SELECT c_custkey AS region_id, c_custkey % 3 AS ref, CASE WHEN c_custkey % 40 = 0 THEN -1 ELSE c_custkey % 500 * 10 END AS start_a, CASE WHEN c_custkey % 60 = 1 THEN -1 ELSE c_custkey % 500 * 10 + 1 + c_nationkey * c_nationkey * 4 END AS end_a FROM customer)
 SELECT read_id, region_id, CASE WHEN start_a < 0 THEN -1 ELSE greatest(start_a - low_a, 0) END AS start_a,
        CASE WHEN end_a < 0 THEN -1 WHEN high_a < 0 THEN end_a - low_a ELSE least(end_a, high_a) - low_a END AS end_a
