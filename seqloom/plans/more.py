@@ -114,6 +114,21 @@ def match_files_round_trip(spark, sf_dir):
     return match_files.records(match_files.file_contents(found, "match_ind"), match_files.MATCH, "Incomplete match at end of file.").drop("ord")
 
 
+@query(_FINDFA + "SELECT row_number() OVER (ORDER BY look_for, found_in, found_at, found_to) - 1 AS ord, look_for, found_in, found_at, found_to FROM found")
+def match_record_files(spark, sf_dir):
+    """Sorted matches as files of binary records, written by many tasks and read in parts with their numbers."""
+    path = _folder(spark, "matches")
+    match_files.write_records(matches.sort_found(_found(spark, sf_dir)), "match_ind", match_files.MATCH, path)
+    return match_files.read_matches(spark, path)
+
+
+@query(_SAFA)
+def suffix_record_files(spark, sf_dir):
+    path = _folder(spark, "suffixes")
+    match_files.write_records(suffix.build(_parts(spark, sf_dir)), "rank", ("seq_ind", "char_ind"), path)
+    return match_files.read_suffix_array(spark, path)
+
+
 @query(_SAFA)
 def suffix_files_round_trip(spark, sf_dir):
     array = match_files.suffix_bytes(suffix.build(_parts(spark, sf_dir)))

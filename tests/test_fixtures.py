@@ -471,8 +471,29 @@ def test_binary_matches(spark, tmp_path):
     assert [tuple(r)[1:] for r in got.orderBy("ord").collect()] == sorted(FOUND)
     assert match_files.match_bytes(got.where("ord = 0")).first().record == struct.pack(">QQQQ", *min(FOUND))
     (tmp_path / "bad.bin").write_bytes(b"123")
-    fails(spark, match_files.read_matches(spark, str(tmp_path / "bad.bin")), "Incomplete match")
-    fails(spark, match_files.read_suffix_array(spark, str(tmp_path / "bad.bin")), "Malformed combo")
+    for read, message in ((match_files.read_matches, "Incomplete match"), (match_files.read_suffix_array, "Malformed combo")):
+        with pytest.raises(ValueError, match=message):
+            read(spark, str(tmp_path / "bad.bin"))
+
+
+def test_record_files_of_many_parts(spark, tmp_path):
+    rows = spark.range(20_000).select((F.col("id") * 7919 % 20_000).alias("n"), *((F.col("id") * k - 5).alias(c) for k, c in enumerate(match_files.MATCH))).repartition(5)
+    match_files.write_records(rows, "n", match_files.MATCH, str(tmp_path / "out"))
+    assert sum(f.stat().st_size for f in (tmp_path / "out").iterdir()) == 20_000 * 32 and not list((tmp_path / "out").glob("_*"))
+    with pytest.raises(Exception, match="not empty"):
+        match_files.write_records(rows, "n", match_files.MATCH, str(tmp_path / "out"))
+    (tmp_path / "out" / "part-000002a.bin").write_bytes(b"")
+    hadoop = spark._jsc.hadoopConfiguration()
+    hadoop.set("mapreduce.input.fileinputformat.split.maxsize", "50000")
+    try:
+        got = match_files.read_matches(spark, str(tmp_path / "out"))
+        assert got.rdd.getNumPartitions() > 10
+        want = {r.n: tuple(r)[1:] for r in rows.collect()}
+        assert {r.ord: tuple(r)[1:] for r in got.collect()} == want and got.count() == 20_000
+    finally:
+        hadoop.unset("mapreduce.input.fileinputformat.split.maxsize")
+    (tmp_path / "none").mkdir()
+    assert match_files.read_suffix_array(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_sam_and_bam(spark, tmp_path):
