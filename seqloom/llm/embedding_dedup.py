@@ -1,12 +1,13 @@
 """Near-duplicate embeddings by a pivot-permutation index.
 
 Reference points (pivots) are drawn from the vectors; a vector is described by its ``nearest`` most similar pivots in
-order.  Inverted lists hold the vectors under each pair of pivots that they have in common, so two vectors meet exactly
-if they share at least two pivots; in a list the shared pivots are counted, pairs with ``min_shared`` or more are
+order.  Inverted lists hold the vectors under each pair of their pivots of which one is among the ``front`` first, so two
+vectors meet if they share such a pair; in a list the shared pivots are counted, pairs with ``min_shared`` or more are
 candidates, and only these are verified by cosine in double precision.
 
-The number of pivots follows the square root of the number of vectors up to ``max_pivots``, a bound on what is
-broadcast.  Every vector is indexed.  Equal vectors are one class and take part once; lists with the same members are
+The number of pivots follows the square root of the number of vectors up to ``max_pivots`` and ``PIVOT_BYTES`` for all
+lengths of vectors together, a bound on what is broadcast; of ever more lengths the most frequent ``MOST_LENGTHS`` have
+pivots.  A length that fits in a block, or has no pivots, is one list, in which all are compared.  Every vector is indexed.  Equal vectors are one class and take part once; lists with the same members are
 merged; long lists are compared in square tiles of bounded size; a pair counts in the smallest list that both are in; a
 tile returns at most one row per member.
 
@@ -30,6 +31,8 @@ from .scratch import Scratch
 
 #: Members of one block of a long list; a tile holds two blocks.
 BLOCK = 1024
+#: Bytes of the sample that pivots are drawn from, four times the pivots', and lengths of vectors that have some.
+PIVOT_BYTES, MOST_LENGTHS = 128 << 20, 64
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
@@ -57,15 +60,19 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.mapInArrow(run, "id long, raw binary")
 
 
-def choose_pivots(classes: DataFrame, n: int, max_pivots: int, apart: tuple[float, ...] = (0.7, 0.8, 0.9, 0.95)) -> dict[int, np.ndarray]:
-    """Unit pivots for each length of vector: of a bounded sample by hash, those that are not close to one another.
+def choose_pivots(classes: DataFrame, max_pivots: int, apart: tuple[float, ...] = (0.7, 0.8, 0.9, 0.95)) -> dict[int, np.ndarray]:
+    """Unit pivots for lengths of vectors: of a bounded sample by hash, those that are not close to one another.
 
     Pivots from one dense group would be the nearest of all its members in an order that is mere noise.  Where the
     vectors all lie close together, the cosines allowed between pivots rise in steps until there are enough.
     """
     out = {}
-    for (size,) in classes.select(F.octet_length("raw")).distinct().collect():
-        m = min(max_pivots, max(32, 1 << round(math.log2(max(n, 1)) / 2)))
+    sizes = classes.groupBy(F.octet_length("raw").alias("size")).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    sizes = sizes.orderBy(F.desc("n"), "size").limit(MOST_LENGTHS).collect()
+    for size, n in sizes:
+        m = min(max_pivots // len(sizes), PIVOT_BYTES // len(sizes) // (4 * size), max(32, 1 << round(math.log2(n) / 2)))
+        if m < 2:
+            continue
         rows = classes.where(F.octet_length("raw") == size).select("raw").orderBy(F.xxhash64("raw", F.lit("pivot")), "raw").limit(4 * m).collect()
         drawn = _unit([bytes(r.raw) for r in rows])
         taken = np.zeros((m, drawn.shape[1]))
@@ -83,16 +90,16 @@ def _index(pivots: dict[int, np.ndarray], nearest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = [bytes(x.as_py()) for x in batch.column(0)]
-            order: list = [None] * len(raw)
-            for size in {len(r) for r in raw}:
+            order: list = [[-2, -1]] * len(raw)  # of a length without pivots all are alike: one list
+            for size in {len(r) for r in raw} & set(pivots):
                 rows = [i for i, r in enumerate(raw) if len(r) == size]
                 for lo in range(0, len(rows), 4096):
                     part = rows[lo : lo + 4096]
                     like = _unit([raw[i] for i in part]) @ pivots[size].T
-                    more = [-1] if like.shape[1] < 2 else []  # all vectors of this length are alike: one list
+                    more = [-1] if like.shape[1] < 2 else []
                     for i, o in zip(part, np.argsort(-like, axis=1, kind="stable")[:, :nearest].tolist(), strict=True):
                         order[i] = o + more
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(order, pa.list_(pa.int32()))], ["raw", "pivots"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(order, pa.list_(pa.int32()))], ["raw", "cls", "pivots"])
 
     return run
 
@@ -140,22 +147,23 @@ def _tile(threshold: float, min_shared: int):
 
 
 def near_duplicate_vectors(
-    vectors: DataFrame, threshold: float = 0.95, nearest: int = 6, min_shared: int = 2, max_pivots: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding", scratch: Scratch | None = None
+    vectors: DataFrame, threshold: float = 0.95, nearest: int = 7, front: int = 4, min_shared: int = 2, max_pivots: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding", scratch: Scratch | None = None
 ) -> DataFrame:
     """``id_col``, n_links, component_id, kept: one row per row of ``vectors``."""
     scratch = scratch or Scratch(vectors.sparkSession, "pivots")
     rows = scratch.keep(usable(vectors, id_col, vec_col), "vectors")
     good = rows.where("raw is not null and id is not null")
-    classes = scratch.keep(good.groupBy("raw").agg(F.min("id").alias("low"), F.count("*").alias("n")).withColumn("cls", F.xxhash64("raw")), "classes")
-    pivots = choose_pivots(classes, classes.count(), max_pivots)
-    order = classes.select("raw").mapInArrow(_index(pivots, nearest), "raw binary, pivots array<int>")
-    order = scratch.keep(order.withColumn("cls", F.xxhash64("raw")), "order")
-
-    # inverted lists under pairs of near pivots (of vectors of one length)
-    p = F.array_sort("pivots")
-    pairs = F.flatten(F.transform(p, lambda x, i: F.transform(F.filter(p, lambda y: y > x), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    # written once, so a number names a class
+    classes = scratch.keep(good.groupBy("raw").agg(F.min("id").alias("low"), F.count("*").alias("n")).withColumn("cls", F.monotonically_increasing_id()), "classes")
+    pivots = choose_pivots(classes, max_pivots)
+    order = scratch.keep(classes.select("raw", "cls").mapInArrow(_index(pivots, nearest), "raw binary, cls long, pivots array<int>"), "order")
+
+    # inverted lists under pairs of near pivots, of vectors of one length: from each of the first on to all behind it
+    p = F.col("pivots")
+    behind = lambda x, i: F.transform(F.slice(p, i + 2, F.size(p)), lambda y: F.struct(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")))
+    pairs = F.flatten(F.transform(F.slice(p, 1, front), behind))
     post = order.select("cls", F.octet_length("raw").alias("size"), F.explode(pairs).alias("pair")).select("cls", F.xxhash64("size", "pair.x", "pair.y").alias("list"))
-    stats = post.groupBy("list").agg(F.count("*").alias("members"), F.bit_xor("cls").alias("h1"), F.bit_xor(F.xxhash64("cls")).alias("h2")).where("members > 1")
+    stats = post.groupBy("list").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("cls")).alias("h1"), F.bit_xor(F.xxhash64("cls", F.lit(7))).alias("h2")).where("members > 1")
     stats = stats.groupBy("members", "h1", "h2").agg(F.min("list").alias("list"))
     placed = post.join(stats.select("list", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "list")
     placed = placed.groupBy("cls").agg(F.collect_list("list").alias("lists"), F.collect_list(F.struct("list", "blocks", F.pmod(F.xxhash64("cls", "list"), "blocks").cast("int").alias("block"))).alias("places"))

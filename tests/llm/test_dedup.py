@@ -278,3 +278,22 @@ def test_embedding_recall_at_the_threshold(spark, monkeypatch):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.vstack([a, c * a + np.sqrt(1 - c * c) * z]))], "vec_id long, embedding array<double>")
     found = embedding_dedup.near_duplicate_vectors(df).selectExpr("sum(n_links)").first()[0]
     assert found / 3000 >= 0.97
+
+
+def test_embeddings_of_many_lengths_need_few_pivots(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 8)
+    monkeypatch.setattr(embedding_dedup, "MOST_LENGTHS", 2)
+    rng = np.random.default_rng(4)
+    rows = []
+    for size in (3, 5, 6, 9):  # two have pivots, one is a list in tiles, one fits in a block
+        base = rng.normal(size=(20 if size < 9 else 3, size))
+        rows += [(len(rows) + i, (v + 0.01 * rng.normal(size=size)).tolist()) for i, v in enumerate(np.repeat(base, 2, axis=0))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    classes = embedding_dedup.usable(df, "vec_id", "embedding").select("raw")
+    pivots = embedding_dedup.choose_pivots(classes, 64)
+    assert len(pivots) == 2 and sum(len(x) for x in pivots.values()) <= 64
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    links = [(a, b) for a in unit for b in unit if a < b and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.95]
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicate_vectors(df).collect()}
+    missed = sum(sum(i in e for e in links) - got[i] for i in unit)
+    assert missed <= 0.02 * 2 * len(links) and len(links) >= 60
