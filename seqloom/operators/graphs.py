@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import staged
+from ..staging import staged, with_rank
 
 _NODE = ["graph_id", "node"]
 
@@ -33,9 +33,10 @@ def neighbourhood(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
 
 def subgraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges between kept nodes, with new_src and new_dst: the places in the order of the kept nodes of each graph."""
-    at = nodes.select("graph_id", "node").distinct()
-    # places count within a graph; a window over a graph's nodes sorts, it holds no group in memory
-    at = at.withColumn("new", (F.row_number().over(Window.partitionBy("graph_id").orderBy("node")) - 1).cast("long"))
+    # ranks over all graphs, less those of the graphs before: a big graph is no single task's
+    at = staged(with_rank(nodes.select("graph_id", "node").distinct(), ["graph_id", "node"], "_rank"), "nodes")
+    first = at.groupBy("graph_id").agg(F.min("_rank").alias("_first"))
+    at = at.join(first, "graph_id").select("graph_id", "node", (F.col("_rank") - F.col("_first")).alias("new"))
     rows = edges.join(at.select("graph_id", F.col("node").alias("src"), F.col("new").alias("new_src")), ["graph_id", "src"])
     return rows.join(at.select("graph_id", F.col("node").alias("dst"), F.col("new").alias("new_dst")), ["graph_id", "dst"]).select("graph_id", "src", "dst", "new_src", "new_dst")
 
@@ -69,13 +70,47 @@ def topological_layers(edges: DataFrame) -> DataFrame:
     return steps.groupBy("graph_id", "node").agg(F.when(only_start, F.max("n")).otherwise(F.lit(-1)).cast("long").alias("layer"))
 
 
+def _contracted(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Links without the nodes inside chains, and the chosen (graph_id, node, pred, succ) of every round.
+
+    A node with one link in and one out gives way to a link between its neighbours; of neighbours that could both go the one
+    with the smaller draw goes.  A chain or ring loses a third of its nodes in each round.
+    """
+    taken: list[DataFrame] = []
+    while True:
+        ins = links.groupBy("graph_id", F.col("dst").alias("node")).agg(F.count("*").alias("i"), F.first("src").alias("pred")).where("i = 1")
+        outs = links.groupBy("graph_id", F.col("src").alias("node")).agg(F.count("*").alias("o"), F.first("dst").alias("succ")).where("o = 1")
+        middle = staged(ins.join(outs, _NODE).select(*_NODE, "pred", "succ", F.struct(F.xxhash64("graph_id", "node", F.lit(len(taken))), "node").alias("draw")), "middle")
+        if middle.isEmpty():
+            return links, taken
+        near = lambda end: middle.select("graph_id", F.col("node").alias(end), F.col("draw").alias(f"{end}_draw"))  # noqa: E731, B023
+        least = lambda end: F.col(f"{end}_draw").isNull() | (F.col("draw") < F.col(f"{end}_draw"))
+        chosen = middle.join(near("pred"), ["graph_id", "pred"], "left").join(near("succ"), ["graph_id", "succ"], "left").where(least("pred") & least("succ"))
+        chosen = staged(chosen.select(*_NODE, "pred", "succ"), "chosen")
+        gone = lambda end: chosen.select("graph_id", F.col("node").alias(end))  # noqa: E731, B023
+        kept = links.join(gone("src"), ["graph_id", "src"], "left_anti").join(gone("dst"), ["graph_id", "dst"], "left_anti").select("graph_id", "src", "dst")
+        links = staged(kept.unionByName(chosen.where("pred <> succ").select("graph_id", F.col("pred").alias("src"), F.col("succ").alias("dst"))).distinct(), "links")
+        taken.append(chosen)
+
+
+def _expanded(found: DataFrame, taken: list[DataFrame]) -> DataFrame:
+    """Components of the nodes that gave way: their neighbours' if these share one, else their own."""
+    for chosen in reversed(taken):
+        of = lambda end: found.select("graph_id", F.col("node").alias(end), F.col("component").alias(f"{end}_component"))  # noqa: E731, B023
+        same = F.when(F.col("pred_component") == F.col("succ_component"), F.col("pred_component")).otherwise(F.col("node"))
+        more = chosen.join(of("pred"), ["graph_id", "pred"]).join(of("succ"), ["graph_id", "succ"]).select(*_NODE, same.alias("component"))
+        found = staged(found.unionByName(more), "expanded")
+    return found
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """(graph_id, node, component): nodes that reach each other share the smallest of their numbers.
 
     Nodes that are on no way between cycles are components of their own, which the layers tell.  Every other node takes the
     smallest number that reaches it and the smallest that it reaches; where both are one, that is its component.  The
-    rest goes on by itself, without the edges between nodes of other pairs of numbers, until none is left.  The rounds of
-    a turn follow the longest shortest way within the parts that have cycles.
+    rest goes on by itself, without the edges between nodes of other pairs of numbers, until none is left.  Before that
+    chains are contracted, so long cycles take rounds by the logarithm of their length; the rounds of a turn follow the longest
+    shortest way within what is left of the parts that have cycles.
     """
     links = staged(edges.where("graph_id is not null and src <> dst").select("graph_id", "src", "dst").distinct(), "links")
     nodes = edges.select("graph_id", F.col("src").alias("node")).unionAll(edges.select("graph_id", F.col("dst").alias("node"))).where("graph_id is not null and node is not null").distinct()
@@ -84,6 +119,12 @@ def strong_components(edges: DataFrame) -> DataFrame:
     before = topological_layers(links.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).where("layer < 0").select(*_NODE)
     rest = staged(behind.join(before, _NODE, "left_semi"), "cyclic")
     out = [nodes.join(rest, _NODE, "left_anti").withColumn("component", F.col("node"))]
+    end = lambda name: rest.select("graph_id", F.col("node").alias(name))
+    links = links.join(end("src"), ["graph_id", "src"], "left_semi").join(end("dst"), ["graph_id", "dst"], "left_semi").select("graph_id", "src", "dst")
+    links, taken = _contracted(links)
+    for chosen in taken:
+        rest = rest.join(chosen.select(*_NODE), _NODE, "left_anti")
+    rest = staged(rest, "left")
     rest = rest.withColumns({"f": F.lit(0).cast("long"), "b": F.lit(0).cast("long")})
     while not rest.isEmpty():
         end = lambda name: rest.select("graph_id", F.col("node").alias(name), "f", "b")  # noqa: E731, B023
@@ -99,7 +140,9 @@ def strong_components(edges: DataFrame) -> DataFrame:
             moved = not rest.where("moved").isEmpty()
         out.append(rest.where("f = b").select(*_NODE, F.col("f").alias("component")))
         rest = rest.where("f <> b").drop("moved")
-    return reduce(DataFrame.unionByName, out)
+    found = _expanded(reduce(DataFrame.unionByName, out), taken)
+    least = found.groupBy("graph_id", "component").agg(F.min("node").alias("least"))
+    return found.join(least, ["graph_id", "component"]).select(*_NODE, F.col("least").alias("component"))
 
 
 def topological_order(edges: DataFrame) -> DataFrame:
