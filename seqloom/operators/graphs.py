@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..staging import staged, with_rank
 
 _NODE = ["graph_id", "node"]
+#: Rounds of a search for components before chains are contracted.
+PATIENCE = 12
 
 
 def flatten(jumps: DataFrame) -> DataFrame:
@@ -108,9 +110,9 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
     Nodes that are on no way between cycles are components of their own, which the layers tell.  Every other node takes the
     smallest number that reaches it and the smallest that it reaches; where both are one, that is its component.  The
-    rest goes on by itself, without the edges between nodes of other pairs of numbers, until none is left.  Before that
-    chains are contracted, so long cycles take rounds by the logarithm of their length; the rounds of a turn follow the longest
-    shortest way within what is left of the parts that have cycles.
+    rest goes on by itself, without the edges between nodes of other pairs of numbers, until none is left.  A turn that
+    takes more than ``PATIENCE`` rounds goes on without the nodes inside chains, so long cycles take rounds by the logarithm of
+    their length; the rounds follow the longest shortest way within what is left of the parts that have cycles.
     """
     links = staged(edges.where("graph_id is not null and src <> dst").select("graph_id", "src", "dst").distinct(), "links")
     nodes = edges.select("graph_id", F.col("src").alias("node")).unionAll(edges.select("graph_id", F.col("dst").alias("node"))).where("graph_id is not null and node is not null").distinct()
@@ -119,18 +121,19 @@ def strong_components(edges: DataFrame) -> DataFrame:
     before = topological_layers(links.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).where("layer < 0").select(*_NODE)
     rest = staged(behind.join(before, _NODE, "left_semi"), "cyclic")
     out = [nodes.join(rest, _NODE, "left_anti").withColumn("component", F.col("node"))]
-    end = lambda name: rest.select("graph_id", F.col("node").alias(name))
-    links = links.join(end("src"), ["graph_id", "src"], "left_semi").join(end("dst"), ["graph_id", "dst"], "left_semi").select("graph_id", "src", "dst")
-    links, taken = _contracted(links)
-    for chosen in taken:
-        rest = rest.join(chosen.select(*_NODE), _NODE, "left_anti")
-    rest = staged(rest, "left")
-    rest = rest.withColumns({"f": F.lit(0).cast("long"), "b": F.lit(0).cast("long")})
+    rest, taken = rest.withColumns({"f": F.lit(0).cast("long"), "b": F.lit(0).cast("long")}), []
+    start = lambda nodes: nodes.select(*_NODE, F.col("node").alias("f"), F.col("node").alias("b"), F.lit(True).alias("moved"))
     while not rest.isEmpty():
         end = lambda name: rest.select("graph_id", F.col("node").alias(name), "f", "b")  # noqa: E731, B023
         links = staged(links.join(end("src"), ["graph_id", "src"]).join(end("dst"), ["graph_id", "dst", "f", "b"]).select("graph_id", "src", "dst"), "links")
-        rest, moved = rest.select(*_NODE, F.col("node").alias("f"), F.col("node").alias("b"), F.lit(True).alias("moved")), True
+        rest, moved, rounds = start(rest), True, 0
         while moved:
+            if rounds == PATIENCE:  # long ways: without the nodes inside chains they are short
+                links, chosen = _contracted(links)
+                for nodes_gone in chosen:
+                    rest = rest.join(nodes_gone.select(*_NODE), _NODE, "left_anti")
+                rest, taken = staged(start(rest), "left"), taken + chosen
+            rounds += 1
             news = rest.where("moved")
             on = links.join(news.select("graph_id", F.col("node").alias("src"), "f"), ["graph_id", "src"]).select("graph_id", F.col("dst").alias("node"), F.col("f").alias("new_f"), F.lit(None).cast("long").alias("new_b"))
             back = links.join(news.select("graph_id", F.col("node").alias("dst"), "b"), ["graph_id", "dst"]).select("graph_id", F.col("src").alias("node"), F.lit(None).cast("long").alias("new_f"), F.col("b").alias("new_b"))
