@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .boxes import in_boxes
+
 
 def mate_pairs(entries: DataFrame, name: str = "name", order: str = "ord") -> tuple[DataFrame, DataFrame]:
     """(pairs, waiting): entries of one name are paired two by two in order; the last odd one waits.
@@ -18,27 +20,6 @@ def mate_pairs(entries: DataFrame, name: str = "name", order: str = "ord") -> tu
     return pairs, two.where("_k = 1").select("name", "first")
 
 
-#: Cells of the grid for range joins, along each coordinate.
-CELLS = 32
-
-
-def _in_boxes(points: DataFrame, boxes: DataFrame, x: tuple[str, str, str], y: tuple[str, str, str], inclusive: bool) -> DataFrame:
-    """Pairs of points and boxes in one cell of a grid: an equality join that Catalyst can plan at any size.
-
-    x and y name a coordinate and a box's bounds of it.  The grid's lines are quantiles of the points, so that cells hold
-    about as many of them however they are spread.  Open bounds (-1) reach to the ends of the grid.
-    """
-    cuts = points.approxQuantile([x[0], y[0]], [i / CELLS for i in range(1, CELLS)], 0.002)
-    for (name, low, high), lines, cell in zip((x, y), cuts, ("_x", "_y"), strict=True):
-        lines = sorted(set(lines))
-        place = lambda c, lines=lines: sum(((c >= v).cast("int") for v in lines), F.lit(0))
-        points = points.withColumn(cell, place(F.col(name)))
-        end = F.col(high) if inclusive else F.col(high) - 1e-9
-        from_ = F.when(F.col(low) < 0, 0).otherwise(place(F.col(low)))
-        boxes = boxes.withColumn(cell, F.explode(F.sequence(from_, F.greatest(from_, F.when(F.col(high) < 0, len(lines)).otherwise(place(end))))))
-    return points.join(boxes, ["_x", "_y"]).drop("_x", "_y")
-
-
 def region_costs(points: DataFrame, regions: DataFrame) -> DataFrame:
     """points (point_id, a, b) with the cost of the region of the highest priority that holds them, null if none does.
 
@@ -48,7 +29,7 @@ def region_costs(points: DataFrame, regions: DataFrame) -> DataFrame:
     closed = (F.col("start_a") >= 0) & (F.col("end_a") >= 0) & (F.col("start_b") >= 0) & (F.col("end_b") >= 0)
     inside = "(start_a < 0 or a >= start_a) and (end_a < 0 or a < end_a) and (start_b < 0 or b >= start_b) and (end_b < 0 or b < end_b)"
     priority = F.col("priority") if "priority" in regions.columns else F.when(closed, 1).otherwise(0)
-    rows = _in_boxes(points, regions.withColumn("priority", priority), ("a", "start_a", "end_a"), ("b", "start_b", "end_b"), False).where(inside)
+    rows = in_boxes(points, regions.withColumn("priority", priority), ("a", "start_a", "end_a"), ("b", "start_b", "end_b"), F.struct("priority", "region_id")).where(inside)
     best = rows.groupBy("point_id").agg(F.max_by("cost", F.struct("priority", "region_id")).alias("cost"))
     return points.select("point_id").distinct().join(best, "point_id", "left")
 
@@ -69,6 +50,6 @@ def most_constrained(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """
     closed = sum((F.when(F.col(c) >= 0, 1).otherwise(0) for c in ("low_q", "high_q", "low_r", "high_r")), F.lit(0))
     inside = "(low_q < 0 or q >= low_q) and (high_q < 0 or q <= high_q) and (low_r < 0 or r >= low_r) and (high_r < 0 or r <= high_r)"
-    rows = _in_boxes(points, boxes.withColumn("closed", closed), ("q", "low_q", "high_q"), ("r", "low_r", "high_r"), True).where(inside)
+    rows = in_boxes(points, boxes.withColumn("closed", closed), ("q", "low_q", "high_q"), ("r", "low_r", "high_r"), F.struct("closed", -F.col("ord"))).where(inside)
     best = rows.groupBy("point_id").agg(F.max_by("cost", F.struct("closed", -F.col("ord"))).alias("cost"))
     return points.select("point_id").distinct().join(best, "point_id", "left")

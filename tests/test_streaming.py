@@ -1,6 +1,10 @@
+import datetime
+import random
+
 import pytest
 
-from seqloom.operators import search
+from seqloom.operators import alignments, search
+from seqloom.streaming.mates import mate_pairs_stream
 from seqloom.streaming.search import find_stream, look_up_stream, write_matches, write_stream
 
 
@@ -27,3 +31,18 @@ def test_a_stream_and_more_patterns_than_an_automaton_holds(spark, tmp_path, mon
     write_matches(stream, patterns, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
     got = sorted(((r.look_for, r.found_in, r.found_at, r.found_to) for r in spark.read.parquet(str(tmp_path / "out")).collect()), key=str)
     assert got == sorted([(0, 0, 1, 2), (0, 0, 3, 4), (1, 0, 0, 2), (1, 0, 2, 4), (0, None, 0, 1), (0, None, 1, 2), (0, 2, 1, 2)], key=str)
+
+
+def test_mates_across_batches(spark, tmp_path):
+    rng = random.Random(3)
+    schema = "name string, ord long, flag int, place struct<ref:string,at:timestamp>, tags array<string>"
+    rows = [(rng.choice(["a", "b", "c", "d e", None, '"']), i, rng.choice([None, i]), (rng.choice(["x", None]), datetime.datetime(2020, 1, 1, 0, 0, 0, i)), rng.choice([None, [], ["t", None]])) for i in range(61)]
+    for i in range(0, len(rows), 7):
+        spark.createDataFrame(rng.sample(rows[i : i + 7], len(rows[i : i + 7])), schema).coalesce(1).write.parquet(str(tmp_path / f"in/{i:03}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    write_stream(mate_pairs_stream(stream), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(300)
+    pairs, waiting = alignments.mate_pairs(spark.createDataFrame(rows, schema))
+    got = sorted((tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()), key=str)
+    assert got == sorted((tuple(r) for r in pairs.drop("pair_ind").collect()), key=str) and got
+    state = spark.read.format("statestore").load(str(tmp_path / "c"))
+    assert state.count() == waiting.count()
