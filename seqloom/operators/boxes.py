@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Boxes for each leaf that a tree is grown for, the most levels it has, and sampled points and boxes for each leaf.
-LEAF_BOXES, MOST_LEVELS, LEAF_SAMPLE = 16, 16, 16
+from ..staging import staged
+
+#: Boxes for each leaf that a tree is grown for, the fewest and most levels it may have, and sampled points and boxes for each leaf.
+LEAF_BOXES, LEVELS, LEAF_SAMPLE = 32, (6, 16), 16
 
 
 @dataclass
@@ -19,7 +23,7 @@ class Tree:
     levels: int
     axis: np.ndarray
     cut: np.ndarray
-    #: For each leaf its share of the points, and its ends (low x, high x, low y, high y).
+    #: For each leaf its share of the points, and for each node its ends (low x, high x, low y, high y).
     share: np.ndarray
     ends: np.ndarray
 
@@ -40,18 +44,19 @@ def grow(points: np.ndarray, boxes: np.ndarray, levels: int) -> Tree:
     """A tree from samples: points (x, y) and boxes (low x, high x, low y, high y; infinite where open).
 
     A node is cut in the middle of its points and of the ends of its boxes, along the axis that leaves fewer pairs to compare,
-    and not at all where neither leaves fewer.
+    and not at all where more than three in four are left because its boxes lie on both sides.
     """
     leaves = 1 << levels
     axis, cut = np.zeros(leaves, int), np.full(leaves, np.inf)
-    share, ends = np.zeros(leaves), np.empty((leaves, 4))
+    share, ends = np.zeros(leaves), np.full((2 * leaves, 4), np.inf)
     todo = [(1, points, boxes, (-np.inf, np.inf, -np.inf, np.inf))]
     while todo:
         node, inside, met, within = todo.pop()
+        ends[node] = within
         if node >= leaves:
-            share[node - leaves], ends[node - leaves] = len(inside) / max(len(points), 1), within
+            share[node - leaves] = len(inside) / max(len(points), 1)
             continue
-        best, least = None, len(inside) * len(met)
+        best, least = None, 0.75 * len(inside) * len(met)
         for k in (0, 1):
             low, high = within[2 * k : 2 * k + 2]
             corners = met[:, 2 * k : 2 * k + 2].ravel()
@@ -62,7 +67,10 @@ def grow(points: np.ndarray, boxes: np.ndarray, levels: int) -> Tree:
                 if pairs < least:
                     best, least = (k, at, left, first, second), pairs
         if best is None:  # all goes on below the first child
-            todo += [(2 * node, inside, met, within), (2 * node + 1, inside[:0], met[:0], (np.inf, np.inf, np.inf, np.inf))]
+            while node < leaves:
+                node *= 2
+                ends[node] = within
+            share[node - leaves] = len(inside) / max(len(points), 1)
             continue
         k, at, left, first, second = best
         axis[node], cut[node] = k, at
@@ -72,28 +80,57 @@ def grow(points: np.ndarray, boxes: np.ndarray, levels: int) -> Tree:
     return Tree(levels, axis, cut, share, ends)
 
 
-def _constant(values: np.ndarray, kind: str) -> Column:
-    """An array that is one literal of the plan, however long it is."""
-    word = lambda v: str(v) if np.isfinite(v) else "Infinity" if v > 0 else "-Infinity"
-    return F.split(F.lit(",".join(word(v) for v in values.tolist())), ",").cast(f"array<{kind}>")
+#: Tasks that share the points of a leaf.
+_MOST_TASKS = 1 << 20
+
+
+def _cell_of(tree: Tree, tasks: np.ndarray) -> Callable[..., Column]:
+    """The cell of points (x, y, a draw): their leaf and which of its tasks."""
 
+    def run(x: pd.Series, y: pd.Series, draw: pd.Series) -> pd.Series:
+        x, y, node = x.to_numpy(), y.to_numpy(), np.ones(len(x), np.int64)
+        for _ in range(tree.levels):
+            node = 2 * node + (tree.cut[node] <= np.where(tree.axis[node] == 0, x, y))
+        leaf = node - (1 << tree.levels)
+        return pd.Series(leaf * _MOST_TASKS + draw.to_numpy() % tasks[leaf])
 
-def _leaf(tree: Tree, x: Column, y: Column) -> Column:
-    axis, cut = _constant(tree.axis, "int"), _constant(tree.cut, "double")
-    step = lambda node, _: node * 2 + F.when(F.get(cut, node) <= F.when(F.get(axis, node) == 0, x).otherwise(y), 1).otherwise(0)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(tree.levels)), F.lit(1), step) - (1 << tree.levels) if tree.levels else F.lit(0)
+    return F.pandas_udf(run, "long").asNondeterministic()  # so that no condition works it out once more
 
 
-def _leaves(tree: Tree, low: tuple[Column, Column], high: tuple[Column, Column]) -> Column:
-    """All leaves that a box meets; its bounds are infinite where open."""
-    if not tree.levels:
-        return F.array(F.lit(0))
-    axis, cut = _constant(tree.axis, "int"), _constant(tree.cut, "double")
-    of = lambda bounds, node: F.when(F.get(axis, node) == 0, bounds[0]).otherwise(bounds[1])
-    first = lambda node: F.when(of(low, node) < F.get(cut, node), node * 2)
-    second = lambda node: F.when((of(high, node) >= F.get(cut, node)) & (F.get(cut, node) < float("inf")), node * 2 + 1)
-    step = lambda nodes, _: F.flatten(F.transform(nodes, lambda node: F.array_compact(F.array(first(node), second(node)))))
-    return F.transform(F.aggregate(F.sequence(F.lit(1), F.lit(tree.levels)), F.array(F.lit(1)), step), lambda node: node - (1 << tree.levels))
+def _nodes_of(tree: Tree) -> Callable[..., Column]:
+    """The leaves that boxes meet in part, and the highest nodes that lie in them, these negative; bounds are infinite where open.
+
+    A box counts as over a node by strict order in doubles, which rounding of large integers cannot turn round.
+    """
+
+    def run(low_x: pd.Series, low_y: pd.Series, high_x: pd.Series, high_y: pd.Series) -> pd.Series:
+        low, high = np.stack([low_x, low_y]), np.stack([high_x, high_y])
+        box, node = np.arange(low.shape[1]), np.ones(low.shape[1], np.int64)
+        boxes, nodes = [], []
+        for level in range(tree.levels + 1):
+            ends = tree.ends[node]
+            over = np.ones(len(node), bool)
+            for k in (0, 1):
+                a, b = low[k, box], high[k, box]
+                over &= ((a == -np.inf) | (a < ends[:, 2 * k])) & ((b == np.inf) | (ends[:, 2 * k + 1] <= b))
+            done = over if level < tree.levels else np.ones(len(node), bool)
+            boxes.append(box[done])
+            nodes.append(np.where(over, -node, node)[done])
+            box, node = box[~done], node[~done]
+            if level < tree.levels:
+                axis, cut = tree.axis[node], tree.cut[node]
+                first, second = low[axis, box] < cut, (high[axis, box] >= cut) & (cut < np.inf)
+                box, node = np.concatenate([box[first], box[second]]), np.concatenate([2 * node[first], 2 * node[second] + 1])
+        box, node = np.concatenate(boxes), np.concatenate(nodes)
+        node, upto = node[np.argsort(box, kind="stable")], np.cumsum(np.bincount(box, minlength=low.shape[1]))[:-1]
+        return pd.Series(np.split(node, upto)) if low.shape[1] else pd.Series([], dtype=object)
+
+    return F.pandas_udf(run, "array<long>").asNondeterministic()
+
+
+def _cells_of(tasks: np.ndarray) -> Callable[..., Column]:
+    """All cells of a leaf."""
+    return F.pandas_udf(lambda leaf: pd.Series([v * _MOST_TASKS + np.arange(tasks[v]) for v in leaf], dtype=object), "array<long>").asNondeterministic()
 
 
 def _sample(rows: DataFrame, n: int, most: int) -> np.ndarray:
@@ -109,7 +146,7 @@ def tree_for(points: DataFrame, boxes: DataFrame) -> Tree:
     each (2 million points and boxes at most, 96 MB), and how many there are.
     """
     n, m = points.count(), boxes.count()
-    levels = min(MOST_LEVELS, (m // LEAF_BOXES).bit_length())
+    levels = min(max((m // LEAF_BOXES).bit_length(), LEVELS[0]), LEVELS[1])
     some = [_sample(df, k, LEAF_SAMPLE << levels) for df, k in ((points, n), (boxes, m))]
     return grow(*(s[~np.isnan(s).any(axis=1)] for s in some), levels)
 
@@ -117,9 +154,10 @@ def tree_for(points: DataFrame, boxes: DataFrame) -> Tree:
 def in_boxes(points: DataFrame, boxes: DataFrame, x: tuple[str, str, str], y: tuple[str, str, str], order: Column) -> DataFrame:
     """Pairs of points and boxes in one leaf, among them for every point the box of the highest ``order`` that holds it.
 
-    points have a ``point_id``.  x and y name a coordinate and a box's bounds of it, negative ones open; points without both coordinates are in no box.  A
-    box that holds a whole leaf leaves all lower ones out of it.  Leaves with many points are dealt to several tasks, to each of
-    which their boxes go.  What a pair is must still be compared: a leaf's boxes hold some of its points.
+    points have a ``point_id``.  x and y name a coordinate and a box's bounds of it, negative ones open; points without
+    both coordinates are in no box.  A box that holds a whole leaf leaves all lower ones out of it, and large boxes go to the
+    highest nodes that lie in them, of which each keeps one.  Leaves with many points are dealt to several tasks, to each of
+    which their boxes go.  Pairs must still be compared: a leaf's boxes hold some of its points.
     """
     spark = points.sparkSession
     points = points.where(F.col(x[0]).isNotNull() & F.col(y[0]).isNotNull())
@@ -128,20 +166,22 @@ def in_boxes(points: DataFrame, boxes: DataFrame, x: tuple[str, str, str], y: tu
     low = [F.when(F.col(c[1]) < 0, float("-inf")).otherwise(F.col(c[1]).cast("double")) for c in (x, y)]
     high = [F.when(F.col(c[2]) < 0, float("inf")).otherwise(F.col(c[2]).cast("double")) for c in (x, y)]
     tree = tree_for(points.select(at[0].alias("x"), at[1].alias("y")), boxes.select(low[0].alias("a"), high[0].alias("b"), low[1].alias("c"), high[1].alias("d")))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = _constant(np.maximum(np.ceil(tree.share * tasks), 1).astype(int), "int")
-    ends = [_constant(tree.ends[:, k], "double") for k in range(4)]
-
-    # by strict order in doubles, which rounding of large integers cannot turn round
-    end = lambda k: F.get(ends[k], F.col("_leaf"))
-    whole = (F.col(x[1]) < 0) | (low[0] < end(0))
-    whole &= (F.col(x[2]) < 0) | (end(1) <= high[0])
-    whole &= (F.col(y[1]) < 0) | (low[1] < end(2))
-    whole &= (F.col(y[2]) < 0) | (end(3) <= high[1])
-    dealt = boxes.withColumn("_leaf", F.explode(_leaves(tree, tuple(low), tuple(high)))).withColumn("_order", order)
-    over = dealt.where(whole).groupBy("_leaf").agg(F.max("_order").alias("_most"))
-    dealt = dealt.join(over, "_leaf", "left").where(F.col("_most").isNull() | (F.col("_order") >= F.col("_most"))).drop("_order", "_most")
-    dealt = dealt.withColumn("_task", F.explode(F.sequence(F.lit(0), F.get(parts, F.col("_leaf")) - 1)))
-    placed = points.withColumn("_leaf", _leaf(tree, *at))
-    placed = placed.withColumn("_task", F.pmod(F.xxhash64("point_id"), F.get(parts, F.col("_leaf"))).cast("int"))
-    return placed.join(dealt, ["_leaf", "_task"]).drop("_leaf", "_task")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = np.clip(np.ceil(tree.share * parts), 1, _MOST_TASKS).astype(np.int64)
+
+    dealt = boxes.select(F.struct(*boxes.columns).alias("_box"), order.alias("_order"), _nodes_of(tree)(*low, *high).alias("_nodes"))
+    dealt = staged(dealt.select("_box", "_order", F.explode("_nodes").alias("_node")), "boxes")
+    # one box for a node, and so few rows for all leaves below all nodes
+    best = lambda row: F.max_by(row, row["_order"]).alias("_best")
+    over = dealt.where("_node < 0").groupBy((-F.col("_node")).alias("_node")).agg(best(F.struct("_order", "_box")))
+    down = F.lit(tree.levels + 1) - F.length(F.bin("_node"))
+    first = F.call_function("shiftleft", F.col("_node"), down)
+    leaves = F.explode(F.sequence(first, first + F.call_function("shiftleft", F.lit(1).cast("long"), down) - 1))
+    over = over.select(leaves.alias("_leaf"), "_best").groupBy("_leaf").agg(best(F.col("_best")))
+    part = dealt.where("_node > 0").withColumnRenamed("_node", "_leaf").join(over.select("_leaf", F.col("_best._order").alias("_most")), "_leaf", "left")
+    part = part.where(F.col("_most").isNull() | (F.col("_order") >= F.col("_most"))).select("_leaf", "_box")
+    dealt = part.unionByName(over.select("_leaf", F.col("_best._box").alias("_box")))
+    dealt = dealt.select(_cells_of(tasks)(F.col("_leaf") - (1 << tree.levels)).alias("_cells"), "_box")
+    dealt = dealt.select(F.explode("_cells").alias("_cell"), "_box.*")
+    placed = points.withColumn("_cell", _cell_of(tree, tasks)(*at, F.xxhash64("point_id")))
+    return placed.join(dealt, "_cell").drop("_cell")

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import os
+import re
+import struct
 import uuid
+import zlib
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import align as al
 from ..operators import alignments, costs, graphs, matches, proteins, search, suffix
-from ..sources import genomics
+from ..sources import bgzf, genomics
 from ..sources import matches as match_files
 from ..sources import sequences, tables as tsv
 from ..staging import shared_dir, staged, with_rank
@@ -304,6 +309,96 @@ def align_semi_score(spark, sf_dir):
     return _gapped(spark, sf_dir, al.SEMI)
 
 
+@query(
+    """WITH r AS (SELECT o_orderkey AS region_id, o_orderkey - o_custkey % 9 - 1 AS low, CASE WHEN o_custkey % 400 = 0 THEN -1 ELSE o_orderkey + o_custkey % 7 END AS high, o_orderkey % 4 AS priority FROM orders),
+p AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS point_id, l_orderkey AS a, l_orderkey + l_linenumber AS b FROM lineitem),
+closed AS (SELECT point_id, region_id, priority FROM p JOIN r ON a >= low AND a < high AND b >= low AND b < high WHERE high >= 0),
+open AS (SELECT point_id, region_id, priority FROM p JOIN (SELECT * FROM r WHERE high < 0) q ON a >= greatest(low, 0)),
+best AS (SELECT point_id, arg_max(region_id, priority * 100000000000 + region_id) AS cost FROM (SELECT * FROM closed UNION ALL SELECT * FROM open) GROUP BY point_id)
+SELECT point_id, CAST(cost AS BIGINT) AS cost FROM p LEFT JOIN best USING (point_id)"""
+)
+def region_cost_diagonal(spark, sf_dir):
+    """As many small regions as orders along a diagonal, some open at their ends: no grid of lines on each axis parts them."""
+    points = _t(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("point_id"), F.col("l_orderkey").alias("a"), (F.col("l_orderkey") + F.col("l_linenumber")).alias("b"))
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    low, high = key - cust % 9 - 1, F.when(cust % 400 == 0, -1).otherwise(key + cust % 7)
+    regions = _t(spark, sf_dir, "orders").select(key.alias("region_id"), (key % 4).alias("priority"), low.alias("start_a"), high.alias("end_a"), low.alias("start_b"), high.alias("end_b"), key.alias("cost"))
+    return alignments.region_costs(points, regions)
+
+
+# --- formats ------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, hex(CAST((l_partkey % 60000 - 30000) AS SMALLINT)::BIT::BLOB) AS int16, hex(CAST(-l_suppkey AS INTEGER)::BIT::BLOB) AS int32, hex(CAST(l_orderkey * -4294967311 AS BIGINT)::BIT::BLOB) AS int64,
+hex(CAST(l_quantity AS FLOAT)::BIT::BLOB) AS float32, hex(CAST(l_extendedprice AS DOUBLE)::BIT::BLOB) AS float64, CAST(l_extendedprice AS DOUBLE) AS again FROM lineitem"""
+)
+def packed_numbers(spark, sf_dir):
+    """Numbers as bytes; what is packed with the lower byte first gives the same numbers, and the same bytes reversed."""
+    c = F.col
+    values = {"int16": c("l_partkey") % 60000 - 30000, "int32": -c("l_suppkey"), "int64": c("l_orderkey") * F.lit(-4294967311), "float32": c("l_quantity"), "float64": c("l_extendedprice")}
+    little = {k: text.pack(v, k, big=False) for k, v in values.items()}
+    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(v.alias(k) for k, v in little.items()))
+    return rows.select("l_orderkey", "l_linenumber", *(F.hex(text.pack(text.unpack(c(k), k, big=False), k)).alias(k) for k in values), text.unpack(c("float64"), "float64", big=False).alias("again"))
+
+
+def _bam_parts(reads: DataFrame, folder: str) -> int:
+    """BAM files of (key, place, flag, seq), one a task, in a folder that all mount; how many."""
+
+    def block(data: bytes) -> bytes:
+        c = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = c.compress(data) + c.flush()
+        return bgzf.MAGIC + bytes(4) + b"\0\xff" + struct.pack("<H", 6) + bgzf.SIZE_FIELD + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+    def record(key: int, place: int, flag: int, seq: str) -> bytes:
+        name, n = f"read{key}".encode() + b"\0", len(seq)
+        codes = ["=ACMGRSVTWYHKDBN".index(x) for x in seq] + [0] * (n % 2)
+        bases = bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True))
+        fixed = struct.pack("<iiBBHHHiiii", key % 3 - 1, place, len(name), key % 60, 0, 2, flag, n, key % 3 - 1, place + 7, n)
+        body = fixed + name + struct.pack("<II", n - 1 << 4, 1 << 4 | 1) + bases + bytes(i % 40 for i in range(n)) + b"NMi" + struct.pack("<i", -key - 1) + b"XZZ" + seq.encode() + b"\0"
+        return struct.pack("<i", len(body)) + body
+
+    def run(batches):
+        path = f"{folder}/part-{uuid.uuid4().hex}"
+        os.makedirs(folder, exist_ok=True)
+        top = b"@HD\tVN:1.6\n"
+        data = b"BAM\1" + struct.pack("<i", len(top)) + top + struct.pack("<i", 2) + b"".join(struct.pack("<i", 5) + c + b"\0" + struct.pack("<i", 1 << 30) for c in (b"chr1", b"chr2"))
+        with open(path, "wb") as f:
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    data += record(*row)
+                    if len(data) > 60_000:
+                        f.write(block(data[:60_000]))
+                        data = data[60_000:]
+            while data:
+                f.write(block(data[:60_000]))
+                data = data[60_000:]
+            f.write(block(b""))
+        yield pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
+
+    written = staged(reads.mapInArrow(run, "path string"), "bam-files")
+    # a task that ran twice has left a file that no row names
+    for i, r in enumerate(written.collect()):
+        os.replace(r.path, f"{folder}/{i:06d}.bam")
+    return written.count()
+
+
+@query(
+    """WITH p AS (SELECT p_partkey AS key, p_size, translate(upper(regexp_replace(p_name, '[^acgt]', '', 'g')), ' ', '') AS bases FROM part),
+q AS (SELECT key, p_size, bases || 'ACGTN' AS seq FROM p)
+SELECT 'read' || key AS name, CAST(p_size % 4 AS INTEGER) AS flag, CASE key % 3 WHEN 1 THEN 'chr1' WHEN 2 THEN 'chr2' END AS ref, CAST(p_size * 11 AS BIGINT) AS pos, CAST(key % 60 AS INTEGER) AS mapq,
+       (length(seq) - 1) || 'M1I' AS cigar, CAST(length(seq) AS BIGINT) AS tlen, seq, 'NM:i:-' || (key + 1) || chr(9) || 'XZ:Z:' || seq AS extra FROM q"""
+)
+def bam_files(spark, sf_dir):
+    """BAM files of all parts, read in parts and put together."""
+    bases = F.concat(F.upper(F.regexp_replace("p_name", "[^acgt]", "")), F.lit("ACGTN"))
+    reads = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), (F.col("p_size") * 11).cast("int").alias("place"), (F.col("p_size") % 4).cast("int").alias("flag"), bases.alias("seq"))
+    folder = re.sub("^file:/*", "/", _folder(spark, "bam"))
+    _bam_parts(reads.repartition(4), folder)
+    rows = genomics.read_bam(spark, f"{folder}/*.bam").where("not is_header")
+    return rows.select("name", "flag", "ref", "pos", "mapq", "cigar", "tlen", "seq", "extra")
+
+
 # --- graphs -------------------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gzip
+import itertools
+import re
 import struct
 from collections.abc import Iterator
 
@@ -293,8 +296,22 @@ def _part_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), types, strict=True)], names)
 
 
+def _gunzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            with gzip.open(path, "rt", encoding="utf-8", errors="replace", newline="\n") as f:
+                while lines := list(itertools.islice(f, 4096)):
+                    yield pa.RecordBatch.from_arrays([pa.array([line.rstrip("\r\n") for line in lines])], ["value"])
+
+
 def read_alignments(spark: SparkSession, path: str) -> DataFrame:
-    """By suffix: ``.bam`` is BAM, all else SAM (Spark undoes ``.gz``)."""
+    """By suffix: ``.bam`` is BAM, all else SAM.
+
+    Spark undoes ``.gz``; it knows no ``.gzip``, so such a file, in a folder that tasks mount, is one task's, line by line.
+    """
+    if path.endswith(".gzip"):
+        local = re.sub("^file:/*", "/", path)
+        return sam(spark.createDataFrame([(local,)], "path string").mapInArrow(_gunzipped, "value string"))
     return read_bam(spark, path) if path.endswith(".bam") else sam(spark.read.text(path))
 
 
@@ -324,36 +341,32 @@ def ensembl_ids(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("value").startswith(">")).select(ident("P").alias("protein_id"), ident("T").alias("transcript_id"), ident("G").alias("gene_id"))
 
 
+#: A node's name, a jump set, or what lies between these.
+_GRAPH_TOKEN = re.compile(r"&([^;]*);|\[([^\]]*)\]|([^&\[\];]+)")
+
+
 def parse_graph(body: str) -> tuple[str, list[tuple[str, int]], list[tuple[int, int]]]:
     """(characters, (node name, place) pairs, (from, to) jumps) of a FASTA body with ``&name;`` and ``[a b /]``.
 
     ``[a b]`` before a character names the nodes at which a walk that arrives there may go on; it may also pass
     through, which is a jump to the place itself, unless ``/`` is among the names.
     """
-    chars, nodes, sets, at = [], [], [], 0
+    chars, nodes, sets, at, size = [], [], [], 0, 0
     while at < len(body):
-        c = body[at]
-        if c == "&":
-            end = body.find(";", at)
-            if end < 0:
-                raise ValueError("Unbalanced node name.")
-            nodes.append((body[at + 1 : end].strip(), len(chars)))
-            at = end + 1
-        elif c == "[":
-            end = body.find("]", at)
-            if end < 0:
-                raise ValueError("Unbalanced jump set.")
-            names = body[at + 1 : end].split()
-            if not names:
+        found = _GRAPH_TOKEN.match(body, at)
+        if found is None:
+            raise ValueError("Unbalanced node name." if body[at] == "&" else "Unbalanced jump set.")
+        name, names, run = found.groups()
+        if name is not None:
+            nodes.append((name.strip(), size))
+        elif names is not None:
+            if not names.split():
                 raise ValueError("Empty jump set.")
-            sets.append((len(chars), names))
-            at = end + 1
-        elif c in "];":
-            raise ValueError("Unbalanced jump set.")
+            sets.append((size, names.split()))
         else:
-            if not c.isspace():
-                chars.append(c)
-            at += 1
+            chars.append("".join(run.split()))
+            size += len(chars[-1])
+        at = found.end()
     place = dict(nodes)
     jumps = []
     for before, names in sets:

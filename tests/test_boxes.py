@@ -56,5 +56,5 @@ def test_a_leaf_loses_what_a_box_over_it_beats(spark, monkeypatch):
     from pyspark.sql import functions as F
 
     pairs = boxes.in_boxes(p, r.withColumn("priority", (F.col("region_id") == 1000).cast("int")), ("a", "start_a", "end_a"), ("b", "start_b", "end_b"), F.struct("priority", "region_id"))
-    assert pairs.count() < 2 * len(points)
+    assert pairs.count() <= 2 * len(points)  # of 201 boxes
     assert {x.point_id: x.cost for x in alignments.region_costs(p, r).collect()} == _want(points, regions)
