@@ -158,6 +158,23 @@ def test_terms_and_rules_against_sql(spark, tmp_path):
     assert [r["verdict"] for r in got.to_pylist() if r["page_id"] is None] == ["block"]
 
 
+def test_rules_of_the_query(spark, tmp_path):
+    urls = {
+        "http://a.com/en/x": ("com/en/", "block"),
+        "http://example.com/en/7x": ("example.com/en/7", "allow"),
+        "http://a.net/de/porn": ("net/de/", "allow"),
+        "http://www.example.net/de/9": ("net/de/", "allow"),
+        "http://www.example.net/de/8/": ("example.net/de/8", "block"),
+        "http://a.org/es/": ("org/es/", "block"),
+    }
+    spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.op9_url_filter(spark, str(tmp_path)).orderBy("page_id").collect()
+    assert [(r.rule, r.verdict) for r in got] == list(urls.values())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert con.sql(f"SELECT rule, verdict FROM ({queries.ORACLES['op9_url_filter']}) ORDER BY page_id").fetchall() == list(urls.values())
+
+
 def test_many_rules(spark):
     rules = [("block" if i % 2 else "allow", f"h{i}.com/p{i}") for i in range(20_000)]
     df = spark.createDataFrame([(i, f"http://www.h{i}.com/p{i}/x") for i in range(0, 20_000, 997)], "page_id long, url string")
