@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from ..staging import staged, with_rank
 _NODE = ["graph_id", "node"]
 #: Rounds of a search for components before chains are contracted.
 PATIENCE = 12
+#: Edges, with repeats, of graphs that are ordered many at once: they have 64 nodes at most, so a number holds what one reaches.
+SMALL_EDGES = 32
 
 
 def flatten(jumps: DataFrame) -> DataFrame:
@@ -148,8 +153,65 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return found.join(least, ["graph_id", "component"]).select(*_NODE, F.col("least").alias("component"))
 
 
+def _small_orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(graph_id, node, component, layer) of (graph_id, edges), all graphs of a batch at once."""
+    for batch in batches:
+        edges = batch.column(1)
+        graph = np.repeat(np.arange(len(edges)), edges.value_lengths().to_numpy(zero_copy_only=False))
+        src, dst = (c.to_numpy(zero_copy_only=False) if not c.null_count else c.to_pandas(integer_object_nulls=True).to_numpy() for c in edges.flatten().flatten())
+        there = [np.array([x is not None for x in c]) if c.dtype == object else np.ones(len(c), bool) for c in (src, dst)]
+        owner = np.concatenate([graph[there[0]], graph[there[1]]])
+        value = np.concatenate([src[there[0]].astype(np.int64), dst[there[1]].astype(np.int64)])
+        order = np.lexsort((value, owner))
+        owner, value = owner[order], value[order]
+        new = np.ones(len(owner), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
+        number = np.empty(len(owner), np.int64)
+        number[order] = np.cumsum(new) - 1
+        owner, value = owner[new], value[new]  # the nodes, by graph and number
+        first = np.searchsorted(owner, owner)
+        own, most = np.arange(len(owner)) - first, int((np.arange(len(owner)) - first).max(initial=-1)) + 1
+        both = there[0] & there[1]
+        a, b = number[: there[0].sum()][both[there[0]]], number[there[0].sum() :][both[there[1]]]
+
+        one, holds = np.uint64(1), lambda bits, k: bits >> k.astype(np.uint64) & np.uint64(1) == 1
+        reach = one << own.astype(np.uint64)
+        np.bitwise_or.at(reach, a, one << own[b].astype(np.uint64))
+        component = np.arange(len(owner))
+        last = len(owner) - 1
+        for k in range(most):  # ways through each graph's node k
+            through = np.minimum(first + k, last)
+            some = (owner[through] == owner) & holds(reach, np.full(len(owner), k))
+            reach[some] |= reach[through[some]]
+        for k in reversed(range(most)):  # the smallest node that reaches and is reached
+            through = np.minimum(first + k, last)
+            same = (owner[through] == owner) & holds(reach, np.full(len(owner), k)) & holds(reach[through], own)
+            component[same] = through[same]
+        layer = np.zeros(len(owner), np.int64)
+        a, b = component[a], component[b]
+        a, b = a[a != b], b[a != b]
+        while (late := layer[b] <= layer[a]).any():
+            np.maximum.at(layer, b[late], layer[a[late]] + 1)
+        columns = [batch.column(0).take(pa.array(owner)), pa.array(value), pa.array(value[component]), pa.array(layer[component])]
+        yield pa.RecordBatch.from_arrays(columns, ["graph_id", "node", "component", "layer"])
+
+
 def topological_order(edges: DataFrame) -> DataFrame:
-    """(graph_id, node, component, layer): every edge between components goes to a higher layer; a cycle's nodes share one."""
+    """(graph_id, node, component, layer): every edge between components goes to a higher layer; a cycle's nodes share one.
+
+    Graphs of at most ``SMALL_EDGES`` edges are dealt to tasks and ordered there, a batch of graphs in one go; larger ones
+    take part in rounds over all of their edges.
+    """
+    edges = edges.where("graph_id is not null").select("graph_id", "src", "dst")
+    large = staged(edges.groupBy("graph_id").agg(F.count("*").alias("n")).where(F.col("n") > SMALL_EDGES).select("graph_id"), "large")
+    each = edges.join(large, "graph_id", "left_anti").groupBy("graph_id").agg(F.collect_list(F.struct(F.col("src").cast("long"), F.col("dst").cast("long"))).alias("edges"))
+    kind = {c: edges.schema[c].dataType.simpleString() for c in ("graph_id", "src")}
+    small = each.mapInArrow(_small_orders, f"graph_id {kind['graph_id']}, node long, component long, layer long")
+    small = small.select("graph_id", *(F.col(c).cast(kind["src"]).alias(c) for c in ("node", "component")), "layer")
+    return small if large.isEmpty() else small.unionByName(_order_in_rounds(edges.join(large, "graph_id", "left_semi")))
+
+
+def _order_in_rounds(edges: DataFrame) -> DataFrame:
     found = staged(strong_components(edges), "components")
     at = lambda end: found.select("graph_id", F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
     between = edges.join(at("src"), ["graph_id", "src"]).join(at("dst"), ["graph_id", "dst"]).where("c_src <> c_dst").select("graph_id", F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).distinct()

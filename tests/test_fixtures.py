@@ -676,6 +676,27 @@ def test_protein_and_variant_text(spark):
     assert [r.cells for r in proteins.variant_cells(rows.where("name = 'V1'")).collect()] == [["V1", "5M", "INDS{", "a", "b", "}SDNI", "DIFS{", "d", "}SFID"]]
 
 
+def test_small_graphs_are_ordered_without_rounds(spark, monkeypatch):
+    rng = random.Random(5)
+    drawn = {g: [(rng.randrange(9), rng.randrange(9)) for _ in range(rng.randint(1, 14))] for g in range(40)}
+    drawn[90] = [(i * 2, i * 2 + 1) for i in range(graphs.SMALL_EDGES)]  # as many nodes as there are bits
+    drawn[91] = [(i, i + 1) for i in range(graphs.SMALL_EDGES)]
+    writes, staged = [], graphs.staged
+    monkeypatch.setattr(graphs, "staged", lambda df, name: (writes.append(name), staged(df, name))[1])
+
+    def check(drawn):
+        edges = spark.createDataFrame([(g, a, b) for g, es in drawn.items() for a, b in es] + [(0, None, 7), (0, 8, None), (None, 1, 2)], "graph_id long, src long, dst int")
+        got = graphs.topological_order(edges).collect()
+        want = {(g, *x) for g, es in drawn.items() for x in brute_order(es + [(7, 7), (8, 8)] * (g == 0))}
+        assert {(r.graph_id, r.node, r.component, r.layer) for r in got} == want and len(got) == len(set(got))
+
+    check(drawn)
+    assert len(writes) == 1
+    drawn[92] = drawn[91] + [(graphs.SMALL_EDGES, 3)]  # goes in rounds
+    check(drawn)
+    assert len(writes) > 5
+
+
 def test_components_of_random_graphs_and_long_rings(spark, monkeypatch):
     rng = random.Random(9)
     edges = [(g, rng.randrange(30), rng.randrange(30)) for g in range(4) for _ in range(18 + 8 * g)]
