@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import staged, with_rank
 from .boxes import in_boxes
 
 
@@ -20,6 +21,17 @@ def mate_pairs(entries: DataFrame, name: str = "name", order: str = "ord") -> tu
     return pairs, two.where("_k = 1").select("name", "first")
 
 
+def _best(points: DataFrame, boxes: DataFrame, x: tuple[str, str, str], y: tuple[str, str, str], order: list[Column], inside: str) -> DataFrame:
+    """(point_id, cost) of every point: the cost of the box of the highest order that holds it.
+
+    Boxes go by their rank, a number, so that points are reduced by hash where their boxes are, with no sort of the pairs.
+    """
+    ranked = staged(with_rank(boxes, order, "_rank"), "ranked")
+    rows = in_boxes(points, ranked.select("_rank", *x[1:], *y[1:]), x, y, F.col("_rank")).where(inside)
+    best = rows.groupBy("_cell", "point_id").agg(F.max("_rank").alias("_rank")).groupBy("point_id").agg(F.max("_rank").alias("_rank"))
+    return points.select("point_id").distinct().join(best.join(ranked.select("_rank", "cost"), "_rank").drop("_rank"), "point_id", "left")
+
+
 def region_costs(points: DataFrame, regions: DataFrame) -> DataFrame:
     """points (point_id, a, b) with the cost of the region of the highest priority that holds them, null if none does.
 
@@ -29,9 +41,7 @@ def region_costs(points: DataFrame, regions: DataFrame) -> DataFrame:
     closed = (F.col("start_a") >= 0) & (F.col("end_a") >= 0) & (F.col("start_b") >= 0) & (F.col("end_b") >= 0)
     inside = "(start_a < 0 or a >= start_a) and (end_a < 0 or a < end_a) and (start_b < 0 or b >= start_b) and (end_b < 0 or b < end_b)"
     priority = F.col("priority") if "priority" in regions.columns else F.when(closed, 1).otherwise(0)
-    rows = in_boxes(points, regions.withColumn("priority", priority), ("a", "start_a", "end_a"), ("b", "start_b", "end_b"), F.struct("priority", "region_id")).where(inside)
-    best = rows.groupBy("point_id").agg(F.max_by("cost", F.struct("priority", "region_id")).alias("cost"))
-    return points.select("point_id").distinct().join(best, "point_id", "left")
+    return _best(points, regions.withColumn("priority", priority), ("a", "start_a", "end_a"), ("b", "start_b", "end_b"), [F.col("priority"), F.col("region_id")], inside)
 
 
 def quality_costs(points: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -50,6 +60,4 @@ def most_constrained(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """
     closed = sum((F.when(F.col(c) >= 0, 1).otherwise(0) for c in ("low_q", "high_q", "low_r", "high_r")), F.lit(0))
     inside = "(low_q < 0 or q >= low_q) and (high_q < 0 or q <= high_q) and (low_r < 0 or r >= low_r) and (high_r < 0 or r <= high_r)"
-    rows = in_boxes(points, boxes.withColumn("closed", closed), ("q", "low_q", "high_q"), ("r", "low_r", "high_r"), F.struct("closed", -F.col("ord"))).where(inside)
-    best = rows.groupBy("point_id").agg(F.max_by("cost", F.struct("closed", -F.col("ord"))).alias("cost"))
-    return points.select("point_id").distinct().join(best, "point_id", "left")
+    return _best(points, boxes.withColumn("closed", closed), ("q", "low_q", "high_q"), ("r", "low_r", "high_r"), [F.col("closed"), -F.col("ord")], inside)

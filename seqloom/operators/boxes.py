@@ -157,7 +157,8 @@ def in_boxes(points: DataFrame, boxes: DataFrame, x: tuple[str, str, str], y: tu
     points have a ``point_id``.  x and y name a coordinate and a box's bounds of it, negative ones open; points without
     both coordinates are in no box.  A box that holds a whole leaf leaves all lower ones out of it, and large boxes go to the
     highest nodes that lie in them, of which each keeps one.  Leaves with many points are dealt to several tasks, to each of
-    which their boxes go.  Pairs must still be compared: a leaf's boxes hold some of its points.
+    which their boxes go.  Pairs must still be compared: a leaf's boxes hold some of its points.  The pairs lie by the hash of a
+    ``_cell``: what is grouped by it and by point is not moved.
     """
     spark = points.sparkSession
     points = points.where(F.col(x[0]).isNotNull() & F.col(y[0]).isNotNull())
@@ -184,4 +185,4 @@ def in_boxes(points: DataFrame, boxes: DataFrame, x: tuple[str, str, str], y: tu
     dealt = dealt.select(_cells_of(tasks)(F.col("_leaf") - (1 << tree.levels)).alias("_cells"), "_box")
     dealt = dealt.select(F.explode("_cells").alias("_cell"), "_box.*")
     placed = points.withColumn("_cell", _cell_of(tree, tasks)(*at, F.xxhash64("point_id")))
-    return placed.join(dealt, "_cell").drop("_cell")
+    return placed.join(dealt.hint("shuffle_hash"), "_cell")

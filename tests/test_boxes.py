@@ -58,3 +58,11 @@ def test_a_leaf_loses_what_a_box_over_it_beats(spark, monkeypatch):
     pairs = boxes.in_boxes(p, r.withColumn("priority", (F.col("region_id") == 1000).cast("int")), ("a", "start_a", "end_a"), ("b", "start_b", "end_b"), F.struct("priority", "region_id"))
     assert pairs.count() <= 2 * len(points)  # of 201 boxes
     assert {x.point_id: x.cost for x in alignments.region_costs(p, r).collect()} == _want(points, regions)
+
+
+def test_points_are_reduced_where_their_boxes_are_without_a_sort(spark):
+    p = spark.createDataFrame([(i, i, i) for i in range(40)] + [(3, 9, 9)], "point_id long, a long, b long")
+    r = spark.createDataFrame([(i, i, -1 if i % 9 == 0 else i + 3, 0, -1, i) for i in range(0, 30)], "region_id long, start_a long, end_a long, start_b long, end_b long, cost long")
+    got = alignments.region_costs(p, r)
+    assert "max_by(cost" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.where("point_id = 39").first().cost == 27 and got.count() == 40
