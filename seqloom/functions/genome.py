@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 #: SAM flag bits, fixed by the format.
 PAIRED, PROPER_PAIR, UNMAPPED, MATE_UNMAPPED, REVERSE, MATE_REVERSE = 1, 2, 4, 8, 16, 32
@@ -59,8 +59,7 @@ for _i, _letters in enumerate((b"M=X", b"I", b"DN", b"S")):
     _KIND[list(_letters)] = _i
 
 
-@F.arrow_udf(_RUNS)
-def _runs_of(cigars: pa.Array, starts: pa.Array) -> pa.Array:
+def _parsed(cigars: pa.Array, starts: pa.Array) -> pa.Array:
     """Runs of well-formed CIGARs, all of a batch at once; null for null."""
     rows, missing = len(cigars), pc.is_null(cigars)
     starts = pc.fill_null(starts, 0).to_numpy(zero_copy_only=False)
@@ -90,6 +89,9 @@ def _runs_of(cigars: pa.Array, starts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays(columns, ["soft_start", "soft_end", "length", "runs"], mask=missing)
 
 
+_runs_of = F.arrow_udf(_RUNS)(_parsed)
+
+
 def cigar_runs(cigar: Column, start: Column | int = 0) -> Column:
     """struct(soft_start, soft_end, length, runs): what stretches of the read's ``length`` bases align to.
 
@@ -167,11 +169,15 @@ def _given(cigar: Column) -> Column:
     return F.when(cigar != NO_CIGAR, cigar)
 
 
+#: What keeps a protein's CIGAR that is well formed from placing a match.
+_CLIPPED, _SHORT = "Soft clip in the CIGAR of a protein.", "Match beyond the end of the CIGAR."
+
+
 def _protein_cigar_error(cigar: Column, parsed: Column, found_to: Column) -> Column:
     """What keeps a protein's CIGAR from placing a match, null if nothing does or there is none."""
     return F.when(
         cigar.isNotNull(),
-        F.coalesce(cigar_error(cigar), F.when(parsed["soft_start"] + parsed["soft_end"] > 0, "Soft clip in the CIGAR of a protein.").when(parsed["length"] < found_to, "Match beyond the end of the CIGAR.")),
+        F.coalesce(cigar_error(cigar), F.when(parsed["soft_start"] + parsed["soft_end"] > 0, _CLIPPED).when(parsed["length"] < found_to, _SHORT)),
     )
 
 
@@ -205,6 +211,111 @@ def near_differences(diffs: Column, cigar: Column, found_at: Column, found_to: C
     return bound(F.struct(parsed.alias("parsed"), error.alias("error"), found_at.alias("a"), found_to.alias("b")), lambda row: bound(at(row), near))
 
 
+_LOCATION = StructType([StructField("location", StringType()), StructField("warnings", ArrayType(StringType()))])
+#: Warnings in their order, with the place of an error in a CIGAR.
+_WARNINGS = ["Multiple chromosomes.", "Both strands.", "Not whole codons.", "Missing CIGAR.", None, "CIGAR beyond location.", "No location."]
+
+
+def _numbers(values: pa.Array, of_null: int | bool = 0) -> np.ndarray:
+    return pc.fill_null(values, of_null).to_numpy(zero_copy_only=False)
+
+
+def _before(some: np.ndarray) -> np.ndarray:
+    """The sum of what stands before each number, and of all in the end."""
+    return np.concatenate([[0], np.cumsum(some)])
+
+
+def _each(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The row of each element of lists of so many, and its place in its list."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    return row, np.arange(len(row)) - _before(counts)[row]
+
+
+def _exons(locs: pa.Array) -> tuple:
+    """Exons end to end: by row, bases and what is odd; by stretch in the order of its protein, all rows behind one another, its
+    start there, bases and first place."""
+    counts = _numbers(pc.list_value_length(locs))
+    chrom, start, end, positive = locs.flatten().flatten()
+    row, _ = _each(counts)
+    first = np.minimum(_before(counts)[:-1], max(len(row) - 1, 0))  # of rows with any
+    size = np.maximum(_numbers(pc.subtract(end.cast(pa.int64()), start.cast(pa.int64()))), 0)
+    start, end, way = _numbers(start.cast(pa.int64())), _numbers(end.cast(pa.int64())), _numbers(positive, True)
+    forward = np.where(counts > 0, way[first], True) if len(row) else np.ones(len(counts), bool)
+    turned = positive.is_valid().to_numpy(zero_copy_only=False) & (way != forward[row])
+    behind = _before(turned)
+    used = np.flatnonzero(behind[1:] == behind[first[row]])
+    mixed = np.bincount(row, turned, len(counts)) > 0
+    name = _numbers(chrom.dictionary_encode().indices, -1)
+    other = (name >= 0) & (name[first[row]] >= 0) & (name != name[first[row]]) & (size > 0)
+    many = np.bincount(row[used], other[used], len(counts)) > 0
+    # backwards on the negative strand
+    left = np.bincount(row[used], minlength=len(counts))
+    mine, at = _each(left)
+    used = used[_before(left)[mine] + np.where(forward[mine], at, left[mine] - 1 - at)]
+    used = used[size[used] > 0]
+    stretches = _before(size[used])[:-1], size[used], np.where(forward[row[used]], start[used], end[used] - 1)
+    bases = np.bincount(row[used], size[used], len(counts)).astype(np.int64)
+    chroms = chrom.take(pa.array(first, mask=counts == 0))
+    return counts == 0, chroms, np.where(forward, 1, -1), many, mixed, bases, stretches
+
+
+@F.arrow_udf(_LOCATION)
+def _located(locs: pa.Array, cigars: pa.Array, malformed: pa.Array, found_at: pa.Array, found_to: pa.Array) -> pa.Array:
+    """What ``genome_location`` tells, for all rows of a batch at once."""
+    rows = len(locs)
+    none, chroms, step, many, mixed, bases, (seg_at, seg_n, seg_first) = _exons(locs)
+    codons, base = bases // 3, _before(bases)[:-1]
+    a, b, given = _numbers(found_at), _numbers(found_to), pc.and_(found_at.is_valid(), found_to.is_valid()).to_numpy(zero_copy_only=False)
+    ended = found_to.is_valid().to_numpy(zero_copy_only=False)
+    # runs of the CIGARs, or residues as their own positions
+    parsed = _parsed(pc.if_else(malformed.is_null(), cigars, pa.scalar(None, cigars.type)), pa.nulls(rows, pa.int64()))
+    soft_start, soft_end, length, runs = parsed.flatten()
+    short = pc.if_else(pa.array(ended & (_numbers(length) < b)), _SHORT, pa.scalar(None, pa.string()))
+    error = pc.coalesce(malformed, pc.if_else(pa.array(_numbers(soft_start) + _numbers(soft_end) > 0), _CLIPPED, short))
+    error = pc.if_else(cigars.is_valid(), error, pa.scalar(None, pa.string()))
+    missing, wrong = (x.to_numpy(zero_copy_only=False) for x in (cigars.is_null(), error.is_valid()))
+    run_row, _ = _each(_numbers(pc.list_value_length(runs)))
+    keep, alone = ~(missing | wrong)[run_row], np.flatnonzero((missing | wrong) & ended)
+    zeros = np.zeros(len(alone), np.int64)
+    at, n, ref = (np.concatenate([_numbers(own)[keep], other]) for own, other in zip(runs.flatten().flatten(), (zeros, b[alone], zeros), strict=True))
+    run_row = np.concatenate([run_row[keep], alone])
+    order = np.argsort(run_row, kind="stable")
+    run_row, at, n, ref = run_row[order], at[order], n[order], ref[order]
+    beyond = np.bincount(run_row, (ref >= 0) & (ref + n > codons[run_row]), rows) > 0
+    # the runs within the match, as stretches of exons and gaps
+    part = given[run_row] & ~none[run_row] & (at < b[run_row]) & (at + n > a[run_row])
+    run_row, at, n, ref = run_row[part], at[part], n[part], ref[part]
+    low = ref + np.maximum(a[run_row], at) - at
+    high = low + np.minimum(b[run_row], at + n) - np.maximum(a[run_row], at)
+    from_, to = base[run_row] + 3 * low, base[run_row] + 3 * np.minimum(high, codons[run_row])
+    one = np.searchsorted(seg_at, from_, side="right") - 1
+    met = np.where((ref >= 0) & (from_ < to), np.searchsorted(seg_at, to) - one, 0)
+    run, k = _each(met + ((ref < 0) | (high > codons[run_row])))
+    row, gap = run_row[run], k == met[run]
+    first, size = np.full(len(row), -1), np.ones(len(row), np.int64)
+    own, s = run[~gap], (one[run] + k)[~gap]
+    start = np.maximum(from_[own], seg_at[s])
+    first[~gap], size[~gap] = seg_first[s] + step[row[~gap]] * (start - seg_at[s]), np.minimum(to[own], seg_at[s] + seg_n[s]) - start
+    last = first + step[row] * (size - 1)
+    # those that go on from the one before are one with it
+    same = (row[1:] == row[:-1]) & (((first[1:] < 0) & (first[:-1] < 0)) | ((first[1:] >= 0) & (first[:-1] >= 0) & (first[1:] == last[:-1] + step[row[1:]])))
+    head, tail = np.concatenate([[True] * (len(row) > 0), ~same]).astype(bool), np.concatenate([~same, [True] * (len(row) > 0)]).astype(bool)
+    row, first, last = row[head], first[head], last[tail]
+    named = chroms.take(pa.array(row))
+    there = (first < 0) | named.is_valid().to_numpy(zero_copy_only=False)
+    row, first, last, named = row[there], first[there], last[there], named.filter(pa.array(there))
+    words = pa.array(first).cast(pa.string()), pc.if_else(pa.array(first == last), "", pc.binary_join_element_wise("-", pa.array(last).cast(pa.string()), ""))
+    shown = pc.if_else(pa.array(first < 0), "-1", pc.binary_join_element_wise(named.cast(pa.string()), ":", *words, ""))
+    listed = lambda of, values: pa.ListArray.from_arrays(pa.array(_before(np.bincount(of, minlength=rows)).astype(np.int32)), values)
+    location = pc.if_else(pa.array(none), pa.scalar(None, pa.string()), pc.binary_join(listed(row, shown), "|"))
+    errors = error.dictionary_encode()
+    marks = np.stack([many, mixed, bases % 3 != 0, missing, wrong, beyond], 1) & ~none[:, None]
+    row, kind = np.nonzero(np.concatenate([marks, none[:, None]], 1))
+    texts = pa.array([*_WARNINGS, *(f"Bad CIGAR: {x}" for x in errors.dictionary.to_pylist())], pa.string())
+    kind = np.where(kind == 4, _numbers(errors.indices)[row] + len(_WARNINGS), kind)
+    return pa.StructArray.from_arrays([location, listed(row, texts.take(pa.array(kind)))], ["location", "warnings"])
+
+
 def genome_location(locs: Column, cigar: Column, found_at: Column, found_to: Column) -> Column:
     """struct(location, warnings) of the residues [found_at, found_to) of a protein.
 
@@ -216,69 +327,5 @@ def genome_location(locs: Column, cigar: Column, found_at: Column, found_to: Col
     from the first that turns are left out); no whole number of codons (the rest is left out); a CIGAR that is missing, or
     malformed, clipped or too short (residues are their own positions); a CIGAR beyond the exons.
     """
-    found_at, found_to, cigar = found_at.cast("long"), found_to.cast("long"), _given(cigar)
-    parsed = cigar_runs(cigar)
-    row = F.struct(locs.alias("locs"), parsed.alias("parsed"), cigar.isNull().alias("missing"), _protein_cigar_error(cigar, parsed, found_to).alias("error"), found_at.alias("a"), found_to.alias("b"))
-    segment = "array<struct<off:bigint,n:bigint,first:bigint>>"
-
-    def laid_out(row: Column) -> Column:
-        first = F.get(row["locs"], F.lit(0))
-        forward = F.coalesce(first["positive"], F.lit(True))
-        turn = F.array_position(F.transform(row["locs"], lambda x: x["positive"] != forward), F.lit(True))
-        used = F.when(turn > 0, F.slice(row["locs"], F.lit(1), (turn - 1).cast("int"))).otherwise(row["locs"])
-        ordered = F.when(forward, used).otherwise(F.reverse(used))
-        size = lambda x: F.greatest(x["end"] - x["start"], F.lit(0).cast("long"))
-        zero = F.struct(F.lit(0).cast("long").alias("off"), F.array().cast(segment).alias("segments"))
-        here = lambda acc, x: F.array(F.struct(acc["off"].alias("off"), size(x).alias("n"), F.when(forward, x["start"]).otherwise(x["end"] - 1).alias("first")))
-        laid = F.aggregate(ordered, zero, lambda acc, x: F.struct((acc["off"] + size(x)).alias("off"), F.concat(acc["segments"], here(acc, x)).alias("segments")))
-        alone = F.array(F.struct(F.lit(0).cast("long").alias("at"), row["b"].alias("n"), F.lit(0).cast("long").alias("ref")))
-        runs = F.when(row["missing"] | row["error"].isNotNull(), alone).otherwise(row["parsed"]["runs"])
-        many = F.exists(used, lambda x: (x["chrom"] != first["chrom"]) & (x["end"] > x["start"]))
-        return bound(
-            F.struct(
-                (F.coalesce(F.size(row["locs"]), F.lit(0)) <= 0).alias("none"), (turn > 0).alias("mixed"), many.alias("many"), row["missing"].alias("missing"), row["error"].alias("error"),
-                first["chrom"].alias("chrom"), F.when(forward, 1).otherwise(-1).alias("step"), laid.alias("laid"), runs.alias("runs"), row["a"].alias("a"), row["b"].alias("b"),
-            ),
-            described,
-        )
-
-    def described(r: Column) -> Column:
-        codons = F.floor(r["laid"]["off"] / 3)
-        warnings = F.array(
-            F.when(r["many"], "Multiple chromosomes."),
-            F.when(r["mixed"], "Both strands."),
-            F.when(r["laid"]["off"] % 3 != 0, "Not whole codons."),
-            F.when(r["missing"], "Missing CIGAR."),
-            F.when(r["error"].isNotNull(), F.concat(F.lit("Bad CIGAR: "), r["error"])),
-            F.when(F.exists(r["runs"], lambda x: x["ref"] + x["n"] > F.when(x["ref"] >= 0, codons)), "CIGAR beyond location."),
-        )
-        gap = F.array(F.struct(F.lit(-1).cast("long").alias("first"), F.lit(1).cast("long").alias("n")))
-
-        def bases(low: Column, high: Column) -> Column:
-            """The stretches of the exons' bases [low, high)."""
-            start, end = (lambda s: F.greatest(low, s["off"])), (lambda s: F.least(high, s["off"] + s["n"]))
-            meet = F.filter(r["laid"]["segments"], lambda s: start(s) < end(s))
-            return F.transform(meet, lambda s: F.struct((s["first"] + r["step"] * (start(s) - s["off"])).alias("first"), (end(s) - start(s)).alias("n")))
-
-        def pieces(x: Column) -> Column:
-            start, end = F.greatest(r["a"], x["at"]), F.least(r["b"], x["at"] + x["n"])
-            low = x["ref"] + start - x["at"]
-            high = low + end - start
-            there = F.concat(bases(3 * low, 3 * F.least(high, codons)), F.when(high > codons, gap).otherwise(F.slice(gap, 1, 0)))
-            return F.when(x["ref"] < 0, gap).otherwise(there)
-
-        part = F.filter(r["runs"], lambda x: (x["at"] < r["b"]) & (x["at"] + x["n"] > r["a"]))
-        text = bound(F.flatten(F.transform(part, pieces)), lambda flat: joined(flat, r["chrom"], r["step"]))
-        kept = F.when(r["none"], F.array(F.lit("No location."))).otherwise(F.filter(warnings, lambda w: w.isNotNull()))
-        return F.struct(F.when(~r["none"], text).alias("location"), kept.alias("warnings"))
-
-    def joined(flat: Column, chrom: Column, step: Column) -> Column:
-        """The stretches as text, those that go on from the one before as one with it."""
-        end = lambda x: x["first"] + step * (x["n"] - 1)
-        goes_on = lambda x, y: ((x["first"] < 0) & (y["first"] < 0)) | ((x["first"] >= 0) & (y["first"] >= 0) & (y["first"] == end(x) + step))
-        head = lambda x, i: F.when(i == 0, F.lit(True)).otherwise(~goes_on(F.get(flat, i - 1), x))
-        tail = lambda x, i: F.coalesce(~goes_on(x, F.get(flat, i + 1)), F.lit(True))
-        show = lambda h, t: F.when(h["first"] < 0, F.lit("-1")).otherwise(F.concat(chrom, F.lit(":"), h["first"].cast("string"), F.when(h["first"] == end(t), "").otherwise(F.concat(F.lit("-"), end(t).cast("string")))))
-        return F.array_join(F.zip_with(F.filter(flat, head), F.filter(flat, tail), show), "|")
-
-    return bound(row, laid_out)
+    cigar = _given(cigar)
+    return _located(locs, cigar, cigar_error(cigar), found_at.cast("long"), found_to.cast("long"))

@@ -721,3 +721,19 @@ def test_components_of_random_graphs_and_long_rings(spark, monkeypatch):
     got = {(r.graph_id, r.node): r.component for r in graphs.strong_components(spark.createDataFrame(edges, "graph_id long, src long, dst long")).collect()}
     assert got == want
     assert len(writes) < 100  # a round for each step around the ring of 120 would write 240 tables at least
+
+
+def test_genome_location_of_missing_values(spark):
+    """Rows of one batch with missing lists, exons, names, ends and matches."""
+    exon = "array<struct<chrom:string,start:bigint,end:bigint,positive:boolean>>"
+    rows = [
+        (0, None, "4M", 0, 2, None, "No location."), (1, [None, ("c", 3, 9, True)], "4M", 0, 2, "", "CIGAR beyond location."), (2, [("c", 10, 16, None)], "4M", 0, 2, "c:10-15", "CIGAR beyond location."),
+        (3, [("c", 0, 3, False), ("c", 3, None, False), ("d", 5, 8, False)], "2M", 0, 2, "c:7-5|c:2-0", "Multiple chromosomes."), (4, [("c", 0, 6, True)], None, None, 2, "", "Missing CIGAR."),
+        (5, [("c", 0, 6, True)], "1M2I", 0, None, "", ""), (6, [(None, 0, 6, True)], "1M2I1M", 0, 4, "-1", ""), (7, [("c", 5, 8, True), ("c", 8, 11, True)], "2S2M", 0, 2, "c:5-10", "Bad CIGAR: Soft clip in the CIGAR of a protein."),
+    ]
+    data = spark.createDataFrame([r[:5] for r in rows], f"id int, locs {exon}, cigar string, a int, b int").coalesce(1)
+    where = genome.genome_location(F.col("locs"), F.col("cigar"), F.col("a"), F.col("b"))
+    got = data.select("id", where.alias("w"))
+    assert "lambdafunction" not in got._jdf.queryExecution().analyzed().toString()  # not worked out element by element
+    got = {r.id: (r.w.location, "|".join(r.w.warnings)) for r in got.collect()}
+    assert got == {r[0]: r[5:] for r in rows}
