@@ -72,9 +72,13 @@ def protein_of(name: Column) -> Column:
 
 
 def with_proteins(found: DataFrame, proteins: DataFrame, variants: DataFrame) -> DataFrame:
-    """found (..., name) with the columns of its protein and its variant, null where there is none."""
-    p = proteins.select(F.col("name").alias("protein"), "locs")
-    v = variants.select(F.col("name").alias("_variant"), "cigar", "inds", "difs")
+    """found (..., name) with the columns of its protein and its variant, null where there is none.
+
+    Whatever columns the two tables have are joined, but for ``n_cigars``: leave out lists that are not wanted, as rows that
+    are sorted for a join fill the memory of its tasks.
+    """
+    p = proteins.withColumnRenamed("name", "protein")
+    v = variants.withColumnRenamed("name", "_variant").drop("n_cigars")
     rows = found.withColumn("protein", protein_of(F.col("name"))).join(p, "protein", "left")
     return rows.join(v, rows["name"] == v["_variant"], "left").drop("_variant")
 

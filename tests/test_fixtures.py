@@ -737,3 +737,11 @@ def test_genome_location_of_missing_values(spark):
     assert "lambdafunction" not in got._jdf.queryExecution().analyzed().toString()  # not worked out element by element
     got = {r.id: (r.w.location, "|".join(r.w.warnings)) for r in got.collect()}
     assert got == {r[0]: r[5:] for r in rows}
+
+
+def test_proteins_and_variants_may_lack_their_lists(spark):
+    found = spark.createDataFrame([(1, "P1_x"), (2, "P2_x"), (3, None)], "id int, name string")
+    sizes = spark.createDataFrame([("P1", 3)], "name string, n_locs int"), spark.createDataFrame([("P2_x", 4, 1)], "name string, n_inds int, n_cigars int")
+    rows = proteins.with_proteins(found, *sizes)
+    assert sorted(rows.columns) == ["id", "n_inds", "n_locs", "name", "protein"]
+    assert sorted((r.id, r.n_locs, r.n_inds) for r in rows.collect()) == [(1, 3, None), (2, None, 4), (3, None, None)]
