@@ -43,6 +43,17 @@ def _spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
 
 
+def _dealt(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
+    """A table dealt to all cores by its keys, if one split has twice a core's share of the rows or more.
+
+    A row group is read in one split whatever its size, so there may be as many splits as cores and rows in few of them.
+    Only the files' footers are read to count.
+    """
+    table, cores = _t(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    most, rows = table.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
+    return table.repartition(cores, *keys) if rows and most * cores >= 2 * rows else table
+
+
 # --- search -------------------------------------------------------------------------------------------------------
 
 SHORT_PATTERNS = ("e", "ee", "ed ", "re", "an", "aa", "l", "ll", "o o", "zz")
@@ -428,7 +439,7 @@ def cigar_bounds(spark, sf_dir):
 )
 def near_match(spark, sf_dir):
     near = genome.near_differences(genome.differences(_difference_text()), F.lit("50M"), F.lit(3), F.lit(6), 2)
-    return _spread(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(F.transform(near, lambda d: d["desc"]), ";").alias("near"))
+    return _dealt(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", F.array_join(F.transform(near, lambda d: d["desc"]), ";").alias("near"))
 
 
 @query(
@@ -440,7 +451,7 @@ def genome_location(spark, sf_dir):
     loc = F.array(F.struct(F.lit("c").alias("chrom"), start.alias("start"), (start + 3 * (F.col("l_linenumber") + 2)).alias("end"), (F.col("l_partkey") % 2 == 0).alias("positive")))
     cigar = F.concat((F.col("l_linenumber") + 2).cast("string"), F.lit("M"))
     where = genome.genome_location(loc, cigar, F.lit(1), F.col("l_linenumber") + 1)
-    return _spread(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", where["location"].alias("location"))
+    return _dealt(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", where["location"].alias("location"))
 
 
 def _odd_cigar() -> Column:
@@ -497,7 +508,7 @@ def genome_location_exons(spark, sf_dir):
     third = exon(F.when(F.col("l_partkey") % 7 == 0, "d").otherwise("c"), s + 40 + F.col("l_suppkey") % 4, s + 60 + F.col("l_partkey") % 5, forward)
     at = F.col("l_linenumber") % 4
     where = genome.genome_location(F.array(first, second, third), _odd_cigar(), at, at + 1 + F.col("l_suppkey") % 6)
-    rows = _spread(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", where.alias("w"))
+    rows = _dealt(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", where.alias("w"))
     return rows.select("l_orderkey", "l_linenumber", "w.location", F.array_join("w.warnings", "|").alias("warnings"))
 
 
@@ -514,7 +525,7 @@ SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 7 <> 0 AND l_linenumber <
 def near_match_cigars(spark, sf_dir):
     """Insertions, deletions and missing CIGARs; those that place no match are errors and left out before."""
     at, to, cigar, k = F.col("l_linenumber") % 4, F.col("l_linenumber") % 4 + 1 + F.col("l_suppkey") % 6, _odd_cigar(), F.col("l_partkey") % 11
-    rows = _spread(spark, sf_dir, "lineitem").withColumns({"cigar": cigar, "at": at, "to": to})
+    rows = _dealt(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber").withColumns({"cigar": cigar, "at": at, "to": to})
     long_enough = F.when(k == 4, F.col("to") <= 4).otherwise(F.col("to") <= F.col("l_partkey") % 3 + F.col("l_partkey") % 4 + F.col("l_partkey") % 5 + F.col("l_partkey") % 7 + 8)
     rows = rows.where((k < 2) | ((k > 3) & long_enough))
     near = genome.near_differences(genome.differences(_difference_text()), F.col("cigar"), F.col("at"), F.col("to"), 1)

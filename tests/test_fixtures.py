@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from seqloom import bitmaps
 from seqloom.functions import colspec, genome, text
-from seqloom.plans import peptides
+from seqloom.plans import catalogue, peptides
 from seqloom.operators import align, alignments, digest, graphs, matches, proteins, search, suffix, tables
 from seqloom.sources import genomics, sequences
 from seqloom.sources import matches as match_files
@@ -745,3 +745,27 @@ def test_proteins_and_variants_may_lack_their_lists(spark):
     rows = proteins.with_proteins(found, *sizes)
     assert sorted(rows.columns) == ["id", "n_inds", "n_locs", "name", "protein"]
     assert sorted((r.id, r.n_locs, r.n_inds) for r in rows.collect()) == [(1, 3, None), (2, None, 4), (3, None, None)]
+
+
+def test_rows_of_one_row_group_are_dealt_to_all_cores(spark, tmp_path):
+    """Splits that share a row group: one of them has all rows, the others none."""
+    part, lines = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long", [(i // 4, i % 4 + 1, i, i % 7) for i in range(2000)]
+    spark.createDataFrame(lines, part).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        assert spark.read.parquet(f"{tmp_path}/lineitem.parquet").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        for query in (catalogue.genome_location, catalogue.genome_location_exons, catalogue.near_match, catalogue.near_match_cigars):
+            rows = query(spark, str(tmp_path))
+            counts = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+            assert len(counts) == spark.sparkContext.defaultParallelism and max(counts) < sum(counts) / 2, query
+        assert catalogue.genome_location(spark, str(tmp_path)).distinct().count() == len(lines)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_cigars_of_one_operation(spark):
+    for cigar, error in (("12M", None), ("3P", None), ("1H", None), ("0=", None), ("5Q", "Unknown operation in CIGAR."), ("4M\n", "Unknown operation in CIGAR."), ("4\u0664M", "Unknown operation in CIGAR."), ("4", "Count without an operation in CIGAR."), ("", None), (None, None)):
+        assert one(spark, genome.cigar_error(F.lit(cigar).cast("string"))) == error, cigar
