@@ -40,11 +40,21 @@ def _cut(values: np.ndarray, low: float) -> float:
     return float(above.min()) if len(above) else np.inf
 
 
+def _below(low: np.ndarray, end: np.ndarray | float) -> np.ndarray:
+    """Whether boxes start before an end of a node: by strict order in doubles, which rounding of large integers cannot turn round."""
+    return (low == -np.inf) | (low < end)
+
+
+def _above(high: np.ndarray, end: np.ndarray | float) -> np.ndarray:
+    return (high == np.inf) | (end <= high)
+
+
 def grow(points: np.ndarray, boxes: np.ndarray, levels: int) -> Tree:
     """A tree from samples: points (x, y) and boxes (low x, high x, low y, high y; infinite where open).
 
     A node is cut in the middle of its points and of the ends of its boxes, along the axis that leaves fewer pairs to compare,
-    and not at all where more than three in four are left because its boxes lie on both sides.
+    and not at all where more than three in four are left because its boxes lie on both sides.  A box over a whole node is
+    settled there and counts in none below it.
     """
     leaves = 1 << levels
     axis, cut = np.zeros(leaves, int), np.full(leaves, np.inf)
@@ -57,12 +67,16 @@ def grow(points: np.ndarray, boxes: np.ndarray, levels: int) -> Tree:
             share[node - leaves] = len(inside) / max(len(points), 1)
             continue
         best, least = None, 0.75 * len(inside) * len(met)
+        # whether boxes go over the node's low and high ends of either axis
+        past = [(_below(met[:, 2 * k], within[2 * k]), _above(met[:, 2 * k + 1], within[2 * k + 1])) for k in (0, 1)]
         for k in (0, 1):
             low, high = within[2 * k : 2 * k + 2]
             corners = met[:, 2 * k : 2 * k + 2].ravel()
             at = _cut(np.concatenate([inside[:, k], corners[(corners > low) & (corners < high)]]), low)
             if np.isfinite(at):
+                across = past[1 - k][0] & past[1 - k][1]
                 left, first, second = inside[:, k] < at, met[:, 2 * k] < at, met[:, 2 * k + 1] >= at
+                first, second = first & ~(across & past[k][0] & _above(met[:, 2 * k + 1], at)), second & ~(across & past[k][1] & _below(met[:, 2 * k], at))
                 pairs = left.sum() * first.sum() + (~left).sum() * second.sum()
                 if pairs < least:
                     best, least = (k, at, left, first, second), pairs
@@ -98,21 +112,16 @@ def _cell_of(tree: Tree, tasks: np.ndarray) -> Callable[..., Column]:
 
 
 def _nodes_of(tree: Tree) -> Callable[..., Column]:
-    """The leaves that boxes meet in part, and the highest nodes that lie in them, these negative; bounds are infinite where open.
-
-    A box counts as over a node by strict order in doubles, which rounding of large integers cannot turn round.
-    """
+    """The leaves that boxes meet in part, and the highest nodes that lie in them, these negative; bounds are infinite where open."""
 
     def run(low_x: pd.Series, low_y: pd.Series, high_x: pd.Series, high_y: pd.Series) -> pd.Series:
         low, high = np.stack([low_x, low_y]), np.stack([high_x, high_y])
         box, node = np.arange(low.shape[1]), np.ones(low.shape[1], np.int64)
         boxes, nodes = [], []
         for level in range(tree.levels + 1):
-            ends = tree.ends[node]
-            over = np.ones(len(node), bool)
+            over, ends = np.ones(len(node), bool), tree.ends[node]
             for k in (0, 1):
-                a, b = low[k, box], high[k, box]
-                over &= ((a == -np.inf) | (a < ends[:, 2 * k])) & ((b == np.inf) | (ends[:, 2 * k + 1] <= b))
+                over &= _below(low[k, box], ends[:, 2 * k]) & _above(high[k, box], ends[:, 2 * k + 1])
             done = over if level < tree.levels else np.ones(len(node), bool)
             boxes.append(box[done])
             nodes.append(np.where(over, -node, node)[done])

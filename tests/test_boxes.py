@@ -66,3 +66,13 @@ def test_points_are_reduced_where_their_boxes_are_without_a_sort(spark):
     got = alignments.region_costs(p, r)
     assert "max_by(cost" not in got._jdf.queryExecution().executedPlan().toString()
     assert got.where("point_id = 39").first().cost == 27 and got.count() == 40
+
+
+def test_boxes_over_whole_nodes_do_not_keep_a_tree_from_growing():
+    rng = np.random.default_rng(2)
+    low = np.arange(4000.0)
+    small, open_ = np.column_stack([low, low + 9, low, low + 9]), rng.choice(low, 400)
+    boxes_ = np.concatenate([small, np.column_stack([open_, np.full(400, np.inf), open_, np.full(400, np.inf)])])
+    a = rng.integers(0, 4000, 16000).astype(float)
+    tree = boxes.grow(np.column_stack([a, a + rng.integers(1, 8, 16000)]), boxes_, 7)
+    assert (tree.share > 0).sum() > 100 and tree.share.max() < 4 / 128
